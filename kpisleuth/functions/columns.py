@@ -26,6 +26,13 @@ def rounded(col: Column, digits: int = RATIO_DIGITS) -> Column:
     return F.round(col, digits)
 
 
+def price(col: Column) -> Column:
+    """Round a unit price to four places.  Prices are short decimals, so exact
+    halves are common; the guard settles them upwards whatever the summation
+    order of the binary amounts."""
+    return F.round(col + F.lit(1e-9), 4)
+
+
 def crore(col: Column) -> Column:
     return F.round(col / F.lit(config.CRORE), RATIO_DIGITS)
 

@@ -86,25 +86,30 @@ def mislabel_rate(counts: DataFrame) -> DataFrame:
     )
 
 
-def corroborate(evidence: DataFrame) -> DataFrame:
+HYPOTHESIS = ["hypothesis"]
+
+
+def corroborate(evidence: DataFrame, keys: list[str] = HYPOTHESIS) -> DataFrame:
     """Promote note evidence of a hypothesis backed by enough independent notes."""
     rule = config.CORROBORATION
     is_note = F.col("kind") == rule["from"]
-    support = evidence.where(is_note).groupBy("hypothesis").agg(
+    support = evidence.where(is_note).groupBy(*keys).agg(
         F.countDistinct("source_ref").alias("independent_notes")
     )
     enough = is_note & (F.col("independent_notes") >= rule["min_notes"])
     return (
-        evidence.join(support, "hypothesis", "left")
+        evidence.join(support, keys, "left")
         .withColumn("kind_after", F.when(enough, rule["to"]).otherwise(F.col("kind")))
     )
 
 
-def evidence_weight(evidence: DataFrame, weights: DataFrame, kind: str = "kind") -> DataFrame:
+def evidence_weight(
+    evidence: DataFrame, weights: DataFrame, kind: str = "kind", keys: list[str] = HYPOTHESIS
+) -> DataFrame:
     """Mean reliability and share of evidence under the floor, per hypothesis."""
     tiers = F.broadcast(weights.withColumnRenamed("kind", kind))
     low = F.col("reliability") < config.RELIABILITY_FLOOR
-    return evidence.join(tiers, kind).groupBy("hypothesis").agg(
+    return evidence.join(tiers, kind).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("items"),
         rounded(F.avg("reliability")).alias("mean_reliability"),
         rounded(share_true(low)).alias("low_share"),
@@ -147,11 +152,11 @@ def news_counts(news: DataFrame, day: str, competitor: str) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("items"))
 
 
-def contradictions(evidence: DataFrame) -> DataFrame:
+def contradictions(evidence: DataFrame, keys: list[str] = HYPOTHESIS) -> DataFrame:
     """Independent sources pulling a hypothesis in opposite directions."""
     enough = config.TRIGGERS["min_independent_sources"]
-    per_source = evidence.groupBy("hypothesis", "source_ref").agg(F.sum("sign").alias("net"))
-    return per_source.groupBy("hypothesis").agg(
+    per_source = evidence.groupBy(*keys, "source_ref").agg(F.sum("sign").alias("net"))
+    return per_source.groupBy(*keys).agg(
         count_true(F.col("net") > 0).alias("supporting"),
         count_true(F.col("net") < 0).alias("opposing"),
     ).withColumn(
@@ -160,21 +165,21 @@ def contradictions(evidence: DataFrame) -> DataFrame:
     )
 
 
-def concordance(evidence: DataFrame) -> DataFrame:
+def concordance(evidence: DataFrame, keys: list[str] = HYPOTHESIS) -> DataFrame:
     """Share of (structured, unstructured) pairs that agree in sign.
 
     Pairs are counted from the four sign totals, never enumerated.
     """
     text = F.col("kind").isin(config.UNSTRUCTURED_KINDS)
     tally = lambda is_text, s: count_true((text == is_text) & (F.col("sign") == s))
-    counts = evidence.groupBy("hypothesis").agg(
+    counts = evidence.groupBy(*keys).agg(
         tally(False, 1).alias("sp"), tally(False, -1).alias("sn"),
         tally(True, 1).alias("up"), tally(True, -1).alias("un"),
     )
     agree = F.col("sp") * F.col("up") + F.col("sn") * F.col("un")
     pairs = (F.col("sp") + F.col("sn")) * (F.col("up") + F.col("un"))
     return counts.select(
-        "hypothesis", pairs.alias("pairs"), rounded(ratio(agree.cast("double"), pairs)).alias("concordance")
+        *keys, pairs.alias("pairs"), rounded(ratio(agree.cast("double"), pairs)).alias("concordance")
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpisleuth import config
-from kpisleuth.functions.columns import count_true, crore, period_of, ratio, rounded
+from kpisleuth.functions.columns import count_true, crore, period_of, price, ratio, rounded
 from kpisleuth.operators.conform import in_scope, net_amount
 
 CELL = ["region", "store_id", "period"]
@@ -94,7 +94,7 @@ def avg_selling_price(sales, stores, skus, grain="monthly", start=None, end=None
     )
     return _placed(parts, stores).select(
         "region", "store_id", "sub_category", "period",
-        F.round(ratio(F.col("net"), F.col("units")), 4).alias("avg_selling_price_inr"),
+        price(ratio(F.col("net"), F.col("units"))).alias("avg_selling_price_inr"),
     )
 
 
@@ -187,7 +187,7 @@ def kpi_at_grain(name: str, sales: DataFrame, stores: DataFrame, grain: str) ->
     )
     value = {
         "net_revenue": crore(F.col("net")),
-        "avg_selling_price": F.round(ratio(F.col("net"), F.col("units")), 4),
+        "avg_selling_price": price(ratio(F.col("net"), F.col("units"))),
     }
     if name not in value:
         raise ValueError(f"{name} is not additive over sales lines")

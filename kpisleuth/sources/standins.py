@@ -16,6 +16,8 @@ from kpisleuth.sources.tables import read_table
 ASSORTMENT_START = "1995-01-01"
 ASSORTMENT_END = "2001-12-31"
 NOTE_EPOCH = "2024-01-01"
+CASE_EPOCH = "1995-01-01"
+CASE_MONTHS = 80
 CODE_CHANGE_DATE = "1998-07-01"
 CASE_ONSET = "1998-06-01"
 PROMISE_DAYS = 60
@@ -194,4 +196,5 @@ def evidence(spark: SparkSession, folder: str) -> DataFrame:
         F.element_at(F.array(*map(F.lit, config.EVIDENCE_UNITS)), (key % len(config.EVIDENCE_UNITS) + 1).cast("int")).alias("unit"),
         (F.col("n_chars") % 120).cast("double").alias("freshness_hours"),
         (F.lit(1.0) - (F.col("n_chars") % 100) / 1000.0).alias("completeness"),
+        F.add_months(F.lit(CASE_EPOCH).cast("date"), (key % CASE_MONTHS).cast("int")).alias("period"),
     )
