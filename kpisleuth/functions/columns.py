@@ -26,11 +26,16 @@ def rounded(col: Column, digits: int = RATIO_DIGITS) -> Column:
     return F.round(col, digits)
 
 
+def steady(col: Column, digits: int = RATIO_DIGITS) -> Column:
+    """Round where exact halves are common (short decimals divided by small
+    counts).  The guard settles a half upwards whatever the summation order of
+    the binary amounts."""
+    return F.round(col + F.lit(1e-9), digits)
+
+
 def price(col: Column) -> Column:
-    """Round a unit price to four places.  Prices are short decimals, so exact
-    halves are common; the guard settles them upwards whatever the summation
-    order of the binary amounts."""
-    return F.round(col + F.lit(1e-9), 4)
+    """A unit price to four places."""
+    return steady(col, 4)
 
 
 def crore(col: Column) -> Column:

@@ -102,7 +102,7 @@ def telemetry(events: DataFrame, dims: list[str]) -> DataFrame:
     spread = events.select(F.inline(sets), "duration_ms", "cost")
     keys = ["level", *dims]
     totals = spread.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("events"), F.round(F.sum("cost"), 2).alias("cost"),
+        F.count(F.lit(1)).alias("events"), F.round(F.sum("cost"), 4).alias("cost"),
     )
     solid = [F.coalesce(F.col(d), F.lit("")).alias(d) for d in dims]
     p95 = exact_percentiles(spread.select("level", *solid, "duration_ms"), keys, "duration_ms", {"p95_ms": 0.95})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpisleuth import config
-from kpisleuth.functions.columns import count_true, crore, price, ratio, rounded
+from kpisleuth.functions.columns import count_true, crore, price, ratio, rounded, steady
 from kpisleuth.functions.stats import p_chi2_1
 from kpisleuth.operators import conform, evidence, gates, movement
 from kpisleuth.plans.facts import (
@@ -136,7 +136,7 @@ def d6_many(spark, folder):
 
 
 @query("d7_festival_factor", f"""
-SELECT s.region, s.date, round(coalesce(e.factor, 1.0), 6) AS factor FROM (
+SELECT s.region, s.date, round(coalesce(e.factor, 1.0) + 1e-9, 6) AS factor FROM (
   SELECT region, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date
   FROM (SELECT DISTINCT region FROM (VALUES {INTENSITY_ROWS}) AS t(festival, region, intensity)),
     (SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders)
@@ -157,7 +157,7 @@ def d7(spark, folder):
     return movement.festival_factor(
         sales_days(spark, folder), config.festival_window_table(spark, festival_windows()),
         config.festival_intensity_table(spark, REGION_OF), FESTIVAL_AMPLITUDE,
-    ).select("region", "date", r("factor"))
+    ).select("region", "date", steady(F.col("factor")).alias("factor"))
 
 
 _WEEK_RESIDUAL_SQL = """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpisleuth import config
-from kpisleuth.functions.columns import crore, rounded
+from kpisleuth.functions.columns import crore, rounded, steady
 from kpisleuth.operators import conform, kpis
 from kpisleuth.plans.registry import query
 from kpisleuth.session import scratch_path
@@ -270,7 +270,7 @@ FROM (
 
 
 @query("c10_allocate", f"""
-SELECT w.store_id, w.period, w.sku_id, round(w.weight, 6) AS weight, round(t.amount * w.weight / nullif(s.total, 0), 10) AS allocated
+SELECT w.store_id, w.period, w.sku_id, round(w.weight, 6) AS weight, round(t.amount * w.weight / nullif(s.total, 0) + 1e-9, 6) AS allocated
 FROM ({_WEIGHTS_SQL}) w
 JOIN (SELECT store_id, period, sum(weight) AS total FROM ({_WEIGHTS_SQL}) GROUP BY 1, 2) s
   ON s.store_id = w.store_id AND s.period = w.period
@@ -292,7 +292,7 @@ def c10(spark, folder):
     ).agg(F.round(F.sum("net_amount") / config.LAKH, 6).alias("amount"))
     return conform.allocate(total, weights, ["store_id", "period"]).select(
         "store_id", "period", "sku_id", rounded(F.col("weight")).alias("weight"),
-        F.round("allocated", 10).alias("allocated"),
+        steady(F.col("allocated")).alias("allocated"),
     )
 
 

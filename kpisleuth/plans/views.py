@@ -104,6 +104,14 @@ VIEWS["hyp_v"] = "SELECT * FROM (VALUES " + ", ".join(
     for i, (n, h) in enumerate(config.HYPOTHESES.items())
 ) + ") AS t(hypothesis, hypothesis_no, prior, required_sources, available_sources, applicable_tests, confounders, affects)"
 
+VIEWS["missing_v"] = """
+SELECT h.hypothesis, coalesce(m.missing, '') AS missing, m.missing IS NULL AS verifiable FROM hyp_v h LEFT JOIN (
+  SELECT hypothesis, string_agg(source, '|') AS missing
+  FROM (SELECT hypothesis, available_sources, unnest(required_sources) AS source FROM hyp_v)
+  WHERE NOT list_contains(available_sources, source) GROUP BY 1
+) m ON m.hypothesis = h.hypothesis
+"""
+
 
 def _sql(value) -> str:
     if value is None:

@@ -36,14 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session (tests) may fall back to a temporary folder; on a
     cluster a missing setting is an error rather than a machine-local path.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="kpisleuth-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="kpisleuth-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def checkpointed(df):
@@ -57,3 +57,15 @@ def checkpointed(df):
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for one run's written table."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df, name: str):
+    """Write a shared intermediate once and read it back.
+
+    Used where several branches of one query need the same reduced table: the
+    facts are scanned once, a lost executor costs no recomputation, and the
+    files give the optimizer true sizes.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,9 +15,15 @@ from kpisleuth.session import scratch_path
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
-    """File stream with a declared schema and bounded micro-batches."""
+    """File stream with a declared schema and bounded micro-batches.
+
+    ``path`` names a directory of files or one file; written as a pattern it is
+    accepted either way.
+    """
+    parent, _, name = path.rpartition("/")
+    pattern = f"{parent}/[{name[0]}]{name[1:]}"
     return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
     )
 
 
