@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpisleuth import config
@@ -64,3 +64,12 @@ def previous_by_period(value: Column, keys: list[str], period: str, months: int
 
 def days_between(later: Column, earlier: Column) -> Column:
     return F.datediff(later, earlier)
+
+
+def spread_by(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash rows over all shuffle partitions before a per-series Python step.
+
+    Series are small in bytes but slow in Python; without an explicit count
+    AQE would coalesce them into very few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

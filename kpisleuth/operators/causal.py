@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpisleuth import config
-from kpisleuth.functions.columns import ratio, rounded
+from kpisleuth.functions.columns import ratio, rounded, spread_by
 from kpisleuth.functions.stats import welch_df, welch_t
 
 
@@ -82,7 +82,7 @@ def onsets(series: DataFrame, keys: list[str], key_schema: str, day: str, penalt
         return pd.DataFrame(rows, columns=[*keys, "onset", "position", "shift"])
 
     schema = f"{key_schema}, onset date, position int, shift double"
-    return series.select(*keys, day, "value").groupBy(*keys).applyInPandas(find, schema)
+    return spread_by(series.select(*keys, day, "value"), keys).groupBy(*keys).applyInPandas(find, schema)
 
 
 def precedence(causes: DataFrame, effects: DataFrame, keys: list[str]) -> DataFrame:
@@ -209,19 +209,17 @@ def did_region(units: DataFrame, keys: list[str]) -> DataFrame:
 def confounder_screen(hypotheses: DataFrame, keys: list[str]) -> DataFrame:
     """For each live hypothesis, the listed confounders also live and untested.
 
-    ``hypotheses``: keys, hypothesis, confounders, live, tested.
+    ``hypotheses``: keys, hypothesis, confounders, live, tested.  A case has at
+    most one row per template, so its window is a handful of rows and the
+    screen needs no join.
     """
-    live = hypotheses.where("live")
-    edges = live.select(*keys, "hypothesis", F.explode("confounders").alias("confounder"))
-    rivals = live.where(~F.col("tested")).select(*keys, F.col("hypothesis").alias("confounder"))
-    open_edges = edges.join(rivals, [*keys, "confounder"]).groupBy(*keys, "hypothesis").agg(
-        F.array_sort(F.collect_set("confounder")).alias("unresolved")
-    )
-    return live.select(*keys, "hypothesis").join(open_edges, [*keys, "hypothesis"], "left").select(
-        *keys, "hypothesis",
-        F.coalesce("unresolved", F.array().cast("array<string>")).alias("unresolved"),
-        F.col("unresolved").isNotNull().alias("screen_failed"),
-    )
+    rival = F.when(F.col("live") & ~F.col("tested"), F.col("hypothesis"))
+    rivals = F.collect_set(rival).over(Window.partitionBy(*keys))
+    none = F.array().cast("array<string>")
+    return hypotheses.withColumn(
+        "unresolved",
+        F.when(F.col("live"), F.array_sort(F.array_intersect("confounders", rivals))).otherwise(none),
+    ).withColumn("screen_failed", F.size("unresolved") > 0)
 
 
 def missing_sources(hypotheses: DataFrame) -> DataFrame:
@@ -231,13 +229,17 @@ def missing_sources(hypotheses: DataFrame) -> DataFrame:
     ).withColumn("verifiable", F.size("missing") == 0)
 
 
-def test_coverage(results: DataFrame, hypotheses: DataFrame, keys: list[str]) -> DataFrame:
-    """Passed over applicable tests.  ``results``: keys, hypothesis, test, passed."""
-    applicable = hypotheses.select(*keys, "hypothesis", F.explode("applicable_tests").alias("test"))
-    return applicable.join(results, [*keys, "hypothesis", "test"], "left").groupBy(*keys, "hypothesis").agg(
-        F.count(F.lit(1)).alias("applicable"),
-        F.count_if(F.coalesce("passed", F.lit(False))).alias("passed_tests"),
-        rounded(F.avg(F.when(F.col("passed"), 1.0).otherwise(0.0))).alias("coverage"),
+def test_coverage(hypotheses: DataFrame, outcomes: dict[str, Column]) -> DataFrame:
+    """Passed over applicable tests, row by row.
+
+    ``outcomes`` gives each test's boolean; only the tests the hypothesis lists
+    as applicable count.
+    """
+    passed = F.array_compact(F.array(*[F.when(ok, F.lit(name)) for name, ok in outcomes.items()]))
+    return (
+        hypotheses.withColumn("applicable", F.size("applicable_tests").cast("long"))
+        .withColumn("passed_tests", F.size(F.array_intersect("applicable_tests", passed)).cast("long"))
+        .withColumn("coverage", rounded(F.col("passed_tests") / F.col("applicable")))
     )
 
 

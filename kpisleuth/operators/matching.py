@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpisleuth.session import checkpointed
+from kpisleuth.session import written
 
 LEAF_MEMBERS = 32
 MAX_DEPTH = 40
@@ -46,25 +46,23 @@ def _sum(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 
 
-def _root_depth(points: DataFrame, dims: list[str]) -> int:
-    """Depth at which every point lies in one of 2^d cells around the origin."""
-    reach = points.agg(F.max(F.greatest(*[F.abs(d) for d in dims], F.lit(1.0)))).first()[0] or 1.0
-    return -(math.floor(math.log2(reach)) + 1)
-
-
-def _leaf_depth(points: DataFrame, block: list[str], dims: list[str]) -> int:
-    """Depth at which no cell holds many distinct vectors."""
+def hierarchy(points: DataFrame, block: list[str], dims: list[str]) -> tuple[int, int]:
+    """Levels of the cell hierarchy: from one cell around the origin down to
+    where no cell holds many distinct vectors."""
+    vectors = written(points.select(*block, *dims).distinct(), "match-vectors")
+    reach = vectors.agg(F.max(F.greatest(*[F.abs(d) for d in dims], F.lit(1.0)))).first()[0] or 1.0
+    root = -(math.floor(math.log2(reach)) + 1)
     depth = 1
     while depth < MAX_DEPTH:
-        crowd = points.groupBy(*block, _cell(dims, depth).alias("_cell")).count()
+        crowd = vectors.groupBy(*block, _cell(dims, depth).alias("_cell")).count()
         if (crowd.agg(F.max("count")).first()[0] or 0) <= LEAF_MEMBERS:
             break
         depth += 2
-    return depth
+    return root, depth
 
 
 def nearest(
-    treated: DataFrame, candidates: DataFrame, block: list[str], dims: list[str]
+    treated: DataFrame, candidates: DataFrame, block: list[str], dims: list[str], depths: tuple[int, int]
 ) -> DataFrame:
     """Nearest eligible candidate of every treated unit, ties to the lowest id.
 
@@ -73,28 +71,30 @@ def nearest(
     below its holder; free candidates hold the largest id).
     Output: block, ``treated_id``, ``candidate_id``, ``distance``.
     """
-    points = checkpointed(candidates.select(*block, *dims, "candidate_id", "holder"))
-    vectors = points.select(*block, *dims).distinct()
-    root, depth = _root_depth(points, dims), _leaf_depth(vectors, block, dims)
-
-    def cells(level: int) -> DataFrame:
-        return points.groupBy(*block, _cell(dims, level).alias("_cell")).agg(
+    points = candidates.select(*block, *dims, "candidate_id", "holder")
+    root, depth = depths
+    # Every level's cells in one pass: each point names its cell at each level,
+    # and the members of a cell combine map-side.
+    levels = F.array(*[
+        F.struct(F.lit(level).alias("_level"), _cell(dims, level).alias("_cell")) for level in range(root, depth + 1)
+    ])
+    grid = written(
+        points.select("*", F.inline(levels)).groupBy(*block, "_level", "_cell").agg(
             F.max("holder").alias("_holder"),
             *[f(d).alias(f"_{tag}_{d}") for d in dims for tag, f in (("lo", F.min), ("hi", F.max))],
-        )
+        ),
+        "match-cells",
+    )
 
     frontier = treated.select(
         *block, "treated_id", *[F.col(d).alias(f"_t_{d}") for d in dims]
     )
     near = Window.partitionBy(*block, "treated_id")
     for level in range(root, depth + 1):
-        here = cells(level)
-        if level == root:
-            grid = here
-            on = block
-        else:
-            parent = F.transform("_cell", lambda x: F.floor(x / 2).cast("long"))
-            grid = here.withColumn("_parent", parent)
+        here = grid.where(F.col("_level") == level).drop("_level")
+        on = block
+        if level > root:
+            here = here.withColumn("_parent", F.transform("_cell", lambda x: F.floor(x / 2).cast("long")))
             on = [*block, "_parent"]
             frontier = frontier.withColumnRenamed("_cell", "_parent")
         low = F.sqrt(_sum([
@@ -105,7 +105,7 @@ def nearest(
             F.pow(F.greatest(F.abs(F.col(f"_lo_{d}") - F.col(f"_t_{d}")), F.abs(F.col(f"_hi_{d}") - F.col(f"_t_{d}"))), 2)
             for d in dims
         ]))
-        opened = frontier.join(grid, on).where(F.col("_holder") > F.col("treated_id")).select(
+        opened = frontier.join(here, on).where(F.col("_holder") > F.col("treated_id")).select(
             *block, "treated_id", *[f"_t_{d}" for d in dims], "_cell",
             low.alias("_low"), high.alias("_high"),
         )
@@ -147,7 +147,8 @@ def match_with_reuse(
         "holder", F.lit(_FREE)
     )
     lead = cases.groupBy(*block, *dims).agg(F.min("treated_id").alias("treated_id"))
-    found = nearest(lead, pool, block, dims).withColumnRenamed("treated_id", "lead_id")
+    pool = written(pool, "match-pool")
+    found = nearest(lead, pool, block, dims, hierarchy(pool, block, dims)).withColumnRenamed("treated_id", "lead_id")
     owner = cases.join(lead.withColumnRenamed("treated_id", "lead_id"), [*block, *dims])
     return owner.select(*block, "treated_id", "lead_id").join(found, [*block, "lead_id"]).drop("lead_id")
 
@@ -164,7 +165,8 @@ def match_without_reuse(
     """
     dims = [f"z_{c}" for c in covariates]
     cases, pool = _split(standardise(units, block, covariates, treated), block, dims, unit_id, treated)
-    cases, pool = checkpointed(cases), checkpointed(pool)
+    cases, pool = written(cases, "match-cases"), written(pool, "match-pool")
+    depths = hierarchy(pool, block, dims)
     held = None
     while True:
         if held is None:
@@ -175,13 +177,14 @@ def match_without_reuse(
             open_pool = pool.join(holder, [*block, "candidate_id"], "left").withColumn(
                 "holder", F.coalesce("_h", F.lit(_FREE))
             ).drop("_h")
-        proposals = checkpointed(nearest(open_cases, open_pool, block, dims))
+        proposals = written(nearest(open_cases, open_pool, block, dims, depths), "match-proposals")
         if proposals.isEmpty():
             break
         every = proposals if held is None else proposals.unionByName(held)
-        held = checkpointed(
+        held = written(
             every.groupBy(*block, "candidate_id")
             .agg(F.min(F.struct("treated_id", "distance")).alias("kept"))
-            .select(*block, "kept.treated_id", "candidate_id", "kept.distance")
+            .select(*block, "kept.treated_id", "candidate_id", "kept.distance"),
+            "match-held",
         )
     return held if held is not None else proposals

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpisleuth import config
-from kpisleuth.functions.columns import previous_by_period, ratio
+from kpisleuth.functions.columns import previous_by_period, ratio, spread_by
 from kpisleuth.functions.scale import competition_rank
 
 
@@ -137,7 +137,7 @@ def loess_baseline(daily: DataFrame, keys: list[str], key_schema: str, span: int
         return pdf[out]
 
     schema = f"{key_schema}, date date, value double, trend double, seasonal double, residual double"
-    return daily.select(*keys, "date", "value").groupBy(*keys).applyInPandas(split, schema)
+    return spread_by(daily.select(*keys, "date", "value"), keys).groupBy(*keys).applyInPandas(split, schema)
 
 
 def flag_regression(daily: DataFrame, keys: list[str], flag: str) -> DataFrame:

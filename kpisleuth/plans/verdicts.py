@@ -381,16 +381,23 @@ GROUP BY 1, 2, 3
 """
 
 
-def screened(spark, folder, board: DataFrame) -> DataFrame:
-    rules = config.hypothesis_table(spark).select("hypothesis", "confounders")
-    return causal.confounder_screen(board.select(*HYP, "live", "tested").join(F.broadcast(rules), "hypothesis"), CASE)
+def judged_board(board: DataFrame) -> DataFrame:
+    """The board with its templates' rules, confounder screen and test coverage."""
+    rules = F.broadcast(config.hypothesis_table(board.sparkSession).drop("hypothesis_no", "prior", "affects"))
+    known = causal.missing_sources(board.join(rules, "hypothesis"))
+    beyond = lambda z: F.coalesce(F.abs("t") >= z, F.lit(False))
+    return causal.test_coverage(causal.confounder_screen(known, CASE), {
+        "precedence": F.col("precedence_passed"), "sufficiency": F.coalesce("passed", F.lit(False)),
+        "dose_response": beyond(1.0), "specificity": beyond(1.96), "did": beyond(2.576),
+        "confounder_screen": F.col("live") & ~F.col("screen_failed"),
+    })
 
 
 @query("m11_confounder_screen", """
 SELECT region, period, hypothesis, coalesce(unresolved, '') AS unresolved, unresolved IS NOT NULL AS screen_failed FROM screen_v
 """)
 def m11(spark, folder):
-    return screened(spark, folder, hypothesis_board(spark, folder)).select(
+    return judged_board(hypothesis_board(spark, folder)).where("live").select(
         *HYP, F.array_join("unresolved", "|").alias("unresolved"), "screen_failed"
     )
 
@@ -399,9 +406,9 @@ def m11(spark, folder):
 SELECT region, period, hypothesis, missing, verifiable FROM hyp_board_v JOIN missing_v USING (hypothesis)
 """)
 def m12(spark, folder):
-    rules = F.broadcast(config.hypothesis_table(spark))
-    board = hypothesis_board(spark, folder).select(*HYP).join(rules, "hypothesis")
-    return causal.missing_sources(board).select(*HYP, F.array_join("missing", "|").alias("missing"), "verifiable")
+    return judged_board(hypothesis_board(spark, folder)).select(
+        *HYP, F.array_join("missing", "|").alias("missing"), "verifiable"
+    )
 
 
 VIEWS["result_v"] = """
@@ -415,32 +422,12 @@ LEFT JOIN screen_v s ON s.region = b.region AND s.period = b.period AND s.hypoth
 """
 
 
-def test_results(spark, folder, board: DataFrame) -> DataFrame:
-    """Six test outcomes per hypothesis in long form."""
-    clear = screened(spark, folder, board).select(*HYP, (~F.col("screen_failed")).alias("clear"))
-    joined = board.join(clear, HYP, "left")
-    beyond = lambda z: F.coalesce(F.abs("t") >= z, F.lit(False))
-    outcomes = {
-        "precedence": F.col("precedence_passed"), "sufficiency": F.coalesce("passed", F.lit(False)),
-        "dose_response": beyond(1.0), "specificity": beyond(1.96), "did": beyond(2.576),
-        "confounder_screen": F.coalesce("clear", F.lit(False)),
-    }
-    return joined.select(*HYP, F.inline(F.array(*[
-        F.struct(F.lit(name).alias("test"), ok.alias("passed")) for name, ok in outcomes.items()
-    ])))
-
-
-def covered(spark, folder, board: DataFrame) -> DataFrame:
-    rules = F.broadcast(config.hypothesis_table(spark).select("hypothesis", "applicable_tests"))
-    return causal.test_coverage(test_results(spark, folder, board), board.select(*HYP).join(rules, "hypothesis"), CASE)
-
-
 @query("m13_test_coverage", """
 SELECT region, period, hypothesis, count(*) AS applicable, count(*) FILTER (WHERE passed) AS passed_tests,
   round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM result_v GROUP BY 1, 2, 3
 """)
 def m13(spark, folder):
-    return covered(spark, folder, hypothesis_board(spark, folder))
+    return judged_board(hypothesis_board(spark, folder)).select(*HYP, "applicable", "passed_tests", "coverage")
 
 
 _ATTRIBUTE_SQL = f"""
@@ -553,25 +540,20 @@ def scored_hypotheses(spark, folder) -> DataFrame:
     """Live hypotheses of every cell with their components and raw confidence."""
     items = standins.evidence(spark, folder)
     case_keys = ["hypothesis", "period"]
-    every = hypothesis_board(spark, folder)
-    board = every.where("live")
+    board = judged_board(hypothesis_board(spark, folder)).where("live")
     low = evidence.evidence_weight(items, config.reliability_table(spark), keys=case_keys).select(*case_keys, "low_share")
     contra = evidence.contradictions(items, case_keys).select(*case_keys, "contradictory")
     agree = evidence.concordance(items).select("hypothesis", "concordance")
     closed = ledger(spark, folder).groupBy("hypothesis").agg(
         F.count(F.lit(1)).alias("closed_cases"), F.avg(F.col("outcome").cast("double")).alias("case_type_accuracy")
     )
-    rules = F.broadcast(config.hypothesis_table(spark).select("hypothesis", "required_sources", "available_sources"))
     weeks = located(conformed(spark, folder).select("store_id", "txn_date").distinct(), spark, folder).groupBy("region").agg(
         F.countDistinct(F.date_trunc("week", "txn_date")).alias("weeks_held")
     )
     case = (
-        board.join(covered(spark, folder, every).select(*HYP, "coverage"), HYP)
-        .join(weeks, "region")
-        .join(screened(spark, folder, every).select(*HYP, "screen_failed"), HYP, "left")
+        board.join(weeks, "region")
         .join(agree, "hypothesis", "left").join(evidence_quality(spark, folder), "hypothesis", "left")
         .join(low, case_keys, "left").join(contra, case_keys, "left").join(closed, "hypothesis", "left")
-        .join(rules, "hypothesis")
         .withColumn("regime_change", F.abs("headline_pt") >= 50.0)
         .withColumn("attributed_share", F.least(F.lit(1.0), F.coalesce("impact_share", F.lit(0.0))))
         .withColumn("low_share", F.coalesce("low_share", F.lit(0.0)))
@@ -580,13 +562,13 @@ def scored_hypotheses(spark, folder) -> DataFrame:
         .withColumn("closed_cases", F.coalesce("closed_cases", F.lit(0)))
         .withColumn("case_type_accuracy", F.coalesce("case_type_accuracy", F.lit(1.0)))
     )
-    return written(confidence.raw_confidence(confidence.components(causal.missing_sources(case))), "scored")
+    return written(confidence.raw_confidence(confidence.components(case)), "scored")
 
 
 def capped_hypotheses(scored: DataFrame) -> DataFrame:
     flagged = scored.select(
         "*",
-        F.coalesce("screen_failed", F.lit(False)).alias("confounder_screen_failed"),
+        F.col("screen_failed").alias("confounder_screen_failed"),
         (~F.col("verifiable")).alias("required_source_missing"),
         (~F.col("precedence_passed")).alias("temporal_precedence_failed"),
         (F.col("low_share") > config.TRIGGERS["max_low_reliability_share"]).alias("low_reliability_dominated"),
