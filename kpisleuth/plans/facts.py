@@ -521,6 +521,7 @@ _WEEK_RATE_SQL = """
 SELECT c.region, c.period, round(c.rate - p.rate, 6) AS residual_pt, round(p.rate, 6) AS conversion_before_pt,
   round(c.amount, 2) AS revenue, round(abs(c.rate - p.rate) / nullif(p.rate, 0) * c.amount, 4) AS revenue_equivalent
 FROM {_WEEK_RATE_SQL} c JOIN {_WEEK_RATE_SQL} p ON p.region = c.region AND p.period = c.period - 7
+WHERE p.rate IS NOT NULL
 """)
 def k12(spark, folder):
     from pyspark.sql import Window

@@ -216,9 +216,10 @@ _AVAIL_UNIT_SQL = """
 
 
 @query("m4_dose_response", f"""
-SELECT region, count(CASE WHEN gap IS NOT NULL AND decline IS NOT NULL THEN 1 END) AS n, round(corr(gap, decline), 6) AS r,
-  round(regr_slope(decline, gap), 6) AS slope, round(regr_intercept(decline, gap), 6) AS intercept,
-  round(regr_r2(decline, gap), 6) AS r2, corr(gap, decline) >= 0.3 AS passed
+SELECT region, count(CASE WHEN gap IS NOT NULL AND decline IS NOT NULL THEN 1 END) AS n, round(nullif(corr(gap, decline), 'NaN'::DOUBLE), 6) AS r,
+  round(nullif(regr_slope(decline, gap), 'NaN'::DOUBLE), 6) AS slope,
+  round(nullif(regr_intercept(decline, gap), 'NaN'::DOUBLE), 6) AS intercept,
+  round(nullif(regr_r2(decline, gap), 'NaN'::DOUBLE), 6) AS r2, nullif(corr(gap, decline), 'NaN'::DOUBLE) >= 0.3 AS passed
 FROM (SELECT region, gap, -100.0 * growth AS decline FROM units_v JOIN {_AVAIL_UNIT_SQL} USING (store_id)) GROUP BY 1
 """)
 def m4(spark, folder):
