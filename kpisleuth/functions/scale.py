@@ -24,16 +24,17 @@ def magnitude_bucket(value: Column) -> Column:
     )
 
 
-def cumulative_counts(df: DataFrame, group: list[str], value: str) -> DataFrame:
+def cumulative_counts(df: DataFrame, group: list[str], value: str, weight: str | None = None) -> DataFrame:
     """One row per distinct value with ``n`` and the rows strictly below it.
 
-    Output: group columns, ``value``, ``n``, ``n_below``, ``n_total``.
-    Null values are left out.
+    Rows count once, or ``weight`` times when already counted.  Output: group
+    columns, ``value``, ``n``, ``n_below``, ``n_total``; nulls are left out.
     """
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*group, F.col(value))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(size.alias("n"))
         .withColumn("_bucket", magnitude_bucket(F.col(value)))
     )
     by_bucket = counts.groupBy(*group, "_bucket").agg(F.sum("n").alias("_bn"))
@@ -53,10 +54,10 @@ def cumulative_counts(df: DataFrame, group: list[str], value: str) -> DataFrame:
 
 
 def exact_percentiles(
-    df: DataFrame, group: list[str], value: str, quantiles: dict[str, float]
+    df: DataFrame, group: list[str], value: str, quantiles: dict[str, float], weight: str | None = None
 ) -> DataFrame:
     """Linear-interpolated percentiles per group, one column per quantile."""
-    ranked = cumulative_counts(df, group, value)
+    ranked = cumulative_counts(df, group, value, weight)
     upto = F.col("n_below") + F.col("n")
     parts = []
     for name, q in quantiles.items():

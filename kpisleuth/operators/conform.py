@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpisleuth import config
-from kpisleuth.functions.columns import crore, period_of, ratio, rounded
+from kpisleuth.functions.columns import crore, period_of, ratio, rounded, steady
 
 
 def in_scope(sales: DataFrame, kpi: str = "net_revenue") -> DataFrame:
@@ -103,7 +103,7 @@ def reweight(df: DataFrame, keys: list[str], amount: Column) -> DataFrame:
     """Estimate totals from a sampled table by weighting with 1/sample_rate."""
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("sampled_lines"),
-        crore(F.sum(amount / F.col("sample_rate"))).alias("estimate_cr"),
+        steady(F.sum(amount / F.col("sample_rate")) / config.CRORE).alias("estimate_cr"),
     )
 
 

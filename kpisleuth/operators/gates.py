@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpisleuth import config
-from kpisleuth.functions.columns import ratio, rounded
+from kpisleuth.functions.columns import ratio, rounded, steady
 
 
 def completeness_gate(feeds: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def freshness(sources: DataFrame, keys: list[str], ts: str, as_of: DataFrame, kp
     return (
         last.join(F.broadcast(as_of))
         .withColumn("age_hours", rounded(age))
-        .withColumn("credit", rounded(credit))
+        .withColumn("credit", steady(credit))
         .withColumn("stale", F.col("age_hours") > config.TRIGGERS["max_staleness_hours"])
     )
 

@@ -88,27 +88,21 @@ def misses(requests: DataFrame, cache: DataFrame, key: str = "fingerprint") -> D
 def telemetry(events: DataFrame, dims: list[str]) -> DataFrame:
     """Events, total cost and exact P95 duration rolled up over the dimensions.
 
-    Each rollup level is an explicit grouping set, so a level's percentile goes
-    through the distributed order statistics instead of one task per group.
+    Events are first counted per (dimensions, duration), map-side; the rollup
+    levels expand those counts, and the percentile of a level goes through the
+    distributed order statistics instead of one task per group.
     """
-    levels = [dims[:n] for n in range(len(dims), -1, -1)]
-    sets = F.array(*[
-        F.struct(
-            F.lit(len(level)).alias("level"),
-            *[(F.col(d).cast("string") if d in level else F.lit(None).cast("string")).alias(d) for d in dims],
-        )
-        for level in levels
+    solid = [F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d) for d in dims]
+    counted = events.groupBy(*solid, "duration_ms").agg(F.count(F.lit(1)).alias("events"), F.sum("cost").alias("cost"))
+    levels = F.array(*[
+        F.struct(F.lit(n).alias("level"), *[(F.col(d) if d in dims[:n] else F.lit("")).alias(f"_{d}") for d in dims])
+        for n in range(len(dims), -1, -1)
     ])
-    spread = events.select(F.inline(sets), "duration_ms", "cost")
-    keys = ["level", *dims]
-    totals = spread.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("events"), F.round(F.sum("cost"), 4).alias("cost"),
-    )
-    solid = [F.coalesce(F.col(d), F.lit("")).alias(d) for d in dims]
-    p95 = exact_percentiles(spread.select("level", *solid, "duration_ms"), keys, "duration_ms", {"p95_ms": 0.95})
-    return (
-        totals.select("level", *solid, "events", "cost")
-        .join(p95, keys)
-        .select("level", *[F.nullif(F.col(d), F.lit("")).alias(d) for d in dims], "events", "cost",
-                F.round("p95_ms", 6).alias("p95_ms"))
+    spread = counted.select("duration_ms", "events", "cost", F.inline(levels))
+    keys = ["level", *[f"_{d}" for d in dims]]
+    totals = spread.groupBy(*keys).agg(F.sum("events").alias("events"), F.round(F.sum("cost"), 4).alias("cost"))
+    p95 = exact_percentiles(spread, keys, "duration_ms", {"p95_ms": 0.95}, "events")
+    return totals.join(p95, keys, "left").select(
+        "level", *[F.nullif(F.col(f"_{d}"), F.lit("")).alias(d) for d in dims], "events", "cost",
+        F.round("p95_ms", 6).alias("p95_ms"),
     )

@@ -14,6 +14,7 @@ from kpisleuth.plans.facts import (
     region_cells, sales_days,
 )
 from kpisleuth.plans.registry import query
+from kpisleuth.session import written
 from kpisleuth.sources import standins, tables
 
 REGION = ["region"]
@@ -275,13 +276,22 @@ _KPI_CELLS_SQL = """
 """
 
 
-def kpi_cells(spark, folder) -> DataFrame:
-    """Four KPIs by region and month in long form."""
-    stores = standins.stores(spark, folder).select("store_id", "region")
-    month = lambda d: F.date_trunc("month", d).cast("date").alias("period")
-    per_store = conformed(spark, folder).groupBy("store_id", month("txn_date")).agg(
+def month(day: str):
+    return F.date_trunc("month", day).cast("date").alias("period")
+
+
+def store_months(spark, folder) -> DataFrame:
+    """Additive parts per store and month."""
+    return conformed(spark, folder).groupBy("store_id", month("txn_date")).agg(
         F.sum("net_amount").alias("net"), F.sum("units").alias("units"), F.countDistinct("txn_id").alias("bills"),
     )
+
+
+def kpi_cells(spark, folder, per_store: DataFrame | None = None) -> DataFrame:
+    """Four KPIs by region and month in long form."""
+    stores = standins.stores(spark, folder).select("store_id", "region")
+    if per_store is None:
+        per_store = store_months(spark, folder)
     sums = per_store.join(stores, "store_id").groupBy("region", "period").agg(
         F.sum("net").alias("net"), F.sum("units").alias("units"), F.sum("bills").alias("bills")
     )
@@ -315,8 +325,8 @@ _MATERIAL_SQL = f"""
 """
 
 
-def material_cells(spark, folder) -> DataFrame:
-    moved = movement.movement(kpi_cells(spark, folder), ["kpi", "region"])
+def material_cells(spark, folder, per_store: DataFrame | None = None) -> DataFrame:
+    moved = movement.movement(kpi_cells(spark, folder, per_store), ["kpi", "region"])
     return gates.materiality_gate(moved, config.kpi_table(spark))
 
 
@@ -384,8 +394,8 @@ _RUN_SQL = f"""
 """
 
 
-def persistent_cells(spark, folder) -> DataFrame:
-    cells = material_cells(spark, folder).withColumn("breach", F.coalesce("material", F.lit(False))).drop("outcome")
+def persistent_cells(spark, folder, per_store: DataFrame | None = None) -> DataFrame:
+    cells = material_cells(spark, folder, per_store).withColumn("breach", F.coalesce("material", F.lit(False))).drop("outcome")
     number = F.year("period") * 12 + F.month("period")
     return gates.persistence_gate(cells, ["kpi", "region"], F.col("persistence_periods"), number)
 
@@ -411,7 +421,7 @@ def g7(spark, folder):
 
 
 @query("g8_freshness", """
-SELECT feed, store_id, round(age, 6) AS age_hours, round(greatest(0.0, least(1.0, (96.0 - round(age, 6)) / 72.0)), 6) AS credit,
+SELECT feed, store_id, round(age, 6) AS age_hours, round(greatest(0.0, least(1.0, (96.0 - round(age, 6)) / 72.0)) + 1e-9, 6) AS credit,
   round(age, 6) > 48 AS stale
 FROM (
   SELECT feed, store_id, (epoch_us((SELECT max(ts) FROM feeds_v)) - epoch_us(max(ts))) / 3.6e9 AS age FROM feeds_v GROUP BY 1, 2
@@ -444,20 +454,20 @@ FROM (
 """)
 def g9(spark, folder):
     """All gates over every (KPI, region, month) cell: a feed is missing when a
-    store of the region sold nothing that month."""
+    store of the region sold nothing that month.  Store-months are written once
+    and serve both the KPIs and the feed check."""
+    per_store = written(store_months(spark, folder), "store-months")
     stores = standins.stores(spark, folder).select("store_id", "region")
     estate = stores.groupBy("region").agg(F.count(F.lit(1)).alias("total"))
     active = (
-        conformed(spark, folder)
-        .select("store_id", F.date_trunc("month", "txn_date").cast("date").alias("period")).distinct()
-        .join(stores, "store_id").groupBy("region", "period").agg(F.count(F.lit(1)).alias("active"))
+        per_store.join(stores, "store_id").groupBy("region", "period").agg(F.count(F.lit(1)).alias("active"))
     )
     share = active.join(estate, "region").select(
         "region", "period", (1.0 - F.col("active") / F.col("total")).alias("missing_share")
     )
     held = history(spark, folder).where(F.col("kpi") == "net_revenue").select("region", "weeks_held")
     cells = (
-        persistent_cells(spark, folder).join(share, ["region", "period"]).join(held, "region")
+        persistent_cells(spark, folder, per_store).join(share, ["region", "period"]).join(held, "region")
         .withColumn("authorised", F.col("region").isin("ASIA", "EUROPE", "AMERICA"))
     )
     return gates.gate_outcome(cells).select("kpi", "region", "period", "gate_id", "outcome")

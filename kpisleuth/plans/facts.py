@@ -185,7 +185,7 @@ def c5(spark, folder):
 
 
 @query("c6_reweight_sample", """
-SELECT store_id, count(*) AS sampled_lines, round(sum(gross_amount / 0.02) / 1e7, 6) AS estimate_cr
+SELECT store_id, count(*) AS sampled_lines, round(sum(gross_amount / 0.02) / 1e7 + 1e-9, 6) AS estimate_cr
 FROM sales_v WHERE CAST('0x' || substr(md5(CAST(txn_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < 0.02
 GROUP BY 1
 """)

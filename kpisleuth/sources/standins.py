@@ -109,10 +109,17 @@ def assortment(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def qcomm_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Quick-commerce orders built from their lines; all parts combine map-side."""
+    """Quick-commerce orders built from their lines; all parts combine map-side.
+
+    The first line's store is found by the least (line, SKU, store) packed into
+    one decimal: unlike a struct it aggregates by hashing, without sorting lines.
+    """
     lines = read_table(spark, folder, "lineitem")
     orders = read_table(spark, folder, "orders")
-    first = F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey"))["l_suppkey"]
+    exact = lambda c: F.col(c).cast("decimal(12,0)")
+    unit = F.lit(10**12).cast("decimal(13,0)")
+    packed = ((exact("l_linenumber") * unit + exact("l_partkey")) * unit + exact("l_suppkey")).cast("decimal(38,0)")
+    first = (F.min(packed) % unit).cast("long")
     per_order = lines.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("lines_ordered"),
         F.count_if(F.col("l_linestatus") == "F").alias("lines_shipped"),
