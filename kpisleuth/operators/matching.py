@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kpisleuth.functions.scale import competition_rank
 from kpisleuth.session import written
 
 LEAF_MEMBERS = 32
@@ -158,33 +159,45 @@ def match_without_reuse(
 ) -> DataFrame:
     """Each control serves one treated unit; lower treated ids choose first.
 
-    Rounds of proposals: every unmatched unit proposes to its nearest candidate
-    not held by a lower id, and a candidate keeps its lowest proposer.  The
+    Controls with identical covariates form one place with that many seats.
+    In every round each unseated unit proposes to its nearest place that still
+    has a seat or seats a higher id, and a place keeps its lowest ids.  The
     outcome equals serving the units one by one in id order, but each round is
-    one distributed job.  A round ends the loop when nobody can propose.
+    one distributed job; a round without proposals ends the loop.  Seats are
+    handed out in id order on both sides.
     """
     dims = [f"z_{c}" for c in covariates]
     cases, pool = _split(standardise(units, block, covariates, treated), block, dims, unit_id, treated)
     cases, pool = written(cases, "match-cases"), written(pool, "match-pool")
-    depths = hierarchy(pool, block, dims)
-    held = None
+    places = written(
+        pool.groupBy(*block, *dims).agg(F.min("candidate_id").alias("candidate_id"), F.count(F.lit(1)).alias("seats")),
+        "match-places",
+    )
+    depths = hierarchy(places, block, dims)
+    place = [*block, "candidate_id"]
+    seated, asking, offered = None, cases, places.withColumn("holder", F.lit(_FREE))
     while True:
-        if held is None:
-            open_cases, open_pool = cases, pool.withColumn("holder", F.lit(_FREE))
-        else:
-            open_cases = cases.join(held.select(*block, "treated_id"), [*block, "treated_id"], "left_anti")
-            holder = held.select(*block, "candidate_id", F.col("treated_id").alias("_h"))
-            open_pool = pool.join(holder, [*block, "candidate_id"], "left").withColumn(
-                "holder", F.coalesce("_h", F.lit(_FREE))
-            ).drop("_h")
-        proposals = written(nearest(open_cases, open_pool, block, dims, depths), "match-proposals")
+        proposals = written(nearest(asking, offered, block, dims, depths), "match-proposals")
         if proposals.isEmpty():
             break
-        every = proposals if held is None else proposals.unionByName(held)
-        held = written(
-            every.groupBy(*block, "candidate_id")
-            .agg(F.min(F.struct("treated_id", "distance")).alias("kept"))
-            .select(*block, "kept.treated_id", "candidate_id", "kept.distance"),
-            "match-held",
+        every = proposals if seated is None else proposals.unionByName(seated.select(proposals.columns))
+        ranked = competition_rank(every, place, "treated_id", "seat", descending=False)
+        seated = written(
+            ranked.join(places.select(*place, "seats"), place).where(F.col("seat") <= F.col("seats")).drop("seats"),
+            "match-seated",
         )
-    return held if held is not None else proposals
+        taken = seated.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"), F.max("treated_id").alias("_last"))
+        full = F.coalesce(F.col("_n") >= F.col("seats"), F.lit(False))
+        offered = places.join(taken, place, "left").withColumn(
+            "holder", F.when(full, F.col("_last")).otherwise(F.lit(_FREE))
+        ).drop("_n", "_last")
+        asking = cases.join(seated.select(*block, "treated_id"), [*block, "treated_id"], "left_anti")
+    if seated is None:
+        return proposals
+    numbered = competition_rank(pool, [*block, *dims], "candidate_id", "seat", descending=False).withColumnRenamed(
+        "candidate_id", "control_id"
+    )
+    of_place = places.select(*block, *dims, "candidate_id").join(numbered, [*block, *dims])
+    return seated.join(of_place.select(*place, "seat", "control_id"), [*place, "seat"]).select(
+        *block, "treated_id", F.col("control_id").alias("candidate_id"), "distance"
+    )

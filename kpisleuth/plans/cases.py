@@ -261,7 +261,7 @@ def g2(spark, folder):
     return gates.incident_impact(standins.feed_events(spark, folder))
 
 
-_KPI_CELLS_SQL = """
+KPI_CELLS_SQL = """
 (SELECT 'net_revenue' AS kpi, region, period, value FROM cells_v
  UNION ALL
  SELECT 'transactions', region, CAST(date_trunc('month', txn_date) AS DATE), CAST(count(DISTINCT (txn_id, store_id)) AS DOUBLE)
@@ -319,7 +319,7 @@ _MATERIAL_SQL = f"""
     AND abs(delta_pct) >= min_relative_movement_pct END AS material
  FROM (
   SELECT c.*, p.value AS previous, c.value - p.value AS delta, 100.0 * (c.value - p.value) / nullif(p.value, 0) AS delta_pct
-  FROM {_KPI_CELLS_SQL} c LEFT JOIN {_KPI_CELLS_SQL} p ON p.kpi = c.kpi AND p.region = c.region
+  FROM {KPI_CELLS_SQL} c LEFT JOIN {KPI_CELLS_SQL} p ON p.kpi = c.kpi AND p.region = c.region
     AND p.period = CAST(c.period - INTERVAL 1 MONTH AS DATE)
  ) m JOIN kpi_v k ON k.kpi = m.kpi)
 """

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kpisleuth import config
 from kpisleuth.functions.columns import crore, rounded, steady
-from kpisleuth.operators import conform, kpis
+from kpisleuth.operators import conform, gates, kpis
 from kpisleuth.plans.registry import query
 from kpisleuth.session import scratch_path
 from kpisleuth.sources import standins, tables
@@ -107,10 +107,8 @@ SELECT region, period, value, c.kpi, materiality, materiality_unit, persistence_
 FROM (SELECT 'net_revenue' AS kpi, * FROM cells_v) c LEFT JOIN kpi_v k ON c.kpi = k.kpi
 """)
 def s4(spark, folder):
-    from kpisleuth.operators.gates import with_thresholds
-
     cells = region_cells(spark, folder).withColumn("kpi", F.lit("net_revenue"))
-    return with_thresholds(cells, config.kpi_table(spark)).select(
+    return gates.with_thresholds(cells, config.kpi_table(spark)).select(
         "region", "period", "value", "kpi", "materiality", "materiality_unit", "persistence_periods", "min_history_weeks"
     )
 
@@ -235,6 +233,21 @@ def c8(spark, folder):
     return conform.densify(daily, members, conform.day_bounds(facts, "txn_date"), ["store_id"], "date")
 
 
+@query("c8_densify_feeds", """
+SELECT s.store_id, s.feed, s.feed_date, f.items FROM (
+  SELECT store_id, feed, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS feed_date
+  FROM (SELECT DISTINCT store_id, feed FROM feeds_v), (SELECT min(feed_date) AS lo, max(feed_date) AS hi FROM feeds_v)
+) s LEFT JOIN (SELECT store_id, feed, feed_date, count(*) AS items FROM feeds_v GROUP BY 1, 2, 3) f
+  ON f.store_id = s.store_id AND f.feed = s.feed AND f.feed_date = s.feed_date
+""")
+def c8_feeds(spark, folder):
+    """Every (store, feed) on every day; silent days stay visible as nulls."""
+    feed = standins.feed_events(spark, folder)
+    daily = feed.groupBy("store_id", "feed", "feed_date").agg(F.count(F.lit(1)).alias("items"))
+    members = feed.select("store_id", "feed").distinct()
+    return conform.densify(daily, members, conform.day_bounds(feed, "feed_date"), ["store_id", "feed"], "feed_date")
+
+
 @query("c9_reconcile", """
 SELECT coalesce(d.txn_id, t.txn_id) AS txn_id, round(detail_amount, 2) AS detail_amount,
   total_amount, round(coalesce(detail_amount, 0.0) - coalesce(total_amount, 0.0), 2) AS gap
@@ -508,32 +521,36 @@ def k11(spark, folder):
     return kpis.contribution(cells, ["region", "city", "category", "sub_category"])
 
 
-_WEEK_RATE_SQL = """
-(SELECT region, period, 100.0 * bills / nullif(visits, 0) AS rate, amount FROM (
-  SELECT 'R' || (store_id % 5) AS region, CAST(date_trunc('week', feed_date) AS DATE) AS period,
-    count(*) FILTER (WHERE feed = 'purchase') AS bills, count(*) FILTER (WHERE feed = 'view') AS visits,
-    sum(amount) FILTER (WHERE feed = 'purchase') AS amount
-  FROM feeds_v WHERE store_id % 4 = 0 GROUP BY 1, 2))
+_WEEK_RATE_SQL = f"""
+(SELECT region, period, 100.0 * bills / nullif(visits, 0) AS rate, revenue FROM (
+  SELECT region, CAST(date_trunc('week', footfall_date) AS DATE) AS period, sum(coalesce(bills, 0)) AS bills,
+    sum(visits) AS visits, sum(coalesce(amount, 0.0)) AS revenue
+  FROM (SELECT store_id, footfall_date, sum(footfall) AS visits FROM visits_v WHERE counter_installed GROUP BY 1, 2)
+  LEFT JOIN (SELECT store_id, feed_date AS footfall_date, count(*) AS bills, sum(amount) AS amount FROM feeds_v
+    WHERE feed = 'purchase' GROUP BY 1, 2) USING (store_id, footfall_date)
+  JOIN {_EVENT_STORES} USING (store_id) GROUP BY 1, 2))
 """
 
 
 @query("k12_revenue_equivalent", f"""
 SELECT c.region, c.period, round(c.rate - p.rate, 6) AS residual_pt, round(p.rate, 6) AS conversion_before_pt,
-  round(c.amount, 2) AS revenue, round(abs(c.rate - p.rate) / nullif(p.rate, 0) * c.amount, 4) AS revenue_equivalent
+  round(c.revenue, 2) AS revenue, round(abs(c.rate - p.rate) / nullif(p.rate, 0) * c.revenue + 1e-9, 4) AS revenue_equivalent
 FROM {_WEEK_RATE_SQL} c JOIN {_WEEK_RATE_SQL} p ON p.region = c.region AND p.period = c.period - 7
 WHERE p.rate IS NOT NULL
 """)
 def k12(spark, folder):
-    from pyspark.sql import Window
-
-    feed = standins.feed_events(spark, folder).where(F.col("store_id") % 4 == 0)
-    is_sale = F.col("feed") == "purchase"
-    weekly = feed.groupBy(
-        F.concat(F.lit("R"), (F.col("store_id") % 5).cast("string")).alias("region"),
-        F.date_trunc("week", "feed_date").cast("date").alias("period"),
-    ).agg(
-        (100.0 * F.count_if(is_sale) / F.nullif(F.count_if(F.col("feed") == "view"), F.lit(0))).alias("rate"),
-        F.sum(F.when(is_sale, F.col("amount"))).alias("revenue"),
+    """Week-on-week conversion change of each region, priced in revenue."""
+    stores = event_stores(spark, folder)
+    rates = kpis.conversion_rate(
+        standins.till_events(spark, folder), standins.visits(spark, folder), stores, "weekly"
+    )
+    seen = standins.visits(spark, folder).where("counter_installed").select("store_id", F.col("footfall_date").alias("feed_date"))
+    sold = standins.feed_events(spark, folder).where(F.col("feed") == "purchase").join(
+        seen, ["store_id", "feed_date"], "left_semi"
+    ).groupBy("store_id", F.date_trunc("week", "feed_date").cast("date").alias("period")).agg(F.sum("amount").alias("revenue"))
+    weekly = rates.join(sold, ["store_id", "period"], "left").groupBy("region", "period").agg(
+        (100.0 * F.sum("bills") / F.nullif(F.sum("visits"), F.lit(0))).alias("rate"),
+        F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue"),
     )
     order = Window.partitionBy("region").orderBy("period")
     before = F.when(F.lag("period").over(order) == F.date_sub("period", 7), F.lag("rate").over(order))
@@ -543,7 +560,7 @@ def k12(spark, folder):
     return kpis.revenue_equivalent(cells).select(
         "region", "period", rounded(F.col("residual_pt")).alias("residual_pt"),
         rounded(F.col("conversion_before_pt")).alias("conversion_before_pt"),
-        F.round("revenue", 2).alias("revenue"), F.round("revenue_equivalent", 4).alias("revenue_equivalent"),
+        F.round("revenue", 2).alias("revenue"), steady(F.col("revenue_equivalent"), 4).alias("revenue_equivalent"),
     )
 
 

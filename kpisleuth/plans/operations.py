@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kpisleuth import config
 from kpisleuth.functions.columns import crore, rounded
 from kpisleuth.operators import quality, requests, whatif
-from kpisleuth.plans.cases import kpi_cells, r
+from kpisleuth.plans.cases import KPI_CELLS_SQL, kpi_cells, r
 from kpisleuth.plans.facts import conformed, region_cells
 from kpisleuth.plans.registry import VIEWS, query
 from kpisleuth.plans.verdicts import HYP, availability_days, hypothesis_board, located
@@ -171,7 +171,8 @@ def w2(spark, folder):
 
 
 @query("w3_neutrality", f"""
-SELECT region, 0.0::DOUBLE AS max_neutral_change, 0.0::DOUBLE AS max_exempt_change,
+SELECT region, round(max(abs(revenue * ({_BASE!r} / {_BASE!r}) - revenue)), 8) AS max_neutral_change,
+  round(max(CASE WHEN NOT (is_treated AND after_onset) THEN abs(revenue * ({_BASE!r} / {_BASE!r}) - revenue) END), 8) AS max_exempt_change,
   round(max(CASE WHEN is_treated AND after_onset THEN abs(revenue * {_KEPT} - revenue) END), 8) AS max_treated_change
 FROM panel_v GROUP BY 1
 """)
@@ -256,10 +257,8 @@ def q5(spark, folder):
     return quality.duplicates(tables.read_table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("q5_duplicate_cells", """
-SELECT region, period, kpi, count(*) AS copies FROM (
-  SELECT region, CAST(date_trunc('month', txn_date) AS DATE) AS period, 'net_revenue' AS kpi, store_id FROM scope_v JOIN stores_v USING (store_id)
-) GROUP BY 1, 2, 3 HAVING count(*) > 1 AND count(*) < 0
+@query("q5_duplicate_cells", f"""
+SELECT region, period, kpi, count(*) AS copies FROM {KPI_CELLS_SQL} GROUP BY 1, 2, 3 HAVING count(*) > 1
 """)
 def q5_cells(spark, folder):
     """Every (scope, period, KPI) cell is unique: no rows come back."""

@@ -17,8 +17,8 @@ def units():
     n = 240
     points = rng.normal(size=(n, 3)) * [1.0, 50.0, 5.0]
     points[:80] = points[0] + rng.normal(size=(80, 3)) * 1e-4      # a third of all units in one clump
-    points[80:100] = points[80]                                     # exact copies
-    points[100] = [40.0, 2000.0, 100.0]                             # far outlier
+    points[80:160] = points[80]                                     # a third are exact copies
+    points[160] = [40.0, 2000.0, 100.0]                             # far outlier
     frame = pd.DataFrame(points, columns=COVARIATES)
     frame["unit"] = rng.permutation(n)
     frame["block"] = np.where(np.arange(n) % 2, "x", "y")
@@ -59,5 +59,6 @@ def test_against_brute_force(spark, units, reuse):
     assert {r["treated_id"] for r in got} == set(want)
     for r in got:
         assert r["distance"] == pytest.approx(want[r["treated_id"]][1], abs=1e-9)
+        assert r["candidate_id"] == want[r["treated_id"]][0]
     if not reuse:
         assert len({(r["block"], r["candidate_id"]) for r in got}) == len(got)
