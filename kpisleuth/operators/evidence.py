@@ -165,6 +165,20 @@ def contradictions(evidence: DataFrame, keys: list[str] = HYPOTHESIS) -> DataFra
     )
 
 
+def case_signals(evidence: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    """Low-reliability share and contradiction of each case in one pass: the
+    same figures as :func:`evidence_weight` and :func:`contradictions`."""
+    low = F.col("reliability") < config.RELIABILITY_FLOOR
+    per_source = evidence.join(F.broadcast(weights), "kind").groupBy(*keys, "source_ref").agg(
+        F.sum("sign").alias("net"), F.count(F.lit(1)).alias("n"), count_true(low).alias("low")
+    )
+    pro, con = count_true(F.col("net") > 0), count_true(F.col("net") < 0)
+    return per_source.groupBy(*keys).agg(
+        (F.sum("low") / F.sum("n")).alias("low_share"),
+        ((pro > 0) & (con > 0) & (pro + con >= config.TRIGGERS["min_independent_sources"])).alias("contradictory"),
+    )
+
+
 def concordance(evidence: DataFrame, keys: list[str] = HYPOTHESIS) -> DataFrame:
     """Share of (structured, unstructured) pairs that agree in sign.
 

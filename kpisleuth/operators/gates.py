@@ -87,6 +87,25 @@ def history_gate(series: DataFrame, keys: list[str], day: str, kpis: DataFrame)
     )
 
 
+def week_mask(day: str) -> Column:
+    """One bit per week of the day's month; ``bit_or`` of it collects weeks."""
+    first = F.date_trunc("week", F.date_trunc("month", day))
+    offset = (F.datediff(F.date_trunc("week", day), first) / 7).cast("int")
+    return F.call_function("shiftleft", F.lit(1), offset)
+
+
+def weeks_held(months: DataFrame, keys: list[str], period: str, mask: str) -> DataFrame:
+    """Distinct weeks per key from monthly week masks, without the facts."""
+    bits = months.groupBy(*keys, period).agg(F.bit_or(mask).alias("_bits"))
+    week = F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit(5)), lambda i: F.call_function("shiftright", F.col("_bits"), i) % 2 == 1),
+        lambda i: F.date_add(F.date_trunc("week", period).cast("date"), i * 7),
+    )
+    return bits.select(*keys, F.explode(week).alias("_week")).groupBy(*keys).agg(
+        F.countDistinct("_week").alias("weeks_held")
+    )
+
+
 def authorisation_gate(cells: DataFrame, kpi: str, user_region: str) -> DataFrame:
     """Whether each persona of the KPI's policy may see each cell's scope.
 

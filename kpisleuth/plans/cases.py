@@ -284,6 +284,7 @@ def store_months(spark, folder) -> DataFrame:
     """Additive parts per store and month."""
     return conformed(spark, folder).groupBy("store_id", month("txn_date")).agg(
         F.sum("net_amount").alias("net"), F.sum("units").alias("units"), F.countDistinct("txn_id").alias("bills"),
+        F.bit_or(gates.week_mask("txn_date")).alias("weeks"),
     )
 
 
@@ -455,7 +456,7 @@ FROM (
 def g9(spark, folder):
     """All gates over every (KPI, region, month) cell: a feed is missing when a
     store of the region sold nothing that month.  Store-months are written once
-    and serve both the KPIs and the feed check."""
+    and serve the KPIs, the feed check and the history check."""
     per_store = written(store_months(spark, folder), "store-months")
     stores = standins.stores(spark, folder).select("store_id", "region")
     estate = stores.groupBy("region").agg(F.count(F.lit(1)).alias("total"))
@@ -465,7 +466,7 @@ def g9(spark, folder):
     share = active.join(estate, "region").select(
         "region", "period", (1.0 - F.col("active") / F.col("total")).alias("missing_share")
     )
-    held = history(spark, folder).where(F.col("kpi") == "net_revenue").select("region", "weeks_held")
+    held = gates.weeks_held(per_store.join(stores, "store_id"), REGION, "period", "weeks")
     cells = (
         persistent_cells(spark, folder, per_store).join(share, ["region", "period"]).join(held, "region")
         .withColumn("authorised", F.col("region").isin("ASIA", "EUROPE", "AMERICA"))

@@ -305,7 +305,7 @@ def x1(spark, folder):
 
 
 @query("x2_stream_freshness", """
-SELECT user_id, count(*) AS sessions, CAST(sum(items) AS BIGINT) AS items, max(silent_since) AS last_silence FROM (
+SELECT user_id, count(*) AS sessions, CAST(sum(items) AS BIGINT) AS items, max(epoch_us(silent_since)) AS last_silence_us FROM (
   SELECT user_id, session, count(*) AS items, max(ts) AS silent_since FROM (
     SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (
       SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS brk
@@ -318,6 +318,6 @@ def x2(spark, folder):
         event_stream(spark, folder), "user_id", "ts", config.KPIS["net_revenue"]["sla_hours"]
     )
     return streams.run_available(spark, alerts, "stream-silence").groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("sessions"), F.sum("items").alias("items"), F.max("silent_since").alias("last_silence")
+        F.count(F.lit(1)).alias("sessions"), F.sum("items").alias("items"), F.max(F.unix_micros("silent_since")).alias("last_silence_us")
     )
 

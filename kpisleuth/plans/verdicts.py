@@ -156,15 +156,18 @@ def month_moments(spark, folder) -> DataFrame:
     per_store = conformed(spark, folder).groupBy(
         "store_id", F.date_trunc("month", "txn_date").cast("date").alias("period"),
         (F.col("sku_id") % len(config.HYPOTHESES)).cast("int").alias("hypothesis_no"),
-    ).agg(F.sum("net_amount").alias("net"), F.count(F.lit(1)).alias("n"), F.sum(lakh).alias("s"), F.sum(lakh * lakh).alias("ss"))
+    ).agg(F.sum("net_amount").alias("net"), F.count(F.lit(1)).alias("n"), F.sum(lakh).alias("s"), F.sum(lakh * lakh).alias("ss"),
+        F.bit_or(gates.week_mask("txn_date")).alias("weeks"))
     return written(located(per_store, spark, folder).groupBy(*CASE, "hypothesis_no").agg(
         F.sum("net").alias("net"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
+        F.bit_or("weeks").alias("weeks"),
     ), "month-moments")
 
 
-def hypothesis_board(spark, folder) -> DataFrame:
+def hypothesis_board(spark, folder, parts: DataFrame | None = None) -> DataFrame:
     """One row per (region, month, hypothesis): share, driver change, t, flags."""
-    parts = month_moments(spark, folder)
+    if parts is None:
+        parts = month_moments(spark, folder)
     keys = ["region", "hypothesis_no"]
     moments = (
         parts.withColumn("net", crore(F.col("net")))
@@ -541,20 +544,18 @@ def scored_hypotheses(spark, folder) -> DataFrame:
     """Live hypotheses of every cell with their components and raw confidence."""
     items = standins.evidence(spark, folder)
     case_keys = ["hypothesis", "period"]
-    board = judged_board(hypothesis_board(spark, folder)).where("live")
-    low = evidence.evidence_weight(items, config.reliability_table(spark), keys=case_keys).select(*case_keys, "low_share")
-    contra = evidence.contradictions(items, case_keys).select(*case_keys, "contradictory")
+    parts = month_moments(spark, folder)
+    board = judged_board(hypothesis_board(spark, folder, parts)).where("live")
+    signals = evidence.case_signals(items, config.reliability_table(spark), case_keys)
     agree = evidence.concordance(items).select("hypothesis", "concordance")
     closed = ledger(spark, folder).groupBy("hypothesis").agg(
         F.count(F.lit(1)).alias("closed_cases"), F.avg(F.col("outcome").cast("double")).alias("case_type_accuracy")
     )
-    weeks = located(conformed(spark, folder).select("store_id", "txn_date").distinct(), spark, folder).groupBy("region").agg(
-        F.countDistinct(F.date_trunc("week", "txn_date")).alias("weeks_held")
-    )
+    weeks = gates.weeks_held(parts, REGION, "period", "weeks")
     case = (
         board.join(weeks, "region")
         .join(agree, "hypothesis", "left").join(evidence_quality(spark, folder), "hypothesis", "left")
-        .join(low, case_keys, "left").join(contra, case_keys, "left").join(closed, "hypothesis", "left")
+        .join(signals, case_keys, "left").join(closed, "hypothesis", "left")
         .withColumn("regime_change", F.abs("headline_pt") >= 50.0)
         .withColumn("attributed_share", F.least(F.lit(1.0), F.coalesce("impact_share", F.lit(0.0))))
         .withColumn("low_share", F.coalesce("low_share", F.lit(0.0)))

@@ -195,6 +195,23 @@ def test_persistence_counts_consecutive(spark):
         (1, 1, "NOT_PERSISTENT"), (2, 2, None), (3, 0, None), (4, 1, "NOT_PERSISTENT"), (6, 1, "NOT_PERSISTENT")]
 
 
+def test_week_masks_count_distinct_weeks(spark):
+    days = spark.sql("SELECT 'k' AS k, explode(sequence(DATE'2024-12-20', DATE'2025-04-02', INTERVAL 2 DAY)) AS d")
+    months = days.groupBy("k", F.date_trunc("month", "d").cast("date").alias("period")).agg(F.bit_or(gates.week_mask("d")).alias("m"))
+    want = days.agg(F.countDistinct(F.date_trunc("week", "d"))).first()[0]
+    assert gates.weeks_held(months, ["k"], "period", "m").first()["weeks_held"] == want
+
+
+def test_case_signals_equal_the_separate_operators(spark):
+    items = standins.evidence(spark, "/root/testdata/sf0.001")
+    tiers = config.reliability_table(spark)
+    both = {r["hypothesis"]: r for r in evidence.case_signals(items, tiers, ["hypothesis"]).collect()}
+    for r in evidence.evidence_weight(items, tiers).collect():
+        assert both[r["hypothesis"]]["low_share"] == pytest.approx(r["low_share"], abs=1e-6)
+    for r in evidence.contradictions(items).collect():
+        assert both[r["hypothesis"]]["contradictory"] == r["contradictory"]
+
+
 def test_completeness_counts_absent_days(spark):
     feeds = spark.createDataFrame([("pos", D(2025, 1, 1), s) for s in range(4)] + [("pos", D(2025, 1, 3), 0), ("wms", D(2025, 1, 2), 1)],
                                   "feed string, feed_date date, store_id int")
