@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kpisleuth import config
 from kpisleuth.functions.columns import ratio, rounded, steady
+from kpisleuth.session import written
 
 
 def completeness_gate(feeds: DataFrame) -> DataFrame:
@@ -15,13 +16,14 @@ def completeness_gate(feeds: DataFrame) -> DataFrame:
     Counting the stores present gives the share without building the
     store x day spine; feed-days with no rows at all are still listed.
     """
-    day_span = F.sequence(F.min("feed_date"), F.max("feed_date"))
-    present = feeds.groupBy("feed", "feed_date").agg(F.countDistinct("store_id").alias("present"))
-    estate = feeds.agg(
-        F.countDistinct("store_id").alias("stores"), day_span.alias("days")
+    seen = feeds.select("feed", "feed_date", "store_id").distinct()
+    present = seen.groupBy("feed", "feed_date").agg(F.count(F.lit(1)).alias("present"))
+    estate = seen.agg(
+        F.countDistinct("store_id").alias("stores"),
+        F.sequence(F.min("feed_date"), F.max("feed_date")).alias("days"),
     )
     spine = (
-        feeds.select("feed").distinct()
+        present.select("feed").distinct()
         .join(F.broadcast(estate))
         .select("feed", "stores", F.explode("days").alias("feed_date"))
     )
@@ -38,14 +40,15 @@ def incident_impact(feeds: DataFrame) -> DataFrame:
     """Apparent movement if the missing stores of a feed-day are lost: their
     share of usual daily revenue.  Missing revenue is the total less the
     present, so absent pairs are never enumerated."""
-    span = F.datediff(F.max("feed_date"), F.min("feed_date")) + 1
-    days = feeds.agg(span.alias("n_days"))
-    usual = feeds.groupBy("store_id").agg(F.sum("amount").alias("amount")).join(F.broadcast(days)).select(
+    daily = written(
+        feeds.groupBy("feed", "feed_date", "store_id").agg(F.sum("amount").alias("amount")), "feed-days"
+    )
+    days = daily.agg((F.datediff(F.max("feed_date"), F.min("feed_date")) + 1).alias("n_days"))
+    usual = daily.groupBy("store_id").agg(F.sum("amount").alias("amount")).join(F.broadcast(days)).select(
         "store_id", (F.col("amount") / F.col("n_days")).alias("usual")
     )
     total = usual.agg(F.sum("usual").alias("total"))
-    seen = feeds.select("feed", "feed_date", "store_id").distinct()
-    kept = seen.join(usual, "store_id").groupBy("feed", "feed_date").agg(F.sum("usual").alias("kept"))
+    kept = daily.join(usual, "store_id").groupBy("feed", "feed_date").agg(F.sum("usual").alias("kept"))
     return kept.join(F.broadcast(total)).select(
         "feed", "feed_date",
         rounded(-100.0 * (1.0 - ratio(F.col("kept"), F.col("total")))).alias("apparent_movement_pct"),

@@ -178,20 +178,24 @@ def additive_parts(sales: DataFrame, keys: list[str], grain: str) -> DataFrame:
     )
 
 
-def kpi_at_grain(name: str, sales: DataFrame, stores: DataFrame, grain: str) -> DataFrame:
-    """One sales KPI per region and period at any grain its contract allows."""
-    check_grain(name, grain)
-    by_store = additive_parts(sales, ["store_id"], grain)
-    parts = _placed(by_store, stores).groupBy("region", "period").agg(
-        F.sum("net").alias("net"), F.sum("units").alias("units")
-    )
+def kpis_at_grain(names: list[str], sales: DataFrame, stores: DataFrame, grain: str) -> DataFrame:
+    """Sales KPIs per region and period, in long form, from one pass over the
+    lines, at any grain every one of their contracts allows."""
     value = {
         "net_revenue": crore(F.col("net")),
         "avg_selling_price": price(ratio(F.col("net"), F.col("units"))),
     }
-    if name not in value:
-        raise ValueError(f"{name} is not additive over sales lines")
-    return parts.select("region", "period", F.lit(name).alias("kpi"), value[name].alias("value"))
+    for name in names:
+        check_grain(name, grain)
+        if name not in value:
+            raise ValueError(f"{name} is not additive over sales lines")
+    by_store = additive_parts(sales, ["store_id"], grain)
+    parts = _placed(by_store, stores).groupBy("region", "period").agg(
+        F.sum("net").alias("net"), F.sum("units").alias("units")
+    )
+    return parts.select("region", "period", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("kpi"), value[name].alias("value")) for name in names
+    ])))
 
 
 def region_month(panel: DataFrame, amount: str, day: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kpisleuth import config
 from kpisleuth.functions.scale import exact_percentiles
+from kpisleuth.session import written
 
 
 def message_request(df: DataFrame, request_id: str, task: str, content: str,
@@ -93,7 +94,10 @@ def telemetry(events: DataFrame, dims: list[str]) -> DataFrame:
     distributed order statistics instead of one task per group.
     """
     solid = [F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d) for d in dims]
-    counted = events.groupBy(*solid, "duration_ms").agg(F.count(F.lit(1)).alias("events"), F.sum("cost").alias("cost"))
+    counted = written(
+        events.groupBy(*solid, "duration_ms").agg(F.count(F.lit(1)).alias("events"), F.sum("cost").alias("cost")),
+        "telemetry-counts",
+    )
     levels = F.array(*[
         F.struct(F.lit(n).alias("level"), *[(F.col(d) if d in dims[:n] else F.lit("")).alias(f"_{d}") for d in dims])
         for n in range(len(dims), -1, -1)

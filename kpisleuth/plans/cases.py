@@ -87,12 +87,10 @@ def daily_region(spark, folder) -> DataFrame:
     facts = conformed(spark, folder)
     per_store = facts.groupBy("store_id", "txn_date").agg(F.sum("net_amount").alias("net"))
     stores = standins.stores(spark, folder).select("store_id", "region")
-    daily = per_store.join(stores, "store_id").groupBy("region", F.col("txn_date").alias("date")).agg(
+    daily = written(per_store.join(stores, "store_id").groupBy("region", F.col("txn_date").alias("date")).agg(
         crore(F.sum("net")).alias("value")
-    )
-    return conform.densify(
-        daily, stores.select("region").distinct(), conform.day_bounds(facts, "txn_date"), REGION, "date"
-    )
+    ), "region-days")
+    return conform.densify(daily, stores.select("region").distinct(), conform.day_bounds(daily, "date"), REGION, "date")
 
 
 def baseline_days(spark, folder) -> DataFrame:
@@ -228,7 +226,7 @@ FROM (
 )
 """)
 def d10(spark, folder):
-    moved = store_movement(spark, folder).select("store_id", "period", r("delta"))
+    moved = written(store_movement(spark, folder).select("store_id", "period", r("delta")), "store-movement")
     return movement.rank_cells(moved, ["period"], "delta").select("store_id", "period", "delta", "rank")
 
 

@@ -11,7 +11,7 @@ from kpisleuth import config
 from kpisleuth.functions.columns import crore, rounded, steady
 from kpisleuth.operators import conform, gates, kpis
 from kpisleuth.plans.registry import query
-from kpisleuth.session import scratch_path
+from kpisleuth.session import scratch_path, written
 from kpisleuth.sources import standins, tables
 
 # Stand-in festival dates: the configured windows of one year, repeated for the
@@ -226,11 +226,11 @@ SELECT s.store_id, s.date, f.lines, round(f.net / 1e7, 6) AS net_cr FROM (
 """)
 def c8(spark, folder):
     facts = conformed(spark, folder)
-    daily = facts.groupBy("store_id", F.col("txn_date").alias("date")).agg(
+    daily = written(facts.groupBy("store_id", F.col("txn_date").alias("date")).agg(
         F.count(F.lit(1)).alias("lines"), crore(F.sum("net_amount")).alias("net_cr")
-    )
+    ), "store-days")
     members = standins.stores(spark, folder).select("store_id")
-    return conform.densify(daily, members, conform.day_bounds(facts, "txn_date"), ["store_id"], "date")
+    return conform.densify(daily, members, conform.day_bounds(daily, "date"), ["store_id"], "date")
 
 
 @query("c8_densify_feeds", """
@@ -243,9 +243,9 @@ SELECT s.store_id, s.feed, s.feed_date, f.items FROM (
 def c8_feeds(spark, folder):
     """Every (store, feed) on every day; silent days stay visible as nulls."""
     feed = standins.feed_events(spark, folder)
-    daily = feed.groupBy("store_id", "feed", "feed_date").agg(F.count(F.lit(1)).alias("items"))
-    members = feed.select("store_id", "feed").distinct()
-    return conform.densify(daily, members, conform.day_bounds(feed, "feed_date"), ["store_id", "feed"], "feed_date")
+    daily = written(feed.groupBy("store_id", "feed", "feed_date").agg(F.count(F.lit(1)).alias("items")), "feed-days")
+    members = daily.select("store_id", "feed").distinct()
+    return conform.densify(daily, members, conform.day_bounds(daily, "feed_date"), ["store_id", "feed"], "feed_date")
 
 
 @query("c9_reconcile", """
@@ -293,10 +293,10 @@ JOIN (SELECT store_id, CAST(date_trunc('month', txn_date) AS DATE) AS period, ro
 def c10(spark, folder):
     """Store-month revenue (in lakh) split over the SKUs held, by share and availability."""
     month = F.date_trunc("month", "snapshot_date").cast("date").alias("period")
-    held = standins.inventory(spark, folder).groupBy("store_id", month, "sku_id").agg(
+    held = written(standins.inventory(spark, folder).groupBy("store_id", month, "sku_id").agg(
         F.count(F.lit(1)).alias("share"),
         F.avg(F.when(F.col("on_hand_units") > 0, 1.0).otherwise(0.0)).alias("availability"),
-    )
+    ), "shelf-months")
     best = held.groupBy("sku_id").agg(F.max("availability").alias("best"))
     weight = conform.allocation_weight(F.col("share"), F.col("availability"), F.col("best"))
     weights = held.join(best, "sku_id").select("store_id", "period", "sku_id", weight.alias("weight"))
@@ -320,7 +320,7 @@ JOIN (SELECT r_name AS region, round(sum(o_totalprice) / 1e7, 6) AS target FROM
 def c11(spark, folder):
     """Region-month series scaled to the ledger total of the region."""
     return conform.to_control_total(
-        region_cells(spark, folder).withColumnRenamed("value", "amount"), ledger_totals(spark, folder), ["region"]
+        written(region_cells(spark, folder).withColumnRenamed("value", "amount"), "cells"), ledger_totals(spark, folder), ["region"]
     ).select("region", "period", "amount", rounded(F.col("factor")).alias("factor"),
              F.round("benchmarked", 4).alias("benchmarked"))
 
@@ -472,9 +472,7 @@ def _grain_query(grain: str):
     """)
     def k9(spark, folder):
         sales, stores = standins.sales(spark, folder), standins.stores(spark, folder)
-        return kpis.kpi_at_grain("net_revenue", sales, stores, grain).unionByName(
-            kpis.kpi_at_grain("avg_selling_price", sales, stores, grain)
-        )
+        return kpis.kpis_at_grain(["net_revenue", "avg_selling_price"], sales, stores, grain)
 
 
 for _grain in config.GRAIN_UNIT:
@@ -483,8 +481,8 @@ for _grain in config.GRAIN_UNIT:
 
 def region_cells(spark, folder) -> DataFrame:
     """Net revenue in crore by region and month, the base of every movement."""
-    return kpis.kpi_at_grain(
-        "net_revenue", standins.sales(spark, folder), standins.stores(spark, folder), "monthly"
+    return kpis.kpis_at_grain(
+        ["net_revenue"], standins.sales(spark, folder), standins.stores(spark, folder), "monthly"
     ).select("region", "period", "value")
 
 
@@ -515,9 +513,9 @@ def k11(spark, folder):
         F.sum(F.when(~late, F.col("net_amount")).otherwise(0.0)).alias("before"),
         F.sum(F.when(late, F.col("net_amount")).otherwise(0.0)).alias("after"),
     )
-    cells = pairs.join(standins.stores(spark, folder), "store_id").join(standins.skus(spark, folder), "sku_id").groupBy(
+    cells = written(pairs.join(standins.stores(spark, folder), "store_id").join(standins.skus(spark, folder), "sku_id").groupBy(
         "region", "city", "category", "sub_category"
-    ).agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
+    ).agg(F.sum("before").alias("before"), F.sum("after").alias("after")), "contribution-cells")
     return kpis.contribution(cells, ["region", "city", "category", "sub_category"])
 
 
@@ -584,11 +582,16 @@ FROM (
 ) GROUP BY 1, 2, 3
 """)
 def k13(spark, folder):
-    sales, stores = standins.sales(spark, folder), standins.stores(spark, folder)
+    """Revenue and bills share one scan of the sales; the other two have their own facts."""
+    stores = standins.stores(spark, folder)
+    sold = written(conformed(spark, folder).groupBy(
+        "store_id", F.date_trunc("week", "txn_date").cast("date").alias("period")
+    ).agg(crore(F.sum("net_amount")).alias("net_revenue"), F.countDistinct("txn_id").alias("transactions")), "store-weeks")
+    placed = sold.join(stores.select("store_id", "region"), "store_id")
     value = lambda df, column: df.select(*kpis.CELL, F.col(column).cast("double").alias("value"))
     return kpis.kpi_panel({
-        "net_revenue": value(kpis.net_revenue(sales, stores, "weekly"), "net_revenue_inr_cr"),
-        "transactions": value(kpis.transactions(sales, stores, "weekly"), "transactions"),
+        "net_revenue": value(placed, "net_revenue"),
+        "transactions": value(placed, "transactions"),
         "on_shelf_availability": value(k5(spark, folder), "on_shelf_availability_pct"),
         "qcomm_fulfilment_rate": value(k6(spark, folder), "qcomm_fulfilment_rate_pct"),
     }, kpis.CELL)

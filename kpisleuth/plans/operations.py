@@ -12,6 +12,7 @@ from kpisleuth.plans.cases import KPI_CELLS_SQL, kpi_cells, r
 from kpisleuth.plans.facts import conformed, region_cells
 from kpisleuth.plans.registry import VIEWS, query
 from kpisleuth.plans.verdicts import HYP, availability_days, hypothesis_board, located
+from kpisleuth.session import written
 from kpisleuth.sources import standins, tables
 from kpisleuth.streaming import streams
 
@@ -83,10 +84,10 @@ def keyed_notes(spark, folder) -> DataFrame:
     )
 
 
-def response_cache(spark, folder) -> DataFrame:
+def response_cache(spark, folder, keyed: DataFrame) -> DataFrame:
     """Responses held: the notes already reviewed."""
     labels = tables.read_table(spark, folder, "labels").select("doc_id")
-    return keyed_notes(spark, folder).join(labels, "doc_id", "left_semi").select("fingerprint").distinct().withColumn(
+    return keyed.join(labels, "doc_id", "left_semi").select("fingerprint").distinct().withColumn(
         "response", F.concat(F.lit("answer-"), F.substring("fingerprint", 1, 8))
     )
 
@@ -95,7 +96,8 @@ def response_cache(spark, folder) -> DataFrame:
 SELECT doc_id, n.fingerprint, response, response IS NOT NULL AS hit FROM note_key_v n LEFT JOIN cache_v c ON c.fingerprint = n.fingerprint
 """)
 def t3(spark, folder):
-    return requests.resolve(keyed_notes(spark, folder), response_cache(spark, folder)).select(
+    keyed = written(keyed_notes(spark, folder), "note-keys")  # texts are read and hashed once
+    return requests.resolve(keyed, response_cache(spark, folder, keyed)).select(
         "doc_id", "fingerprint", "response", "hit"
     )
 
@@ -105,7 +107,8 @@ SELECT n.fingerprint, count(*) AS waiting FROM note_key_v n LEFT JOIN cache_v c
 WHERE c.fingerprint IS NULL GROUP BY 1
 """)
 def t3_misses(spark, folder):
-    return requests.misses(keyed_notes(spark, folder), response_cache(spark, folder))
+    keyed = written(keyed_notes(spark, folder), "note-keys")
+    return requests.misses(keyed, response_cache(spark, folder, keyed))
 
 
 @query("t4_telemetry", """
@@ -280,7 +283,7 @@ SELECT region, period, round(sum(share), 6) AS weight_sum FROM (
 """)
 def q7(spark, folder):
     """Rounded month shares per region: groups of one row whose weight is not one."""
-    cells = region_cells(spark, folder)
+    cells = written(region_cells(spark, folder), "cells")
     total = cells.groupBy("period").agg(F.sum("value").alias("total"))
     shares = cells.join(total, "period").select(
         "region", "period", F.round(F.col("value") / F.col("total"), 2).alias("share")

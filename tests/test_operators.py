@@ -68,9 +68,9 @@ def test_grains_are_refused():
 def test_daily_rolls_up_to_monthly(spark):
     folder = "/root/testdata/sf0.001"
     sales, stores = standins.sales(spark, folder), standins.stores(spark, folder)
-    daily = kpis.kpi_at_grain("net_revenue", sales, stores, "daily").groupBy(
+    daily = kpis.kpis_at_grain(["net_revenue"], sales, stores, "daily").groupBy(
         "region", F.date_trunc("month", "period").alias("m")).agg(F.sum("value").alias("v")).toPandas()
-    monthly = kpis.kpi_at_grain("net_revenue", sales, stores, "monthly").toPandas()
+    monthly = kpis.kpis_at_grain(["net_revenue"], sales, stores, "monthly").toPandas()
     assert daily["v"].sum() == pytest.approx(monthly["value"].sum(), abs=1e-2)
     assert len(daily) == len(monthly)
 
