@@ -40,3 +40,17 @@ def test_chi_square_golden(spark):
 def test_weighted_confidence_golden(spark):
     case = spark.createDataFrame([(0.93, 1.00, 0.84, 0.90, 0.72, 0.79)], "s1 double, s2 double, s3 double, s4 double, s5 double, s6 double")
     assert confidence.raw_confidence(case).first()["raw"] == pytest.approx(0.8876, abs=1e-9)
+
+
+def test_functions_travel_without_the_package(tmp_path):
+    """Executors need not have the package: pickled functions carry their code."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    blob = tmp_path / "f.pkl"
+    blob.write_bytes(cloudpickle.dumps(stats.student_t_p))
+    code = f"import pickle; print(pickle.load(open({str(blob)!r}, 'rb'))(2.228139, 10))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert float(out.stdout.strip().splitlines()[-1]) == pytest.approx(0.05, abs=1e-6)
