@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpisleuth.llm import packing
+from kpisleuth.llm import minhash, packing
 from kpisleuth.llm.common import table
 from kpisleuth.session import tuned
 
@@ -35,3 +35,8 @@ def query(name: str, sql: str | None = None):
 def best_fit_packing(spark, folder):
     return packing.packed_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op2_minhash_near_dedup")
+def minhash_near_dedup(spark, folder):
+    return minhash.near_copies(table(spark, folder, "documents"))
