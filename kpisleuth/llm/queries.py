@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpisleuth.llm import minhash, packing
+from kpisleuth.llm import licenses, minhash, packing, pii, revisits
 from kpisleuth.llm.common import table
 from kpisleuth.session import tuned
 
@@ -40,3 +40,24 @@ def best_fit_packing(spark, folder):
 @query("op2_minhash_near_dedup")
 def minhash_near_dedup(spark, folder):
     return minhash.near_copies(table(spark, folder, "documents"))
+
+
+PSEUDONYM_KEY = "kpisleuth-demonstration-key"  # a deployment passes its own secret
+
+
+@query("op8_pii_pseudonyms")
+def pii_pseudonyms(spark, folder):
+    return pii.pseudonymise(table(spark, folder, "documents"), PSEUDONYM_KEY).select(
+        "doc_id", "text", *[F.col(f"pii_found.{kind}").alias(f"n_{kind}") for kind in pii.KINDS])
+
+
+@query("op9_license_scan", licenses.scan_sql())
+def license_scan(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"), licenses.known_digests(spark))
+
+
+@query("op10_warc_revisits", revisits.resolved_pages_sql())
+def warc_revisits(spark, folder):
+    found = revisits.resolve(revisits.captures_of_pages(table(spark, folder, "pages")))
+    pairs = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return found.withColumn("headers", F.array_join(pairs, "; "))
