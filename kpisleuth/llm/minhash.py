@@ -42,7 +42,7 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
     data, offsets = columns(texts)
     factors = salts(size + 1, 11)
     for first, last in chunks(offsets):
-        _, _, hashes, rows = words(data, offsets[first: last + 1])
+        hashes, rows = words(data, offsets[first: last + 1])
         n = len(hashes) - size + 1
         grams = np.zeros(max(n, 0), np.uint64)
         for k in range(size):

@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpisleuth.llm import licenses, minhash, packing, pii, revisits
-from kpisleuth.llm.common import table
+from kpisleuth.llm import langid, licenses, minhash, packing, pii, revisits, toxicity
+from kpisleuth.llm.common import held_out, table
 from kpisleuth.session import tuned
 
 
@@ -61,3 +61,17 @@ def warc_revisits(spark, folder):
     found = revisits.resolve(revisits.captures_of_pages(table(spark, folder, "pages")))
     pairs = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return found.withColumn("headers", F.array_join(pairs, "; "))
+
+
+@query("op3_language_id")
+def language_id(spark, folder):
+    docs, held = table(spark, folder, "documents"), held_out("doc_id", 4, 2)
+    return langid.classify(docs, langid.fit(docs, ~held), held)
+
+
+@query("op4_toxicity_crf")
+def toxicity_crf(spark, folder):
+    docs, held = table(spark, folder, "documents"), held_out("doc_id", 5, 0)
+    field = toxicity.fit(docs, table(spark, folder, "labels"), ~held)
+    return toxicity.score(docs, field, held).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")

@@ -77,31 +77,35 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES):
         at = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, gaps: np.ndarray = SPACE):
-    """(start, end, hash) of each word in byte order, and each row's first word index.
+class Words:
+    """Words of a chunk of rows.
 
-    ``offsets`` are those of a chunk; starts and ends count from its first byte.
+    ``starts`` and ``ends`` count bytes from the chunk's first; ``rows[i]`` is the
+    index of row i's first word; ``hash`` gives the hash of any byte ranges.
     """
-    base = int(offsets[0])
-    part = data[base: int(offsets[-1])]
-    rows = offsets - base
-    n = len(part)
-    if n == 0:
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64), np.zeros(len(rows), np.int64)
-    inside = ~gaps[part]
-    firsts = rows[:-1][rows[:-1] < n]
-    start = inside.copy()
-    start[1:] &= ~inside[:-1]
-    start[firsts] = inside[firsts]
-    stop = inside.copy()
-    stop[:-1] &= ~inside[1:]
-    lasts = rows[1:][rows[1:] > 0] - 1
-    stop[lasts] = inside[lasts]
-    starts, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    up, down = powers(n + 1)
-    sums = np.empty(n + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(byte_values(lower)[part] * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return starts, ends, hashes, np.searchsorted(starts, rows)
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, gaps: np.ndarray = SPACE):
+        base = int(offsets[0])
+        self.bytes = part = data[base: int(offsets[-1])]
+        self.offsets = rows = offsets - base
+        n = len(part)
+        inside = ~gaps[part]
+        start, stop = inside.copy(), inside.copy()
+        start[1:] &= ~inside[:-1]
+        stop[:-1] &= ~inside[1:]
+        firsts, lasts = rows[:-1][rows[:-1] < n], rows[1:][rows[1:] > 0] - 1
+        start[firsts], stop[lasts] = inside[firsts], inside[lasts]
+        self.starts, self.ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
+        self.rows = np.searchsorted(self.starts, rows)
+        up, self._down = powers(n + 1)
+        self._sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(byte_values(lower)[part] * up[:n], out=self._sums[1:])
+
+    def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self._sums[ends] - self._sums[starts]) * self._down[starts] + (ends - starts).astype(np.uint64))
+
+
+def words(data: np.ndarray, offsets: np.ndarray):
+    """Hash of each word, and each row's first word index."""
+    found = Words(data, offsets)
+    return found.hash(found.starts, found.ends), found.rows
