@@ -47,4 +47,4 @@ def components(links: DataFrame) -> DataFrame:
         if now[0] == 0 or now == before:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-        stars = settle(_small_star(_large_star(stars).where("u <> v").distinct()), "links")
+        stars = settle(_small_star(_large_star(stars).where("u <> v")), "links")

@@ -34,7 +34,8 @@ SHINGLE = 5
 BINS, ROWS = 128, 4
 SIMILAR_PERCENT = 75
 TRIES = 1024
-EXTRA_ROUNDS = 12  # of new centres; reached only if each still links something
+NEW_CENTRES = 3  # of a bucket that is still in several components, each round
+EXTRA_ROUNDS = 12  # reached only if each still links something
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -138,16 +139,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 CLASS = ["n_shingles", "set_a", "set_b"]
 
 
-def _confirmed(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b, n_a, n_b) whose full sets are similar enough."""
-    possible = edges.where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
-    possible = written(possible, "near-edges")
-    wanted = possible.select(F.col("a").alias("id")).union(possible.select(F.col("b").alias("id"))).distinct()
-    sets = written(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>")
-                   .dropDuplicates(["id"]), "near-sets")
+def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_1"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_2"))
-    both = possible.join(left, "a").join(right, "b")
+    both = edges.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("set_1", "set_2"))
     return both.where(F.lit(100) * shared >= F.lit(percent) * (F.size("set_1") + F.size("set_2") - shared)).select("a", "b")
 
@@ -163,35 +159,36 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     keyed = exploded.select("rep", "n", F.xxhash64("band", "key").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     buckets = written(keyed.join(shared, "key"), "near-buckets")
-    links = tested = None
-    roots = None
+    members = buckets.select(F.col("rep").alias("id")).distinct()
+    sets = written(docs.join(members.hint("shuffle_hash"), "id", "left_semi").mapInArrow(
+        _sets, "id long, shingles array<long>").dropDuplicates(["id"]), "near-sets")
+    links = tested = roots = None
     for turn in range(EXTRA_ROUNDS + 1):
         if turn == 0:
-            open_buckets, order = buckets, F.struct(F.xxhash64("rep"), "rep", "n")
+            open_buckets, orders = buckets, [F.struct(F.xxhash64("rep"), "rep", "n")]
         else:  # only buckets with three or more members that are still in several components
             placed = buckets.where("members > 2").join(roots, F.col("rep") == F.col("node"), "left").select(
                 "key", "rep", "n", F.coalesce("root", "rep").alias("root"))
             several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-            open_buckets = written(placed.join(several, "key"), "near-open")
-            order = F.struct(F.xxhash64("rep", "key", F.lit(turn)), "rep", "n", "root")
-        centres = open_buckets.groupBy("key").agg(F.min(order).alias("c"))
+            open_buckets = placed.join(several, "key")
+            orders = [F.struct(F.xxhash64("rep", "key", F.lit(turn), F.lit(k)), "rep", "n", "root") for k in range(NEW_CENTRES)]
+        centres = open_buckets.groupBy("key").agg(F.array(*[F.min(o) for o in orders]).alias("c")).select("key", F.explode("c").alias("c"))
         pairs = open_buckets.join(centres, "key").where("rep <> c.rep")
         if turn:
             pairs = pairs.where("root <> c.root")
-        swap = F.col("c.rep") < F.col("rep")
-        edges = pairs.select(
-            F.least("c.rep", "rep").alias("a"), F.greatest("c.rep", "rep").alias("b"),
-            F.when(swap, F.col("c.n")).otherwise(F.col("n")).alias("n_a"),
-            F.when(swap, F.col("n")).otherwise(F.col("c.n")).alias("n_b")).distinct()
+        edges = pairs.where(F.lit(100) * F.least("n", "c.n") >= F.lit(percent) * F.greatest("n", "c.n")).select(
+            F.least("c.rep", "rep").alias("a"), F.greatest("c.rep", "rep").alias("b")).distinct()
         if tested is not None:
             edges = edges.join(tested, ["a", "b"], "left_anti")
-        edges = written(edges, "near-candidates")
-        tested = edges.select("a", "b") if tested is None else tested.union(edges.select("a", "b"))
-        found = written(_confirmed(edges, docs, percent), "near-links")
+        edges = written(edges, "near-edges")
+        if turn and edges.isEmpty():
+            break
+        tested = edges if tested is None else tested.union(edges)
+        found = written(_confirmed(edges, sets, percent), "near-links")
         if turn and found.isEmpty():
             break
         links = found if links is None else links.union(found)
-        roots = written(components(links), "near-roots")
+        roots = components(links)
     roots = written(classes.join(roots, F.col("rep") == F.col("node"), "left").select(
         *CLASS, F.coalesce("root", "rep").alias("component")), "near-components")
     return sketches.select("doc_id", *CLASS).join(roots, CLASS, "left").select(
