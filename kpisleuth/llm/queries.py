@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpisleuth.llm import langid, licenses, minhash, packing, pii, revisits, toxicity
+from kpisleuth.llm import langid, licenses, minhash, packing, pii, quality, revisits, toxicity
 from kpisleuth.llm.common import held_out, table
 from kpisleuth.session import tuned
 
@@ -75,3 +75,11 @@ def toxicity_crf(spark, folder):
     field = toxicity.fit(docs, table(spark, folder, "labels"), ~held)
     return toxicity.score(docs, field, held).select(
         "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
+@query("op5_quality_nbsvm")
+def quality_nbsvm(spark, folder):
+    docs, held = table(spark, folder, "documents"), held_out("doc_id", 5, 0)
+    model = quality.fit(docs, table(spark, folder, "labels"), ~held)
+    return quality.score(docs, model, held).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
