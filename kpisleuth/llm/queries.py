@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpisleuth.llm import langid, licenses, minhash, packing, pii, quality, revisits, toxicity
+from kpisleuth.llm import forest, langid, licenses, minhash, packing, pii, quality, revisits, toxicity
 from kpisleuth.llm.common import held_out, table
 from kpisleuth.session import tuned
 
@@ -83,3 +83,9 @@ def quality_nbsvm(spark, folder):
     model = quality.fit(docs, table(spark, folder, "labels"), ~held)
     return quality.score(docs, model, held).select(
         "doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op7_hash_prefix_forest")
+def hash_prefix_forest(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return forest.nearest(vectors, vectors.where("vec_id % 20 = 0"))
