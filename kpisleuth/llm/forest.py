@@ -32,7 +32,7 @@ from kpisleuth.llm.common import written
 TREES, DEPTH = 128, 24
 EFFORT = 0.4  # of the block's size, repeats included
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 4096
-EFFORT_EACH = 16  # more for each neighbour asked for, as they are a larger part of a small block
+EFFORT_EACH = 24  # more for each neighbour asked for, as they are a larger part of a small block
 
 FOUND = "query_id long, vec_id long, score double"
 
