@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpisleuth.llm import forest, langid, licenses, minhash, packing, pii, quality, revisits, toxicity
+from kpisleuth.llm import decontaminate, forest, langid, licenses, minhash, packing, pii, quality, revisits, toxicity
 from kpisleuth.llm.common import held_out, table
 from kpisleuth.session import tuned
 
@@ -89,3 +89,8 @@ def quality_nbsvm(spark, folder):
 def hash_prefix_forest(spark, folder):
     vectors = table(spark, folder, "embeddings")
     return forest.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query("op6_benchmark_decontamination")
+def benchmark_decontamination(spark, folder):
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
