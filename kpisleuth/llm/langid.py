@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kpisleuth.llm.wordhash import chunks, columns
 
@@ -144,39 +145,40 @@ def fit(docs: DataFrame, learnable: Column, id_column: str = "doc_id", text_colu
     return train(rows, np.searchsorted(languages, sample["label"].to_numpy(dtype=str)), languages)
 
 
-def _classify(model: ByteNetwork):
+def predictions(model: ByteNetwork, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Language and score of each text of a batch."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    told = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
+    data, offsets = columns(pc.utf8_lower(texts))
+    labels, scores = [], []
+    for first, last in chunks(offsets):
+        cut = [windows(data[offsets[i]: offsets[i + 1]]) for i in range(first, last)]
+        sizes = np.array([len(c) for c in cut])
+        rows = np.concatenate(cut)
+        weight = LETTER[rows[:, :WINDOW]].sum(axis=1)
+        logs = model.log_probabilities(rows) * weight[:, None]
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        mean = np.add.reduceat(logs, starts, axis=0) / np.maximum(np.add.reduceat(weight, starts), 1)[:, None]
+        mean -= mean.max(axis=1, keepdims=True)
+        share = np.exp(mean) / np.exp(mean).sum(axis=1, keepdims=True)
+        labels += [model.languages[i] for i in share.argmax(axis=1)]
+        scores += share.max(axis=1).tolist()
+    return (pa.array([x if t else "und" for x, t in zip(labels, told, strict=True)], pa.string()),
+            pa.array([x if t else 0.0 for x, t in zip(scores, told, strict=True)], pa.float64()))
+
+
+def classify(docs: DataFrame, model: ByteNetwork | None, text_column: str = "text",
+             names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with language and score, which replace columns of their ``names``; reads the text alone."""
+    docs = docs.drop(*names)
+    if model is None:
+        return docs.withColumns({names[0]: F.lit("und"), names[1]: F.lit(0.0)})
+    place = docs.columns.index(text_column)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_string()).fill_null("")
-            told = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
-            data, offsets = columns(pc.utf8_lower(texts))
-            labels, scores = [], []
-            for first, last in chunks(offsets):
-                cut = [windows(data[offsets[i]: offsets[i + 1]]) for i in range(first, last)]
-                sizes = np.array([len(c) for c in cut])
-                rows = np.concatenate(cut)
-                weight = LETTER[rows[:, :WINDOW]].sum(axis=1)
-                logs = model.log_probabilities(rows) * weight[:, None]
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                mean = np.add.reduceat(logs, starts, axis=0) / np.maximum(np.add.reduceat(weight, starts), 1)[:, None]
-                mean -= mean.max(axis=1, keepdims=True)
-                share = np.exp(mean) / np.exp(mean).sum(axis=1, keepdims=True)
-                labels += [model.languages[i] for i in share.argmax(axis=1)]
-                scores += share.max(axis=1).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2),
-                 pa.array([x if t else "und" for x, t in zip(labels, told, strict=True)], pa.string()),
-                 pa.array([x if t else 0.0 for x, t in zip(scores, told, strict=True)], pa.float64())],
-                names=["doc_id", "held_out", "lang_pred", "score"])
-
-    return run
-
-
-def classify(docs: DataFrame, model: ByteNetwork | None, held_out: Column, id_column: str = "doc_id",
-             text_column: str = "text") -> DataFrame:
-    """Language and score of each text; reads the text alone."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"),
-                       held_out.alias("held_out"))
-    if model is None:
-        return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    return rows.mapInArrow(_classify(model), "doc_id long, held_out boolean, lang_pred string, score double")
+            told, score = predictions(model, batch.column(place))
+            yield pa.RecordBatch.from_arrays([*batch.columns, told, score], names=[*batch.schema.names, *names])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return docs.mapInArrow(run, schema)

@@ -264,8 +264,8 @@ def pseudonym(key: Column, match: Column) -> Column:
     return chosen.otherwise(F.struct(match.alias("value"), F.lit(None).cast("string").alias("kind")))
 
 
-def pseudonymise(docs: DataFrame, key: str, text_column: str = "text") -> DataFrame:
-    """Replace personal data in the text; adds ``pii_found``, the number of replacements of each kind."""
+def pseudonymise(docs: DataFrame, key: str, text_column: str = "text", count_column: str = "pii_found") -> DataFrame:
+    """Replace personal data in the text; ``count_column`` holds the number of replacements of each kind."""
     text, secret = F.col(text_column), F.lit(key)
     searched = text.rlike(HINT)
     found = F.when(searched, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
@@ -280,4 +280,4 @@ def pseudonymise(docs: DataFrame, key: str, text_column: str = "text") -> DataFr
     counts = [F.coalesce(F.size(F.filter(kinds, is_kind(kind))), F.lit(0)).alias(kind) for kind in KINDS]
     return marked.withColumns({
         text_column: F.when(F.col("__new").isNull(), text).otherwise(rebuilt),
-        "pii_found": F.struct(*counts)}).drop("__new")
+        count_column: F.struct(*counts)}).drop("__new")

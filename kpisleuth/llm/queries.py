@@ -66,7 +66,8 @@ def warc_revisits(spark, folder):
 @query("op3_language_id")
 def language_id(spark, folder):
     docs, held = table(spark, folder, "documents"), held_out("doc_id", 4, 2)
-    return langid.classify(docs, langid.fit(docs, ~held), held)
+    model = langid.fit(docs, ~held)
+    return langid.classify(docs.select("doc_id", "text", held.alias("held_out")), model).drop("text")
 
 
 @query("op4_toxicity_crf")
