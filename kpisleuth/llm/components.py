@@ -30,21 +30,19 @@ def _small_star(links: DataFrame) -> DataFrame:
         least.select("u", F.col("m").alias("v")))
 
 
+def _settled(stars: DataFrame) -> bool:
+    """Every node has one parent, and no parent has one itself."""
+    ends = stars.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(
+        stars.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where(
+        "child > 1 OR (child > 0 AND parent > 0)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links``: two id columns.  Returns (node, root) for every node but the roots themselves."""
-    def settle(frame, name):
-        return written(frame.where("u <> v").distinct(), name)
-
     first, second = links.columns
-    stars = settle(links.select(F.col(first).cast("long").alias("u"), F.col(second).cast("long").alias("v")), "links")
-
-    def state(frame):
-        return frame.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    before = None
+    stars = links.select(F.col(first).cast("long").alias("u"), F.col(second).cast("long").alias("v")).where("u <> v")
     while True:
-        now = state(stars)
-        if now[0] == 0 or now == before:
+        stars = written(_small_star(_large_star(stars).where("u <> v")).where("u <> v").distinct(), "links")
+        if _settled(stars):
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
-        stars = settle(_small_star(_large_star(stars).where("u <> v")), "links")

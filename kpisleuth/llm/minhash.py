@@ -8,12 +8,12 @@ only class representatives go on.  Within a bucket each member is a candidate
 of the bucket's centre only, so that a bucket of n members has n - 1 candidates.
 Candidates are confirmed on full shingle sets.  Where members of one bucket are
 still in different components, further rounds choose other centres, until a
-round links nothing; so a member that is similar to another member but not to
+round adds hardly any link; so a member that is similar to another member but not to
 the centre isn't lost.
 
 Defined cases: a null or empty text, or one of white space only, has an empty
 set and is linked with nothing; a row with a null id gets null component and
-kept; rows that share an id count as separate texts; an empty table gives no
+kept; rows that share an id are placed each by its own text; an empty table gives no
 rows; other columns are ignored.
 """
 
@@ -35,7 +35,7 @@ BINS, ROWS = 128, 4
 SIMILAR_PERCENT = 75
 TRIES = 1024
 NEW_CENTRES = 3  # of a bucket that is still in several components, each round
-EXTRA_ROUNDS = 12  # reached only if each still links something
+YIELD = 500  # rounds go on while one adds more than a link for so many known ones
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -97,7 +97,14 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return mix(parts.sum(axis=2, dtype=np.uint64) + salts(bands, 29))
 
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+def set_number(found: np.ndarray) -> np.uint64:
+    """Name of a shingle set: 64 bits of its size and two sums over its hashes."""
+    with np.errstate(over="ignore"):
+        sums = np.asarray([found.sum(dtype=np.uint64), mix(found + np.uint64(1)).sum(dtype=np.uint64), np.uint64(len(found))])
+        return mix(mix(sums) + salts(3, 31)).sum(dtype=np.uint64)
+
+
+SKETCH = "doc_id long, n_shingles long, set_id long, bands array<long>"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,20 +114,16 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             n = part.num_rows
-            counts, a, b = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            signs, empty = np.zeros((n, BINS), np.uint64), np.zeros(n, bool)
+            counts, names, signs = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros((n, BINS), np.uint64)
             for i, found in enumerate(shingle_sets(part.column(1))):
                 counts[i] = len(found)
                 if len(found):
-                    a[i], b[i] = found.sum(dtype=np.uint64), mix(found + np.uint64(1)).sum(dtype=np.uint64)
-                    signs[i] = signature(found)
-                else:
-                    empty[i] = True
+                    names[i], signs[i] = set_number(found), signature(found)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands),
                                             pa.array(band_keys(signs).view(np.int64).reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(counts), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), keys],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                [part.column(0), pa.array(counts), pa.array(names.view(np.int64)), keys],
+                names=["doc_id", "n_shingles", "set_id", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,20 +132,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             found = list(shingle_sets(part.column(1)))
+            names = np.array([set_number(f) for f in found], np.uint64)
             ends = np.cumsum([0] + [len(f) for f in found])
             flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))],
-                names=["id", "shingles"])
-
-
-CLASS = ["n_shingles", "set_a", "set_b"]
+                [pa.array(names.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))],
+                names=["set_id", "shingles"])
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_1"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_2"))
+    left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("set_1"))
+    right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("set_2"))
     both = edges.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("set_1", "set_2"))
     return both.where(F.lit(100) * shared >= F.lit(percent) * (F.size("set_1") + F.size("set_2") - shared)).select("a", "b")
@@ -154,30 +155,34 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     sketches = written(docs.mapInArrow(_sketches, SKETCH), "near-sketches")
     known = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(known.groupBy(*CLASS).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-classes")
-    exploded = classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
-    keyed = exploded.select("rep", "n", F.xxhash64("band", "key").alias("key"))
+    classes = written(known.groupBy("set_id").agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-classes")
+    exploded = classes.select("set_id", "rep", "n", F.posexplode("bands").alias("band", "key"))
+    keyed = exploded.select("set_id", "rep", "n", F.xxhash64("band", "key").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     buckets = written(keyed.join(shared, "key"), "near-buckets")
     members = buckets.select(F.col("rep").alias("id")).distinct()
     sets = written(docs.join(members.hint("shuffle_hash"), "id", "left_semi").mapInArrow(
-        _sets, "id long, shingles array<long>").dropDuplicates(["id"]), "near-sets")
+        _sets, "set_id long, shingles array<long>").dropDuplicates(["set_id"]), "near-sets")
+    buckets = buckets.drop("rep")
     links = tested = roots = None
-    for turn in range(EXTRA_ROUNDS + 1):
+    known_links, turn = 0, -1
+    while True:
+        turn += 1
         if turn == 0:
-            open_buckets, orders = buckets, [F.struct(F.xxhash64("rep"), "rep", "n")]
+            open_buckets, orders = buckets, [F.struct(F.xxhash64("set_id"), "set_id", "n")]
         else:  # only buckets with three or more members that are still in several components
-            placed = buckets.where("members > 2").join(roots, F.col("rep") == F.col("node"), "left").select(
-                "key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+            placed = buckets.where("members > 2").join(roots, F.col("set_id") == F.col("node"), "left").select(
+                "key", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
             several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
             open_buckets = placed.join(several, "key")
-            orders = [F.struct(F.xxhash64("rep", "key", F.lit(turn), F.lit(k)), "rep", "n", "root") for k in range(NEW_CENTRES)]
+            orders = [F.struct(F.xxhash64("set_id", "key", F.lit(turn), F.lit(k)), "set_id", "n", "root") for k in range(NEW_CENTRES)]
         centres = open_buckets.groupBy("key").agg(F.array(*[F.min(o) for o in orders]).alias("c")).select("key", F.explode("c").alias("c"))
-        pairs = open_buckets.join(centres, "key").where("rep <> c.rep")
+        pairs = open_buckets.join(centres, "key").where("set_id <> c.set_id")
         if turn:
             pairs = pairs.where("root <> c.root")
         edges = pairs.where(F.lit(100) * F.least("n", "c.n") >= F.lit(percent) * F.greatest("n", "c.n")).select(
-            F.least("c.rep", "rep").alias("a"), F.greatest("c.rep", "rep").alias("b")).distinct()
+            F.least("c.set_id", "set_id").alias("a"), F.greatest("c.set_id", "set_id").alias("b")).distinct()
         if tested is not None:
             edges = edges.join(tested, ["a", "b"], "left_anti")
         edges = written(edges, "near-edges")
@@ -185,13 +190,19 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             break
         tested = edges if tested is None else tested.union(edges)
         found = written(_confirmed(edges, sets, percent), "near-links")
-        if turn and found.isEmpty():
+        new_links = found.count()
+        if turn and not new_links:
             break
         links = found if links is None else links.union(found)
         roots = components(links)
-    roots = written(classes.join(roots, F.col("rep") == F.col("node"), "left").select(
-        *CLASS, F.coalesce("root", "rep").alias("component")), "near-components")
-    return sketches.select("doc_id", *CLASS).join(roots, CLASS, "left").select(
+        known_links += new_links
+        if turn and new_links * YIELD <= known_links:
+            break
+    placed = classes.join(roots, F.col("set_id") == F.col("node"), "left").select(
+        "set_id", "rep", F.coalesce("root", "set_id").alias("root"))
+    names = placed.groupBy("root").agg(F.min("rep").alias("component"))
+    named = placed.join(names, "root").select("set_id", "component")
+    return sketches.join(named, "set_id", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
         .alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
