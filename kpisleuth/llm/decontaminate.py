@@ -36,8 +36,8 @@ from kpisleuth.llm.common import written
 from kpisleuth.llm.wordhash import chunks, columns, mix, salts
 
 WALKS = 2
-REACHES = (40, 56, 72, 88)  # steps of the walk that a set of samples is drawn from
-BITS_EACH = 12
+REACHES = (56, 72, 88, 104)  # steps of the walk that a set of samples is drawn from
+BITS_EACH = 16
 STRIDE = 4
 SHORTEST = 48
 EDITS = 0.05
@@ -121,7 +121,7 @@ def _bits(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 def _filter(probes: DataFrame) -> np.ndarray:
     """Bloom filter of the probe keys, merged by Spark from bitmaps of 4 KB; at most 16 MB."""
     n = probes.count()
-    bits = min(max(64 * n, 1 << 20).bit_length(), FILTER_BITS)
+    bits = min(max(256 * n, 1 << 20).bit_length(), FILTER_BITS)
     size = 1 << bits
     places = probes.select("key").distinct().select(F.explode(F.array(
         F.col("key").bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(size - 1)))).alias("place"))
@@ -214,14 +214,41 @@ def best_stretch(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
     return best if best[0] <= most else None
 
 
+GRAM = 4
+
+
+def gram_codes(text: np.ndarray) -> np.ndarray:
+    """16-bit codes of the runs of GRAM bytes."""
+    n = max(len(text) - GRAM + 1, 0)
+    code = np.zeros(n, np.uint32)
+    for k in range(GRAM):
+        code = code * np.uint32(0x01000193) + text[k: k + n]
+    return (code * np.uint32(0x9E3779B1)) >> np.uint32(16)
+
+
 def _verify(share: float):
+    """Edit distance at each place; stretches that hold too few of the item's runs of bytes for it are skipped.
+
+    A copy of m bytes with k edits keeps at least m - GRAM + 1 - k * GRAM of the item's runs.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[bytes, np.ndarray] = {}
         for batch in batches:
             out: list[tuple] = []
             columns_ = [c.to_pylist() for c in batch.columns]
             for doc, region, start, item, text, places in zip(*columns_, strict=True):
                 item_text = text[:-1]
                 most = int(share * len(item_text))
+                if text not in tables:
+                    if len(tables) > 2000:
+                        tables.clear()
+                    tables[text] = np.zeros(1 << 16, bool)
+                    tables[text][gram_codes(np.frombuffer(item_text, np.uint8))] = True
+                common = np.zeros(len(region) + 1, np.int64)
+                shown = tables[text][gram_codes(np.frombuffer(region, np.uint8))]
+                np.cumsum(shown, out=common[1: len(shown) + 1])
+                common[len(shown) + 1:] = common[len(shown)]
+                needed = len(item_text) - GRAM + 1 - GRAM * most
                 slack, best = 2 * most + 64, None
                 # Places where the item would begin; near ones share a stretch.
                 stretches: list[list[int]] = []
@@ -232,6 +259,8 @@ def _verify(share: float):
                     else:
                         stretches.append([low, high])
                 for low, high in stretches:
+                    if common[min(high, len(region))] - common[min(low, len(region))] < needed:
+                        continue
                     found = best_stretch(item_text, region[low:high], most)
                     if found and (best is None or found[0] < best[0]):
                         best = (found[0], start + low + found[1])

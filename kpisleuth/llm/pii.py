@@ -8,8 +8,8 @@ Feistel network whose round function is SHA-256 under the key:
 
 * numbers and dates are written as a pair (left, right) in Z_a x Z_b and the
   halves are shifted in turn modulo a and b: cards without their check digit,
-  which is then set anew; telephone numbers of the North American plan; social
-  security numbers; IPv4 addresses; dates by their day in a 400-year cycle;
+  which is then set anew; telephone numbers of ten digits, with or without country code 1;
+  social security numbers; IPv4 addresses; dates by their day in a 400-year cycle;
 * mail addresses, account numbers (IBAN) and credentials are split into two
   halves of characters, and each character moves within its own class (digit,
   lower case, upper case); IBAN check digits are set anew.
@@ -158,13 +158,11 @@ def _card(key: Column, match: Column) -> Column:
 
 def _phone(key: Column, match: Column) -> Column:
     def changed(ten):
-        area, exchange, line = (F.substr(ten, F.lit(s), F.lit(n)).cast("long") for s, n in ((1, 3), (4, 3), (7, 4)))
-        pair = feistel_pair(key, "phone", area - 200, (exchange - 200) * 10_000 + line, F.lit(800), F.lit(8_000_000))
-        new = _let(pair, lambda p: F.concat(
-            (p["l"] + 200).cast("string"), (F.floor(p["r"] / 10_000) + 200).cast("string"),
-            F.lpad((p["r"] % 10_000).cast("string"), 4, "0")))
+        pair = feistel_pair(key, "phone", F.substr(ten, F.lit(1), F.lit(3)).cast("long"), F.substr(ten, F.lit(4)).cast("long"),
+                            F.lit(1_000), F.lit(10_000_000))
+        new = _let(pair, lambda p: F.concat(F.lpad(p["l"].cast("string"), 3, "0"), F.lpad(p["r"].cast("string"), 7, "0")))
         country = F.substr(_digits(match), F.lit(1), F.length(_digits(match)) - 10)
-        return F.when((area >= 200) & (exchange >= 200), _refill(match, F.concat(country, new))).otherwise(match)
+        return _refill(match, F.concat(country, new))
 
     return _let(F.right(_digits(match), F.lit(10)), changed)
 
