@@ -195,7 +195,8 @@ def best_stretch(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
     for i, ch in enumerate(item):
         peq[ch] = peq.get(ch, 0) | (1 << i)
     full, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best = full, 0, m, (most + 1, -1)
+    pv, mv, score = full, 0, m
+    best = (m, 0) if m <= most else (most + 1, -1)  # the empty stretch, or none yet
     for j, ch in enumerate(text):
         eq = peq.get(ch, 0)
         xv = eq | mv
