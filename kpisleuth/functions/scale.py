@@ -1,27 +1,20 @@
 """Order statistics that never gather one group into one task.
 
 A plain window or ``percentile`` sends a whole group to a single task.  Here a
-group is first reduced to (value, count) pairs with map-side combining, then
-split into magnitude buckets: a fixed, data-independent and order-preserving
-function of the value.  Windows run inside one (group, bucket), and the bucket
-totals - a small table - supply the offset of each bucket.
+group is first reduced to (value, count) pairs with map-side combining.  The
+pairs are dealt by range of (group, value), with boundaries that Spark samples
+from the data, and written once, so that the ranges stay what they are if a task
+is repeated.  Windows run inside one (group, range), and the totals of the
+ranges - a small table - supply the offset of each.  Infinities and NaN are
+values like others; NaN is the largest, as in Spark's ordering.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_STEPS_PER_OCTAVE = 64
-_SHIFT = 100_000  # keeps the bucket of any non-zero double away from zero
-
-
-def magnitude_bucket(value: Column) -> Column:
-    """Order-preserving bucket: 64 steps per power of two, signed."""
-    step = F.floor(F.log2(F.abs(value)) * _STEPS_PER_OCTAVE) + F.lit(_SHIFT)
-    return F.when(value == 0, F.lit(0).cast("long")).otherwise(
-        (F.signum(value) * step).cast("long")
-    )
+from kpisleuth.session import written
 
 
 def cumulative_counts(df: DataFrame, group: list[str], value: str, weight: str | None = None) -> DataFrame:
@@ -31,24 +24,23 @@ def cumulative_counts(df: DataFrame, group: list[str], value: str, weight: str |
     columns, ``value``, ``n``, ``n_below``, ``n_total``; nulls are left out.
     """
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*group, F.col(value))
-        .agg(size.alias("n"))
-        .withColumn("_bucket", magnitude_bucket(F.col(value)))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value)).agg(size.alias("n"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(
+        counts.repartitionByRange(ranges, *group, value).withColumn("_range", F.spark_partition_id()), "ranges"
     )
-    by_bucket = counts.groupBy(*group, "_bucket").agg(F.sum("n").alias("_bn"))
-    ordered = Window.partitionBy(*group).orderBy("_bucket")
-    offsets = by_bucket.select(
+    by_range = dealt.groupBy(*group, "_range").agg(F.sum("n").alias("_rn"))
+    ordered = Window.partitionBy(*group).orderBy("_range")
+    offsets = by_range.select(
         *group,
-        "_bucket",
-        (F.sum("_bn").over(ordered) - F.col("_bn")).alias("_offset"),
-        F.sum("_bn").over(Window.partitionBy(*group)).alias("n_total"),
+        "_range",
+        (F.sum("_rn").over(ordered) - F.col("_rn")).alias("_offset"),
+        F.sum("_rn").over(Window.partitionBy(*group)).alias("n_total"),
     )
-    inside = Window.partitionBy(*group, "_bucket").orderBy(value)
+    inside = Window.partitionBy(*group, "_range").orderBy(value)
     return (
-        counts.withColumn("_run", F.sum("n").over(inside) - F.col("n"))
-        .join(offsets, [*group, "_bucket"])
+        dealt.withColumn("_run", F.sum("n").over(inside) - F.col("n"))
+        .join(offsets, [*group, "_range"])
         .select(*group, value, "n", (F.col("_run") + F.col("_offset")).alias("n_below"), "n_total")
     )
 

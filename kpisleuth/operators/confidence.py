@@ -63,16 +63,17 @@ def apply_caps(hypotheses: DataFrame) -> DataFrame:
     )
 
 
-def calibrate(ledger: DataFrame, score: str, outcome: str, digits: int = 4) -> DataFrame:
-    """Isotonic calibration curve from closed cases.
+def calibrate(ledger: DataFrame, score: str, outcome: str, digits: int | None = None) -> DataFrame:
+    """Isotonic calibration curve from closed cases, one row per score.
 
-    Cases are first pooled by score rounded to ``digits`` places: at most
-    10^digits + 1 weighted points remain, whatever the ledger's size, and
-    pooling equal scores does not change the fit.
+    Cases of equal score are pooled first, which does not change the fit.
+    ``digits`` pools scores that round alike as well; that is a coarser curve,
+    for the caller to choose.
     """
     from pyspark.ml.regression import IsotonicRegression
 
-    pooled = ledger.groupBy(F.round(score, digits).alias("score")).agg(
+    point = F.col(score) if digits is None else F.round(score, digits)
+    pooled = ledger.groupBy(point.alias("score")).agg(
         F.avg(F.col(outcome).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
     )
     model = IsotonicRegression(

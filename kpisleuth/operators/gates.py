@@ -39,19 +39,24 @@ def completeness_gate(feeds: DataFrame) -> DataFrame:
 def incident_impact(feeds: DataFrame) -> DataFrame:
     """Apparent movement if the missing stores of a feed-day are lost: their
     share of usual daily revenue.  Missing revenue is the total less the
-    present, so absent pairs are never enumerated."""
+    present, so absent pairs are never enumerated; a feed-day without any row,
+    a total outage, keeps nothing and shows -100."""
     daily = written(
         feeds.groupBy("feed", "feed_date", "store_id").agg(F.sum("amount").alias("amount")), "feed-days"
     )
-    days = daily.agg((F.datediff(F.max("feed_date"), F.min("feed_date")) + 1).alias("n_days"))
-    usual = daily.groupBy("store_id").agg(F.sum("amount").alias("amount")).join(F.broadcast(days)).select(
-        "store_id", (F.col("amount") / F.col("n_days")).alias("usual")
+    span = daily.agg(
+        (F.datediff(F.max("feed_date"), F.min("feed_date")) + 1).alias("n_days"),
+        F.sequence(F.min("feed_date"), F.max("feed_date")).alias("days"),
     )
+    usual = daily.groupBy("store_id").agg(F.sum("amount").alias("amount")).join(
+        F.broadcast(span.select("n_days"))
+    ).select("store_id", (F.col("amount") / F.col("n_days")).alias("usual"))
     total = usual.agg(F.sum("usual").alias("total"))
     kept = daily.join(usual, "store_id").groupBy("feed", "feed_date").agg(F.sum("usual").alias("kept"))
-    return kept.join(F.broadcast(total)).select(
-        "feed", "feed_date",
-        rounded(-100.0 * (1.0 - ratio(F.col("kept"), F.col("total")))).alias("apparent_movement_pct"),
+    spine = daily.select("feed").distinct().join(F.broadcast(span)).select("feed", F.explode("days").alias("feed_date"))
+    share = ratio(F.coalesce("kept", F.lit(0.0)), F.col("total"))
+    return spine.join(kept, ["feed", "feed_date"], "left").join(F.broadcast(total)).select(
+        "feed", "feed_date", rounded(-100.0 * (1.0 - share)).alias("apparent_movement_pct"),
     )
 
 

@@ -63,7 +63,7 @@ def conversion_rate(sales, footfall, stores, grain="monthly", start=None, end=No
     day's visits count once and days with visits but no sale stay in."""
     check_grain("conversion_rate", grain)
     bills = (
-        between(sales, "txn_date", start, end)
+        between(in_scope(sales, "conversion_rate"), "txn_date", start, end)
         .groupBy("store_id", F.col("txn_date").alias("footfall_date"))
         .agg(F.countDistinct("txn_id").alias("bills"))
     )

@@ -92,22 +92,21 @@ def seasonal_baseline(daily: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _loess(values: np.ndarray, span: int) -> np.ndarray:
-    """Local linear fit with tricube weights at every point."""
+def _loess(x: np.ndarray, values: np.ndarray, span: int) -> np.ndarray:
+    """Local linear fit with tricube weights at every point; ``x`` ascends."""
     n = len(values)
     span = min(span, n)
-    x = np.arange(n, dtype=float)
     fitted = np.empty(n)
     for i in range(n):
         first = min(max(i - span // 2, 0), n - span)
         at = slice(first, first + span)
-        reach = max(abs(x[at] - i).max(), 1.0)
-        weight = (1.0 - (np.abs(x[at] - i) / (reach * 1.0001)) ** 3) ** 3
+        reach = max(abs(x[at] - x[i]).max(), 1.0)
+        weight = (1.0 - (np.abs(x[at] - x[i]) / (reach * 1.0001)) ** 3) ** 3
         total = weight.sum()
         mx, my = (weight * x[at]).sum() / total, (weight * values[at]).sum() / total
         spread = (weight * (x[at] - mx) ** 2).sum()
         slope = (weight * (x[at] - mx) * (values[at] - my)).sum() / spread if spread > 0 else 0.0
-        fitted[i] = my + slope * (i - mx)
+        fitted[i] = my + slope * (x[i] - mx)
     return fitted
 
 
@@ -122,16 +121,19 @@ def loess_baseline(daily: DataFrame, keys: list[str], key_schema: str, span: int
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date", kind="stable").reset_index(drop=True)
-        value = pdf["value"].fillna(0.0).to_numpy(dtype=float)
+        value = pdf["value"].to_numpy(dtype=float)
+        known = np.isfinite(value)
         phase = pd.to_datetime(pdf["date"]).dt.dayofweek.to_numpy()
         trend = np.zeros(len(value))
         seasonal = np.zeros(len(value))
-        for _ in range(rounds):
+        for _ in range(rounds if known.any() else 0):
             means = np.array([
-                (value - trend)[phase == d].mean() if (phase == d).any() else 0.0 for d in range(period)
+                (value - trend)[known & (phase == d)].mean() if (known & (phase == d)).any() else 0.0 for d in range(period)
             ])
             seasonal = (means - means.mean())[phase]
-            trend = _loess(value - seasonal, span)
+            # Fitted on known days, read off between them elsewhere.
+            days = np.flatnonzero(known)
+            trend = np.interp(np.arange(len(value)), days, _loess(days.astype(float), (value - seasonal)[known], span))
         pdf["trend"], pdf["seasonal"] = trend, seasonal
         pdf["residual"] = value - trend - seasonal
         return pdf[out]

@@ -34,28 +34,40 @@ def conversation_messages(turns: DataFrame) -> DataFrame:
     )
 
 
-def conversation_requests(turns: DataFrame, task: str) -> DataFrame:
-    """Header per conversation with an order-sensitive digest of its messages.
+def conversation_requests(turns: DataFrame, task: str, system: str | None = None,
+                          max_tokens: int = config.DEFAULT_MAX_TOKENS) -> DataFrame:
+    """One request per conversation, with all its messages in the order of turns.
 
-    Each message's SHA-256 covers its position, role and text; the digest sums
-    those hashes (exactly, as decimals), so it combines map-side.
+    A request is one object on the wire and is hashed as one, so its messages
+    meet in one row; a model's context bounds it.  Work on single messages goes
+    through :func:`conversation_messages`, which never assembles them.
     """
-    hashed = F.sha2(F.concat_ws("|", F.col("turn").cast("string"), "role", "text"), 256)
-    part = F.conv(F.substring(hashed, 1, 15), 16, 10).cast("decimal(20,0)")
-    return turns.groupBy(F.col("conv_id").alias("request_id")).agg(
-        F.count(F.lit(1)).alias("messages"),
-        F.sum(F.length("text")).alias("chars"),
-        F.sum(part).cast("string").alias("digest"),
-    ).withColumn("task", F.lit(task)).withColumn("model", F.lit(config.TASK_MODEL[task]))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    return turns.groupBy(F.col("conv_id").alias("request_id")).agg(ordered.alias("turns")).select(
+        "request_id",
+        F.lit(task).alias("task"),
+        F.lit(config.TASK_MODEL[task]).alias("model"),
+        F.lit(system).cast("string").alias("system"),
+        F.lit(max_tokens).alias("max_tokens"),
+        F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"),
+    )
+
+
+def _wire_messages() -> Column:
+    return F.transform("messages", lambda m: F.struct(m["content"].alias("content"), m["role"].alias("role")))
+
+
+def messages_json() -> Column:
+    """The messages as compact JSON with sorted keys and nulls kept."""
+    return F.to_json(_wire_messages(), {"ignoreNullFields": "false"})
 
 
 def canonical_json(requests: DataFrame) -> Column:
     """Compact JSON with sorted keys and nulls kept."""
-    message = lambda m: F.struct(m["content"].alias("content"), m["role"].alias("role"))
     fields = F.struct(
         F.lit(None).cast("string").alias("effort"),
         F.col("max_tokens").alias("max_tokens"),
-        F.transform("messages", message).alias("messages"),
+        _wire_messages().alias("messages"),
         F.col("model").alias("model"),
         F.array().cast("array<string>").alias("stop_sequences"),
         F.col("system").alias("system"),

@@ -94,8 +94,7 @@ def daily_region(spark, folder) -> DataFrame:
 
 
 def baseline_days(spark, folder) -> DataFrame:
-    daily = daily_region(spark, folder).withColumn("value", F.coalesce("value", F.lit(0.0)))
-    return movement.seasonal_baseline(daily, REGION)
+    return movement.seasonal_baseline(daily_region(spark, folder), REGION)
 
 
 @query("d5_seasonal_baseline", """
@@ -247,13 +246,20 @@ def g1(spark, folder):
     return gates.completeness_gate(standins.feed_events(spark, folder))
 
 
-@query("g2_incident_impact", """
-SELECT feed, feed_date, round(-100.0 * (1.0 - sum(usual) / (SELECT sum(amount / n_days) FROM (
-    SELECT store_id, sum(amount) AS amount FROM feeds_v GROUP BY 1), (SELECT max(feed_date) - min(feed_date) + 1 AS n_days FROM feeds_v))), 6)
-  AS apparent_movement_pct
-FROM (SELECT DISTINCT feed, feed_date, store_id FROM feeds_v) JOIN (
-  SELECT store_id, sum(amount) / (SELECT max(feed_date) - min(feed_date) + 1 FROM feeds_v) AS usual FROM feeds_v GROUP BY 1
-) USING (store_id) GROUP BY 1, 2
+_USUAL_SQL = """
+(SELECT store_id, sum(amount) / (SELECT max(feed_date) - min(feed_date) + 1 FROM feeds_v) AS usual FROM feeds_v GROUP BY 1)
+"""
+
+
+@query("g2_incident_impact", f"""
+SELECT feed, feed_date, round(-100.0 * (1.0 - coalesce(kept, 0.0) / (SELECT sum(usual) FROM {_USUAL_SQL})), 6) AS apparent_movement_pct
+FROM (
+  SELECT feed, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS feed_date
+  FROM (SELECT DISTINCT feed FROM feeds_v), (SELECT min(feed_date) AS lo, max(feed_date) AS hi FROM feeds_v)
+) LEFT JOIN (
+  SELECT feed, feed_date, sum(usual) AS kept FROM (SELECT DISTINCT feed, feed_date, store_id FROM feeds_v) JOIN {_USUAL_SQL} USING (store_id)
+  GROUP BY 1, 2
+) USING (feed, feed_date)
 """)
 def g2(spark, folder):
     return gates.incident_impact(standins.feed_events(spark, folder))

@@ -78,7 +78,7 @@ def s1(spark, folder):
     )
 
 
-@query("s2_export_canonical")
+@query("s2_export_canonical", "SELECT region, CAST(period AS VARCHAR) AS period, round(value, 4) AS total_cr FROM cells_v")
 def s2(spark, folder):
     """Export region-month totals as CSV and read them back with a declared schema."""
     totals = k10(spark, folder).select("region", F.col("period").cast("string").alias("period"), "total_cr")
@@ -392,7 +392,8 @@ SELECT region, store_id, CAST(date_trunc('week', footfall_date) AS DATE) AS peri
   CAST(sum(coalesce(bills, 0)) AS BIGINT) AS bills, CAST(sum(visits) AS BIGINT) AS visits,
   round(100.0 * sum(coalesce(bills, 0)) / nullif(sum(visits), 0), 6) AS conversion_rate_pt
 FROM (SELECT store_id, footfall_date, sum(footfall) AS visits FROM visits_v WHERE counter_installed GROUP BY 1, 2)
-LEFT JOIN (SELECT store_id, txn_date AS footfall_date, count(DISTINCT txn_id) AS bills FROM tills_v GROUP BY 1, 2)
+LEFT JOIN (SELECT store_id, txn_date AS footfall_date, count(DISTINCT txn_id) AS bills FROM tills_v
+    WHERE channel <> 'B2B' AND txn_type <> 'TRANSFER' GROUP BY 1, 2)
   USING (store_id, footfall_date)
 JOIN {_EVENT_STORES} USING (store_id) GROUP BY 1, 2, 3
 """)
@@ -519,14 +520,12 @@ def k11(spark, folder):
     return kpis.contribution(cells, ["region", "city", "category", "sub_category"])
 
 
-_WEEK_RATE_SQL = f"""
-(SELECT region, period, 100.0 * bills / nullif(visits, 0) AS rate, revenue FROM (
-  SELECT region, CAST(date_trunc('week', footfall_date) AS DATE) AS period, sum(coalesce(bills, 0)) AS bills,
-    sum(visits) AS visits, sum(coalesce(amount, 0.0)) AS revenue
-  FROM (SELECT store_id, footfall_date, sum(footfall) AS visits FROM visits_v WHERE counter_installed GROUP BY 1, 2)
-  LEFT JOIN (SELECT store_id, feed_date AS footfall_date, count(*) AS bills, sum(amount) AS amount FROM feeds_v
-    WHERE feed = 'purchase' GROUP BY 1, 2) USING (store_id, footfall_date)
-  JOIN {_EVENT_STORES} USING (store_id) GROUP BY 1, 2))
+_WEEK_RATE_SQL = """
+(SELECT 'R' || (store_id % 5) AS region, period, 100.0 * sum(bills) / nullif(sum(visits), 0) AS rate, sum(revenue) AS revenue FROM (
+  SELECT store_id, CAST(date_trunc('week', feed_date) AS DATE) AS period, count(*) FILTER (WHERE feed = 'view') AS visits,
+    count(*) FILTER (WHERE feed = 'purchase' AND event_id % 10 <> 3 AND event_id % 17 <> 5) AS bills,
+    coalesce(sum(amount) FILTER (WHERE feed = 'purchase' AND event_id % 10 <> 3 AND event_id % 17 <> 5), 0.0) AS revenue
+  FROM feeds_v WHERE store_id % 4 = 0 GROUP BY 1, 2) GROUP BY 1, 2)
 """
 
 
@@ -537,18 +536,19 @@ FROM {_WEEK_RATE_SQL} c JOIN {_WEEK_RATE_SQL} p ON p.region = c.region AND p.per
 WHERE p.rate IS NOT NULL
 """)
 def k12(spark, folder):
-    """Week-on-week conversion change of each region, priced in revenue."""
-    stores = event_stores(spark, folder)
-    rates = kpis.conversion_rate(
-        standins.till_events(spark, folder), standins.visits(spark, folder), stores, "weekly"
+    """Week-on-week conversion change of each region, priced in revenue.
+
+    One scan: visits, bills in scope and their revenue are conditional sums per
+    store and week, for the stores with a counter.
+    """
+    feed = standins.feed_events(spark, folder).where(F.col("store_id") % 4 == 0)
+    bill = (F.col("feed") == "purchase") & (F.col("event_id") % 10 != 3) & (F.col("event_id") % 17 != 5)
+    per_store = feed.groupBy("store_id", F.date_trunc("week", "feed_date").cast("date").alias("period")).agg(
+        F.count_if(F.col("feed") == "view").alias("visits"), F.count_if(bill).alias("bills"),
+        F.coalesce(F.sum(F.when(bill, F.col("amount"))), F.lit(0.0)).alias("revenue"),
     )
-    seen = standins.visits(spark, folder).where("counter_installed").select("store_id", F.col("footfall_date").alias("feed_date"))
-    sold = standins.feed_events(spark, folder).where(F.col("feed") == "purchase").join(
-        seen, ["store_id", "feed_date"], "left_semi"
-    ).groupBy("store_id", F.date_trunc("week", "feed_date").cast("date").alias("period")).agg(F.sum("amount").alias("revenue"))
-    weekly = rates.join(sold, ["store_id", "period"], "left").groupBy("region", "period").agg(
-        (100.0 * F.sum("bills") / F.nullif(F.sum("visits"), F.lit(0))).alias("rate"),
-        F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue"),
+    weekly = per_store.groupBy(F.concat(F.lit("R"), (F.col("store_id") % 5).cast("string")).alias("region"), "period").agg(
+        (100.0 * F.sum("bills") / F.nullif(F.sum("visits"), F.lit(0))).alias("rate"), F.sum("revenue").alias("revenue"),
     )
     order = Window.partitionBy("region").orderBy("period")
     before = F.when(F.lag("period").over(order) == F.date_sub("period", 7), F.lag("rate").over(order))

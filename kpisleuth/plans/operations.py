@@ -23,16 +23,6 @@ def note_requests(spark, folder) -> DataFrame:
     return requests.message_request(standins.notes(spark, folder), "note_id", "extract", "body", None)
 
 
-def question_requests(spark, folder) -> DataFrame:
-    """One classify request per user turn of a conversation."""
-    asked = tables.read_table(spark, folder, "conversations").where(F.col("role") == "user").withColumn(
-        "request_key", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    )
-    return requests.message_request(
-        asked, "request_key", "classify", "text", config.CLASSIFY_SYSTEM, config.CLASSIFY_MAX_TOKENS
-    )
-
-
 @query("t1_note_requests", f"""
 SELECT doc_id AS request_id, 'extract' AS task, '{config.TASK_MODEL["extract"]}' AS model, {config.DEFAULT_MAX_TOKENS} AS max_tokens,
   text AS content FROM documents
@@ -50,27 +40,46 @@ def t1_messages(spark, folder):
     return requests.conversation_messages(tables.read_table(spark, folder, "conversations"))
 
 
+_MESSAGES_SQL = """
+'[' || string_agg('{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}',
+  ',' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) || ']'
+"""
+
+
+def _request_sql(task: str, messages: str, max_tokens: int, system: str | None) -> str:
+    told = "null" if system is None else f'"{system}"'
+    return (f"""sha256('{{"effort":null,"max_tokens":{max_tokens},"messages":' || {messages} || ',"model":"{config.TASK_MODEL[task]}","""
+            f""""stop_sequences":[],"system":{told},"task":"{task}","temperature":null}}')""")
+
+
+def conversation_requests(spark, folder) -> DataFrame:
+    return requests.conversation_requests(
+        tables.read_table(spark, folder, "conversations"), "classify", config.CLASSIFY_SYSTEM, config.CLASSIFY_MAX_TOKENS
+    )
+
+
 @query("t1_conversation_requests", f"""
-SELECT conv_id AS request_id, count(*) AS messages, CAST(sum(length(text)) AS BIGINT) AS chars,
-  CAST(CAST(sum(CAST(('0x' || substr(sha256(turn || '|' || role || '|' || text), 1, 15)) AS BIGINT)) AS HUGEINT) AS VARCHAR) AS digest,
-  'classify' AS task, '{config.TASK_MODEL["classify"]}' AS model FROM conversations GROUP BY 1
+SELECT conv_id AS request_id, 'classify' AS task, '{config.TASK_MODEL["classify"]}' AS model, count(*) AS n_messages, {_MESSAGES_SQL} AS messages
+FROM conversations GROUP BY conv_id
 """)
 def t1_headers(spark, folder):
-    return requests.conversation_requests(tables.read_table(spark, folder, "conversations"), "classify")
+    return conversation_requests(spark, folder).select(
+        "request_id", "task", "model", F.size("messages").cast("long").alias("n_messages"),
+        requests.messages_json().alias("messages"),
+    )
 
 
 @query("t2_fingerprint", f"""
-SELECT conv_id || '/' || turn AS request_id, sha256('{{"effort":null,"max_tokens":{config.CLASSIFY_MAX_TOKENS},"messages":[{{"content":'
-  || CAST(to_json(text) AS VARCHAR) || ',"role":"user"}}],"model":"{config.TASK_MODEL["classify"]}","stop_sequences":[],"system":"{config.CLASSIFY_SYSTEM}",'
-  || '"task":"classify","temperature":null}}') AS fingerprint
-FROM conversations WHERE role = 'user'
+SELECT request_id, {_request_sql("classify", "messages", config.CLASSIFY_MAX_TOKENS, config.CLASSIFY_SYSTEM)} AS fingerprint
+FROM (SELECT conv_id AS request_id, {_MESSAGES_SQL} AS messages FROM conversations GROUP BY conv_id)
 """)
 def t2(spark, folder):
-    return requests.fingerprint(question_requests(spark, folder)).select("request_id", "fingerprint")
+    return requests.fingerprint(conversation_requests(spark, folder)).select("request_id", "fingerprint")
 
 
-VIEWS["note_key_v"] = """
-SELECT doc_id, sha256('extract|' || text) AS fingerprint FROM documents
+_NOTE_MESSAGE_SQL = """'[{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":"user"}]'"""
+VIEWS["note_key_v"] = f"""
+SELECT doc_id, {_request_sql("extract", _NOTE_MESSAGE_SQL, config.DEFAULT_MAX_TOKENS, None)} AS fingerprint FROM documents
 """
 VIEWS["cache_v"] = """
 SELECT fingerprint, 'answer-' || substr(fingerprint, 1, 8) AS response FROM (
@@ -79,9 +88,8 @@ SELECT fingerprint, 'answer-' || substr(fingerprint, 1, 8) AS response FROM (
 
 
 def keyed_notes(spark, folder) -> DataFrame:
-    return standins.notes(spark, folder).select(
-        F.col("note_id").alias("doc_id"), F.sha2(F.concat(F.lit("extract|"), "body"), 256).alias("fingerprint")
-    )
+    """The fingerprint of each note's whole request: task, model, limit and message."""
+    return requests.fingerprint(note_requests(spark, folder)).select(F.col("request_id").alias("doc_id"), "fingerprint")
 
 
 def response_cache(spark, folder, keyed: DataFrame) -> DataFrame:
@@ -202,7 +210,19 @@ def w4(spark, folder):
 
 
 # --- Q: data quality --------------------------------------------------------------
-@query("q1_digest")
+_CELL_SQL = {
+    name: f"CAST(CAST({name} AS DECIMAL(38,6)) AS VARCHAR)" if name in ("l_discount", "l_extendedprice", "l_quantity", "l_tax")
+    else f"strftime({name}, '%Y-%m-%d %H:%M:%S')" if name == "l_shipdate" else f"CAST({name} AS VARCHAR)"
+    for name in sorted(["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                        "l_returnflag", "l_linestatus", "l_shipdate"])
+}
+
+
+@query("q1_digest", f"""
+SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR) AS hash_sum,
+  bit_xor(CAST('0x' || substr(h, 17, 15) AS BIGINT)) AS hash_xor
+FROM (SELECT md5({" || '|' || ".join(f"coalesce({c}, chr(92) || 'N')" for c in _CELL_SQL.values())}) AS h FROM lineitem)
+""")
 def q1(spark, folder):
     return quality.digest(tables.read_table(spark, folder, "lineitem"))
 
@@ -277,34 +297,45 @@ def q6(spark, folder):
 
 
 @query("q7_weights_sum", """
-SELECT region, period, round(sum(share), 6) AS weight_sum FROM (
-  SELECT region, period, round(value / sum(value) OVER (PARTITION BY period), 2) AS share FROM cells_v
-) GROUP BY 1, 2 HAVING abs(sum(share) - 1.0) > 1e-9
+SELECT period, round(sum(share), 6) AS weight_sum FROM (
+  SELECT period, round(value / sum(value) OVER (PARTITION BY period), 2) AS share FROM cells_v
+) GROUP BY 1 HAVING abs(sum(share) - 1.0) > 1e-9
 """)
 def q7(spark, folder):
-    """Rounded month shares per region: groups of one row whose weight is not one."""
+    """Regions' shares of a month, rounded: months whose weights no longer sum to one."""
     cells = written(region_cells(spark, folder), "cells")
     total = cells.groupBy("period").agg(F.sum("value").alias("total"))
-    shares = cells.join(total, "period").select(
-        "region", "period", F.round(F.col("value") / F.col("total"), 2).alias("share")
-    )
-    return quality.weights_sum(shares, ["region", "period"], "share").select("region", "period", r("weight_sum"))
+    shares = cells.join(total, "period").select("period", F.round(F.col("value") / F.col("total"), 2).alias("share"))
+    return quality.weights_sum(shares, ["period"], "share").select("period", r("weight_sum"))
 
 
 # --- X: streams ---------------------------------------------------------------------
 def event_stream(spark, folder) -> DataFrame:
-    raw = streams.read_stream(spark, f"{folder}/events.parquet", tables.declared("events"))
+    files = tables.read_table(spark, folder, "events").inputFiles()
+    inside = bool(files) and "/events.parquet/" in files[0]
+    place = (f"{folder}/events.parquet", None) if inside else (folder, "events.parquet")
+    raw = streams.read_stream(spark, place[0], tables.declared("events"), place[1])
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("x1_stream_kpi", """
-SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS items, round(sum(value), 2) AS total FROM events
-WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 7 DAY FROM events) GROUP BY 1, 2
+SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS items, round(sum(value), 2) AS total FROM events GROUP BY 1, 2
 """)
 def x1(spark, folder):
-    """Days closed by the watermark equal the batch totals of the same days."""
-    daily = streams.stream_kpi(event_stream(spark, folder), ["event_type"], "ts", "value")
-    return streams.run_available(spark, daily, "stream-kpi")
+    """Every day's total; a closing row past the watermark ends the open days."""
+    events = event_stream(spark, folder)
+    closing, sent = streams.closing_stream(spark, events.schema, "stream-close")
+
+    def close():
+        last = tables.read_table(spark, folder, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("ts"))
+        past = config.KPIS["net_revenue"]["restatement_window_days"] + 2
+        last.select(*[
+            (F.col("ts") + F.expr(f"INTERVAL {past} DAYS") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in events.schema
+        ]).write.mode("append").parquet(sent)
+
+    daily = streams.stream_kpi(events.union(closing), ["event_type"], "ts", "value")
+    return streams.run_available(spark, daily, "stream-kpi", close)
 
 
 @query("x2_stream_freshness", """

@@ -48,4 +48,7 @@ def compose(sql: str) -> str:
     if not ordered:
         return sql
     heads = ",\n".join(f"{name} AS (\n{VIEWS[name].strip()}\n)" for name in ordered)
-    return f"WITH {heads}\n{sql.strip()}"
+    body = sql.strip()
+    if body.upper().startswith("WITH "):  # its own tables follow the views
+        return f"WITH {heads},\n{body[5:].lstrip()}"
+    return f"WITH {heads}\n{body}"

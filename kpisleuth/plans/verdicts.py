@@ -611,7 +611,20 @@ def f3(spark, folder):
     )
 
 
-@query("f4_calibrate")
+# The isotonic mean at a score is the largest, over starts at or below it, of the
+# smallest mean of cases from there to any end at or above it.
+@query("f4_calibrate", """
+WITH pooled AS (
+  SELECT score, avg(CAST(outcome AS DOUBLE)) AS label, CAST(count(*) AS DOUBLE) AS cases, sum(CAST(outcome AS DOUBLE)) AS ones,
+    row_number() OVER (ORDER BY score) AS i FROM ledger_v GROUP BY score),
+runs AS (
+  SELECT a.i AS first, b.i AS last, sum(b.ones) OVER w / sum(b.cases) OVER w AS mean
+  FROM pooled a JOIN pooled b ON b.i >= a.i WINDOW w AS (PARTITION BY a.i ORDER BY b.i)),
+least AS (
+  SELECT first, last AS i, min(mean) OVER (PARTITION BY first ORDER BY last DESC) AS low FROM runs),
+best AS (SELECT i, max(low) AS calibrated FROM least GROUP BY i)
+SELECT score, round(label, 6) AS label, cases, round(calibrated, 6) AS calibrated FROM pooled JOIN best USING (i)
+""")
 def f4(spark, folder):
     curve = confidence.calibrate(ledger(spark, folder), "score", "outcome")
     return curve.select("score", r("label"), "cases", r("calibrated"))

@@ -77,7 +77,9 @@ SELECT store_id, feed_date AS footfall_date,
 FROM feeds_v GROUP BY store_id, feed_date
 """
 VIEWS["tills_v"] = """
-SELECT event_id AS txn_id, store_id, feed_date AS txn_date FROM feeds_v WHERE feed = 'purchase'
+SELECT event_id AS txn_id, store_id, feed_date AS txn_date, CASE WHEN event_id % 10 = 3 THEN 'B2B' ELSE 'RETAIL' END AS channel,
+  CASE WHEN event_id % 17 = 5 THEN 'TRANSFER' ELSE 'SALE' END AS txn_type
+FROM feeds_v WHERE feed = 'purchase'
 """
 VIEWS["notes_v"] = """
 SELECT doc_id AS note_id, source || '-' || lang AS author, source AS store_id, lang AS note_group,
@@ -173,7 +175,7 @@ VIEWS["baseline_v"] = """
 SELECT *, trend + seasonal AS baseline, value - (trend + seasonal) AS residual FROM (
   SELECT *, avg(value - trend) OVER (PARTITION BY region, isodow(date)) AS seasonal FROM (
     SELECT *, CASE WHEN count(value) OVER w = 7 THEN avg(value) OVER w END AS trend FROM (
-      SELECT region, date, coalesce(value, 0.0) AS value FROM daily_v
+      SELECT region, date, value FROM daily_v
     ) WINDOW w AS (PARTITION BY region ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)
   )
 )

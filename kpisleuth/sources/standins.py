@@ -159,9 +159,12 @@ def visits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def till_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Till transactions in the same stores as :func:`visits`."""
+    """Till transactions in the same stores as :func:`visits`; some are wholesale, some transfers."""
+    key = F.col("event_id")
     return feed_events(spark, folder).where(F.col("feed") == "purchase").select(
-        F.col("event_id").alias("txn_id"), "store_id", F.col("feed_date").alias("txn_date")
+        key.alias("txn_id"), "store_id", F.col("feed_date").alias("txn_date"),
+        F.when(key % 10 == 3, config.EXCLUDED_CHANNEL).otherwise("RETAIL").alias("channel"),
+        F.when(key % 17 == 5, config.EXCLUDED_TXN_TYPE).otherwise("SALE").alias("txn_type"),
     )
 
 

@@ -14,17 +14,20 @@ from kpisleuth import config
 from kpisleuth.session import scratch_path
 
 
-def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
-    """File stream with a declared schema and bounded micro-batches.
+def read_stream(spark: SparkSession, folder: str, schema, files: str | None = None, files_per_batch: int = 1000) -> DataFrame:
+    """Stream of the files of a folder with a declared schema and bounded
+    micro-batches; ``files`` is a glob pattern of the names to take."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if files is not None:
+        reader = reader.option("pathGlobFilter", files)
+    return reader.parquet(folder)
 
-    ``path`` names a directory of files or one file; written as a pattern it is
-    accepted either way.
-    """
-    parent, _, name = path.rpartition("/")
-    pattern = f"{parent}/[{name[0]}]{name[1:]}"
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
-    )
+
+def closing_stream(spark: SparkSession, schema, name: str) -> tuple[DataFrame, str]:
+    """A second source for rows sent after all data, and the folder it watches."""
+    folder = scratch_path(spark, name)
+    spark.createDataFrame([], schema).write.parquet(folder)
+    return spark.readStream.schema(schema).parquet(folder), folder
 
 
 def stream_kpi(stream: DataFrame, keys: list[str], ts: str, amount: str, kpi: str = "net_revenue") -> DataFrame:
@@ -58,14 +61,20 @@ def stream_freshness(stream: DataFrame, feed: str, ts: str, sla_hours: int, late
     )
 
 
-def run_available(spark: SparkSession, streaming: DataFrame, name: str) -> DataFrame:
-    """Process what is available, then return the written table."""
+def run_available(spark: SparkSession, streaming: DataFrame, name: str, close=None) -> DataFrame:
+    """Process what is available, then return the written table.
+
+    ``close`` is called when all data is through; it may send rows past the
+    watermark, and the stream runs on from its state to emit the open windows.
+    """
     path = scratch_path(spark, name)
-    query = (
-        streaming.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", f"{path}-state").option("path", path)
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    for turn in range(1 if close is None else 2):
+        if turn:
+            close()
+        query = (
+            streaming.writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", f"{path}-state").option("path", path)
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
     return spark.read.schema(streaming.schema).parquet(path)
-

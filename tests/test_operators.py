@@ -48,7 +48,10 @@ def test_conversion_counts_visits_once(spark):
     """Three bill lines on one day do not triple the day's visits, and a day
     with visits but no sale stays in the denominator."""
     day, quiet = D(2025, 10, 1), D(2025, 10, 2)
-    sales = spark.createDataFrame([(1, 10, day), (1, 10, day), (2, 10, day)], "txn_id long, store_id long, txn_date date")
+    sales = spark.createDataFrame(
+        [(i, 10, day, "RETAIL", "SALE") for i in (1, 1, 2)],
+        "txn_id long, store_id long, txn_date date, channel string, txn_type string",
+    )
     footfall = spark.createDataFrame(
         [(10, day, 20, True), (10, quiet, 20, True), (11, day, None, False)],
         "store_id long, footfall_date date, footfall long, counter_installed boolean",
@@ -363,10 +366,17 @@ def test_copies_are_looked_up_once(spark):
     assert rows(requests.misses(asked, cache), "fingerprint", "waiting") == [("y", 1)]
 
 
-def test_digest_sees_order_of_turns(spark):
-    turns = lambda a, b: spark.createDataFrame([(1, 0, "user", a), (1, 1, "user", b)], "conv_id long, turn long, role string, text string")
-    one = requests.conversation_requests(turns("a", "b"), "classify").first()["digest"]
-    assert one != requests.conversation_requests(turns("b", "a"), "classify").first()["digest"]
+def test_fingerprint_covers_every_turn(spark):
+    from kpisleuth.operators import requests
+
+    def mark(*texts, **options):
+        turns = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(texts)], "conv_id long, turn long, role string, text string")
+        return requests.fingerprint(requests.conversation_requests(turns, "classify", **options)).first()["fingerprint"]
+
+    base = mark(("user", "a"), ("assistant", "b"))
+    others = [mark(("user", "b"), ("assistant", "a")), mark(("user", "a"), ("assistant", None)), mark(("user", "a"), ("user", "b")),
+              mark(("user", "a")), mark(("user", "a"), ("assistant", "b"), max_tokens=16), mark(("user", "a"), ("assistant", "b"), system="s")]
+    assert len({base, *others}) == 7
 
 
 # --- what-if and quality ------------------------------------------------------------------
@@ -402,3 +412,37 @@ def test_guards(spark):
     assert (row["forbidden_present"], row["null_but_flagged"], row["value_but_unflagged"]) == ("price", 1, 1)
     weights = spark.createDataFrame([("a", 0.5), ("a", 0.5), ("b", 0.9)], "g string, w double")
     assert rows(quality.weights_sum(weights, ["g"], "w"), "g") == [("b",)]
+
+
+def test_conversion_leaves_wholesale_and_transfers_out(spark):
+    """One retail, one wholesale and one transfer bill on ten visits: 10 in 100."""
+    import datetime as dt
+
+    from kpisleuth.operators import kpis
+
+    day = dt.date(2025, 1, 6)
+    sales = spark.createDataFrame([(1, 1, day, "RETAIL", "SALE"), (2, 1, day, "B2B", "SALE"), (3, 1, day, "RETAIL", "TRANSFER")],
+                                  "txn_id long, store_id long, txn_date date, channel string, txn_type string")
+    visits = spark.createDataFrame([(1, day, 10, True)], "store_id long, footfall_date date, footfall int, counter_installed boolean")
+    stores = spark.createDataFrame([(1, "R")], "store_id long, region string")
+    assert kpis.conversion_rate(sales, visits, stores, "weekly").first()["conversion_rate_pt"] == 10.0
+
+
+def test_total_outage_shows(spark):
+    """Rows on the 1st and the 3rd: nothing of the feed arrived on the 2nd."""
+    import datetime as dt
+
+    from kpisleuth.operators import gates
+
+    feeds = spark.createDataFrame([("pos", dt.date(2025, 1, d), s, 6.0) for d in (1, 3) for s in (1, 2)],
+                                  "feed string, feed_date date, store_id long, amount double")
+    got = {r["feed_date"].day: r["apparent_movement_pct"] for r in gates.incident_impact(feeds).collect()}
+    assert got == {1: 0.0, 2: -100.0, 3: 0.0}
+
+
+def test_closed_days_include_the_last(spark, tmp_path):
+    from kpisleuth.plans import all_queries
+
+    rows = all_queries()["x1_stream_kpi"].run(spark, "/root/testdata/sf0.001")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    assert rows.agg(F.sum("items")).first()[0] == events.count()
