@@ -206,6 +206,45 @@ def did_region(units: DataFrame, keys: list[str]) -> DataFrame:
     ).withColumn("did_pt", 100.0 * ratio(F.col("loss"), F.col("base")))
 
 
+def store_tests(panel: DataFrame, keys: list[str]) -> DataFrame:
+    """Dose-response, specificity and difference-in-differences of every case,
+    from its stores, in one aggregate.
+
+    ``panel`` has a row per case and store: ``driver`` (change of the cause),
+    ``growth`` (change of the KPI), ``growth_before`` (the period before),
+    ``exposed`` (the cause moved the residual's way), ``now`` and ``before`` (the
+    KPI).  Stores that the cause missed are the controls.  ``dose_r`` is the
+    correlation over stores; ``spec`` compares growth between exposed and
+    controls, ``did`` the change of growth, ``pre`` the growth before (the
+    pre-test); each with Welch's t and df.  ``did_pt`` is the exposed stores'
+    loss against the controls' growth, over the scope's base.
+    """
+    on = F.col("exposed")
+    change = F.col("growth") - F.col("growth_before")
+    moments = []
+    for name, value in (("spec", F.col("growth")), ("did", change), ("pre", F.col("growth_before"))):
+        for side, flag in (("1", on), ("2", ~on)):
+            own = F.when(flag, value)
+            moments += [F.avg(own).alias(f"{name}_m{side}"), F.var_samp(own).alias(f"{name}_v{side}"),
+                        F.count(own).alias(f"{name}_n{side}")]
+    ready = on & F.col("growth").isNotNull()
+    correlation = F.corr("driver", "growth")
+    out = panel.groupBy(*keys).agg(
+        F.count(F.when(F.col("growth").isNotNull(), 1)).alias("stores"),
+        F.when(~F.isnan(correlation), correlation).alias("dose_r"),
+        F.avg(F.when(~on, F.col("growth"))).alias("_g"), F.sum(F.when(ready, F.col("before"))).alias("_pre"),
+        F.sum(F.when(ready, F.col("now"))).alias("_post"), F.sum("before").alias("_base"), *moments,
+    )
+    for name in ("spec", "did", "pre"):
+        sides = [F.col(f"{name}_{part}{side}") for side in "12" for part in "mvn"]
+        m1, v1, n1, m2, v2, n2 = sides
+        out = out.withColumn(f"{name}_t", welch_t(*sides)).withColumn(f"{name}_df", welch_df(v1, n1, v2, n2))
+    loss = F.col("_post") - F.col("_pre") * (1.0 + F.col("_g"))
+    return out.withColumn("did_pt", 100.0 * ratio(loss, F.col("_base"))).select(
+        *keys, "stores", "dose_r", *[f"{name}_{what}" for name in ("spec", "did", "pre") for what in ("t", "df")], "did_pt"
+    )
+
+
 def confounder_screen(hypotheses: DataFrame, keys: list[str]) -> DataFrame:
     """For each live hypothesis, the listed confounders also live and untested.
 

@@ -121,84 +121,185 @@ def m2(spark, folder):
     return causal.precedence(cause, effect, REGION)
 
 
-VIEWS["hyp_parts_v"] = f"""
-SELECT region, CAST(date_trunc('month', txn_date) AS DATE) AS period, CAST(sku_id % {len(config.HYPOTHESES)} AS INTEGER) AS hypothesis_no,
-  round(sum(net) / 1e7, 6) AS net, count(*) AS n, sum(net / 1e5) AS s, sum(net / 1e5 * (net / 1e5)) AS ss
-FROM scope_v JOIN stores_v USING (store_id) GROUP BY 1, 2, 3
+_SLICE = len(config.HYPOTHESES)
+VIEWS["slice_v"] = f"""
+SELECT region, store_id, CAST(date_trunc('month', txn_date) AS DATE) AS period, CAST(sku_id % {_SLICE} AS INTEGER) AS hypothesis_no,
+  sum(net) AS net, count(*) AS n
+FROM scope_v JOIN stores_v USING (store_id) GROUP BY 1, 2, 3, 4
+"""
+VIEWS["hyp_parts_v"] = """
+SELECT region, period, hypothesis_no, round(sum(net) / 1e7, 6) AS net, CAST(sum(n) AS BIGINT) AS n FROM slice_v GROUP BY 1, 2, 3
+"""
+VIEWS["store_growth_v"] = """
+SELECT c.store_id, c.period, c.total AS now, p.total AS before, c.total / nullif(p.total, 0) - 1.0 AS growth,
+  p.total / nullif(q.total, 0) - 1.0 AS growth_before
+FROM (SELECT store_id, period, sum(net) AS total FROM slice_v GROUP BY 1, 2) c
+LEFT JOIN (SELECT store_id, period, sum(net) AS total FROM slice_v GROUP BY 1, 2) p
+  ON p.store_id = c.store_id AND p.period = CAST(c.period - INTERVAL 1 MONTH AS DATE)
+LEFT JOIN (SELECT store_id, period, sum(net) AS total FROM slice_v GROUP BY 1, 2) q
+  ON q.store_id = c.store_id AND q.period = CAST(c.period - INTERVAL 2 MONTH AS DATE)
+"""
+VIEWS["store_panel_v"] = """
+SELECT c.region, c.period, c.hypothesis_no, g.*, c.net / p.net - 1.0 AS driver, sign(c.net / p.net - 1.0) = sign(d.residual_pt) AS exposed
+FROM slice_v c JOIN slice_v p ON p.store_id = c.store_id AND p.hypothesis_no = c.hypothesis_no AND p.net <> 0
+  AND p.period = CAST(c.period - INTERVAL 1 MONTH AS DATE)
+JOIN decomposed_v d ON d.region = c.region AND d.period = c.period AND d.residual_pt IS NOT NULL
+JOIN (SELECT store_id AS store, period AS month, now, before, growth, growth_before FROM store_growth_v) g
+  ON g.store = c.store_id AND g.month = c.period
+"""
+
+
+def _moment_sql(name: str, value: str) -> str:
+    sides = (("1", "exposed"), ("2", "NOT exposed"))
+    return ", ".join(f"avg({value}) FILTER (WHERE {flag}) AS {name}_m{k}, var_samp({value}) FILTER (WHERE {flag}) AS {name}_v{k}, "
+                     f"count({value}) FILTER (WHERE {flag}) AS {name}_n{k}" for k, flag in sides)
+
+
+def _welch_sql(n: str) -> str:
+    a, b = f"{n}_v1 / {n}_n1", f"{n}_v2 / {n}_n2"
+    return (f"({n}_m1 - {n}_m2) / nullif(sqrt({a} + {b}), 0) AS {n}_t, "
+            f"({a} + {b}) ** 2 / nullif(({a}) ** 2 / ({n}_n1 - 1) + ({b}) ** 2 / ({n}_n2 - 1), 0) AS {n}_df")
+
+
+def _p_sql(t: str, df: str) -> str:
+    """Two-sided Student p by the midpoint rule over the angle atan(t / sqrt(df))."""
+    area = lambda top: f"(SELECT sum(pow(cos({top} * (k + 0.5) / 400), {df} - 1)) * {top} / 400 FROM range(400) AS r(k))"
+    return f"1.0 - {area(f'atan(abs({t}) / sqrt({df}))')} / {area('(pi() / 2)')}"
+
+
+VIEWS["store_tests_v"] = f"""
+SELECT region, period, hypothesis_no, stores, nullif(dose_r, 'NaN'::DOUBLE) AS dose_r, {_welch_sql("spec")}, {_welch_sql("did")}, {_welch_sql("pre")},
+  100.0 * (post - pre * (1.0 + g)) / nullif(base, 0) AS did_pt
+FROM (SELECT region, period, hypothesis_no, count(growth) AS stores, corr(driver, growth) AS dose_r,
+    {_moment_sql("spec", "growth")}, {_moment_sql("did", "(growth - growth_before)")}, {_moment_sql("pre", "growth_before")},
+    avg(growth) FILTER (WHERE NOT exposed) AS g, sum(before) FILTER (WHERE exposed AND growth IS NOT NULL) AS pre,
+    sum(now) FILTER (WHERE exposed AND growth IS NOT NULL) AS post, sum(before) AS base
+  FROM store_panel_v GROUP BY 1, 2, 3)
+"""
+
+
+def _first_shift_sql(series: str, keys: str) -> str:
+    """Onset of each series (keys, period, value): the split of the largest gain, the earliest of equals."""
+    return f"""
+(SELECT {keys}, period AS onset FROM (
+  SELECT {keys}, period, row_number() OVER (PARTITION BY {keys} ORDER BY n1 * (n - n1) / CAST(n AS DOUBLE) * (s1 / n1 - (s - s1) / (n - n1)) ** 2 DESC NULLS LAST, period) AS rn
+  FROM (SELECT {keys}, period, count(value) OVER w AS n1, sum(value) OVER w AS s1, count(value) OVER (PARTITION BY {keys}) AS n,
+      sum(value) OVER (PARTITION BY {keys}) AS s
+    FROM {series} WINDOW w AS (PARTITION BY {keys} ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE n1 > 0
+) WHERE rn = 1)
+"""
+
+
+VIEWS["onsets_v"] = f"""
+SELECT c.region, c.hypothesis_no, c.onset < e.onset AS passed
+FROM {_first_shift_sql("(SELECT region, hypothesis_no, period, net AS value FROM hyp_parts_v)", "region, hypothesis_no")} c
+JOIN {_first_shift_sql("(SELECT region, period, value FROM cells_v)", "region")} e USING (region)
 """
 VIEWS["hyp_board_v"] = f"""
-SELECT *, t_raw AS t, 100.0 * volume_share * {config.AVAILABILITY_BETA} * abs(driver_change) AS max_impact_pt,
+SELECT *, 100.0 * volume_share * {config.AVAILABILITY_BETA} * abs(driver_change) AS max_impact_pt,
   100.0 * volume_share * {config.AVAILABILITY_BETA} * abs(driver_change) / nullif(abs(residual_pt), 0) AS impact_share,
-  coalesce(sign(driver_change) = sign(residual_pt), false) AS live, coalesce(abs(t_raw) >= 1.0, false) AS tested,
-  coalesce(sign(previous_change) = sign(residual_pt), false) AS precedence_passed
+  coalesce(sign(driver_change) = sign(residual_pt), false) AS live, did_t IS NOT NULL AS tested,
+  CASE WHEN sign(did_pt) = sign(residual_pt) THEN least(abs(did_pt), abs(residual_pt)) / nullif(abs(residual_pt), 0) ELSE 0.0 END AS attributed_share,
+  coalesce({_p_sql("pre_t", "pre_df")} > {config.PRETREND_MIN_P}, false) AS pretest_passed,
+  coalesce(dose_r >= {config.DOSE_MIN_R}, false) AS dose_passed,
+  coalesce({_p_sql("spec_t", "spec_df")} <= {config.SPECIFICITY_MAX_P} AND sign(spec_t) = sign(residual_pt), false) AS specificity_passed,
+  coalesce({_p_sql("did_t", "did_df")} <= {config.DID_MAX_P} AND sign(did_t) = sign(residual_pt), false) AS did_significant
 FROM (
   SELECT c.region, c.period, h.hypothesis, d.residual_pt, d.headline_pt, d.previous AS cell_previous, d.value AS cell_value,
     c.net / nullif(d.value, 0) AS volume_share, c.net / nullif(p.net, 0) - 1.0 AS driver_change,
-    p.net / nullif(q.net, 0) - 1.0 AS previous_change,
-    (c.s / c.n - p.s / p.n) / nullif(sqrt((c.ss - c.s * c.s / c.n) / (c.n - 1) / c.n + (p.ss - p.s * p.s / p.n) / (p.n - 1) / p.n), 0) AS t_raw
+    coalesce(o.passed, false) AS precedence_passed, t.dose_r, t.spec_t, t.spec_df, t.did_t, t.did_df, t.pre_t, t.pre_df, t.did_pt
   FROM hyp_parts_v c JOIN hyp_v h USING (hypothesis_no)
   JOIN decomposed_v d ON d.region = c.region AND d.period = c.period AND d.residual_pt IS NOT NULL
   JOIN hyp_parts_v p ON p.region = c.region AND p.hypothesis_no = c.hypothesis_no AND p.period = CAST(c.period - INTERVAL 1 MONTH AS DATE)
-  LEFT JOIN hyp_parts_v q ON q.region = c.region AND q.hypothesis_no = c.hypothesis_no AND q.period = CAST(c.period - INTERVAL 2 MONTH AS DATE)
+  LEFT JOIN onsets_v o ON o.region = c.region AND o.hypothesis_no = c.hypothesis_no
+  LEFT JOIN store_tests_v t ON t.region = c.region AND t.period = c.period AND t.hypothesis_no = c.hypothesis_no
   WHERE c.n > 1 AND p.n > 1
 )
 """
 
 
-def month_moments(spark, folder) -> DataFrame:
-    """Net revenue and line moments per (region, month, hypothesis slice).
+def store_slices(spark, folder) -> DataFrame:
+    """Net revenue per (store, month, hypothesis slice), the only scan of the facts.
 
-    Each hypothesis owns a slice of the SKUs.  Lines are reduced per (store,
-    slice, month) before regions attach, in one scan of the facts; the result
-    has at most regions x months x templates rows and is written once.
+    Each hypothesis owns a slice of the SKUs.  Written once: the board and the
+    store tests both start from it.
     """
-    lakh = F.col("net_amount") / config.LAKH
     per_store = conformed(spark, folder).groupBy(
         "store_id", F.date_trunc("month", "txn_date").cast("date").alias("period"),
-        (F.col("sku_id") % len(config.HYPOTHESES)).cast("int").alias("hypothesis_no"),
-    ).agg(F.sum("net_amount").alias("net"), F.count(F.lit(1)).alias("n"), F.sum(lakh).alias("s"), F.sum(lakh * lakh).alias("ss"),
-        F.bit_or(gates.week_mask("txn_date")).alias("weeks"))
-    return written(located(per_store, spark, folder).groupBy(*CASE, "hypothesis_no").agg(
-        F.sum("net").alias("net"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
-        F.bit_or("weeks").alias("weeks"),
-    ), "month-moments")
-
-
-def hypothesis_board(spark, folder, parts: DataFrame | None = None) -> DataFrame:
-    """One row per (region, month, hypothesis): share, driver change, t, flags."""
+        (F.col("sku_id") % _SLICE).cast("int").alias("hypothesis_no"),
+    ).agg(F.sum("net_amount").alias("net"), F.count(F.lit(1)).alias("n"), F.bit_or(gates.week_mask("txn_date")).alias("weeks"))
+    return written(located(per_store, spark, folder), "store-slices")
+
+
+def slice_months(slices: DataFrame) -> DataFrame:
+    """The same by region; at most regions x months x templates rows."""
+    return written(slices.groupBy(*CASE, "hypothesis_no").agg(
+        F.sum("net").alias("net"), F.sum("n").alias("n"), F.bit_or("weeks").alias("weeks")), "slice-months")
+
+
+def tested_slices(slices: DataFrame, cells: DataFrame) -> DataFrame:
+    """Store tests of every (region, month, slice); ``cells`` give the residual's sign."""
+    monthly = slices.groupBy("store_id", "period").agg(F.sum("net").alias("now"))
+    before = previous_by_period(F.col("now"), ["store_id"], "period")
+    staged = monthly.withColumn("before", before)
+    earlier = previous_by_period(F.col("before"), ["store_id"], "period")
+    grown = staged.withColumn("earlier", earlier).select(
+        "store_id", "period", "now", "before", (ratio(F.col("now"), F.col("before")) - 1.0).alias("growth"),
+        (ratio(F.col("before"), F.col("earlier")) - 1.0).alias("growth_before"),
+    )
+    last = previous_by_period(F.col("net"), ["store_id", "hypothesis_no"], "period")
+    moved = slices.withColumn("driver", ratio(F.col("net"), last) - 1.0).where("driver IS NOT NULL")
+    panel = moved.join(cells.select(*CASE, "residual_pt"), CASE).join(grown, ["store_id", "period"]).withColumn(
+        "exposed", F.signum("driver") == F.signum("residual_pt"))
+    found = causal.store_tests(panel, [*CASE, "hypothesis_no"])
+    for name in ("spec", "did", "pre"):
+        found = found.withColumn(f"{name}_p", p_student_t(f"{name}_t", f"{name}_df"))
+    return found
+
+
+def hypothesis_board(spark, folder, slices: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
+    """One row per (region, month, hypothesis): share, driver change, tests."""
+    if slices is None:
+        slices = store_slices(spark, folder)
     if parts is None:
-        parts = month_moments(spark, folder)
+        parts = slice_months(slices)
     keys = ["region", "hypothesis_no"]
-    moments = (
-        parts.withColumn("net", crore(F.col("net")))
-        .withColumn("mean", F.col("s") / F.col("n"))
-        .withColumn("var", ratio(F.col("ss") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - 1))
-    )
-    before = previous_by_period(F.struct("net", "n", "mean", "var"), keys, "period")
-    staged = moments.withColumn("_b", before).withColumn("_prev_net", F.col("_b.net"))
-    two_back = previous_by_period(F.col("_prev_net"), keys, "period")
-    named = staged.withColumn("_net2", two_back).join(
-        F.broadcast(config.hypothesis_table(spark).select("hypothesis_no", "hypothesis")), "hypothesis_no"
-    )
-    totals = parts.groupBy(*CASE).agg(crore(F.sum("net")).alias("value"))
+    sized = parts.withColumn("net", crore(F.col("net")))
+    staged = sized.withColumn("_b", previous_by_period(F.struct("net", "n"), keys, "period"))
+    named = staged.join(F.broadcast(config.hypothesis_table(spark).select("hypothesis_no", "hypothesis")), "hypothesis_no")
+    totals = written(parts.groupBy(*CASE).agg(crore(F.sum("net")).alias("value")), "slice-totals")
     cells = movement.decompose(movement.trailing_expected(totals, REGION), REGION).where(
         "residual_pt IS NOT NULL"
     ).select(*CASE, "residual_pt", "headline_pt", F.col("previous").alias("cell_previous"), F.col("value").alias("cell_value"))
-    t = welch_t(F.col("mean"), F.col("var"), F.col("n"), F.col("_b.mean"), F.col("_b.var"), F.col("_b.n"))
-    board = named.where("n > 1 AND _b.n > 1").join(cells, CASE).select(
-        *HYP, "residual_pt", "headline_pt", "cell_previous", "cell_value",
-        ratio(F.col("net"), F.col("cell_value")).alias("volume_share"),
-        (ratio(F.col("net"), F.col("_b.net")) - 1.0).alias("driver_change"),
-        (ratio(F.col("_prev_net"), F.col("_net2")) - 1.0).alias("previous_change"),
-        t.alias("t"),
-        F.lit(config.AVAILABILITY_BETA).alias("elasticity"),
+    causes = causal.onset(sized.select(*keys, "period", F.col("net").alias("value")), keys, "period")
+    effects = causal.onset(totals, REGION, "period")
+    first = causes.select(*keys, F.col("onset").alias("_cause")).join(
+        effects.select("region", F.col("onset").alias("_effect")), "region"
+    ).select(*keys, (F.col("_cause") < F.col("_effect")).alias("_precedes"))
+    board = (
+        named.where("n > 1 AND _b.n > 1").join(cells, CASE).join(first, keys, "left")
+        .join(tested_slices(slices, cells), [*CASE, "hypothesis_no"], "left")
+        .select(
+            *HYP, "residual_pt", "headline_pt", "cell_previous", "cell_value",
+            ratio(F.col("net"), F.col("cell_value")).alias("volume_share"),
+            (ratio(F.col("net"), F.col("_b.net")) - 1.0).alias("driver_change"),
+            F.coalesce("_precedes", F.lit(False)).alias("precedence_passed"),
+            F.lit(config.AVAILABILITY_BETA).alias("elasticity"),
+            "dose_r", "spec_t", "spec_p", "did_t", "did_p", "pre_p", "did_pt",
+        )
     )
     same = lambda c: F.coalesce(F.signum(c) == F.signum("residual_pt"), F.lit(False))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    part = F.least(F.abs("did_pt"), F.abs("residual_pt"))
     return written(
         causal.sufficiency(board)
         .withColumn("live", same("driver_change"))
-        .withColumn("tested", F.coalesce(F.abs("t") >= 1.0, F.lit(False)))
-        .withColumn("precedence_passed", same("previous_change")),
+        .withColumn("tested", F.col("did_t").isNotNull())
+        .withColumn("attributed_share", F.when(same("did_pt"), ratio(part, F.abs("residual_pt"))).otherwise(0.0))
+        .withColumn("pretest_passed", sure(F.col("pre_p") > config.PRETREND_MIN_P))
+        .withColumn("dose_passed", sure(F.col("dose_r") >= config.DOSE_MIN_R))
+        .withColumn("specificity_passed", sure(F.col("spec_p") <= config.SPECIFICITY_MAX_P) & same("spec_t"))
+        .withColumn("did_significant", sure(F.col("did_p") <= config.DID_MAX_P) & same("did_t")),
         "hypotheses",
     )
 
@@ -389,10 +490,10 @@ def judged_board(board: DataFrame) -> DataFrame:
     """The board with its templates' rules, confounder screen and test coverage."""
     rules = F.broadcast(config.hypothesis_table(board.sparkSession).drop("hypothesis_no", "prior", "affects"))
     known = causal.missing_sources(board.join(rules, "hypothesis"))
-    beyond = lambda z: F.coalesce(F.abs("t") >= z, F.lit(False))
     return causal.test_coverage(causal.confounder_screen(known, CASE), {
         "precedence": F.col("precedence_passed"), "sufficiency": F.coalesce("passed", F.lit(False)),
-        "dose_response": beyond(1.0), "specificity": beyond(1.96), "did": beyond(2.576),
+        "dose_response": F.col("dose_passed"), "specificity": F.col("specificity_passed"),
+        "did": F.col("did_significant") & F.col("pretest_passed"),
         "confounder_screen": F.col("live") & ~F.col("screen_failed"),
     })
 
@@ -417,8 +518,8 @@ def m12(spark, folder):
 
 VIEWS["result_v"] = """
 SELECT b.region, b.period, b.hypothesis, test, CASE test WHEN 'precedence' THEN precedence_passed
-  WHEN 'sufficiency' THEN coalesce(impact_share >= 0.3, false) WHEN 'dose_response' THEN coalesce(abs(t) >= 1.0, false)
-  WHEN 'specificity' THEN coalesce(abs(t) >= 1.96, false) WHEN 'did' THEN coalesce(abs(t) >= 2.576, false)
+  WHEN 'sufficiency' THEN coalesce(impact_share >= 0.3, false) WHEN 'dose_response' THEN dose_passed
+  WHEN 'specificity' THEN specificity_passed WHEN 'did' THEN did_significant AND pretest_passed
   ELSE s.hypothesis IS NOT NULL AND s.unresolved IS NULL END AS passed
 FROM hyp_board_v b
 JOIN (SELECT hypothesis, unnest(applicable_tests) AS test FROM hyp_v) a ON a.hypothesis = b.hypothesis
@@ -463,14 +564,14 @@ SELECT hypothesis, period, avg(CASE WHEN reliability < 0.6 THEN 1.0 ELSE 0.0 END
 FROM evid_v JOIN tier_v USING (kind) GROUP BY 1, 2
 """
 VIEWS["evid_contra_v"] = """
-SELECT hypothesis, period, count(*) FILTER (WHERE net > 0) > 0 AND count(*) FILTER (WHERE net < 0) > 0 AS contradictory
-FROM (SELECT hypothesis, period, source_ref, sum(sign) AS net FROM evid_v GROUP BY 1, 2, 3) GROUP BY 1, 2
+SELECT period, count(*) FILTER (WHERE net > 0) > 0 AND count(*) FILTER (WHERE net < 0) > 0 AS contradictory
+FROM (SELECT period, source_ref, sum(sign) AS net FROM evid_v GROUP BY 1, 2) GROUP BY 1
 """
 VIEWS["evid_hyp_v"] = """
-SELECT hypothesis, round((sp * up + sn * un) / nullif(CAST((sp + sn) * (up + un) AS DOUBLE), 0), 6) AS concordance FROM (
-  SELECT hypothesis, count(*) FILTER (WHERE s AND sign = 1) AS sp, count(*) FILTER (WHERE s AND sign = -1) AS sn,
+SELECT hypothesis, period, round((sp * up + sn * un) / nullif(CAST((sp + sn) * (up + un) AS DOUBLE), 0), 6) AS concordance FROM (
+  SELECT hypothesis, period, count(*) FILTER (WHERE s AND sign = 1) AS sp, count(*) FILTER (WHERE s AND sign = -1) AS sn,
     count(*) FILTER (WHERE NOT s AND sign = 1) AS up, count(*) FILTER (WHERE NOT s AND sign = -1) AS un
-  FROM (SELECT *, kind IN ('structured_query', 'derived_estimate') AS s FROM evid_v) GROUP BY 1)
+  FROM (SELECT *, kind IN ('structured_query', 'derived_estimate') AS s FROM evid_v) GROUP BY 1, 2)
 """
 VIEWS["quality_v"] = """
 SELECT hypothesis, min(greatest(0.0, least(1.0, (96.0 - age) / 72.0)) * completeness) AS data_quality, max(age) AS staleness_hours
@@ -484,10 +585,10 @@ SELECT hypothesis, count(*) AS closed_cases, avg(CAST(outcome AS DOUBLE)) AS cas
 """
 VIEWS["scored_v"] = f"""
 SELECT *, 0.28 * s1 + 0.20 * s2 + 0.16 * s3 + 0.14 * s4 + 0.10 * s5 + 0.12 * s6 AS raw FROM (
-  SELECT b.*, c.coverage, 1.0 / (1.0 + exp(-abs(coalesce(b.t, 0.0)))) AS s1, c.coverage AS s2, coalesce(e.concordance, 0.0) AS s3,
+  SELECT b.*, c.coverage, 1.0 / (1.0 + exp(-CASE WHEN pretest_passed THEN abs(coalesce(b.did_t, 0.0)) ELSE 0.0 END)) AS s1, c.coverage AS s2, coalesce(e.concordance, 0.0) AS s3,
     greatest(0.0, least(1.0, coalesce(q.data_quality, 0.0))) AS s4,
     greatest(0.0, least(1.0, least(1.0, weeks_held / 52.0) - CASE WHEN abs(headline_pt) >= 50.0 THEN 0.15 ELSE 0.0 END)) AS s5,
-    greatest(0.0, least(1.0, coalesce(impact_share, 0.0))) AS s6,
+    greatest(0.0, least(1.0, coalesce(attributed_share, 0.0))) AS s6,
     coalesce(low_share, 0.0) AS low_share, coalesce(contradictory, false) AS contradictory, coalesce(staleness_hours, 0.0) AS staleness_hours,
     coalesce(closed_cases, 0) AS closed_cases, coalesce(case_type_accuracy, 1.0) AS case_type_accuracy,
     h.verifiable,
@@ -496,10 +597,10 @@ SELECT *, 0.28 * s1 + 0.20 * s2 + 0.16 * s3 + 0.14 * s4 + 0.10 * s5 + 0.12 * s6
   JOIN (SELECT region, period, hypothesis, round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM result_v GROUP BY 1, 2, 3) c
     ON c.region = b.region AND c.period = b.period AND c.hypothesis = b.hypothesis
   JOIN weeks_v w ON w.region = b.region
-  LEFT JOIN evid_hyp_v e ON e.hypothesis = b.hypothesis
+  LEFT JOIN evid_hyp_v e ON e.hypothesis = b.hypothesis AND e.period = b.period
   LEFT JOIN quality_v q ON q.hypothesis = b.hypothesis
   LEFT JOIN evid_case_v ec ON ec.hypothesis = b.hypothesis AND ec.period = b.period
-  LEFT JOIN evid_contra_v ct ON ct.hypothesis = b.hypothesis AND ct.period = b.period
+  LEFT JOIN evid_contra_v ct ON ct.period = b.period
   LEFT JOIN calib_v k ON k.hypothesis = b.hypothesis
   LEFT JOIN screen_v sc ON sc.region = b.region AND sc.period = b.period AND sc.hypothesis = b.hypothesis
   WHERE b.live
@@ -544,20 +645,23 @@ def scored_hypotheses(spark, folder) -> DataFrame:
     """Live hypotheses of every cell with their components and raw confidence."""
     items = standins.evidence(spark, folder)
     case_keys = ["hypothesis", "period"]
-    parts = month_moments(spark, folder)
-    board = judged_board(hypothesis_board(spark, folder, parts)).where("live")
-    signals = evidence.case_signals(items, config.reliability_table(spark), case_keys)
-    agree = evidence.concordance(items).select("hypothesis", "concordance")
+    slices = store_slices(spark, folder)
+    parts = slice_months(slices)
+    board = judged_board(hypothesis_board(spark, folder, slices, parts)).where("live")
+    signals = evidence.case_signals(items, config.reliability_table(spark), case_keys).drop("contradictory")
+    agree = evidence.concordance(items, case_keys).select(*case_keys, "concordance")
+    # Contradiction is judged over all evidence of a case, whatever it is about.
+    against = evidence.contradictions(items, ["period"]).select("period", "contradictory")
     closed = ledger(spark, folder).groupBy("hypothesis").agg(
         F.count(F.lit(1)).alias("closed_cases"), F.avg(F.col("outcome").cast("double")).alias("case_type_accuracy")
     )
     weeks = gates.weeks_held(parts, REGION, "period", "weeks")
     case = (
         board.join(weeks, "region")
-        .join(agree, "hypothesis", "left").join(evidence_quality(spark, folder), "hypothesis", "left")
-        .join(signals, case_keys, "left").join(closed, "hypothesis", "left")
+        .join(agree, case_keys, "left").join(evidence_quality(spark, folder), "hypothesis", "left")
+        .join(signals, case_keys, "left").join(against, "period", "left").join(closed, "hypothesis", "left")
+        .withColumn("t", F.when(F.col("pretest_passed"), F.col("did_t")))  # a failed pre-test leaves the estimate without weight
         .withColumn("regime_change", F.abs("headline_pt") >= 50.0)
-        .withColumn("attributed_share", F.least(F.lit(1.0), F.coalesce("impact_share", F.lit(0.0))))
         .withColumn("low_share", F.coalesce("low_share", F.lit(0.0)))
         .withColumn("contradictory", F.coalesce("contradictory", F.lit(False)))
         .withColumn("staleness_hours", F.coalesce("staleness_hours", F.lit(0.0)))
@@ -692,7 +796,7 @@ SELECT *, CASE WHEN triggers_fired <> '' THEN 'INSUFFICIENT_EVIDENCE'
     WHEN s6 < 0.70 THEN 'coverage_below_threshold' ELSE 'confidence_below_threshold' END AS reason_code
 FROM (
   SELECT t.*, coalesce(u.held, 0.0) > 0.5 AS blocked FROM trigger_v t LEFT JOIN (
-    SELECT region, period, max(least(1.0, coalesce(impact_share, 0.0)) * abs(residual_pt) / 100.0 * cell_previous) AS held
+    SELECT region, period, max(attributed_share * abs(residual_pt) / 100.0 * cell_previous) AS held
     FROM scored_v WHERE NOT verifiable GROUP BY 1, 2
   ) u ON u.region = t.region AND u.period = t.period
 )
@@ -730,7 +834,7 @@ def f8(spark, folder):
 VIEWS["action_v"] = """
 SELECT *, attributable_loss * p25 AS recovery_low, attributable_loss * p75 AS recovery_high FROM (
   SELECT s.region, s.period, s.hypothesis, s.region || '/' || CAST(s.period AS VARCHAR) || '/' || s.hypothesis AS case_id, p.*,
-    s.precedence_passed, s.volume_share, s.confidence, s.driver_change, s.t,
+    s.precedence_passed, s.volume_share, s.confidence, s.driver_change,
     s6 * abs(residual_pt) / 100.0 * cell_previous * 1e7 AS attributable_loss,
     fixed_cost + CASE cost_type WHEN 'per_store_unit_cost' THEN unit_cost * CASE scales_with WHEN 'treated_store_count' THEN treated
         WHEN 'uninstrumented_store_count' THEN uninstrumented WHEN 'affected_store_count' THEN total END

@@ -73,7 +73,7 @@ def main() -> int:
 
     folder = sys.argv[1]
     wanted = sys.argv[2:]
-    spark = get_spark(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+    spark = get_spark(master=f"local[{__import__('os').environ.get('COMPARE_CPUS', '8')}]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                              "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)

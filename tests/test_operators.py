@@ -446,3 +446,42 @@ def test_closed_days_include_the_last(spark, tmp_path):
     rows = all_queries()["x1_stream_kpi"].run(spark, "/root/testdata/sf0.001")
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert rows.agg(F.sum("items")).first()[0] == events.count()
+
+
+def store_panel(effect):
+    """Forty stores: the cause hits half of them by varying doses; ``effect`` of the dose reaches the KPI."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for store in range(40):
+        dose = -0.3 - 0.4 * rng.random() if store % 2 else 0.1 * rng.random()
+        earlier = rng.gauss(0.0, 0.03)
+        growth = effect * dose + rng.gauss(0.0, 0.03)
+        rows.append(("R", store, dose, growth, earlier, dose < 0, 100.0 * (1 + growth), 100.0))
+    return rows
+
+
+@pytest.mark.parametrize("effect", [1.0, 0.0])
+def test_an_injected_effect_passes_the_store_tests_and_its_removal_does_not(spark, effect):
+    from kpisleuth.functions.stats import p_student_t
+    from kpisleuth.operators import causal
+
+    frame = spark.createDataFrame(store_panel(effect), "region string, store_id long, driver double, growth double, growth_before double, "
+                                  "exposed boolean, now double, before double")
+    row = causal.store_tests(frame, ["region"]).withColumn("did_p", p_student_t("did_t", "did_df")).withColumn(
+        "pre_p", p_student_t("pre_t", "pre_df")).withColumn("spec_p", p_student_t("spec_t", "spec_df")).first()
+    assert row["stores"] == 40 and row["pre_p"] > 0.05
+    passed = [row["dose_r"] >= 0.30, row["spec_p"] <= 0.05 and row["spec_t"] < 0, row["did_p"] <= 0.01 and row["did_t"] < 0]
+    assert passed == [effect == 1.0] * 3
+    exposed = [r for r in store_panel(effect) if r[5]]
+    control = sum(r[3] for r in store_panel(effect) if not r[5]) / 20
+    assert row["did_pt"] == pytest.approx(100.0 * sum(r[6] - r[7] * (1 + control) for r in exposed) / 4000.0)
+
+
+def test_a_case_of_one_store_has_no_tests(spark):
+    from kpisleuth.operators import causal
+
+    row = causal.store_tests(spark.createDataFrame(store_panel(1.0)[:1], "region string, store_id long, driver double, growth double, growth_before double, "
+                                                   "exposed boolean, now double, before double"), ["region"]).first()
+    assert row["dose_r"] is None and row["spec_t"] is None and row["did_t"] is None
