@@ -13,7 +13,7 @@ from kpisleuth.plans.facts import (
     FESTIVAL_WINDOW_ROWS, INTENSITY_ROWS, REGION_OF, conformed, customer_regions, festival_windows,
     region_cells, sales_days,
 )
-from kpisleuth.plans.registry import query
+from kpisleuth.plans.registry import VIEWS, query
 from kpisleuth.session import written
 from kpisleuth.sources import standins, tables
 
@@ -179,10 +179,8 @@ def d8(spark, folder):
     return band_weeks(spark, folder).select("region", "period", r("residual"), r("band"), "weeks_held")
 
 
-@query("d9_price_mix", """
-SELECT c.region, c.period, round(asp + 1e-9, 4) AS asp, round(asp - asp_before + 1e-9, 4) AS asp_delta,
-  round(price_effect + 1e-9, 4) AS price_effect, round(asp - asp_before - price_effect + 1e-9, 4) AS mix_effect
-FROM (
+VIEWS["price_mix_v"] = """
+SELECT c.region, c.period, asp, asp_before, asp - asp_before AS asp_delta, price_effect FROM (
   SELECT n.region, n.period, sum(n.net) / sum(n.units) AS asp,
     sum(coalesce((n.net / n.units - p.net / p.units) * p.units / p.total, 0.0)) AS price_effect
   FROM parts_v n LEFT JOIN parts_v p ON p.region = n.region AND p.sub_category = n.sub_category
@@ -191,8 +189,21 @@ FROM (
 ) c JOIN (
   SELECT region, period, sum(net) / sum(units) AS asp_before FROM parts_v GROUP BY 1, 2
 ) b ON b.region = c.region AND b.period = CAST(c.period - INTERVAL 1 MONTH AS DATE)
+"""
+
+
+@query("d9_price_mix", """
+SELECT region, period, round(asp + 1e-9, 4) AS asp, round(asp_delta + 1e-9, 4) AS asp_delta,
+  round(price_effect + 1e-9, 4) AS price_effect, round(asp_delta - price_effect + 1e-9, 4) AS mix_effect FROM price_mix_v
 """)
 def d9(spark, folder):
+    return region_price_mix(spark, folder).select(
+        "region", "period", *[price(F.col(c)).alias(c) for c in ("asp", "asp_delta", "price_effect", "mix_effect")]
+    )
+
+
+def region_price_mix(spark, folder) -> DataFrame:
+    """Price and mix parts of each region's monthly change in selling price."""
     month = F.date_trunc("month", "txn_date").cast("date").alias("period")
     per_sku = conformed(spark, folder).groupBy("store_id", "sku_id", month).agg(
         F.sum("net_amount").alias("net"), F.sum("units").alias("units")
@@ -203,9 +214,7 @@ def d9(spark, folder):
         .groupBy("region", "sub_category", "period")
         .agg(F.sum("net").alias("net"), F.sum("units").alias("units"))
     )
-    return movement.price_mix(parts, REGION, "sub_category").select(
-        "region", "period", *[price(F.col(c)).alias(c) for c in ("asp", "asp_delta", "price_effect", "mix_effect")]
-    )
+    return movement.price_mix(parts, REGION, "sub_category")
 
 
 def store_movement(spark, folder) -> DataFrame:

@@ -9,7 +9,7 @@ from kpisleuth import config
 from kpisleuth.functions.columns import crore, previous_by_period, ratio, rounded
 from kpisleuth.functions.stats import p_student_t, welch_t
 from kpisleuth.operators import actions, causal, confidence, evidence, gates, matching, movement
-from kpisleuth.plans.cases import decomposed_cells, r
+from kpisleuth.plans.cases import decomposed_cells, r, region_price_mix
 from kpisleuth.plans.facts import conformed
 from kpisleuth.plans.registry import VIEWS, query
 from kpisleuth.session import written
@@ -834,23 +834,31 @@ def f8(spark, folder):
 VIEWS["action_v"] = """
 SELECT *, attributable_loss * p25 AS recovery_low, attributable_loss * p75 AS recovery_high FROM (
   SELECT s.region, s.period, s.hypothesis, s.region || '/' || CAST(s.period AS VARCHAR) || '/' || s.hypothesis AS case_id, p.*,
-    s.precedence_passed, s.volume_share, s.confidence, s.driver_change,
+    s.precedence_passed, s.confidence, coalesce(x.price_effect > 0, false) AS price_event,
+    coalesce(100.0 * x.price_effect / nullif(x.asp_before, 0), 0.0) AS price_effect_pct,
     s6 * abs(residual_pt) / 100.0 * cell_previous * 1e7 AS attributable_loss,
     fixed_cost + CASE cost_type WHEN 'per_store_unit_cost' THEN unit_cost * CASE scales_with WHEN 'treated_store_count' THEN treated
         WHEN 'uninstrumented_store_count' THEN uninstrumented WHEN 'affected_store_count' THEN total END
         * CASE WHEN cost_unit = 'store_week' THEN horizon_weeks ELSE 1 END
-      WHEN 'annual_subscription' THEN unit_cost WHEN 'margin_forgone' THEN abs(driver_change) * volume_share * cell_value * 1e7 END AS cost_inr,
+      WHEN 'annual_subscription' THEN unit_cost WHEN 'margin_forgone' THEN greatest(coalesce(x.price_effect / nullif(x.asp_before, 0), 0.0), 0.0)
+        * volume_share * cell_value * 1e7 END AS cost_inr,
     max(round(after_caps, 6)) OVER (PARTITION BY s.region, s.period) AS best_confidence
   FROM (SELECT *, round(after_caps, 6) AS confidence FROM capped_v) s
   JOIN (SELECT region, count(*) FILTER (WHERE is_treated) AS treated, count(*) FILTER (WHERE NOT has_footfall_counter) AS uninstrumented,
       count(*) AS total FROM stores_v GROUP BY 1) g ON g.region = s.region
   LEFT JOIN book_v p ON p.driver = s.hypothesis
+  LEFT JOIN price_mix_v x ON x.region = s.region AND x.period = s.period
 ) WHERE playbook IS NOT NULL
 """
 
 
 def action_board(spark, folder) -> DataFrame:
-    """Live hypotheses with a playbook, with the quantities their costs scale with."""
+    """Live hypotheses with a playbook, with the quantities their costs scale with.
+
+    The price event and its depth are the price part of the region's change in
+    selling price, with the mix held.
+    """
+    price_parts = region_price_mix(spark, folder).select(*CASE, "price_effect", "asp_before")
     stores = standins.stores(spark, folder).groupBy("region").agg(
         F.count_if(F.col("is_treated")).alias("treated_stores"),
         F.count_if(~F.col("has_footfall_counter")).alias("uninstrumented_stores"),
@@ -863,7 +871,9 @@ def action_board(spark, folder) -> DataFrame:
         .join(stores, "region")
         .withColumn("driver", F.col("hypothesis"))
         .withColumn("case_id", F.concat_ws("/", "region", F.col("period").cast("string"), "hypothesis"))
-        .withColumn("depth", F.abs("driver_change"))
+        .join(price_parts, CASE, "left")
+        .withColumn("price_change", F.coalesce(ratio(F.col("price_effect"), F.col("asp_before")), F.lit(0.0)))
+        .withColumn("depth", F.greatest("price_change", F.lit(0.0)))  # what a rollback would take back
         .withColumn("affected_revenue", F.col("volume_share") * F.col("cell_value") * config.CRORE)
         .withColumn("attributable_loss",
                     F.col("s6") * F.abs("residual_pt") / 100.0 * F.col("cell_previous") * config.CRORE)
@@ -919,15 +929,14 @@ def r5(spark, folder):
 
 
 @query("r6_eligible_actions", """
-SELECT case_id, playbook, cost_type <> 'margin_forgone' OR coalesce(driver_change > 0 AND precedence_passed
-  AND volume_share * abs(driver_change) * 100.0 >= 2.0 AND confidence >= best_confidence, false) AS eligible FROM action_v
+SELECT case_id, playbook, cost_type <> 'margin_forgone' OR coalesce(price_event AND precedence_passed
+  AND price_effect_pct >= 2.0 AND confidence >= best_confidence, false) AS eligible FROM action_v
 """)
 def r6(spark, folder):
     case = (
         action_board(spark, folder)
-        .withColumn("price_event_confirmed", F.col("driver_change") > 0)
-        .withColumn("mix_adjusted_material", F.col("volume_share") * F.abs("driver_change") * 100.0
-                    >= config.KPIS["avg_selling_price"]["materiality"])
+        .withColumn("price_event_confirmed", F.col("price_effect") > 0)
+        .withColumn("mix_adjusted_material", 100.0 * F.col("price_change") >= config.KPIS["avg_selling_price"]["materiality"])
         .withColumn("no_stronger_rival", F.col("confidence") >= F.col("best_confidence"))
     )
     return actions.eligible_actions(case).select("case_id", "playbook", "eligible")
