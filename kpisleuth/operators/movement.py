@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpisleuth import config
@@ -27,10 +27,13 @@ def movement(cells: DataFrame, keys: list[str], months: int = 1) -> DataFrame:
     )
 
 
-def trailing_expected(cells: DataFrame, keys: list[str], periods: int = 12) -> DataFrame:
+def trailing_expected(cells: DataFrame, keys: list[str], periods: int = 12, additive: Column | None = None) -> DataFrame:
     """Expected value: mean daily level of the trailing periods times the days
-    in the month.  Null until a full run of periods is held."""
+    in the month; where ``additive`` is false (a rate or a price), the mean
+    level itself.  Null until a full run of periods is held."""
     days = F.dayofmonth(F.last_day("period"))
+    if additive is not None:
+        days = F.when(additive, days).otherwise(1)
     run = Window.partitionBy(*keys).orderBy("period").rowsBetween(-periods, -1)
     held = F.count("value").over(run) == periods
     level = F.avg(F.col("value") / days).over(run)

@@ -277,7 +277,7 @@ def g2(spark, folder):
 KPI_CELLS_SQL = """
 (SELECT 'net_revenue' AS kpi, region, period, value FROM cells_v
  UNION ALL
- SELECT 'transactions', region, CAST(date_trunc('month', txn_date) AS DATE), CAST(count(DISTINCT (txn_id, store_id)) AS DOUBLE)
+ SELECT 'transactions', region, CAST(date_trunc('month', txn_date) AS DATE), CAST(count(DISTINCT txn_id) AS DOUBLE)
  FROM scope_v JOIN stores_v USING (store_id) GROUP BY 2, 3
  UNION ALL
  SELECT 'avg_selling_price', region, CAST(date_trunc('month', txn_date) AS DATE), round(sum(net) / sum(units) + 1e-9, 4)
@@ -296,19 +296,26 @@ def month(day: str):
 def store_months(spark, folder) -> DataFrame:
     """Additive parts per store and month."""
     return conformed(spark, folder).groupBy("store_id", month("txn_date")).agg(
-        F.sum("net_amount").alias("net"), F.sum("units").alias("units"), F.countDistinct("txn_id").alias("bills"),
-        F.bit_or(gates.week_mask("txn_date")).alias("weeks"),
+        F.sum("net_amount").alias("net"), F.sum("units").alias("units"), F.bit_or(gates.week_mask("txn_date")).alias("weeks"),
     )
 
 
+def region_bills(spark, folder) -> DataFrame:
+    """Bills of a region: one that several of its stores share counts once."""
+    stores = standins.stores(spark, folder).select("store_id", "region")
+    seen = conformed(spark, folder).select("store_id", month("txn_date"), "txn_id").distinct()
+    return seen.join(stores, "store_id").select("region", "period", "txn_id").distinct().groupBy("region", "period").agg(
+        F.count(F.lit(1)).alias("bills"))
+
+
 def kpi_cells(spark, folder, per_store: DataFrame | None = None) -> DataFrame:
     """Four KPIs by region and month in long form."""
     stores = standins.stores(spark, folder).select("store_id", "region")
     if per_store is None:
         per_store = store_months(spark, folder)
     sums = per_store.join(stores, "store_id").groupBy("region", "period").agg(
-        F.sum("net").alias("net"), F.sum("units").alias("units"), F.sum("bills").alias("bills")
-    )
+        F.sum("net").alias("net"), F.sum("units").alias("units")
+    ).join(region_bills(spark, folder), ["region", "period"])
     long = sums.select("region", "period", F.inline(F.array(
         F.struct(F.lit("net_revenue").alias("kpi"), crore(F.col("net")).alias("value")),
         F.struct(F.lit("transactions").alias("kpi"), F.col("bills").cast("double").alias("value")),
@@ -326,32 +333,47 @@ def kpi_cells(spark, folder, per_store: DataFrame | None = None) -> DataFrame:
     return long.unionByName(quick)
 
 
+# KPIs that add up over days; the others are rates or prices.
+ADDITIVE = ("net_revenue", "transactions")
+_KPI_EXPECTED_SQL = f"""
+(SELECT *, CASE WHEN count(value) OVER w = 12 THEN avg(value / days) OVER w * days END AS expected
+ FROM (SELECT *, CASE WHEN kpi IN {ADDITIVE} THEN day(last_day(period)) ELSE 1 END AS days FROM {KPI_CELLS_SQL})
+ WINDOW w AS (PARTITION BY kpi, region ORDER BY period ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))
+"""
 _MATERIAL_SQL = f"""
 (SELECT m.*, k.materiality, k.materiality_unit, k.persistence_periods, k.min_history_weeks, k.baseline_method,
   CASE WHEN k.materiality IS NOT NULL THEN
-    CASE WHEN materiality_unit = 'pct' THEN abs(delta_pct) ELSE abs(delta) END >= materiality
-    AND abs(delta_pct) >= min_relative_movement_pct END AS material
+    CASE WHEN materiality_unit = 'pct' THEN abs(residual_pt) ELSE abs(residual_value) END >= materiality
+    AND abs(residual_pt) >= min_relative_movement_pct END AS material
  FROM (
-  SELECT c.*, p.value AS previous, c.value - p.value AS delta, 100.0 * (c.value - p.value) / nullif(p.value, 0) AS delta_pct
-  FROM {KPI_CELLS_SQL} c LEFT JOIN {KPI_CELLS_SQL} p ON p.kpi = c.kpi AND p.region = c.region
-    AND p.period = CAST(c.period - INTERVAL 1 MONTH AS DATE)
+  SELECT *, residual_pt / 100.0 * previous AS residual_value FROM (
+    SELECT c.*, p.value AS previous,
+      100.0 * (c.value - p.value) / nullif(p.value, 0) - 100.0 * (c.expected / nullif(p.value, 0) - 1.0) AS residual_pt
+    FROM {_KPI_EXPECTED_SQL} c LEFT JOIN {KPI_CELLS_SQL} p ON p.kpi = c.kpi AND p.region = c.region
+      AND p.period = CAST(c.period - INTERVAL 1 MONTH AS DATE))
  ) m JOIN kpi_v k ON k.kpi = m.kpi)
 """
 
 
 def material_cells(spark, folder, per_store: DataFrame | None = None) -> DataFrame:
-    moved = movement.movement(kpi_cells(spark, folder, per_store), ["kpi", "region"])
-    return gates.materiality_gate(moved, config.kpi_table(spark))
+    """Cells whose residual, not their raw movement, is held against the limit."""
+    cells = written(kpi_cells(spark, folder, per_store), "kpi-cells")
+    keys = ["kpi", "region"]
+    expected = movement.trailing_expected(cells, keys, additive=F.col("kpi").isin(*ADDITIVE))
+    split = movement.decompose(expected, keys)
+    return gates.materiality_gate(
+        split.drop("delta", "delta_pct").withColumns({"delta": F.col("residual_value"), "delta_pct": F.col("residual_pt")}),
+        config.kpi_table(spark))
 
 
 @query("g3_materiality", f"""
-SELECT kpi, region, period, round(delta, 6) AS delta, round(delta_pct, 6) AS delta_pct, material,
+SELECT kpi, region, period, round(residual_value, 3) AS residual_value, round(residual_pt, 3) AS residual_pt, material,
   CASE WHEN materiality IS NULL THEN 'MONITORING_ONLY' WHEN NOT material THEN 'IMMATERIAL' END AS outcome
 FROM {_MATERIAL_SQL}
 """)
 def g3(spark, folder):
     return material_cells(spark, folder).select(
-        "kpi", "region", "period", r("delta"), r("delta_pct"), "material", "outcome"
+        "kpi", "region", "period", r("residual_value", 3), r("residual_pt", 3), "material", "outcome"
     )
 
 
@@ -449,42 +471,59 @@ def g8(spark, folder):
     )
 
 
-@query("g9_gate_outcome", f"""
-SELECT kpi, region, period, CAST(gate_id AS INTEGER) AS gate_id,
-  CASE gate_id WHEN 1 THEN 'DATA_INCIDENT' WHEN 2 THEN 'IMMATERIAL' WHEN 3 THEN 'INSUFFICIENT_HISTORY'
-    WHEN 4 THEN 'NOT_AUTHORISED' WHEN 5 THEN 'NOT_PERSISTENT' END AS outcome
+VIEWS["gated_v"] = f"""
+SELECT spine.kpi, spine.region, spine.period, CAST(CASE WHEN 1.0 - coalesce(s.active, 0) / e.total > 0.05 THEN 1 WHEN NOT coalesce(material, false) THEN 2
+    WHEN coalesce(h.weeks_held, 0) < k.min_history_weeks THEN 3 WHEN NOT (spine.region IN ('ASIA', 'EUROPE', 'AMERICA')) THEN 4
+    WHEN coalesce(run_length, 0) < k.persistence_periods THEN 5 END AS INTEGER) AS gate_id
 FROM (
-  SELECT c.kpi, c.region, c.period, CASE WHEN 1.0 - s.active / s.total > 0.05 THEN 1 WHEN NOT material THEN 2
-    WHEN h.weeks_held < c.min_history_weeks THEN 3 WHEN NOT (c.region IN ('ASIA', 'EUROPE', 'AMERICA')) THEN 4
-    WHEN run_length < persistence_periods THEN 5 END AS gate_id
-  FROM {_RUN_SQL} c
-  JOIN (SELECT region, count(DISTINCT date_trunc('week', txn_date)) AS weeks_held FROM scope_v JOIN stores_v USING (store_id) GROUP BY 1) h
-    ON h.region = c.region
-  JOIN (SELECT region, CAST(date_trunc('month', txn_date) AS DATE) AS period, count(DISTINCT store_id) AS active,
-      any_value(total) AS total
-    FROM scope_v JOIN stores_v USING (store_id) JOIN (SELECT region, count(*) AS total FROM stores_v GROUP BY 1) USING (region)
-    GROUP BY 1, 2) s ON s.region = c.region AND s.period = c.period
-)
-""")
-def g9(spark, folder):
-    """All gates over every (KPI, region, month) cell: a feed is missing when a
-    store of the region sold nothing that month.  Store-months are written once
-    and serve the KPIs, the feed check and the history check."""
+  SELECT kpi, region, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS period
+  FROM (SELECT DISTINCT kpi FROM {KPI_CELLS_SQL}), (SELECT DISTINCT region FROM stores_v),
+    (SELECT date_trunc('month', min(txn_date)) AS lo, date_trunc('month', max(txn_date)) AS hi FROM scope_v)) spine
+JOIN kpi_v k ON k.kpi = spine.kpi
+JOIN (SELECT region, count(*) AS total FROM stores_v GROUP BY 1) e ON e.region = spine.region
+LEFT JOIN {_RUN_SQL} c ON c.kpi = spine.kpi AND c.region = spine.region AND c.period = spine.period
+LEFT JOIN (SELECT region, count(DISTINCT date_trunc('week', txn_date)) AS weeks_held FROM scope_v JOIN stores_v USING (store_id) GROUP BY 1) h
+  ON h.region = spine.region
+LEFT JOIN (SELECT region, CAST(date_trunc('month', txn_date) AS DATE) AS period, count(DISTINCT store_id) AS active
+  FROM scope_v JOIN stores_v USING (store_id) GROUP BY 1, 2) s ON s.region = spine.region AND s.period = spine.period
+"""
+
+
+def gated_cells(spark, folder) -> DataFrame:
+    """All gates over every (KPI, region, month) cell, on a dense spine: a feed
+    is missing when a store of the region sold nothing that month, and a month
+    without any sale is an incident, not an absent row.  Store-months are
+    written once and serve the KPIs, the feed check and the history check."""
     per_store = written(store_months(spark, folder), "store-months")
     stores = standins.stores(spark, folder).select("store_id", "region")
     estate = stores.groupBy("region").agg(F.count(F.lit(1)).alias("total"))
     active = (
         per_store.join(stores, "store_id").groupBy("region", "period").agg(F.count(F.lit(1)).alias("active"))
     )
-    share = active.join(estate, "region").select(
-        "region", "period", (1.0 - F.col("active") / F.col("total")).alias("missing_share")
-    )
     held = gates.weeks_held(per_store.join(stores, "store_id"), REGION, "period", "weeks")
+    runs = written(persistent_cells(spark, folder, per_store), "gate-runs")
+    bounds = per_store.agg(F.sequence(F.min("period"), F.max("period"), F.expr("INTERVAL 1 MONTH")).alias("months"))
+    limits = config.kpi_table(spark).select("kpi", "min_history_weeks", "persistence_periods")
+    spine = estate.join(F.broadcast(runs.select("kpi").distinct().join(F.broadcast(bounds)))).select(
+        "kpi", "region", "total", F.explode("months").alias("period"))
     cells = (
-        persistent_cells(spark, folder, per_store).join(share, ["region", "period"]).join(held, "region")
+        spine.join(F.broadcast(limits), "kpi")
+        .join(runs.select("kpi", "region", "period", "material", "run_length"), ["kpi", "region", "period"], "left")
+        .join(active, ["region", "period"], "left").join(held, "region", "left")
+        .withColumn("missing_share", 1.0 - F.coalesce("active", F.lit(0)) / F.col("total"))
+        .withColumn("weeks_held", F.coalesce("weeks_held", F.lit(0)))
+        .withColumn("run_length", F.coalesce("run_length", F.lit(0)))
         .withColumn("authorised", F.col("region").isin("ASIA", "EUROPE", "AMERICA"))
     )
-    return gates.gate_outcome(cells).select("kpi", "region", "period", "gate_id", "outcome")
+    return gates.gate_outcome(cells)
+
+
+@query("g9_gate_outcome", """
+SELECT kpi, region, period, gate_id, CASE gate_id WHEN 1 THEN 'DATA_INCIDENT' WHEN 2 THEN 'IMMATERIAL' WHEN 3 THEN 'INSUFFICIENT_HISTORY'
+    WHEN 4 THEN 'NOT_AUTHORISED' WHEN 5 THEN 'NOT_PERSISTENT' END AS outcome FROM gated_v
+""")
+def g9(spark, folder):
+    return gated_cells(spark, folder).select("kpi", "region", "period", "gate_id", "outcome")
 
 
 # --- E: evidence -------------------------------------------------------------
@@ -496,13 +535,14 @@ FROM (SELECT store_id, snapshot_date, CASE WHEN on_hand_units > 0 THEN 1.0 ELSE
 JOIN stores_v USING (store_id) GROUP BY 1
 """)
 def e1(spark, folder):
-    panel = standins.inventory(spark, folder).join(
-        standins.stores(spark, folder).select("store_id", "region"), "store_id"
-    )
-    available = F.when(F.col("on_hand_units") > 0, 1.0).otherwise(0.0)
-    return evidence.before_after(panel, REGION, "snapshot_date", available, standins.CASE_ONSET).select(
-        "region", r("before"), r("after"), r("gap")
+    late = F.col("snapshot_date") >= F.lit(standins.CASE_ONSET).cast("date")
+    per_store = standins.inventory(spark, folder).groupBy("store_id", late.alias("late")).agg(
+        count_true(F.col("on_hand_units") > 0).alias("ok"), F.count(F.lit(1)).alias("n")
     )
+    share = lambda when: ratio(F.sum(F.when(when, F.col("ok"))).cast("double"), F.sum(F.when(when, F.col("n"))))
+    return per_store.join(standins.stores(spark, folder).select("store_id", "region"), "store_id").groupBy("region").agg(
+        share(~F.col("late")).alias("before"), share(F.col("late")).alias("after")
+    ).select("region", r("before"), r("after"), rounded(F.col("before") - F.col("after")).alias("gap"))
 
 
 @query("e2_flag_notes", f"""

@@ -9,7 +9,7 @@ from kpisleuth import config
 from kpisleuth.functions.columns import crore, previous_by_period, ratio, rounded
 from kpisleuth.functions.stats import p_student_t, welch_t
 from kpisleuth.operators import actions, causal, confidence, evidence, gates, matching, movement
-from kpisleuth.plans.cases import decomposed_cells, r, region_price_mix
+from kpisleuth.plans.cases import decomposed_cells, gated_cells, r, region_price_mix
 from kpisleuth.plans.facts import conformed
 from kpisleuth.plans.registry import VIEWS, query
 from kpisleuth.session import written
@@ -804,8 +804,10 @@ FROM (
 
 
 def verdict_cases(spark, folder) -> DataFrame:
-    """Verdicts; an unverifiable live rival holding more than the materiality
-    limit blocks a full explanation."""
+    """What the evidence says of every cell (``judged``), and the verdict, which
+    only a cell that passes every gate gets; the others name their gate.  An
+    unverifiable live rival holding more than the materiality limit blocks a
+    full explanation."""
     scored = scored_hypotheses(spark, folder)
     held = F.col("attributed_share") * F.abs("residual_pt") / 100.0 * F.col("cell_previous")
     rivals = scored.where(~F.col("verifiable")).groupBy(*CASE).agg(F.max(held).alias("held"))
@@ -813,14 +815,21 @@ def verdict_cases(spark, folder) -> DataFrame:
     case = triggered_cases(scored).join(rivals, CASE, "left").withColumn(
         "unverifiable_above_materiality", F.coalesce("held", F.lit(0.0)) > limit
     ).withColumn("coverage", F.col("s6"))
-    return confidence.verdict(case)
+    gate = gated_cells(spark, folder).where(F.col("kpi") == "net_revenue").select(*CASE, F.col("outcome").alias("gate"))
+    judged = confidence.verdict(case).withColumnRenamed("verdict", "judged").join(gate, CASE, "left")
+    return judged.withColumn("verdict", F.when(F.col("gate").isNull(), F.col("judged")))
 
 
 @query("f7_verdict", """
-SELECT region, period, hypothesis, round(s6, 6) AS coverage, confidence, verdict, reason_code FROM verdict_v
+SELECT v.region, v.period, hypothesis, round(s6, 6) AS coverage, confidence, verdict AS judged, reason_code,
+  CASE gate_id WHEN 1 THEN 'DATA_INCIDENT' WHEN 2 THEN 'IMMATERIAL' WHEN 3 THEN 'INSUFFICIENT_HISTORY'
+    WHEN 4 THEN 'NOT_AUTHORISED' WHEN 5 THEN 'NOT_PERSISTENT' END AS gate,
+  CASE WHEN gate_id IS NULL THEN verdict END AS verdict
+FROM verdict_v v JOIN gated_v g ON g.kpi = 'net_revenue' AND g.region = v.region AND g.period = v.period
 """)
 def f7(spark, folder):
-    return verdict_cases(spark, folder).select(*HYP, r("coverage"), "confidence", "verdict", "reason_code")
+    return verdict_cases(spark, folder).select(
+        *HYP, r("coverage"), "confidence", "judged", "reason_code", "gate", "verdict")
 
 
 @query("f8_leading", """
