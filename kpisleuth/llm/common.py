@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kpisleuth.session import shared_dir, written
 
-__all__ = ["fold", "held_out", "parts", "shared_dir", "table", "worker_memory", "written"]
+__all__ = ["fold", "held_out", "labelled", "parts", "shared_dir", "sieved", "table", "worker_memory", "written"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +27,38 @@ def held_out(column: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(fold(column, modulus) == F.lit(remainder), F.lit(True))
 
 
+SIEVE_BITS = 24  # 2 MB, whatever the number of keys
+
+
+def sieved(frame: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``frame`` whose ``key`` may be among those of ``wanted``.
+
+    The keys fill a bitmap of fixed size, which is broadcast.  Rows of other keys
+    can pass by chance, more of them the fuller it is; no row of a wanted key is
+    lost.  It spares a later join the shuffle of rows that have no partner.
+    """
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << SIEVE_BITS))
+    maps = wanted.where(F.col(key).isNotNull()).select(place.alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.col("p") % 32768).alias("__map"))
+    marked = frame.where(F.col(key).isNotNull()).withColumn("__place", place).join(
+        F.broadcast(maps), F.floor(F.col("__place") / 32768) == F.col("__bucket"))
+    bit = F.col("__place") % 32768
+    byte = F.conv(F.hex(F.substring("__map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return marked.where(F.call_function("shiftright", byte, (bit % 8).cast("int")) % 2 == 1).select(*frame.columns)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, learnable: Column) -> DataFrame:
+    """(doc_id, text, label) of the rows that may be learned from, written once.
+
+    Texts without a label are sieved out before the join, and the join shuffles at
+    every size, so its cost stays in proportion.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias(label)).dropDuplicates(["doc_id"])
+    texts = docs.where(learnable).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(sieved(texts, "doc_id", known).join(known.hint("shuffle_hash"), "doc_id"), "labelled-texts")
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpisleuth.llm.common import written
+from kpisleuth.llm.common import labelled, written
 from kpisleuth.llm.wordhash import Words, chunks, columns, mix, salts
 
 SEGMENT = 64
@@ -218,8 +218,7 @@ def train(texts: list[str], toxic: np.ndarray, lexicon: np.ndarray, seed: int =
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column) -> Field | None:
     """Count words over all labelled rows that may be learned from, then train on a bounded sample."""
-    known = docs.where(learnable).select("doc_id", "text").join(
-        labels.where("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"]), "doc_id")
+    known = labelled(docs, labels, "toxic", learnable)
     found = known.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
     sizes, chars = {r["toxic"]: r["n"] for r in found}, {r["toxic"]: (r["chars"] or 0) + 1 for r in found}
     if len(sizes) < 2:

@@ -168,3 +168,15 @@ def test_words_of_a_chunk():
     h = found.hash(found.starts, found.ends)
     assert np.diff(found.rows).tolist() == [3, 0, 0, 2, 1, 1]
     assert h[0] == h[1] == h[2] == h[6] and len(set(h[3:6].tolist())) == 3
+
+
+def test_sieve_keeps_every_wanted_row(spark, monkeypatch):
+    from kpisleuth.llm import common
+
+    frame = spark.range(5000).selectExpr("CASE WHEN id % 50 = 0 THEN NULL ELSE id END AS doc_id", "id AS other")
+    wanted = spark.range(0, 5000, 7).selectExpr("id AS doc_id").union(spark.createDataFrame([(None,)], "doc_id long"))
+    found = {r["doc_id"] for r in common.sieved(frame, "doc_id", wanted).collect()}
+    assert {i for i in range(0, 5000, 7) if i % 50} <= found and len(found) < 900
+    monkeypatch.setattr(common, "SIEVE_BITS", 15)  # nearly full: more pass, none is lost
+    assert {i for i in range(0, 5000, 7) if i % 50} <= {r["doc_id"] for r in common.sieved(frame, "doc_id", wanted).collect()}
+    assert common.sieved(frame, "doc_id", wanted.limit(0)).count() == 0
