@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kpisleuth import config
-from kpisleuth.functions.columns import crore, rounded, steady
+from kpisleuth.functions.columns import crore, price, ratio, rounded, steady
 from kpisleuth.operators import conform, gates, kpis
 from kpisleuth.plans.registry import query
 from kpisleuth.session import scratch_path, written
@@ -562,36 +562,54 @@ def k12(spark, folder):
     )
 
 
-@query("k13_kpi_panel", """
-SELECT region, store_id, period, max(net_revenue) AS net_revenue, max(transactions) AS transactions,
-  max(on_shelf_availability) AS on_shelf_availability, max(qcomm_fulfilment_rate) AS qcomm_fulfilment_rate
+_PANEL = ["net_revenue", "transactions", "avg_selling_price", "on_shelf_availability", "conversion_rate", "qcomm_fulfilment_rate"]
+
+
+def _panel_sql(**given: str) -> str:
+    return ", ".join(f"{given.get(name, 'NULL')} AS {name}" for name in _PANEL)
+
+
+@query("k13_kpi_panel", f"""
+SELECT region, store_id, period, {", ".join(f"max({name}) AS {name}" for name in _PANEL)}
 FROM (
-  SELECT region, store_id, CAST(date_trunc('week', txn_date) AS DATE) AS period, round(sum(net) / 1e7, 6) AS net_revenue,
-    CAST(count(DISTINCT txn_id) AS DOUBLE) AS transactions, NULL AS on_shelf_availability, NULL AS qcomm_fulfilment_rate
+  SELECT region, store_id, CAST(date_trunc('week', txn_date) AS DATE) AS period,
+    {_panel_sql(net_revenue="round(sum(net) / 1e7, 6)", transactions="CAST(count(DISTINCT txn_id) AS DOUBLE)",
+                avg_selling_price="round(sum(net) / nullif(sum(units), 0) + 1e-9, 4)")}
   FROM scope_v JOIN stores_v USING (store_id) GROUP BY 1, 2, 3
   UNION ALL
-  SELECT region, store_id, CAST(date_trunc('week', snapshot_date) AS DATE), NULL, NULL,
-    round(100.0 * count(*) FILTER (WHERE on_hand_units > 0) / nullif(count(*), 0), 6), NULL
+  SELECT region, store_id, CAST(date_trunc('week', snapshot_date) AS DATE),
+    {_panel_sql(on_shelf_availability="round(100.0 * count(*) FILTER (WHERE on_hand_units > 0) / nullif(count(*), 0), 6)")}
   FROM inv_v JOIN assort_v USING (sku_id) JOIN stores_v USING (store_id)
   WHERE snapshot_hour = 12 AND snapshot_date BETWEEN valid_from AND valid_to GROUP BY 1, 2, 3
   UNION ALL
-  SELECT region, store_id, CAST(date_trunc('week', order_date) AS DATE), NULL, NULL, NULL,
-    round(100.0 * count(*) FILTER (WHERE lines_shipped = lines_ordered AND delivered_date <= promised_date)
-      / nullif(count(*), 0), 6)
+  SELECT region, store_id, CAST(date_trunc('week', order_date) AS DATE),
+    {_panel_sql(qcomm_fulfilment_rate="""round(100.0 * count(*) FILTER (WHERE lines_shipped = lines_ordered AND delivered_date <= promised_date)
+      / nullif(count(*), 0), 6)""")}
   FROM qcomm_v JOIN stores_v ON store_id = dark_store_id WHERE txn_type <> 'TRANSFER' GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT 'R' || (store_id % 5), store_id, CAST(date_trunc('week', feed_date) AS DATE),
+    {_panel_sql(conversion_rate="""round(100.0 * count(*) FILTER (WHERE feed = 'purchase' AND event_id % 10 <> 3 AND event_id % 17 <> 5)
+      / nullif(count(*) FILTER (WHERE feed = 'view'), 0), 6)""")}
+  FROM feeds_v WHERE store_id % 4 = 0 GROUP BY 1, 2, 3
 ) GROUP BY 1, 2, 3
 """)
 def k13(spark, folder):
-    """Revenue and bills share one scan of the sales; the other two have their own facts."""
+    """All six KPIs side by side.  Revenue, bills and selling price share one
+    scan of the sales; the others have their own facts."""
     stores = standins.stores(spark, folder)
     sold = written(conformed(spark, folder).groupBy(
         "store_id", F.date_trunc("week", "txn_date").cast("date").alias("period")
-    ).agg(crore(F.sum("net_amount")).alias("net_revenue"), F.countDistinct("txn_id").alias("transactions")), "store-weeks")
+    ).agg(
+        crore(F.sum("net_amount")).alias("net_revenue"), F.countDistinct("txn_id").alias("transactions"),
+        price(ratio(F.sum("net_amount"), F.sum("units"))).alias("avg_selling_price"),
+    ), "store-weeks")
     placed = sold.join(stores.select("store_id", "region"), "store_id")
     value = lambda df, column: df.select(*kpis.CELL, F.col(column).cast("double").alias("value"))
     return kpis.kpi_panel({
         "net_revenue": value(placed, "net_revenue"),
         "transactions": value(placed, "transactions"),
+        "avg_selling_price": value(placed, "avg_selling_price"),
         "on_shelf_availability": value(k5(spark, folder), "on_shelf_availability_pct"),
+        "conversion_rate": value(k3(spark, folder), "conversion_rate_pt"),
         "qcomm_fulfilment_rate": value(k6(spark, folder), "qcomm_fulfilment_rate_pct"),
     }, kpis.CELL)
