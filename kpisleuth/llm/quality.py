@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kpisleuth.llm.common import labelled
 from kpisleuth.llm.wordhash import Words, chunks, columns, mix, salts
 
 BITS = 18
@@ -168,8 +169,7 @@ def train(texts: list[str], labels: np.ndarray, ratio: np.ndarray, share_of_ones
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column) -> Margin | float:
     """Count over all labelled rows that may be learned from, then fit on a bounded sample."""
-    known = docs.where(learnable).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(
-        labels.where("quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"]), "doc_id")
+    known = labelled(docs, labels, "quality", learnable).withColumn("text", F.coalesce("text", F.lit("")))
     sizes = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     total = sum(sizes.values())
     if len(sizes) < 2:
