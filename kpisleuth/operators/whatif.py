@@ -22,23 +22,21 @@ def lost_sales(panel: DataFrame, beta: float, share: float, before: float) -> Da
     ).withColumn("lost", F.col("revenue") * (1.0 - F.col("multiplier")))
 
 
-def fit_elasticity(panel: DataFrame, keys: list[str], share: float, before: float) -> DataFrame:
+def fit_elasticity(panel: DataFrame, effects: DataFrame, keys: list[str], share: float, before: float) -> DataFrame:
     """Elasticity that yields a measured fractional reduction.
 
-    With the demand-weighted drop G, the reduction R obeys
-    R = beta x share x G / (1 - beta x share x (1 - before)), hence
-    beta = R / (share x (G + R x (1 - before))).  ``panel`` has ``revenue``,
-    ``observed_revenue`` and ``availability``.
+    ``effects`` has the ``reduction`` R of each scope, measured against controls;
+    ``panel`` has ``revenue`` and ``availability``.  With the demand-weighted drop
+    G, the mechanism obeys R = beta x share x G / (1 - beta x share x (1 - before)),
+    hence beta = R / (share x (G + R x (1 - before))).
     """
     drop = F.lit(before) - F.col("availability")
     sums = panel.groupBy(*keys).agg(
-        F.sum("revenue").alias("revenue"), F.sum("observed_revenue").alias("observed"),
-        F.sum(F.col("revenue") * drop).alias("weighted_drop"),
-    )
-    g = ratio(F.col("weighted_drop"), F.col("revenue"))
-    r = 1.0 - ratio(F.col("observed"), F.col("revenue"))
+        F.sum("revenue").alias("revenue"), F.sum(F.col("revenue") * drop).alias("weighted_drop"),
+    ).join(effects, keys)
+    g, r = ratio(F.col("weighted_drop"), F.col("revenue")), F.col("reduction")
     return sums.select(
-        *keys, r.alias("reduction"), g.alias("demand_weighted_drop"),
+        *keys, "reduction", g.alias("demand_weighted_drop"),
         ratio(r, F.lit(share) * (g + r * (1.0 - before))).alias("beta"),
     )
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from kpisleuth import config
 from kpisleuth.functions.columns import crore, rounded
-from kpisleuth.operators import quality, requests, whatif
+from kpisleuth.operators import causal, quality, requests, whatif
 from kpisleuth.plans.cases import KPI_CELLS_SQL, kpi_cells, r
 from kpisleuth.plans.facts import conformed, region_cells
 from kpisleuth.plans.registry import VIEWS, query
-from kpisleuth.plans.verdicts import HYP, availability_days, hypothesis_board, located
+from kpisleuth.plans.verdicts import DID_SQL, HYP, availability_days, hypothesis_board, located, unit_panel
 from kpisleuth.session import written
 from kpisleuth.sources import standins, tables
 from kpisleuth.streaming import streams
@@ -166,17 +166,17 @@ def w1(spark, folder):
 
 
 @query("w2_fit_elasticity", f"""
-SELECT region, round(1.0 - o / rev, 6) AS reduction, round(wd / rev, 6) AS demand_weighted_drop,
-  round((1.0 - o / rev) / ({config.AFFECTED_SHARE} * (wd / rev + (1.0 - o / rev) * (1.0 - {config.AVAILABILITY_BEFORE}))), 4) AS beta
-FROM (SELECT region, sum(revenue) AS rev, sum(revenue * {_KEPT}) AS o, sum(revenue * ({config.AVAILABILITY_BEFORE} - availability)) AS wd
-  FROM panel_v GROUP BY 1)
+SELECT region, round(r, 6) AS reduction, round(g, 6) AS demand_weighted_drop,
+  round(r / nullif({config.AFFECTED_SHARE} * (g + r * (1.0 - {config.AVAILABILITY_BEFORE})), 0), 4) AS beta
+FROM (SELECT region, -did_pt / 100.0 AS r FROM {DID_SQL}) JOIN (
+  SELECT region, sum(revenue * ({config.AVAILABILITY_BEFORE} - availability)) / nullif(sum(revenue), 0) AS g FROM panel_v GROUP BY 1
+) USING (region)
 """)
 def w2(spark, folder):
-    """The mechanism's own losses must give back the elasticity that made them."""
-    panel = whatif.lost_sales(availability_panel(spark, folder), *_W).withColumn(
-        "observed_revenue", F.col("revenue") - F.col("lost")
-    )
-    return whatif.fit_elasticity(panel, ["region"], config.AFFECTED_SHARE, config.AVAILABILITY_BEFORE).select(
+    """The elasticity each region's measured loss against its controls implies."""
+    effects = causal.did_region(unit_panel(spark, folder), ["region"]).select("region", (-F.col("did_pt") / 100.0).alias("reduction"))
+    panel = availability_panel(spark, folder)
+    return whatif.fit_elasticity(panel, effects, ["region"], config.AFFECTED_SHARE, config.AVAILABILITY_BEFORE).select(
         "region", r("reduction"), r("demand_weighted_drop"), r("beta", 4)
     )
 

@@ -460,7 +460,7 @@ def m9(spark, folder):
     return causal.did(unit_panel(spark, folder), REGION).select("region", "treated", "controls", r("did_pt"))
 
 
-_DID_SQL = """
+DID_SQL = """
 (SELECT region, g AS control_growth, post - pre * (1.0 + g) AS loss, base, 100.0 * (post - pre * (1.0 + g)) / nullif(base, 0) AS did_pt
  FROM (SELECT region, avg(growth) FILTER (WHERE is_control) AS g, sum(pre) FILTER (WHERE is_treated AND growth IS NOT NULL) AS pre,
    sum(post) FILTER (WHERE is_treated AND growth IS NOT NULL) AS post, sum(pre) AS base FROM units_v GROUP BY 1))
@@ -469,7 +469,7 @@ _DID_SQL = """
 
 @query("m10_did_region", f"""
 SELECT region, round(control_growth, 6) AS control_growth, round(loss / 1e7, 6) AS loss_cr, round(base / 1e7, 6) AS base_cr,
-  round(did_pt, 6) AS did_pt FROM {_DID_SQL}
+  round(did_pt, 6) AS did_pt FROM {DID_SQL}
 """)
 def m10(spark, folder):
     return causal.did_region(unit_panel(spark, folder), REGION).select(
@@ -539,7 +539,7 @@ _ATTRIBUTE_SQL = f"""
 (SELECT *, residual_pt - attributed_pt AS unattributed_pt FROM (
   SELECT d.region, d.period, residual_pt, previous, did_pt,
     sign(residual_pt) * CASE WHEN sign(did_pt) = sign(residual_pt) THEN least(abs(did_pt), abs(residual_pt)) ELSE 0.0 END AS attributed_pt
-  FROM decomposed_v d JOIN {_DID_SQL} x ON x.region = d.region WHERE residual_pt IS NOT NULL
+  FROM decomposed_v d JOIN {DID_SQL} x ON x.region = d.region WHERE residual_pt IS NOT NULL
 ))
 """
 

@@ -384,7 +384,8 @@ def test_elasticity_is_recovered(spark):
     rng = np.random.default_rng(1)
     frame = pd.DataFrame({"k": 1, "revenue": rng.uniform(50, 150, 200), "availability": rng.uniform(0.6, 0.94, 200)})
     panel = whatif.lost_sales(spark.createDataFrame(frame), 1.7, 0.61, 0.94).withColumn("observed_revenue", F.col("revenue") - F.col("lost"))
-    assert whatif.fit_elasticity(panel, ["k"], 0.61, 0.94).first()["beta"] == pytest.approx(1.7, abs=1e-9)
+    effects = panel.groupBy("k").agg((1 - F.sum("observed_revenue") / F.sum("revenue")).alias("reduction"))
+    assert whatif.fit_elasticity(panel, effects, ["k"], 0.61, 0.94).first()["beta"] == pytest.approx(1.7, abs=1e-9)
 
 
 def test_no_gap_no_effect(spark):
