@@ -182,11 +182,18 @@ def unit_growth(panel: DataFrame, keys: list[str], day: str, value: str, onset_d
 
 
 def did(units: DataFrame, keys: list[str]) -> DataFrame:
-    """Store-level difference-in-differences in points: mean growths."""
-    mean = lambda flag: F.avg(F.when(F.col(flag), F.col("growth")))
-    return units.groupBy(*keys).agg(
+    """Store-level difference-in-differences in points: mean growths of treated
+    and control stores, with Welch's t and df."""
+    treated, control = F.when(F.col("is_treated"), F.col("growth")), F.when(F.col("is_control"), F.col("growth"))
+    moments = units.groupBy(*keys).agg(
         F.count_if(F.col("is_treated")).alias("treated"), F.count_if(F.col("is_control")).alias("controls"),
-        (100.0 * (mean("is_treated") - mean("is_control"))).alias("did_pt"),
+        F.avg(treated).alias("_m1"), F.var_samp(treated).alias("_v1"), F.count(treated).alias("_n1"),
+        F.avg(control).alias("_m2"), F.var_samp(control).alias("_v2"), F.count(control).alias("_n2"),
+    )
+    m1, v1, n1, m2, v2, n2 = (F.col(c) for c in ("_m1", "_v1", "_n1", "_m2", "_v2", "_n2"))
+    return moments.select(
+        *keys, "treated", "controls", (100.0 * (m1 - m2)).alias("did_pt"),
+        welch_t(m1, v1, n1, m2, v2, n2).alias("t"), welch_df(v1, n1, v2, n2).alias("df"),
     )
 
 

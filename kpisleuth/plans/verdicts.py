@@ -360,10 +360,14 @@ def m5(spark, folder):
     return welch_regions(spark, folder).select("region", "n1", "n2", r("t"), r("df"))
 
 
-@query("m5_specificity_p")
+@query("m5_specificity_p", f"""
+SELECT region, round(t, 6) AS t, round({_p_sql("t", "df")}, 4) AS p_value, {_p_sql("t", "df")} <= {config.SPECIFICITY_MAX_P} AS passed
+FROM (SELECT region, (m1 - m2) / nullif(sqrt(v1 / n1 + v2 / n2), 0) AS t,
+  (v1 / n1 + v2 / n2) ** 2 / nullif((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1), 0) AS df FROM {_WELCH_SQL})
+""")
 def m5_p(spark, folder):
     return welch_regions(spark, folder).withColumn("p_value", p_student_t("t", "df")).select(
-        "region", r("t"), "p_value", (F.col("p_value") <= config.SPECIFICITY_MAX_P).alias("passed")
+        "region", r("t"), r("p_value", 4), (F.col("p_value") <= config.SPECIFICITY_MAX_P).alias("passed")
     )
 
 
@@ -445,19 +449,31 @@ def m8(spark, folder):
     return trend_regions(spark, folder).select("region", "weeks", "df", r("slope"), r("t"))
 
 
-@query("m8_parallel_trends_p")
+@query("m8_parallel_trends_p", f"""
+SELECT region, weeks, round(t, 6) AS t, round({_p_sql("t", "df")}, 4) AS p_value, {_p_sql("t", "df")} > {config.PRETREND_MIN_P} AS passed
+FROM (SELECT region, weeks, CAST(weeks - 2 AS DOUBLE) AS df,
+  CASE WHEN weeks > 2 THEN sign(slope) * sqrt(r2 * (weeks - 2) / nullif(1.0 - r2, 0)) END AS t FROM {_TREND_SQL})
+""")
 def m8_p(spark, folder):
     return trend_regions(spark, folder).withColumn("p_value", p_student_t("t", F.col("df").cast("double"))).select(
-        "region", "weeks", r("t"), "p_value", (F.col("p_value") > config.PRETREND_MIN_P).alias("passed")
+        "region", "weeks", r("t"), r("p_value", 4), (F.col("p_value") > config.PRETREND_MIN_P).alias("passed")
     )
 
 
-@query("m9_did", """
-SELECT region, count(*) FILTER (WHERE is_treated) AS treated, count(*) FILTER (WHERE is_control) AS controls,
-  round(100.0 * (avg(growth) FILTER (WHERE is_treated) - avg(growth) FILTER (WHERE is_control)), 6) AS did_pt FROM units_v GROUP BY 1
+@query("m9_did", f"""
+SELECT region, treated, controls, round(100.0 * (did_m1 - did_m2), 6) AS did_pt, round(did_t, 6) AS t, round(did_df, 6) AS df,
+  {_p_sql("did_t", "did_df")} <= {config.DID_MAX_P} AS passed
+FROM (SELECT *, {_welch_sql("did")} FROM (
+  SELECT region, count(*) FILTER (WHERE is_treated) AS treated, count(*) FILTER (WHERE is_control) AS controls,
+    avg(growth) FILTER (WHERE is_treated) AS did_m1, var_samp(growth) FILTER (WHERE is_treated) AS did_v1,
+    count(growth) FILTER (WHERE is_treated) AS did_n1, avg(growth) FILTER (WHERE is_control) AS did_m2,
+    var_samp(growth) FILTER (WHERE is_control) AS did_v2, count(growth) FILTER (WHERE is_control) AS did_n2
+  FROM units_v GROUP BY 1))
 """)
 def m9(spark, folder):
-    return causal.did(unit_panel(spark, folder), REGION).select("region", "treated", "controls", r("did_pt"))
+    found = causal.did(unit_panel(spark, folder), REGION).withColumn("p_value", p_student_t("t", "df"))
+    return found.select(
+        "region", "treated", "controls", r("did_pt"), r("t"), r("df"), (F.col("p_value") <= config.DID_MAX_P).alias("passed"))
 
 
 DID_SQL = """
