@@ -592,7 +592,7 @@ def e4(spark, folder):
 # function at sqrt(chi2 / 2), here by the midpoint rule.
 @query("e4_chi_square_p", f"""
 SELECT store_id, round(chi2, 6) AS chi2,
-  round(1.0 - (SELECT sum(exp(-pow(sqrt(chi2 / 2) * (k + 0.5) / 400, 2))) * sqrt(chi2 / 2) / 400 FROM range(400) AS r(k)) * 2 / sqrt(pi()), 4) AS p_value
+  round(1.0 - (SELECT sum(exp(-pow(sqrt(chi2 / 2) * (k + 0.5) / 8000, 2))) * sqrt(chi2 / 2) / 8000 FROM range(8000) AS r(k)) * 2 / sqrt(pi()), 4) AS p_value
 FROM (SELECT store_id, n * greatest(0.0, spread - n / 2.0) * greatest(0.0, spread - n / 2.0) / nullif(margins, 0) AS chi2 FROM {_CHI_SQL})
 """)
 def e4_p(spark, folder):
