@@ -117,7 +117,7 @@ def on_shelf_availability(inventory, assortment, stores, grain="weekly", start=N
         count_true(F.col("on_hand_units") > 0).alias("in_stock"), F.count(F.lit(1)).alias("ranged"),
     )
     rate = rounded(100.0 * ratio(F.col("in_stock"), F.col("ranged"))).alias("on_shelf_availability_pct")
-    return _placed(parts, stores).select(*CELL, rate)
+    return _placed(parts, stores).select(*CELL, "in_stock", "ranged", rate)
 
 
 def qcomm_fulfilment(orders, stores, grain="weekly", start=None, end=None) -> DataFrame:
@@ -133,7 +133,7 @@ def qcomm_fulfilment(orders, stores, grain="weekly", start=None, end=None) -> Da
         facts, "order_date", grain, [], count_true(good).alias("good"), F.count(F.lit(1)).alias("orders")
     )
     rate = rounded(100.0 * ratio(F.col("good"), F.col("orders"))).alias("qcomm_fulfilment_rate_pct")
-    return _placed(parts, stores).select(*CELL, "orders", rate)
+    return _placed(parts, stores).select(*CELL, "good", "orders", rate)
 
 
 # ---------------------------------------------------------------------------
@@ -198,6 +198,23 @@ def kpis_at_grain(names: list[str], sales: DataFrame, stores: DataFrame, grain:
     ])))
 
 
+def region_rate(per_store: DataFrame, kpi: str, part: str, whole: str) -> DataFrame:
+    """A rate by region and period from its stores' counts, in long form."""
+    return per_store.groupBy("region", "period").agg(
+        rounded(100.0 * ratio(F.sum(part), F.sum(whole))).alias("value")
+    ).select("region", "period", F.lit(kpi).alias("kpi"), "value")
+
+
+def region_transactions(sales: DataFrame, stores: DataFrame, grain: str) -> DataFrame:
+    """Distinct bills by region and period: one that several stores of a region
+    share counts once.  Lines become bills per store before the region attaches."""
+    check_grain("transactions", grain)
+    bills = in_scope(sales, "transactions").select("store_id", period_of(F.col("txn_date"), grain).alias("period"), "txn_id").distinct()
+    return _placed(bills, stores).select("region", "period", "txn_id").distinct().groupBy("region", "period").agg(
+        F.count(F.lit(1)).cast("double").alias("value")
+    ).select("region", "period", F.lit("transactions").alias("kpi"), "value")
+
+
 def region_month(panel: DataFrame, amount: str, day: str) -> DataFrame:
     return panel.groupBy("region", period_of(F.col(day), "monthly").alias("period")).agg(
         crore(F.sum(amount)).alias("total_cr")

@@ -423,7 +423,7 @@ WHERE snapshot_hour = 12 AND snapshot_date BETWEEN valid_from AND valid_to GROUP
 def k5(spark, folder):
     return kpis.on_shelf_availability(
         standins.inventory(spark, folder), standins.assortment(spark, folder), standins.stores(spark, folder)
-    )
+    ).drop("in_stock", "ranged")
 
 
 @query("k6_qcomm_fulfilment", """
@@ -433,7 +433,7 @@ SELECT region, store_id, CAST(date_trunc('week', order_date) AS DATE) AS period,
 FROM qcomm_v JOIN stores_v ON store_id = dark_store_id WHERE txn_type <> 'TRANSFER' GROUP BY 1, 2, 3
 """)
 def k6(spark, folder):
-    return kpis.qcomm_fulfilment(standins.qcomm_orders(spark, folder), standins.stores(spark, folder))
+    return kpis.qcomm_fulfilment(standins.qcomm_orders(spark, folder), standins.stores(spark, folder)).drop("good")
 
 
 @query("k7_row_policy", _monthly_sql("round(sum(net) / 1e7, 6) AS net_revenue_inr_cr").replace(
@@ -461,19 +461,51 @@ def k8(spark, folder):
     return kpis.mask(visible, "net_revenue", "store_manager")
 
 
+def _grain_sql(grain: str) -> str:
+    at = lambda day: f"CAST(date_trunc('{config.GRAIN_UNIT[grain]}', {day}) AS DATE) AS period"
+    sold = "FROM scope_v JOIN stores_v USING (store_id) GROUP BY 1, 2"
+    share = lambda good: f"round(100.0 * count(*) FILTER (WHERE {good}) / nullif(count(*), 0), 6) AS value"
+    parts = {
+        "net_revenue": f"SELECT region, {at('txn_date')}, 'net_revenue' AS kpi, round(sum(net) / 1e7, 6) AS value {sold}",
+        "avg_selling_price": f"SELECT region, {at('txn_date')}, 'avg_selling_price' AS kpi, round(sum(net) / nullif(sum(units), 0) + 1e-9, 4) AS value {sold}",
+        "transactions": f"SELECT region, {at('txn_date')}, 'transactions' AS kpi, CAST(count(DISTINCT txn_id) AS DOUBLE) AS value {sold}",
+        "conversion_rate": f"""SELECT region, {at('footfall_date')}, 'conversion_rate' AS kpi,
+          round(100.0 * sum(coalesce(bills, 0)) / nullif(sum(visits), 0), 6) AS value
+        FROM (SELECT store_id, footfall_date, sum(footfall) AS visits FROM visits_v WHERE counter_installed GROUP BY 1, 2)
+        LEFT JOIN (SELECT store_id, txn_date AS footfall_date, count(DISTINCT txn_id) AS bills FROM tills_v
+          WHERE channel <> 'B2B' AND txn_type <> 'TRANSFER' GROUP BY 1, 2) USING (store_id, footfall_date)
+        JOIN {_EVENT_STORES} USING (store_id) GROUP BY 1, 2""",
+        "on_shelf_availability": f"""SELECT region, {at('snapshot_date')}, 'on_shelf_availability' AS kpi, {share('on_hand_units > 0')}
+        FROM inv_v JOIN assort_v USING (sku_id) JOIN stores_v USING (store_id)
+        WHERE snapshot_hour = 12 AND snapshot_date BETWEEN valid_from AND valid_to GROUP BY 1, 2""",
+        "qcomm_fulfilment_rate": f"""SELECT region, {at('order_date')}, 'qcomm_fulfilment_rate' AS kpi,
+          {share('lines_shipped = lines_ordered AND delivered_date <= promised_date')}
+        FROM qcomm_v JOIN stores_v ON store_id = dark_store_id WHERE txn_type <> 'TRANSFER' GROUP BY 1, 2""",
+    }
+    return " UNION ALL ".join(text for kpi, text in parts.items() if grain in config.KPIS[kpi]["grains"])
+
+
 def _grain_query(grain: str):
-    unit = config.GRAIN_UNIT[grain]
-
-    @query(f"k9_kpi_{grain}", f"""
-    SELECT region, CAST(date_trunc('{unit}', txn_date) AS DATE) AS period, 'net_revenue' AS kpi,
-      round(sum(net) / 1e7, 6) AS value FROM scope_v JOIN stores_v USING (store_id) GROUP BY 1, 2
-    UNION ALL
-    SELECT region, CAST(date_trunc('{unit}', txn_date) AS DATE), 'avg_selling_price',
-      round(sum(net) / nullif(sum(units), 0) + 1e-9, 4) FROM scope_v JOIN stores_v USING (store_id) GROUP BY 1, 2
-    """)
+    @query(f"k9_kpi_{grain}", _grain_sql(grain))
     def k9(spark, folder):
+        """Every KPI whose contract allows the grain, by region; ratios from additive parts."""
         sales, stores = standins.sales(spark, folder), standins.stores(spark, folder)
-        return kpis.kpis_at_grain(["net_revenue", "avg_selling_price"], sales, stores, grain)
+        rates = {
+            "conversion_rate": lambda: kpis.region_rate(kpis.conversion_rate(
+                standins.till_events(spark, folder), standins.visits(spark, folder), event_stores(spark, folder), grain),
+                "conversion_rate", "bills", "visits"),
+            "on_shelf_availability": lambda: kpis.region_rate(kpis.on_shelf_availability(
+                standins.inventory(spark, folder), standins.assortment(spark, folder), stores, grain),
+                "on_shelf_availability", "in_stock", "ranged"),
+            "qcomm_fulfilment_rate": lambda: kpis.region_rate(kpis.qcomm_fulfilment(
+                standins.qcomm_orders(spark, folder), stores, grain), "qcomm_fulfilment_rate", "good", "orders"),
+        }
+        found = kpis.kpis_at_grain(["net_revenue", "avg_selling_price"], sales, stores, grain).unionByName(
+            kpis.region_transactions(sales, stores, grain))
+        for kpi, rate in rates.items():
+            if grain in config.KPIS[kpi]["grains"]:
+                found = found.unionByName(rate())
+        return found
 
 
 for _grain in config.GRAIN_UNIT:
