@@ -18,6 +18,8 @@ PLAN_SETTINGS = {
     # Split a hot join key even where a later aggregate then needs a shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows can hold whole documents: small batches bound a Python worker's memory.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
