@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kpisleuth.session import shared_dir, written
 
-__all__ = ["fold", "held_out", "labelled", "parts", "shared_dir", "sieved", "table", "worker_memory", "written"]
+__all__ = ["fold", "forget", "held_out", "labelled", "parts", "shared_dir", "sieved", "table", "worker_memory", "written"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -74,3 +74,10 @@ def worker_memory(name: str, make):
     if not hasattr(store, name):
         setattr(store, name, make())
     return getattr(store, name)
+
+
+def forget(prefix: str) -> None:
+    """Give up what another operator has left in this worker's memory, so that the stages of a pipeline don't add up."""
+    store = sys.modules.get("kpisleuth_worker_memory")
+    for name in [n for n in vars(store) if n.startswith(prefix)] if store else []:
+        delattr(store, name)

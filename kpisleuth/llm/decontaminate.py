@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpisleuth.llm.common import written
+from kpisleuth.llm.common import forget, written
 from kpisleuth.llm.wordhash import chunks, columns, mix, salts
 
 WALKS = 2
@@ -145,6 +145,7 @@ def _windows(filled: np.ndarray, around: int):
     size = len(filled) * 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("tokens:")
         for batch in batches:
             ids = batch.column(0).to_pylist()
             data, offsets = columns(canonical(batch.column(1)))

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kpisleuth.llm.common import forget
 from kpisleuth.llm.wordhash import chunks, columns
 
 WINDOW = 256
@@ -176,6 +177,7 @@ def classify(docs: DataFrame, model: ByteNetwork | None, text_column: str = "tex
     place = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("tokens:")
         for batch in batches:
             told, score = predictions(model, batch.column(place))
             yield pa.RecordBatch.from_arrays([*batch.columns, told, score], names=[*batch.schema.names, *names])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpisleuth.llm.common import worker_memory, written
+from kpisleuth.llm.common import forget, worker_memory, written
 from kpisleuth.llm.components import components
 from kpisleuth.llm.wordhash import chunks, columns, mix, salts, words
 
@@ -109,6 +109,7 @@ SKETCH = "doc_id long, n_shingles long, set_id long, bands array<long>"
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     np.seterr(over="ignore")
+    forget("tokens:")
     bands = BINS // ROWS
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
@@ -128,6 +129,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     np.seterr(over="ignore")
+    forget("tokens:")
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
