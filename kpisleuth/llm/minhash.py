@@ -8,8 +8,11 @@ only class representatives go on.  Within a bucket each member is a candidate
 of the bucket's centre only, so that a bucket of n members has n - 1 candidates.
 Candidates are confirmed on full shingle sets.  Where members of one bucket are
 still in different components, further rounds choose other centres, until a
-round adds hardly any link; so a member that is similar to another member but not to
-the centre isn't lost.
+round adds hardly any link.  What is still open then is settled exactly: similar
+sets share one of their rarest shingles, so members that share one held by few
+are paired by a join; similarity that rests on shingles held by many is found
+among equal such parts by their smallest set, and among unequal ones by counting
+all pairs of a bucket, dealt in blocks.  So no pair that shares a bucket is lost.
 
 Defined cases: a null or empty text, or one of white space only, has an empty
 set and is linked with nothing; a row with a null id gets null component and
@@ -36,6 +39,8 @@ SIMILAR_PERCENT = 75
 TRIES = 1024
 NEW_CENTRES = 3  # of a bucket that is still in several components, each round
 YIELD = 500  # rounds go on while one adds more than a link for so many known ones
+FEW = 16  # members of open buckets that hold a rare shingle, at most
+SIDE = 1024  # members in a block of an open bucket
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -151,6 +156,80 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * shared >= F.lit(percent) * (F.size("set_1") + F.size("set_2") - shared)).select("a", "b")
 
 
+def _still_open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets with three or more members that are in several components."""
+    placed = buckets.where("members > 2").join(roots, F.col("set_id") == F.col("node"), "left").select(
+        "key", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
+    several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    return placed.join(several, "key")
+
+
+def _joined_by_blocks(percent: int):
+    """Links among the rows of two blocks of a bucket that the counted shingles alone prove; as many as join components."""
+    def run(table: pa.Table) -> pa.Table:
+        ids, sizes = (table.column(c).to_numpy() for c in ("set_id", "n"))
+        _, label = np.unique(table.column("root").to_numpy(), return_inverse=True)
+        lists = table.column("hot").combine_chunks()
+        _, gram = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        owner = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
+        order = np.argsort(gram, kind="stable")
+        gram, owner = gram[order], owner[order]
+        left = np.flatnonzero(label != np.bincount(label).argmax())  # the largest component meets the others only
+        shared = np.zeros((len(left), len(ids)), np.float32)
+        for first in range(0, int(gram[-1]) + 1 if len(left) else 0, 4096):
+            a, b = np.searchsorted(gram, [first, first + 4096])
+            held = np.zeros((len(ids), 4096), np.float32)
+            held[owner[a:b], gram[a:b] - first] = 1
+            shared += held[left] @ held.T
+        out: list[tuple[int, int]] = []
+        for i, row in zip(left.tolist(), shared, strict=True):
+            near = np.flatnonzero((row * (100 + percent) >= percent * (sizes + sizes[i])) & (label != label[i]))
+            if len(near):
+                others, at = np.unique(label[near], return_index=True)
+                out += [(int(ids[i]), int(ids[j])) for j in near[at]]
+                label[np.isin(label, others)] = label[i]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return run
+
+
+def _rest(buckets: DataFrame, sets: DataFrame, links: DataFrame, roots: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """Roots after every pair of different components that shares a bucket has been settled."""
+    still = written(_still_open(buckets, roots), "near-open")
+    if still.isEmpty():
+        return roots
+    grams = sets.join(still.select("set_id", "n", "root").distinct(), "set_id").select("set_id", "n", "root", F.explode("shingles").alias("gram"))
+    few = grams.groupBy("gram").agg(F.count("*").alias("held")).where(F.col("held") <= FEW)
+    parts = written(grams.join(few, "gram", "left").groupBy("set_id", "n", "root").agg(
+        F.sort_array(F.collect_list(F.when(F.col("held").isNotNull(), F.struct("held", "gram")))).alias("cold"),
+        F.sort_array(F.collect_list(F.when(F.col("held").isNull(), F.col("gram")))).alias("hot")), "near-parts")
+    # Similar sets share one of the n - ceil(n * percent / 100) + 1 rarest shingles of each.
+    rarest = F.slice("cold", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    posts = written(parts.select("set_id", "n", "root", F.explode(F.filter(rarest, lambda g: g["held"] > 1)).alias("g")).select(
+        "set_id", "n", "root", "g.gram"), "near-posts")
+    other = posts.select("gram", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    near = (F.col("set_id") < F.col("b")) & (F.col("root") != F.col("root_b")) & (
+        F.lit(100) * F.least("n", "n_b") >= F.lit(percent) * F.greatest("n", "n_b"))
+    pairs = posts.join(other, (posts["gram"] == other["gram"]) & near).select(F.col("set_id").alias("a"), "b").distinct()
+    pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "near-edges")
+    links = links.union(written(_confirmed(pairs, sets, percent), "near-links"))
+    # Pairs without a rare shingle in common share shingles held by many alone, and at least ``percent`` of each set.
+    hot = parts.where(F.lit(100) * F.size("hot") >= F.lit(percent) * F.col("n")).select("set_id", "n", "root", "hot", F.xxhash64("hot").alias("name"))
+    centres = hot.groupBy("name").agg(F.min(F.struct("n", "set_id", "root")).alias("c"))
+    equal = hot.join(centres, "name").where(F.lit(100 + percent) * F.size("hot") >= F.lit(percent) * (F.col("n") + F.col("c.n")))
+    links = links.union(written(equal.where("root <> c.root").select(F.col("set_id").alias("a"), F.col("c.set_id").alias("b")), "near-links"))
+    roots = components(links)
+    placed = written(still.select("key", "set_id").join(hot.select("set_id", "n"), "set_id").join(
+        roots, F.col("set_id") == F.col("node"), "left").select("key", "set_id", "n", F.coalesce("root", "set_id").alias("root")), "near-open")
+    dealt = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / SIDE).alias("blocks")).where("lo < hi")
+    cut = placed.join(dealt.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks")).withColumn(
+        "with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "key", F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second"), "set_id", "n", "root")
+    found = written(cut.join(hot.select("set_id", "hot"), "set_id").groupBy("key", "first", "second").applyInArrow(
+        _joined_by_blocks(percent), "a long, b long"), "near-links")
+    return roots if found.isEmpty() else components(links.union(found))
+
+
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 percent: int = SIMILAR_PERCENT) -> DataFrame:
     """Component of each document under the relation 100 * shared >= percent * union of shingle sets."""
@@ -174,10 +253,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         if turn == 0:
             open_buckets, orders = buckets, [F.struct(F.xxhash64("set_id"), "set_id", "n")]
         else:  # only buckets with three or more members that are still in several components
-            placed = buckets.where("members > 2").join(roots, F.col("set_id") == F.col("node"), "left").select(
-                "key", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
-            several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-            open_buckets = placed.join(several, "key")
+            open_buckets = _still_open(buckets, roots)
             orders = [F.struct(F.xxhash64("set_id", "key", F.lit(turn), F.lit(k)), "set_id", "n", "root") for k in range(NEW_CENTRES)]
         centres = open_buckets.groupBy("key").agg(F.array(*[F.min(o) for o in orders]).alias("c")).select("key", F.explode("c").alias("c"))
         pairs = open_buckets.join(centres, "key").where("set_id <> c.set_id")
@@ -200,6 +276,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         known_links += new_links
         if turn and new_links * YIELD <= known_links:
             break
+    roots = _rest(buckets, sets, links, roots, tested, percent)
     placed = classes.join(roots, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "rep", F.coalesce("root", "set_id").alias("root"))
     names = placed.groupBy("root").agg(F.min("rep").alias("component"))

@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from conftest import SMALL
 
 from kpisleuth.llm import components, minhash
@@ -73,6 +75,44 @@ def test_chains_and_hot_groups(spark):
     assert got(minhash.near_copies(frame)) == brute_force(rows)
 
 
+def template_rows(rng, share, pages=240):
+    """Ordinary copies, and pages of one template that alone is just too little; ``share`` pages have a passage in common."""
+    fresh = lambda n: [f"v{rng.randrange(10 ** 9)}" for _ in range(n)]
+    rows = [" ".join(fresh(30)) for _ in range(300)] * 2
+    template, passages, feet = fresh(174), [fresh(4) for _ in range(pages)], [fresh(6) for _ in range(3)]
+    rows += [" ".join(template + (passages[i // share] if i < pages // 2 else fresh(4)) + fresh(21) + feet[i % 3]) for i in range(pages)]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("share", [2, 24])
+def test_pairs_in_a_bucket_of_a_template(spark, share, monkeypatch):
+    """Similar pairs among members unlike every centre, however many other links there are."""
+    monkeypatch.setattr(minhash, "SIDE", 100, raising=False)
+    rows = template_rows(random.Random(share), share)
+    want = brute_force(rows)
+    assert len({c for _, c, _ in want.values()}) == 300 + 120 + 120 // share
+    assert got(minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == want
+
+
+def test_blocks_prove_what_brute_force_does():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, 70)) for _ in range(200)]
+    table = pa.table({"set_id": pa.array(range(200), pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()),
+                      "root": pa.array([i if i < 100 else 100 for i in range(200)], pa.int64()), "hot": pa.array([s.tolist() for s in sets])})
+    links = minhash._joined_by_blocks(60)(table).to_pylist()
+    root = np.minimum(np.arange(200), 100)
+    want = root.copy()
+    for i in range(200):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 60 * (len(sets[i]) + len(sets[j]) - both):
+                want[want == want[i]] = want[j]
+    for link in links:
+        root[root == root[link["a"]]] = root[link["b"]]
+    assert links and len({*zip(root.tolist(), want.tolist(), strict=True)}) == len({*root.tolist()}) == len({*want.tolist()})
+
+
 def test_null_ids_and_repeated_rows(spark):
     text = "one two three four five six"
     rows = [(1, text), (1, text), (2, text), (None, text), (None, None), (3, None)]
