@@ -56,7 +56,7 @@ def _combined() -> str:
 
 ANY = _combined()
 # Every kind holds one of these; texts without them are not searched.
-HINT = r"[0-9]{3}|@|\.[0-9]|(?i:password|passwd|secret|token|api)|[0-9]\."
+HINT = r"[0-9]{3}|@|\.[0-9]|(?i:password|passwd|secret|token|api)|[0-9]\.|AKIA[A-Z0-9]{16}|[A-Z]{2}[0-9]{2}"
 
 
 def _let(value: Column, body) -> Column:
