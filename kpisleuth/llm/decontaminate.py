@@ -9,6 +9,11 @@ small Hamming distance.  Each of ``WALKS`` walks is sampled at ``SAMPLES`` sets
 every ``STRIDE``-th word, and in each item at every word, so that a document
 window anywhere in a passage meets the probe of the same place in the item.
 
+Exact copies don't depend on words: of every ``SPAN`` successive places, in bytes,
+the one whose next ``SEED`` bytes have the smallest hash is a seed on both sides, so
+any ``SHORTEST`` bytes in common hold one.  Items shorter than that meet documents by
+their first ``HEAD`` bytes, which are looked up at every byte.
+
 Keys of documents pass a Bloom filter of all probe keys (its size is fixed by
 the number of probes and bounded by ``FILTER_BITS``; a larger benchmark only lets
 more keys through), then a hash join with the probes.  A match names an item and
@@ -17,8 +22,8 @@ stretch there decides.  With the numbers below, at edits of 5 percent of an item
 spread at random, tests find at least 95 of 100 copies.
 
 Defined cases: a null or empty text, or one without letters and digits, contains
-nothing; items of fewer than ``SHORTEST`` canonical bytes aren't searched, they say
-nothing; null ids stay null in the result; rows with equal ids and texts give one
+nothing; items of fewer than ``SHORTEST`` canonical bytes are met by an unedited head
+only, and those of fewer than ``HEAD`` aren't searched, they say nothing; null ids stay null in the result; rows with equal ids and texts give one
 result; empty tables give no rows; other columns are ignored.
 """
 
@@ -33,13 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpisleuth.llm.common import forget, written
-from kpisleuth.llm.wordhash import chunks, columns, mix, salts
+from kpisleuth.llm.wordhash import byte_values, chunks, columns, mix, powers, salts
 
 WALKS = 2
 REACHES = (56, 72, 88, 104)  # steps of the walk that a set of samples is drawn from
 BITS_EACH = 16
 STRIDE = 4
 SHORTEST = 48
+SEED, SPAN = 32, 17  # SEED + SPAN - 1 = SHORTEST
+HEAD = 16
 EDITS = 0.05
 FILTER_BITS = 27
 
@@ -92,6 +99,37 @@ def word_starts(part: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def _slide(values: np.ndarray, width: int, best) -> np.ndarray:
+    """``best`` over each ``width`` successive values."""
+    out, reach = values, 1
+    while reach < width:
+        by = min(reach, width - reach)
+        out, reach = best(out[:-by], out[by:]), reach + by
+    return out
+
+
+def _grams(data: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes from each place."""
+    n = len(data) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(byte_values(False)[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * down[:n] + np.uint64(size))
+
+
+def seeds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose hash is the smallest of some ``SPAN`` successive ones, and the hashes."""
+    grams = _grams(data, SEED)
+    if len(grams) < SPAN:
+        return np.zeros(0, np.int64), grams[:0]
+    edge = np.zeros(SPAN - 1, np.uint64)
+    lowest = np.concatenate([edge, _slide(grams, SPAN, np.minimum), edge])
+    places = np.flatnonzero(_slide(lowest, SPAN, np.maximum) == grams)
+    return places, grams[places]
+
+
 def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = canonical(batch.column(1))
@@ -99,14 +137,19 @@ def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = {"item_id": [], "offset": [], "key": []}
         for i, item in enumerate(batch.column(0).to_pylist()):
             part = data[offsets[i]: offsets[i + 1]]
-            if len(part) - 1 < SHORTEST:
+            if len(part) - 1 < HEAD:
                 continue
-            starts = word_starts(part)
-            keys, whole = keys_at(part, starts)
-            row, column = np.nonzero(whole)
-            out["item_id"] += [item] * len(row)
-            out["offset"] += starts[row].tolist()
-            out["key"] += keys[row, column].view(np.int64).tolist()
+            if len(part) - 1 < SHORTEST:
+                places, found = np.zeros(1, np.int64), _grams(part[:HEAD], HEAD)
+            else:
+                starts = word_starts(part)
+                keys, whole = keys_at(part, starts)
+                row, column = np.nonzero(whole)
+                places, found = seeds(part[:-1])
+                places, found = np.append(starts[row], places), np.append(keys[row, column], found)
+            out["item_id"] += [item] * len(places)
+            out["offset"] += places.tolist()
+            out["key"] += found.view(np.int64).tolist()
         yield pa.RecordBatch.from_arrays(
             [pa.array(out["item_id"], pa.int64()), pa.array(out["offset"], pa.int64()), pa.array(out["key"], pa.int64())],
             names=["item_id", "offset", "key"])
@@ -140,8 +183,11 @@ def _has(filled: np.ndarray, place: np.ndarray) -> np.ndarray:
 REGIONS = "doc_id long, region binary, start long, places array<long>, keys array<long>"
 
 
-def _windows(filled: np.ndarray, around: int):
-    """Regions of documents with a key in the filter: ``around`` bytes to both sides of each such window."""
+def _windows(filled: np.ndarray, around: int, short: bool):
+    """Regions of documents with a key in the filter: ``around`` bytes to both sides of each such window.
+
+    ``short``: there are items to be met by their heads.
+    """
     size = len(filled) * 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,20 +200,28 @@ def _windows(filled: np.ndarray, around: int):
                 part = data[offsets[first]: offsets[last]]
                 rows = offsets[first: last + 1] - offsets[first]
                 starts = word_starts(part)
-                if not len(starts):
-                    continue
                 first_word = np.searchsorted(starts, rows)
                 owner = np.searchsorted(rows, starts, side="right") - 1
                 chosen = (np.arange(len(starts)) - first_word[owner]) % STRIDE == 0
-                starts, owner = starts[chosen], owner[chosen]
+                starts = starts[chosen]
                 keys, _ = keys_at(part, starts)
-                one, two = _bits(keys, size)
-                hit = _has(filled, one)
-                hit[hit] = _has(filled, two[hit])
-                row, column = np.nonzero(hit)
-                if not len(row):
+                met = [(np.repeat(starts, keys.shape[1]), keys.reshape(-1)), seeds(part)]
+                if short:
+                    heads = _grams(part, HEAD)
+                    met.append((np.arange(len(heads)), heads))
+                kept = []
+                for places, found in met:
+                    one, two = _bits(found, size)
+                    hit = _has(filled, one)
+                    hit[hit] = _has(filled, two[hit])
+                    kept.append((places[hit], found[hit]))
+                at, key = (np.concatenate(x) for x in zip(*kept, strict=True))
+                if not len(at):
                     continue
-                doc, place, key = owner[row], starts[row] - rows[owner[row]], keys[row, column]
+                order = np.argsort(at, kind="stable")
+                at, key = at[order], key[order]
+                doc = np.searchsorted(rows, at, side="right") - 1
+                place, row = at - rows[doc], at
                 cut = np.flatnonzero((doc[1:] != doc[:-1]) | (place[1:] - place[:-1] > 2 * around)) + 1
                 for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(row)], strict=True):
                     d = int(doc[a])
@@ -286,12 +340,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDITS) ->
     """(doc_id, item_id, edits, stop, item_length) of each item that a document contains; ``stop`` is a canonical byte offset."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(
         "item_id IS NOT NULL AND text IS NOT NULL")
-    texts = written(items.mapInArrow(_canonical_items, "item_id long, item binary").where(F.length("item") > SHORTEST).distinct(), "leak-items")
+    texts = written(items.mapInArrow(_canonical_items, "item_id long, item binary").where(F.length("item") > HEAD).distinct(), "leak-items")
     probes = written(items.mapInArrow(_probes, "item_id long, offset long, key long").distinct(), "leak-probes")
-    longest = texts.agg(F.max(F.length("item"))).first()[0] or 0
+    shortest, longest = (n or 0 for n in texts.agg(F.min(F.length("item")), F.max(F.length("item"))).first())
     around = int(longest * (1 + 2 * share)) + 128
     regions = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _windows(_filter(probes), around), REGIONS)
+        _windows(_filter(probes), around, shortest <= SHORTEST), REGIONS)
     regions = written(regions.withColumn("region_id", F.xxhash64("doc_id", "start", "region")), "leak-regions")
     hits = regions.select("region_id", F.explode(F.arrays_zip("places", "keys")).alias("z")).select("region_id", "z.places", F.col("z.keys").alias("key"))
     begins = hits.join(probes, "key").groupBy("region_id", "item_id").agg(

@@ -83,6 +83,32 @@ def test_odd_documents_and_items(spark):
     assert decontaminate.contaminated(frame.limit(0), items).count() == decontaminate.contaminated(frame, items.limit(0)).count() == 0
 
 
+def test_exact_copies_without_words(spark):
+    """Space-free stretches, few and long words, and short items, bounded by spaces or not."""
+    rng = random.Random(12)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    items = [han(rng.randrange(16, 60)) for _ in range(40)] + [han(20) + "，" + han(20) for _ in range(20)]
+    items += [f"{rng.randrange(10 ** 25):025d} {rng.randrange(10 ** 23):023d}" for _ in range(20)] + ["short enough to say it", han(6), han(15)]
+    rows, want = [], set()
+    for i, item in enumerate(items):
+        for k, (before, after) in enumerate(((" ", " "), ("", ""), (" " * rng.randrange(1, 4), "。"))):
+            host = " ".join(han(rng.randrange(1, 9)) for _ in range(rng.randrange(1, 30)))
+            rows.append((3 * i + k, f"{host}{before}{item}{after}{han(50)}"))
+            want.add((3 * i + k, i, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = decontaminate.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in found.collect()} == want
+
+
+def test_seeds_of_a_stretch_are_seeds_of_its_text():
+    rng = np.random.default_rng(5)
+    text = rng.integers(97, 99, 5000).astype(np.uint8)
+    everywhere = set(decontaminate.seeds(text)[0].tolist())
+    for at in range(0, 4900, 7):
+        places, _ = decontaminate.seeds(text[at: at + decontaminate.SHORTEST])
+        assert len(places) and {at + int(x) for x in places} <= everywhere
+
+
 def test_best_stretch_equals_plain_recurrence():
     rng = random.Random(1)
     for _ in range(60):
