@@ -221,6 +221,31 @@ def region_month(panel: DataFrame, amount: str, day: str) -> DataFrame:
     )
 
 
+def contribution_by_year(cells: DataFrame, dims: list[str]) -> DataFrame:
+    """``contribution`` of every pair of successive years present.
+
+    ``cells`` has the dimensions, ``year`` and ``value``.  A row counts as after in
+    its year and as before in the next; ``year`` names the later one of a pair.
+    """
+    known = cells.select("year").distinct()
+    pairs = known.join(known.select((F.col("year") + 1).alias("year")), "year")
+    sides = F.array(
+        F.struct(F.col("year").alias("year"), F.lit(0.0).alias("before"), F.col("value").alias("after")),
+        F.struct((F.col("year") + 1).alias("year"), F.col("value").alias("before"), F.lit(0.0).alias("after")))
+    split = cells.select(*dims, F.explode(sides).alias("side")).select(*dims, "side.*").join(F.broadcast(pairs), "year")
+    sums = split.groupingSets([[F.col("year"), F.col(d)] for d in dims], F.col("year"), *[F.col(d) for d in dims]).agg(
+        F.sum("before").alias("before"), F.sum("after").alias("after"),
+        *[F.grouping(d).alias(f"_g_{d}") for d in dims],
+    )
+    whole = split.groupBy("year").agg((F.sum("after") - F.sum("before")).alias("total_delta"))
+    delta = F.col("after") - F.col("before")
+    pick = lambda make: F.coalesce(*[F.when(F.col(f"_g_{d}") == 0, make(d)) for d in dims])
+    return sums.join(F.broadcast(whole), "year").select(
+        "year", pick(F.lit).alias("dimension"), pick(lambda d: F.col(d).cast("string")).alias("member"),
+        crore(delta).alias("delta_cr"), rounded(ratio(delta, F.col("total_delta"))).alias("share_of_delta"),
+    )
+
+
 def contribution(cells: DataFrame, dims: list[str]) -> DataFrame:
     """Where a movement sits: delta and share of the total, per dimension.
 

@@ -552,6 +552,23 @@ def k11(spark, folder):
     return kpis.contribution(cells, ["region", "city", "category", "sub_category"])
 
 
+CONTRACT_DIMENSIONS = ["region", "city", "store_id", "store_format", "channel", "category", "sub_category", "sku"]
+
+
+@query("k11_contribution_by_year", " UNION ALL ".join(f"""
+SELECT year, '{d}' AS dimension, CAST({d} AS VARCHAR) AS member, round((sum(after) - sum(before)) / 1e7, 6) AS delta_cr,
+  round((sum(after) - sum(before)) / nullif(max(total_delta), 0), 6) AS share_of_delta
+FROM year_pairs_v JOIN (SELECT year, sum(after) - sum(before) AS total_delta FROM year_pairs_v GROUP BY 1) USING (year) GROUP BY year, {d}
+""" for d in CONTRACT_DIMENSIONS))
+def k11_by_year(spark, folder):
+    """Where the change between successive years sits, for all years and all dimensions of the contract."""
+    facts = conformed(spark, folder).groupBy("store_id", F.col("sku_id"), "channel", F.year("txn_date").cast("long").alias("year")).agg(
+        F.sum("net_amount").alias("value"))
+    cells = written(facts.join(standins.stores(spark, folder), "store_id").join(standins.skus(spark, folder), "sku_id").withColumnRenamed(
+        "sku_id", "sku").select(*CONTRACT_DIMENSIONS, "year", "value"), "contribution-cells")
+    return kpis.contribution_by_year(cells, CONTRACT_DIMENSIONS)
+
+
 _WEEK_RATE_SQL = """
 (SELECT 'R' || (store_id % 5) AS region, period, 100.0 * sum(bills) / nullif(sum(visits), 0) AS rate, sum(revenue) AS revenue FROM (
   SELECT store_id, CAST(date_trunc('week', feed_date) AS DATE) AS period, count(*) FILTER (WHERE feed = 'view') AS visits,

@@ -197,6 +197,16 @@ SELECT region, city, category, sub_category, CASE WHEN year(txn_date) = 1997 THE
 FROM scope_v JOIN stores_v USING (store_id) JOIN skus_v USING (sku_id)
 WHERE txn_date >= DATE '1997-01-01' AND txn_date < DATE '1999-01-01'
 """
+VIEWS["year_lines_v"] = """
+SELECT region, city, store_id, store_format, channel, category, sub_category, sku_id AS sku, year(txn_date) AS year, net
+FROM scope_v JOIN stores_v USING (store_id) JOIN skus_v USING (sku_id)
+"""
+VIEWS["year_pairs_v"] = """
+SELECT * FROM (
+  SELECT * EXCLUDE (net), 0.0 AS before, net AS after FROM year_lines_v
+  UNION ALL SELECT * EXCLUDE (net) REPLACE (year + 1 AS year), net, 0.0 FROM year_lines_v
+) WHERE year IN (SELECT year FROM year_lines_v) AND year - 1 IN (SELECT year FROM year_lines_v)
+"""
 VIEWS["parts_v"] = """
 SELECT region, sub_category, CAST(date_trunc('month', txn_date) AS DATE) AS period, sum(net) AS net, sum(units) AS units,
   sum(sum(units)) OVER (PARTITION BY region, CAST(date_trunc('month', txn_date) AS DATE)) AS total

@@ -486,3 +486,16 @@ def test_a_case_of_one_store_has_no_tests(spark):
     row = causal.store_tests(spark.createDataFrame(store_panel(1.0)[:1], "region string, store_id long, driver double, growth double, growth_before double, "
                                                    "exposed boolean, now double, before double"), ["region"]).first()
     assert row["dose_r"] is None and row["spec_t"] is None and row["did_t"] is None
+
+
+def test_contribution_of_every_pair_of_years(spark):
+    """A year whose forerunner is missing has no pair; a member of one year alone counts in full."""
+    from kpisleuth.operators import kpis
+
+    rows = [(1994, "a", "x", 1e7), (1995, "a", "x", 3e7), (1995, "b", "x", 2e7), (1996, "b", "y", 1e7), (1998, "a", "x", 9e7)]
+    frame = spark.createDataFrame(rows, "year int, store_id string, sku string, value double")
+    found = {(r["year"], r["dimension"], r["member"]): (r["delta_cr"], r["share_of_delta"])
+             for r in kpis.contribution_by_year(frame, ["store_id", "sku"]).collect()}
+    assert found == {
+        (1995, "store_id", "a"): (2.0, 0.5), (1995, "store_id", "b"): (2.0, 0.5), (1995, "sku", "x"): (4.0, 1.0),
+        (1996, "store_id", "a"): (-3.0, 0.75), (1996, "store_id", "b"): (-1.0, 0.25), (1996, "sku", "x"): (-5.0, 1.25), (1996, "sku", "y"): (1.0, -0.25)}
