@@ -11,6 +11,9 @@ The network is trained in numpy on at most about ``SAMPLE_PER_LANGUAGE`` windows
 of each language (the documented bound of the sample), taken at a place that
 follows from the id, from labelled rows; counts of languages are over all rows.
 
+Only the ``LANGUAGES`` most frequent labels are learned; documents of any other
+language are predicted as one of these.
+
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a
 corpus without labelled rows gives ``und`` for all; rows with null or repeated
 ids are classified one by one; an empty table gives no rows; other columns are
