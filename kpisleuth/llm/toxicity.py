@@ -13,6 +13,9 @@ token probabilities; tokens over one half are joined to spans, and the largest
 marginal and the expected number of toxic tokens give the document's score by a
 logistic fit on the sample.  A chain is broken every ``SEGMENT`` tokens.
 
+Where no word reaches the evidence bound log(vocabulary) + 2, as with a handful of
+toxic labelled rows, nothing is learned and every document scores 0.0 without a span.
+
 Defined cases: a null or empty text, or one without tokens, gets the score of a
 text without toxic tokens; without labelled rows of both classes every score is
 0; rows with null or repeated ids are scored one by one; an empty table gives no
