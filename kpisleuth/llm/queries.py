@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpisleuth.llm import decontaminate, forest, langid, licenses, minhash, packing, pii, quality, revisits, toxicity
+from kpisleuth.llm import (
+    decontaminate, forest, langid, licenses, minhash, packing, pii, piecewise, quality, revisits, tournament, toxicity, variants,
+)
 from kpisleuth.llm.common import held_out, table
 from kpisleuth.session import tuned
 
@@ -95,3 +97,22 @@ def hash_prefix_forest(spark, folder):
 @query("op6_benchmark_decontamination")
 def benchmark_decontamination(spark, folder):
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op11_piece_codes")
+def piece_codes(spark, folder):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return piecewise.decoded(piecewise.encoded(table(spark, folder, "documents"), model), model).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op12_spelling_variants", variants.variants_sql())
+def spelling_variants(spark, folder):
+    return variants.variants(table(spark, folder, "documents"))
+
+
+@query("op13_centroid_tournament", tournament.clusters_sql())
+def centroid_tournament(spark, folder):
+    return tournament.clustered(table(spark, folder, "embeddings")).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", tournament.centroid_digest(F.col("centroid")).alias("centroid_sha256"))
