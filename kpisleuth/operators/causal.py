@@ -213,45 +213,91 @@ def did_region(units: DataFrame, keys: list[str]) -> DataFrame:
     ).withColumn("did_pt", 100.0 * ratio(F.col("loss"), F.col("base")))
 
 
-def store_tests(panel: DataFrame, keys: list[str]) -> DataFrame:
-    """Dose-response, specificity and difference-in-differences of every case,
-    from its stores, in one aggregate.
+def _measures() -> dict[str, Column]:
+    """What each store test compares: growth, its change, and the growth before."""
+    return {"spec": F.col("growth"), "did": F.col("growth") - F.col("growth_before"), "pre": F.col("growth_before")}
 
-    ``panel`` has a row per case and store: ``driver`` (change of the cause),
-    ``growth`` (change of the KPI), ``growth_before`` (the period before),
-    ``exposed`` (the cause moved the residual's way), ``now`` and ``before`` (the
-    KPI).  Stores that the cause missed are the controls.  ``dose_r`` is the
-    correlation over stores; ``spec`` compares growth between exposed and
-    controls, ``did`` the change of growth, ``pre`` the growth before (the
-    pre-test); each with Welch's t and df.  ``did_pt`` is the exposed stores'
-    loss against the controls' growth, over the scope's base.
-    """
-    on = F.col("exposed")
-    change = F.col("growth") - F.col("growth_before")
+
+def _side_moments(panel: DataFrame, keys: list[str], sides: dict[str, Column]) -> DataFrame:
+    """Mean, variance and count of every measure on every side, and revenue sums, in one aggregate."""
     moments = []
-    for name, value in (("spec", F.col("growth")), ("did", change), ("pre", F.col("growth_before"))):
-        for side, flag in (("1", on), ("2", ~on)):
+    for side, flag in sides.items():
+        for name, value in _measures().items():
             own = F.when(flag, value)
             moments += [F.avg(own).alias(f"{name}_m{side}"), F.var_samp(own).alias(f"{name}_v{side}"),
                         F.count(own).alias(f"{name}_n{side}")]
-    ready = on & F.col("growth").isNotNull()
-    correlation = F.corr("driver", "growth")
-    out = panel.groupBy(*keys).agg(
-        F.count(F.when(F.col("growth").isNotNull(), 1)).alias("stores"),
-        F.when(~F.isnan(correlation), correlation).alias("dose_r"),
-        F.avg(F.when(~on, F.col("growth"))).alias("_g"), F.sum(F.when(ready, F.col("before"))).alias("_pre"),
-        F.sum(F.when(ready, F.col("now"))).alias("_post"), F.sum("before").alias("_base"), *moments,
+        ready = flag & F.col("growth").isNotNull()
+        moments += [F.sum(F.when(ready, F.col("before"))).alias(f"_pre{side}"), F.sum(F.when(ready, F.col("now"))).alias(f"_post{side}")]
+    dose = F.when(F.col("growth").isNotNull(), F.col("driver"))
+    # A cause that moved alike everywhere has no correlation.
+    correlation = ratio(F.covar_pop(dose, F.col("growth")), F.stddev_pop(dose) * F.stddev_pop("growth"))
+    return panel.groupBy(*keys).agg(
+        F.count("growth").alias("stores"), correlation.alias("dose_r"), F.sum("before").alias("_base"), *moments,
     )
-    for name in ("spec", "did", "pre"):
+
+
+def _side_tests(moments: DataFrame, keys: list[str]) -> DataFrame:
+    """Tests of side 1 (the cause) against side 2 (the controls)."""
+    out = moments
+    for name in _measures():
         sides = [F.col(f"{name}_{part}{side}") for side in "12" for part in "mvn"]
         m1, v1, n1, m2, v2, n2 = sides
         out = out.withColumn(f"{name}_t", welch_t(*sides)).withColumn(f"{name}_df", welch_df(v1, n1, v2, n2))
-    loss = F.col("_post") - F.col("_pre") * (1.0 + F.col("_g"))
+    loss = F.col("_post1") - F.col("_pre1") * (1.0 + F.col("spec_m2"))
     return out.withColumn("did_pt", 100.0 * ratio(loss, F.col("_base"))).select(
-        *keys, "stores", "dose_r", *[f"{name}_{what}" for name in ("spec", "did", "pre") for what in ("t", "df")], "did_pt"
+        *keys, "stores", "dose_r", *[f"{name}_{what}" for name in _measures() for what in ("t", "df")], "did_pt"
     )
 
 
+def store_tests(panel: DataFrame, keys: list[str]) -> DataFrame:
+    """Dose-response, specificity and difference-in-differences of every case,
+    from its stores, in one aggregate.
+
+    ``panel`` has a row per case and store: ``driver`` (change of the cause),
+    ``growth`` (change of the KPI), ``growth_before`` (the period before),
+    ``exposed`` (the cause is present), ``now`` and ``before`` (the KPI).  Stores
+    that the cause missed are the controls.  ``dose_r`` is the correlation over
+    stores; ``spec`` compares growth between exposed and controls, ``did`` the
+    change of growth, ``pre`` the growth before (the pre-test); each with Welch's
+    t and df.  ``did_pt`` is the exposed stores' loss against the controls'
+    growth, over the scope's base.
+    """
+    return _side_tests(_side_moments(panel, keys, {"1": F.col("exposed"), "2": ~F.col("exposed")}), keys)
+
+
+def _pooled(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, ...]:
+    """Mean, variance and count of two groups together."""
+    (m1, v1, n1), (m2, v2, n2) = a, b
+    none = F.lit(0.0)
+    n = n1 + n2
+    mean = ratio(F.coalesce(n1 * m1, none) + F.coalesce(n2 * m2, none), n.cast("double"))
+    apart = F.when((n1 > 0) & (n2 > 0), n1 * n2 / n * F.pow(m1 - m2, 2)).otherwise(0.0)
+    squares = F.coalesce((n1 - 1) * v1, none) + F.coalesce((n2 - 1) * v2, none) + apart
+    return mean, F.when(n > 1, squares / (n - 1)), n
+
+
+def directed_tests(panel: DataFrame, directions: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`store_tests` where the cause is present in the stores it moved the way it moved in the whole scope.
+
+    ``directions`` has a row per case with ``toward`` (1, -1, or 0 for no move,
+    which leaves nothing to test).  The direction meets finished moments of the
+    stores where the cause rose, fell or stood still, so the panel, with its few
+    and crowded cases, is not joined.
+    """
+    driver = F.col("driver")
+    moments = _side_moments(panel, keys, {"r": driver > 0, "f": driver < 0, "s": driver == 0})
+    cases = moments.join(directions.where(F.col("toward") != 0).select(*keys, "toward"), keys)
+    up = F.col("toward") > 0
+    shown = [F.col(c) for c in (*keys, "stores", "dose_r", "_base")]
+    shown += [F.when(up, F.col(f"{total}r")).otherwise(F.col(f"{total}f")).alias(f"{total}1") for total in ("_pre", "_post")]
+    for name in _measures():
+        rose, fell, still = (tuple(F.col(f"{name}_{part}{side}") for part in "mvn") for side in "rfs")
+        hit = [F.when(up, a).otherwise(b) for a, b in zip(rose, fell, strict=True)]
+        missed = [F.when(up, a).otherwise(b) for a, b in zip(_pooled(fell, still), _pooled(rose, still), strict=True)]
+        shown += [c.alias(f"{name}_{part}{side}") for side, group in (("1", hit), ("2", missed)) for part, c in zip("mvn", group, strict=True)]
+    return _side_tests(cases.select(*shown), keys)
+
+
 def confounder_screen(hypotheses: DataFrame, keys: list[str]) -> DataFrame:
     """For each live hypothesis, the listed confounders also live and untested.
 

@@ -130,22 +130,35 @@ FROM scope_v JOIN stores_v USING (store_id) GROUP BY 1, 2, 3, 4
 VIEWS["hyp_parts_v"] = """
 SELECT region, period, hypothesis_no, round(sum(net) / 1e7, 6) AS net, CAST(sum(n) AS BIGINT) AS n FROM slice_v GROUP BY 1, 2, 3
 """
-VIEWS["store_growth_v"] = """
-SELECT c.store_id, c.period, c.total AS now, p.total AS before, c.total / nullif(p.total, 0) - 1.0 AS growth,
-  p.total / nullif(q.total, 0) - 1.0 AS growth_before
-FROM (SELECT store_id, period, sum(net) AS total FROM slice_v GROUP BY 1, 2) c
-LEFT JOIN (SELECT store_id, period, sum(net) AS total FROM slice_v GROUP BY 1, 2) p
-  ON p.store_id = c.store_id AND p.period = CAST(c.period - INTERVAL 1 MONTH AS DATE)
-LEFT JOIN (SELECT store_id, period, sum(net) AS total FROM slice_v GROUP BY 1, 2) q
-  ON q.store_id = c.store_id AND q.period = CAST(c.period - INTERVAL 2 MONTH AS DATE)
+VIEWS["cause_v"] = f"""
+SELECT region, store_id, CAST(date_trunc('month', snapshot_date) AS DATE) AS period, CAST(sku_id % {_SLICE} AS INTEGER) AS hypothesis_no,
+  count(*) FILTER (WHERE on_hand_units > 0) AS ok, count(*) AS n
+FROM inv_v JOIN stores_v USING (store_id) GROUP BY 1, 2, 3, 4
 """
-VIEWS["store_panel_v"] = """
-SELECT c.region, c.period, c.hypothesis_no, g.*, c.net / p.net - 1.0 AS driver, sign(c.net / p.net - 1.0) = sign(d.residual_pt) AS exposed
-FROM slice_v c JOIN slice_v p ON p.store_id = c.store_id AND p.hypothesis_no = c.hypothesis_no AND p.net <> 0
+VIEWS["cause_region_v"] = """
+SELECT region, period, hypothesis_no, sum(ok) / CAST(sum(n) AS DOUBLE) AS level FROM cause_v GROUP BY 1, 2, 3
+"""
+VIEWS["cause_move_v"] = """
+SELECT c.region, c.period, c.hypothesis_no, c.level - p.level AS change
+FROM cause_region_v c JOIN cause_region_v p ON p.region = c.region AND p.hypothesis_no = c.hypothesis_no
   AND p.period = CAST(c.period - INTERVAL 1 MONTH AS DATE)
-JOIN decomposed_v d ON d.region = c.region AND d.period = c.period AND d.residual_pt IS NOT NULL
-JOIN (SELECT store_id AS store, period AS month, now, before, growth, growth_before FROM store_growth_v) g
-  ON g.store = c.store_id AND g.month = c.period
+"""
+VIEWS["store_total_v"] = "SELECT store_id, period, sum(net) AS total FROM slice_v GROUP BY 1, 2"
+VIEWS["store_panel_v"] = """
+SELECT *, now / nullif(before, 0) - 1.0 AS growth, before / nullif(earlier, 0) - 1.0 AS growth_before FROM (
+  SELECT c.region, c.period, c.hypothesis_no, c.store_id, c.ok / CAST(c.n AS DOUBLE) - p.ok / CAST(p.n AS DOUBLE) AS driver,
+    sign(c.ok / CAST(c.n AS DOUBLE) - p.ok / CAST(p.n AS DOUBLE)) = sign(m.change) AS exposed,
+    round(t0.total - coalesce(s0.net, 0), 4) AS now, round(t1.total - coalesce(s1.net, 0), 4) AS before,
+    round(t2.total - coalesce(s2.net, 0), 4) AS earlier
+  FROM cause_v c
+  JOIN cause_v p ON p.store_id = c.store_id AND p.hypothesis_no = c.hypothesis_no AND p.period = CAST(c.period - INTERVAL 1 MONTH AS DATE)
+  JOIN cause_move_v m ON m.region = c.region AND m.hypothesis_no = c.hypothesis_no AND m.period = c.period AND m.change <> 0
+  JOIN store_total_v t0 ON t0.store_id = c.store_id AND t0.period = c.period
+  LEFT JOIN store_total_v t1 ON t1.store_id = c.store_id AND t1.period = CAST(c.period - INTERVAL 1 MONTH AS DATE)
+  LEFT JOIN store_total_v t2 ON t2.store_id = c.store_id AND t2.period = CAST(c.period - INTERVAL 2 MONTH AS DATE)
+  LEFT JOIN slice_v s0 ON s0.store_id = c.store_id AND s0.hypothesis_no = c.hypothesis_no AND s0.period = c.period
+  LEFT JOIN slice_v s1 ON s1.store_id = c.store_id AND s1.hypothesis_no = c.hypothesis_no AND s1.period = CAST(c.period - INTERVAL 1 MONTH AS DATE)
+  LEFT JOIN slice_v s2 ON s2.store_id = c.store_id AND s2.hypothesis_no = c.hypothesis_no AND s2.period = CAST(c.period - INTERVAL 2 MONTH AS DATE))
 """
 
 
@@ -192,7 +205,7 @@ def _first_shift_sql(series: str, keys: str) -> str:
 
 VIEWS["onsets_v"] = f"""
 SELECT c.region, c.hypothesis_no, c.onset < e.onset AS passed
-FROM {_first_shift_sql("(SELECT region, hypothesis_no, period, net AS value FROM hyp_parts_v)", "region, hypothesis_no")} c
+FROM {_first_shift_sql("(SELECT region, hypothesis_no, period, round(100.0 * level, 6) AS value FROM cause_region_v)", "region, hypothesis_no")} c
 JOIN {_first_shift_sql("(SELECT region, period, value FROM cells_v)", "region")} e USING (region)
 """
 VIEWS["hyp_board_v"] = f"""
@@ -202,15 +215,16 @@ SELECT *, 100.0 * volume_share * {config.AVAILABILITY_BETA} * abs(driver_change)
   CASE WHEN sign(did_pt) = sign(residual_pt) THEN least(abs(did_pt), abs(residual_pt)) / nullif(abs(residual_pt), 0) ELSE 0.0 END AS attributed_share,
   coalesce({_p_sql("pre_t", "pre_df")} > {config.PRETREND_MIN_P}, false) AS pretest_passed,
   coalesce(dose_r >= {config.DOSE_MIN_R}, false) AS dose_passed,
-  coalesce({_p_sql("spec_t", "spec_df")} <= {config.SPECIFICITY_MAX_P} AND sign(spec_t) = sign(residual_pt), false) AS specificity_passed,
-  coalesce({_p_sql("did_t", "did_df")} <= {config.DID_MAX_P} AND sign(did_t) = sign(residual_pt), false) AS did_significant
+  coalesce({_p_sql("spec_t", "spec_df")} <= {config.SPECIFICITY_MAX_P} AND sign(spec_t) = sign(driver_change), false) AS specificity_passed,
+  coalesce({_p_sql("did_t", "did_df")} <= {config.DID_MAX_P} AND sign(did_t) = sign(driver_change), false) AS did_significant
 FROM (
   SELECT c.region, c.period, h.hypothesis, d.residual_pt, d.headline_pt, d.previous AS cell_previous, d.value AS cell_value,
-    c.net / nullif(d.value, 0) AS volume_share, c.net / nullif(p.net, 0) - 1.0 AS driver_change,
+    c.net / nullif(d.value, 0) AS volume_share, m.change AS driver_change,
     coalesce(o.passed, false) AS precedence_passed, t.dose_r, t.spec_t, t.spec_df, t.did_t, t.did_df, t.pre_t, t.pre_df, t.did_pt
   FROM hyp_parts_v c JOIN hyp_v h USING (hypothesis_no)
   JOIN decomposed_v d ON d.region = c.region AND d.period = c.period AND d.residual_pt IS NOT NULL
   JOIN hyp_parts_v p ON p.region = c.region AND p.hypothesis_no = c.hypothesis_no AND p.period = CAST(c.period - INTERVAL 1 MONTH AS DATE)
+  LEFT JOIN cause_move_v m ON m.region = c.region AND m.period = c.period AND m.hypothesis_no = c.hypothesis_no
   LEFT JOIN onsets_v o ON o.region = c.region AND o.hypothesis_no = c.hypothesis_no
   LEFT JOIN store_tests_v t ON t.region = c.region AND t.period = c.period AND t.hypothesis_no = c.hypothesis_no
   WHERE c.n > 1 AND p.n > 1
@@ -231,38 +245,75 @@ def store_slices(spark, folder) -> DataFrame:
     return written(located(per_store, spark, folder), "store-slices")
 
 
+def store_causes(spark, folder) -> DataFrame:
+    """What may have moved each slice, per (store, month, hypothesis): shelf checks with stock, and all of them.
+
+    Taken from the shelf snapshots, not from sales, so that a cause is not made of
+    the outcome that it is tested on.
+    """
+    per_store = standins.inventory(spark, folder).groupBy(
+        "store_id", F.date_trunc("month", "snapshot_date").cast("date").alias("period"),
+        (F.col("sku_id") % _SLICE).cast("int").alias("hypothesis_no"),
+    ).agg(F.count_if(F.col("on_hand_units") > 0).alias("ok"), F.count(F.lit(1)).alias("n"))
+    return written(located(per_store, spark, folder), "store-causes")
+
+
 def slice_months(slices: DataFrame) -> DataFrame:
     """The same by region; at most regions x months x templates rows."""
     return written(slices.groupBy(*CASE, "hypothesis_no").agg(
         F.sum("net").alias("net"), F.sum("n").alias("n"), F.bit_or("weeks").alias("weeks")), "slice-months")
 
 
-def tested_slices(slices: DataFrame, cells: DataFrame) -> DataFrame:
-    """Store tests of every (region, month, slice); ``cells`` give the residual's sign."""
-    monthly = slices.groupBy("store_id", "period").agg(F.sum("net").alias("now"))
-    before = previous_by_period(F.col("now"), ["store_id"], "period")
-    staged = monthly.withColumn("before", before)
-    earlier = previous_by_period(F.col("before"), ["store_id"], "period")
-    grown = staged.withColumn("earlier", earlier).select(
-        "store_id", "period", "now", "before", (ratio(F.col("now"), F.col("before")) - 1.0).alias("growth"),
-        (ratio(F.col("before"), F.col("earlier")) - 1.0).alias("growth_before"),
-    )
-    last = previous_by_period(F.col("net"), ["store_id", "hypothesis_no"], "period")
-    moved = slices.withColumn("driver", ratio(F.col("net"), last) - 1.0).where("driver IS NOT NULL")
-    panel = moved.join(cells.select(*CASE, "residual_pt"), CASE).join(grown, ["store_id", "period"]).withColumn(
-        "exposed", F.signum("driver") == F.signum("residual_pt"))
-    found = causal.store_tests(panel, [*CASE, "hypothesis_no"])
+def cause_months(causes: DataFrame) -> DataFrame:
+    """Level of each cause by region and month, its change, and the way it moved."""
+    level = F.sum("ok") / F.sum("n")
+    monthly = causes.groupBy(*CASE, "hypothesis_no").agg(level.alias("level"))
+    before = previous_by_period(F.col("level"), ["region", "hypothesis_no"], "period")
+    return written(monthly.withColumn("change", F.col("level") - before).withColumn("toward", F.signum("change")), "cause-months")
+
+
+def store_outcomes(slices: DataFrame, causes: DataFrame) -> DataFrame:
+    """Per (store, month, hypothesis) with a cause on record this month and the last: ``driver``, its change in the
+    store, and the store's revenue without the hypothesis' own slice (``now``, ``before``, ``earlier``) with its growth.
+
+    Leaving the slice out keeps a hypothesis from explaining itself.
+    """
+    totals = slices.groupBy("store_id", "period").agg(F.sum("net").alias("t0"))
+    staged = totals.withColumn("t1", previous_by_period(F.col("t0"), ["store_id"], "period"))
+    whole = staged.withColumn("t2", previous_by_period(F.col("t1"), ["store_id"], "period"))
+    number = [F.lit(None).cast("long").alias(c) for c in ("ok", "n")]
+    keys = ["region", "store_id", "period", "hypothesis_no"]
+    both = slices.select(*keys, "net", *number).unionByName(causes.select(*keys, F.lit(None).cast("double").alias("net"), "ok", "n"))
+    # Dealt as the windows need it, so the aggregate shuffles nothing of its own.
+    slots = both.repartition(F.col("store_id"), F.col("hypothesis_no")).groupBy(*keys).agg(
+        F.sum("net").alias("own"), (F.sum("ok") / F.sum("n")).alias("level")).withColumn("_m", F.year("period") * 12 + F.month("period"))
+    months = Window.partitionBy("store_id", "hypothesis_no").orderBy("_m")
+    ago = lambda c, k: F.sum(c).over(months.rangeBetween(-k, -k))  # noqa: E731 (one row, or none)
+    panel = slots.withColumns({"own1": ago("own", 1), "own2": ago("own", 2), "driver": F.col("level") - ago("level", 1)}).where(
+        "driver IS NOT NULL").join(whole, ["store_id", "period"])
+    without = lambda total, own: F.round(F.col(total) - F.coalesce(own, F.lit(0.0)), 4)
+    panel = panel.select(*keys, "driver", without("t0", "own").alias("now"), without("t1", "own1").alias("before"),
+                         without("t2", "own2").alias("earlier"))
+    return panel.withColumns({"growth": ratio(F.col("now"), F.col("before")) - 1.0,
+                              "growth_before": ratio(F.col("before"), F.col("earlier")) - 1.0})
+
+
+def tested_slices(slices: DataFrame, causes: DataFrame, moves: DataFrame) -> DataFrame:
+    """Store tests of every (region, month, slice); ``moves`` tell which way each cause went in the region."""
+    found = causal.directed_tests(store_outcomes(slices, causes), moves, [*CASE, "hypothesis_no"])
     for name in ("spec", "did", "pre"):
         found = found.withColumn(f"{name}_p", p_student_t(f"{name}_t", f"{name}_df"))
     return found
 
 
 def hypothesis_board(spark, folder, slices: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
-    """One row per (region, month, hypothesis): share, driver change, tests."""
+    """One row per (region, month, hypothesis): share, change of the cause, tests."""
     if slices is None:
         slices = store_slices(spark, folder)
     if parts is None:
         parts = slice_months(slices)
+    stock = store_causes(spark, folder)
+    moves = cause_months(stock)
     keys = ["region", "hypothesis_no"]
     sized = parts.withColumn("net", crore(F.col("net")))
     staged = sized.withColumn("_b", previous_by_period(F.struct("net", "n"), keys, "period"))
@@ -271,35 +322,36 @@ def hypothesis_board(spark, folder, slices: DataFrame | None = None, parts: Data
     cells = movement.decompose(movement.trailing_expected(totals, REGION), REGION).where(
         "residual_pt IS NOT NULL"
     ).select(*CASE, "residual_pt", "headline_pt", F.col("previous").alias("cell_previous"), F.col("value").alias("cell_value"))
-    causes = causal.onset(sized.select(*keys, "period", F.col("net").alias("value")), keys, "period")
+    causes = causal.onset(moves.select(*keys, "period", rounded(100.0 * F.col("level")).alias("value")), keys, "period")
     effects = causal.onset(totals, REGION, "period")
     first = causes.select(*keys, F.col("onset").alias("_cause")).join(
         effects.select("region", F.col("onset").alias("_effect")), "region"
     ).select(*keys, (F.col("_cause") < F.col("_effect")).alias("_precedes"))
     board = (
         named.where("n > 1 AND _b.n > 1").join(cells, CASE).join(first, keys, "left")
-        .join(tested_slices(slices, cells), [*CASE, "hypothesis_no"], "left")
+        .join(moves.select(*CASE, "hypothesis_no", "change"), [*CASE, "hypothesis_no"], "left")
+        .join(tested_slices(slices, stock, moves), [*CASE, "hypothesis_no"], "left")
         .select(
             *HYP, "residual_pt", "headline_pt", "cell_previous", "cell_value",
             ratio(F.col("net"), F.col("cell_value")).alias("volume_share"),
-            (ratio(F.col("net"), F.col("_b.net")) - 1.0).alias("driver_change"),
+            F.col("change").alias("driver_change"),
             F.coalesce("_precedes", F.lit(False)).alias("precedence_passed"),
             F.lit(config.AVAILABILITY_BETA).alias("elasticity"),
             "dose_r", "spec_t", "spec_p", "did_t", "did_p", "pre_p", "did_pt",
         )
     )
-    same = lambda c: F.coalesce(F.signum(c) == F.signum("residual_pt"), F.lit(False))
+    agrees = lambda c, other: F.coalesce(F.signum(c) == F.signum(other), F.lit(False))
     sure = lambda c: F.coalesce(c, F.lit(False))
     part = F.least(F.abs("did_pt"), F.abs("residual_pt"))
     return written(
         causal.sufficiency(board)
-        .withColumn("live", same("driver_change"))
+        .withColumn("live", agrees("driver_change", "residual_pt"))
         .withColumn("tested", F.col("did_t").isNotNull())
-        .withColumn("attributed_share", F.when(same("did_pt"), ratio(part, F.abs("residual_pt"))).otherwise(0.0))
+        .withColumn("attributed_share", F.when(agrees("did_pt", "residual_pt"), ratio(part, F.abs("residual_pt"))).otherwise(0.0))
         .withColumn("pretest_passed", sure(F.col("pre_p") > config.PRETREND_MIN_P))
         .withColumn("dose_passed", sure(F.col("dose_r") >= config.DOSE_MIN_R))
-        .withColumn("specificity_passed", sure(F.col("spec_p") <= config.SPECIFICITY_MAX_P) & same("spec_t"))
-        .withColumn("did_significant", sure(F.col("did_p") <= config.DID_MAX_P) & same("did_t")),
+        .withColumn("specificity_passed", sure(F.col("spec_p") <= config.SPECIFICITY_MAX_P) & agrees("spec_t", "driver_change"))
+        .withColumn("did_significant", sure(F.col("did_p") <= config.DID_MAX_P) & agrees("did_t", "driver_change")),
         "hypotheses",
     )
 
