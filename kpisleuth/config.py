@@ -206,6 +206,10 @@ DOSE_MIN_R = 0.30
 SPECIFICITY_MAX_P = 0.05
 DID_MAX_P = 0.01
 PRETREND_WEEKS = 8
+# Own choices, as the contract gives none: how far a matched control may lie (in standard deviations
+# of the candidates), and how unlike the matched sides may be on any covariate.
+MATCH_CALIPER = 2.0
+MATCH_MAX_SMD = 0.25
 PRETREND_MIN_P = 0.05
 RELIABILITY = {
     "structured_query": 0.95, "derived_estimate": 0.85, "corroborated_unstructured": 0.80,

@@ -213,6 +213,32 @@ def did_region(units: DataFrame, keys: list[str]) -> DataFrame:
     ).withColumn("did_pt", 100.0 * ratio(F.col("loss"), F.col("base")))
 
 
+def matched_did(pairs: DataFrame, keys: list[str], control: str = "candidate_id") -> DataFrame:
+    """Difference-in-differences over matched pairs, in points.
+
+    ``pairs``: keys, ``control``, and ``t_``/``c_`` columns ``growth`` and ``pre``,
+    ``post`` of either side.  Stores sharing a control form one matched set, whose
+    errors go together: the variance is that of the sums over sets, which is the
+    paired variance where no control serves twice.  ``df`` is sets less one.
+    ``loss`` is what the treated units fell short of their controls' growth.
+    """
+    gap = F.col("t_growth") - F.col("c_growth")
+    whole = pairs.where(F.col("t_growth").isNotNull() & F.col("c_growth").isNotNull())
+    sets = whole.groupBy(*keys, control).agg(
+        F.sum(gap).alias("s"), F.count(F.lit(1)).alias("k"), F.sum("c_growth").alias("g"),
+        F.sum(F.col("t_post") - F.col("t_pre") * (1.0 + F.col("c_growth"))).alias("loss"),
+    )
+    n, mean = F.sum("k"), F.sum("s") / F.sum("k")
+    squares = F.sum(F.col("s") * F.col("s")) - 2.0 * mean * F.sum(F.col("s") * F.col("k")) + mean * mean * F.sum(F.col("k") * F.col("k"))
+    found = sets.groupBy(*keys).agg(
+        n.alias("matched"), F.count(F.lit(1)).alias("controls"), (100.0 * mean).alias("did_pt"), squares.alias("_q"),
+        (F.sum("g") / n).alias("control_growth"), F.sum("loss").alias("loss"),
+    )
+    m, c = F.col("matched"), F.col("controls")
+    error = F.when(c > 1, F.sqrt(F.greatest(F.col("_q"), F.lit(0.0)) * c / (c - 1)) / m)
+    return found.withColumn("df", c - 1).withColumn("t", ratio(F.col("did_pt") / 100.0, error)).drop("_q")
+
+
 def _measures() -> dict[str, Column]:
     """What each store test compares: growth, its change, and the growth before."""
     return {"spec": F.col("growth"), "did": F.col("growth") - F.col("growth_before"), "pre": F.col("growth_before")}

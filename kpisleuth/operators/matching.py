@@ -154,6 +154,30 @@ def match_with_reuse(
     return owner.select(*block, "treated_id", "lead_id").join(found, [*block, "lead_id"]).drop("lead_id")
 
 
+def matched_pairs(units: DataFrame, block: list[str], covariates: list[str], unit_id: str, treated: str, caliper: float,
+                  carried: list[str]) -> DataFrame:
+    """Treated units with their nearest control within the caliper, each side's
+    ``carried`` and covariate columns under ``t_`` and ``c_``.
+
+    A treated unit without a control that near is left out, as nothing tells what
+    it would have done.
+    """
+    found = match_with_reuse(units, block, covariates, unit_id, treated).where(F.col("distance") <= caliper)
+    side = lambda tag, key: units.select(
+        F.col(unit_id).cast("long").alias(key), *[F.col(c).alias(f"{tag}_{c}") for c in (*carried, *covariates)])
+    return found.join(side("t", "treated_id"), "treated_id").join(side("c", "candidate_id"), "candidate_id")
+
+
+def worst_imbalance(pairs: DataFrame, keys: list[str], covariates: list[str]) -> DataFrame:
+    """Largest standardised mean difference of a covariate between the matched sides, in absolute value."""
+    gaps = []
+    for c in covariates:
+        t, o = F.col(f"t_{c}").cast("double"), F.col(f"c_{c}").cast("double")
+        apart, spread = F.avg(t) - F.avg(o), F.sqrt((F.var_pop(t) + F.var_pop(o)) / 2.0)
+        gaps.append(F.when(apart == 0, 0.0).when(spread > 0, F.abs(apart) / spread).otherwise(float("inf")))
+    return pairs.groupBy(*keys).agg(F.greatest(*gaps, F.lit(0.0)).alias("worst_smd"))
+
+
 def match_without_reuse(
     units: DataFrame, block: list[str], covariates: list[str], unit_id: str, treated: str
 ) -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from kpisleuth import config
 from kpisleuth.functions.columns import crore, rounded
-from kpisleuth.operators import causal, quality, requests, whatif
+from kpisleuth.operators import quality, requests, whatif
 from kpisleuth.plans.cases import KPI_CELLS_SQL, kpi_cells, r
 from kpisleuth.plans.facts import conformed, region_cells
 from kpisleuth.plans.registry import VIEWS, query
-from kpisleuth.plans.verdicts import DID_SQL, HYP, availability_days, hypothesis_board, located, unit_panel
+from kpisleuth.plans.verdicts import DID_SQL, HYP, availability_days, hypothesis_board, located, matched_effect
 from kpisleuth.session import written
 from kpisleuth.sources import standins, tables
 from kpisleuth.streaming import streams
@@ -174,7 +174,7 @@ FROM (SELECT region, -did_pt / 100.0 AS r FROM {DID_SQL}) JOIN (
 """)
 def w2(spark, folder):
     """The elasticity each region's measured loss against its controls implies."""
-    effects = causal.did_region(unit_panel(spark, folder), ["region"]).select("region", (-F.col("did_pt") / 100.0).alias("reduction"))
+    effects = matched_effect(spark, folder).select("region", (-F.col("did_pt") / 100.0).alias("reduction"))
     panel = availability_panel(spark, folder)
     return whatif.fit_elasticity(panel, effects, ["region"], config.AFFECTED_SHARE, config.AVAILABILITY_BEFORE).select(
         "region", r("reduction"), r("demand_weighted_drop"), r("beta", 4)

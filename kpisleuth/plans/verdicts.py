@@ -512,27 +512,92 @@ def m8_p(spark, folder):
     )
 
 
+DID_BLOCK = ["region", "store_format", "catchment_type"]
+DID_COVARIATES = ["sqft", "staff_headcount", "pre_trend"]
+
+
+def matched_stores(spark, folder, units: DataFrame) -> DataFrame:
+    """Treated stores and their matched controls around the onset."""
+    slopes = causal.pre_trend(conformed(spark, folder), "store_id", "txn_date", "net_amount", ONSET).select(
+        "store_id", rounded(F.col("slope") / config.LAKH).alias("pre_trend"))
+    traits = standins.stores(spark, folder).select("store_id", "store_format", "catchment_type", "sqft", "staff_headcount")
+    ready = units.where((F.col("is_treated") | F.col("is_control")) & F.col("growth").isNotNull()).join(traits, "store_id").join(
+        slopes, "store_id", "left").withColumn("pre_trend", F.coalesce("pre_trend", F.lit(0.0)))
+    return written(matching.matched_pairs(
+        written(ready, "did-stores"), DID_BLOCK, DID_COVARIATES, "store_id", "is_treated", config.MATCH_CALIPER, ["pre", "post", "growth"]), "did-pairs")
+
+
+def matched_effect(spark, folder) -> DataFrame:
+    """Per region: the matched estimate, its loss over the scope's base, and the balance of the match."""
+    units = written(unit_panel(spark, folder), "did-units")
+    pairs = matched_stores(spark, folder, units)
+    scope = units.groupBy(*REGION).agg(F.count_if("is_treated").alias("treated"), F.sum("pre").alias("base"))
+    found = causal.matched_did(pairs, REGION).withColumnRenamed("did_pt", "gap_pt").join(
+        matching.worst_imbalance(pairs, REGION, DID_COVARIATES), REGION)
+    return scope.join(found, REGION, "left").withColumn("did_pt", 100.0 * ratio(F.col("loss"), F.col("base")))
+
+
+VIEWS["trend_v"] = """
+SELECT store_id, round(CASE WHEN count(*) > 1 THEN regr_slope(value, week) / 1e5 END, 6) AS slope FROM (
+  SELECT store_id, CAST(floor((txn_date - DATE '1998-06-01') / 7) AS BIGINT) AS week, sum(net) AS value FROM scope_v
+  WHERE txn_date >= DATE '1998-06-01' - 56 AND txn_date < DATE '1998-06-01' GROUP BY 1, 2
+) GROUP BY 1
+"""
+VIEWS["did_unit_v"] = """
+SELECT u.*, s.store_format, s.catchment_type, s.sqft, s.staff_headcount, coalesce(t.slope, 0.0) AS pre_trend
+FROM units_v u JOIN stores_v s USING (store_id) LEFT JOIN trend_v t USING (store_id)
+WHERE (u.is_treated OR u.is_control) AND u.growth IS NOT NULL
+"""
+_DID_Z = ", ".join(f"(u.{c} - s.m_{c}) / CASE WHEN coalesce(s.s_{c}, 0) = 0 THEN 1.0 ELSE s.s_{c} END AS z_{c}" for c in DID_COVARIATES)
+_DID_STATS = ", ".join(f"avg({c}) FILTER (WHERE NOT is_treated) AS m_{c}, stddev_pop({c}) FILTER (WHERE NOT is_treated) AS s_{c}" for c in DID_COVARIATES)
+VIEWS["did_z_v"] = f"""
+SELECT u.*, {_DID_Z} FROM did_unit_v u
+JOIN (SELECT region, store_format, catchment_type, {_DID_STATS} FROM did_unit_v GROUP BY 1, 2, 3) s USING (region, store_format, catchment_type)
+"""
+_DID_DISTANCE = "sqrt(" + " + ".join(f"(t.z_{c} - c.z_{c}) ** 2" for c in DID_COVARIATES) + ")"
+VIEWS["did_pair_v"] = f"""
+SELECT * FROM (
+  SELECT t.region, t.store_id AS treated_id, c.store_id AS control_id, {_DID_DISTANCE} AS distance, t.growth AS t_growth, c.growth AS c_growth,
+    t.pre AS t_pre, t.post AS t_post, {", ".join(f"t.{c} AS t_{c}, c.{c} AS c_{c}" for c in DID_COVARIATES)},
+    row_number() OVER (PARTITION BY t.store_id ORDER BY {_DID_DISTANCE}, c.store_id) AS place
+  FROM did_z_v t JOIN did_z_v c ON t.region = c.region AND t.store_format = c.store_format AND t.catchment_type = c.catchment_type
+  WHERE t.is_treated AND NOT c.is_treated
+) WHERE place = 1 AND distance <= {config.MATCH_CALIPER}
+"""
+_SMD = ", ".join(
+    f"CASE WHEN avg(t_{c}) = avg(c_{c}) THEN 0.0 WHEN var_pop(t_{c}) + var_pop(c_{c}) > 0 "
+    f"THEN abs(avg(t_{c}) - avg(c_{c})) / sqrt((var_pop(t_{c}) + var_pop(c_{c})) / 2.0) ELSE 'inf'::DOUBLE END" for c in DID_COVARIATES)
+VIEWS["did_effect_v"] = f"""
+SELECT b.region, b.treated, b.base, e.matched, e.controls, 100.0 * e.gap AS gap_pt, e.controls - 1 AS df,
+  CASE WHEN e.controls > 1 THEN e.gap / nullif(sqrt(v.q * e.controls / (e.controls - 1)) / e.matched, 0) END AS t,
+  e.control_growth, e.loss, e.worst_smd, 100.0 * e.loss / nullif(b.base, 0) AS did_pt
+FROM (SELECT region, count(*) FILTER (WHERE is_treated) AS treated, sum(pre) AS base FROM units_v GROUP BY 1) b
+LEFT JOIN (SELECT region, count(*) AS matched, count(DISTINCT control_id) AS controls, avg(t_growth - c_growth) AS gap,
+    avg(c_growth) AS control_growth, sum(t_post - t_pre * (1.0 + c_growth)) AS loss, greatest({_SMD}) AS worst_smd
+  FROM did_pair_v GROUP BY 1) e USING (region)
+LEFT JOIN (SELECT region, sum(s * s) AS q FROM (
+  SELECT p.region, p.control_id, sum(p.t_growth - p.c_growth - m.gap) AS s FROM did_pair_v p
+  JOIN (SELECT region, avg(t_growth - c_growth) AS gap FROM did_pair_v GROUP BY 1) m USING (region) GROUP BY 1, 2) GROUP BY 1) v USING (region)
+"""
+
+
 @query("m9_did", f"""
-SELECT region, treated, controls, round(100.0 * (did_m1 - did_m2), 6) AS did_pt, round(did_t, 6) AS t, round(did_df, 6) AS df,
-  {_p_sql("did_t", "did_df")} <= {config.DID_MAX_P} AS passed
-FROM (SELECT *, {_welch_sql("did")} FROM (
-  SELECT region, count(*) FILTER (WHERE is_treated) AS treated, count(*) FILTER (WHERE is_control) AS controls,
-    avg(growth) FILTER (WHERE is_treated) AS did_m1, var_samp(growth) FILTER (WHERE is_treated) AS did_v1,
-    count(growth) FILTER (WHERE is_treated) AS did_n1, avg(growth) FILTER (WHERE is_control) AS did_m2,
-    var_samp(growth) FILTER (WHERE is_control) AS did_v2, count(growth) FILTER (WHERE is_control) AS did_n2
-  FROM units_v GROUP BY 1))
+SELECT region, treated, coalesce(matched, 0) AS matched, coalesce(controls, 0) AS controls, round(gap_pt, 6) AS did_pt, round(t, 6) AS t, df,
+  round(worst_smd, 6) AS worst_smd, coalesce(worst_smd <= {config.MATCH_MAX_SMD}, false) AS balanced,
+  {_p_sql("t", "CAST(df AS DOUBLE)")} <= {config.DID_MAX_P} AND worst_smd <= {config.MATCH_MAX_SMD} AS passed
+FROM did_effect_v
 """)
 def m9(spark, folder):
-    found = causal.did(unit_panel(spark, folder), REGION).withColumn("p_value", p_student_t("t", "df"))
+    found = matched_effect(spark, folder).withColumn("p_value", p_student_t("t", F.col("df").cast("double")))
+    even = F.col("worst_smd") <= config.MATCH_MAX_SMD
+    none = F.lit(0).cast("long")
     return found.select(
-        "region", "treated", "controls", r("did_pt"), r("t"), r("df"), (F.col("p_value") <= config.DID_MAX_P).alias("passed"))
+        "region", "treated", F.coalesce("matched", none).alias("matched"), F.coalesce("controls", none).alias("controls"),
+        r("gap_pt").alias("did_pt"), r("t"), "df", r("worst_smd"), F.coalesce(even, F.lit(False)).alias("balanced"),
+        ((F.col("p_value") <= config.DID_MAX_P) & even).alias("passed"))
 
 
-DID_SQL = """
-(SELECT region, g AS control_growth, post - pre * (1.0 + g) AS loss, base, 100.0 * (post - pre * (1.0 + g)) / nullif(base, 0) AS did_pt
- FROM (SELECT region, avg(growth) FILTER (WHERE is_control) AS g, sum(pre) FILTER (WHERE is_treated AND growth IS NOT NULL) AS pre,
-   sum(post) FILTER (WHERE is_treated AND growth IS NOT NULL) AS post, sum(pre) AS base FROM units_v GROUP BY 1))
-"""
+DID_SQL = "did_effect_v"
 
 
 @query("m10_did_region", f"""
@@ -540,7 +605,7 @@ SELECT region, round(control_growth, 6) AS control_growth, round(loss / 1e7, 6)
   round(did_pt, 6) AS did_pt FROM {DID_SQL}
 """)
 def m10(spark, folder):
-    return causal.did_region(unit_panel(spark, folder), REGION).select(
+    return matched_effect(spark, folder).select(
         "region", r("control_growth"), crore(F.col("loss")).alias("loss_cr"), crore(F.col("base")).alias("base_cr"), r("did_pt")
     )
 
@@ -619,7 +684,7 @@ SELECT region, period, round(attributed_pt, 6) AS attributed_pt,
   round(unattributed_pt / 100.0 * previous, 6) AS unattributed_value FROM {_ATTRIBUTE_SQL}
 """)
 def m14(spark, folder):
-    effect = causal.did_region(unit_panel(spark, folder), REGION).select("region", "did_pt")
+    effect = matched_effect(spark, folder).select("region", "did_pt")
     cells = decomposed_cells(spark, folder).where("residual_pt IS NOT NULL").join(effect, "region")
     return causal.attribute(cells).select(
         *CASE, r("attributed_pt"), r("attributed_share"), r("unattributed_pt"), r("attributed_value"), r("unattributed_value")
