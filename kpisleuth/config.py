@@ -206,6 +206,7 @@ DOSE_MIN_R = 0.30
 SPECIFICITY_MAX_P = 0.05
 DID_MAX_P = 0.01
 PRETREND_WEEKS = 8
+PRECEDENCE_MAX_LAG_DAYS = 56  # own choice: a cause more than eight weeks old has no claim on a change
 # Own choices, as the contract gives none: how far a matched control may lie (in standard deviations
 # of the candidates), and how unlike the matched sides may be on any covariate.
 MATCH_CALIPER = 2.0

@@ -13,6 +13,9 @@ from kpisleuth.functions.columns import ratio, rounded, spread_by
 from kpisleuth.functions.stats import welch_df, welch_t
 
 
+LEAST_NOISE = 1e-6  # series come rounded to six places
+
+
 def onset(series: DataFrame, keys: list[str], day: str) -> DataFrame:
     """Single mean-shift changepoint: the split with the largest reduction in
     squared error, from running sums.  ``series`` has one row per period."""
@@ -31,28 +34,26 @@ def onset(series: DataFrame, keys: list[str], day: str) -> DataFrame:
 
 
 def _changepoints(values: np.ndarray, penalty: float, min_size: int = 2) -> list[int]:
-    """Penalised optimal partitioning with pruning, squared-error cost."""
+    """Penalised optimal partitioning of squared error, with pruning.
+
+    A start that loses to a cut at ``end`` can never win again once a segment may
+    follow that cut, which is ``min_size`` steps later; until then it stays.
+    """
     n = len(values)
     c1 = np.concatenate([[0.0], np.cumsum(values)])
     c2 = np.concatenate([[0.0], np.cumsum(values**2)])
-
-    def cost(starts: np.ndarray, end: int) -> np.ndarray:
-        size = end - starts
-        return c2[end] - c2[starts] - (c1[end] - c1[starts]) ** 2 / size
-
     best = np.full(n + 1, np.inf)
     best[0] = -penalty
     previous = np.zeros(n + 1, dtype=int)
-    alive = np.array([0])
+    starts, leaves = np.array([0]), np.array([n + 1])  # in ascending order; when each may go
     for end in range(min_size, n + 1):
-        usable = alive[end - alive >= min_size]
-        totals = best[usable] + cost(usable, end)
+        stay = leaves > end
+        starts, leaves = starts[stay], leaves[stay]
+        totals = best[starts] + (c2[end] - c2[starts] - (c1[end] - c1[starts]) ** 2 / (end - starts))
         k = int(totals.argmin())
-        best[end], previous[end] = totals[k] + penalty, usable[k]
-        waiting = alive[end - alive < min_size]
-        keep = usable[totals <= best[end]]
-        alive = np.concatenate([keep, waiting, [end - min_size + 1]]) if end - min_size + 1 > 0 else alive
-        alive = np.unique(alive)
+        best[end], previous[end] = totals[k] + penalty, starts[k]
+        leaves = np.where(totals > best[end], np.minimum(leaves, end + min_size), leaves)
+        starts, leaves = np.append(starts, end - min_size + 1), np.append(leaves, n + 1)
     cuts, end = [], n
     while end > 0:
         end = previous[end]
@@ -72,8 +73,8 @@ def onsets(series: DataFrame, keys: list[str], key_schema: str, day: str, penalt
         values = pdf["value"].to_numpy(dtype=float)
         if len(values) < 4:
             return pd.DataFrame(columns=[*keys, "onset", "position", "shift"])
-        noise = np.median(np.abs(np.diff(values))) / 0.9539 if len(values) > 1 else 0.0
-        cuts = _changepoints(values, penalty_scale * max(noise, 1e-12) ** 2 * np.log(len(values)))
+        noise = np.median(np.abs(np.diff(values))) / 0.9539
+        cuts = _changepoints(values, penalty_scale * max(noise, LEAST_NOISE) ** 2 * np.log(len(values)))
         edges = [0, *cuts, len(values)]
         rows = []
         for i, cut in enumerate(cuts):
@@ -85,14 +86,19 @@ def onsets(series: DataFrame, keys: list[str], key_schema: str, day: str, penalt
     return spread_by(series.select(*keys, day, "value"), keys).groupBy(*keys).applyInPandas(find, schema)
 
 
-def precedence(causes: DataFrame, effects: DataFrame, keys: list[str]) -> DataFrame:
-    """Days from cause onset to effect onset; passes when the cause is first."""
-    return (
-        causes.select(*keys, F.col("onset").alias("cause_onset"))
-        .join(effects.select(*keys, F.col("onset").alias("effect_onset")), keys)
-        .withColumn("lag_days", F.datediff("effect_onset", "cause_onset"))
-        .withColumn("passed", F.col("lag_days") > 0)
-    )
+def precedence(causes: DataFrame, effects: DataFrame, keys: list[str], max_lag_days: int = config.PRECEDENCE_MAX_LAG_DAYS) -> DataFrame:
+    """For every change of the effect, the last change of the cause up to that day
+    or the next one; passes when it came before, at most ``max_lag_days`` earlier.
+
+    Changes of one series are few, so they meet on the series' key.
+    """
+    lag = F.datediff("effect_onset", "cause_onset")
+    met = effects.select(*keys, F.col("onset").alias("effect_onset")).join(
+        causes.select(*keys, F.col("onset").alias("cause_onset")), keys, "left")
+    # The latest cause at or before the effect, else the earliest after it.
+    nearest = F.min_by("cause_onset", F.when(lag >= 0, lag).otherwise(F.lit(1 << 20) - lag))
+    return met.groupBy(*keys, "effect_onset").agg(nearest.alias("cause_onset")).withColumn("lag_days", lag).withColumn(
+        "passed", F.coalesce((F.col("lag_days") > 0) & (F.col("lag_days") <= max_lag_days), F.lit(False)))
 
 
 def sufficiency(hypotheses: DataFrame) -> DataFrame:

@@ -36,13 +36,14 @@ def query(name: str, sql: str | None = None):
 def compose(sql: str) -> str:
     """Prefix a statement with the views it uses, in dependency order."""
     ordered: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name in re.findall(r"\b\w+_v\b", text):
-            if name in VIEWS and name not in ordered:
+            if name in VIEWS and name not in seen:
+                seen.add(name)  # a view that names itself is recursive
                 visit(VIEWS[name])
-                if name not in ordered:
-                    ordered.append(name)
+                ordered.append(name)
 
     visit(sql)
     if not ordered:
@@ -50,5 +51,5 @@ def compose(sql: str) -> str:
     heads = ",\n".join(f"{name} AS (\n{VIEWS[name].strip()}\n)" for name in ordered)
     body = sql.strip()
     if body.upper().startswith("WITH "):  # its own tables follow the views
-        return f"WITH {heads},\n{body[5:].lstrip()}"
-    return f"WITH {heads}\n{body}"
+        return f"WITH RECURSIVE {heads},\n{body[5:].lstrip().removeprefix('RECURSIVE ')}"
+    return f"WITH RECURSIVE {heads}\n{body}"

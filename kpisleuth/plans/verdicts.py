@@ -99,26 +99,84 @@ def m1(spark, folder):
     return causal.onset(weekly_series(spark, folder), REGION, "week").select("region", "onset", r("gain"), r("shift"))
 
 
-@query("m1_onsets_all")
-def m1_all(spark, folder):
-    """All changepoints of each store's monthly revenue."""
-    monthly = conformed(spark, folder).groupBy(
+def _partition_sql(tag: str, series: str, key: str, day: str, scale: float = 3.0) -> dict[str, str]:
+    """All changepoints of the series (key, day, value), by the whole recursion over ends and starts."""
+    return {
+        f"{tag}_series_v": f"""
+SELECT {key}, list({day} ORDER BY {day}) AS days, list(value ORDER BY {day}) AS v, count(*) AS n FROM {series} WHERE value IS NOT NULL GROUP BY 1 HAVING count(*) >= 4
+""",
+        f"{tag}_sums_v": f"""
+SELECT {key}, days, v, n, list_transform(range(n + 1), lambda e: CASE WHEN e = 0 THEN 0.0 ELSE list_sum(v[1:e]) END) AS c1,
+  list_transform(range(n + 1), lambda e: CASE WHEN e = 0 THEN 0.0 ELSE list_sum(list_transform(v[1:e], lambda x: x * x)) END) AS c2,
+  {scale} * pow(greatest(list_median(list_transform(range(1, n), lambda i: abs(v[i + 1] - v[i]))) / 0.9539, {causal.LEAST_NOISE}), 2) * ln(n) AS penalty
+FROM {tag}_series_v
+""",
+        f"{tag}_best_v": f"""
+SELECT {key}, CAST(1 AS BIGINT) AS e, [-penalty, 'inf'::DOUBLE] AS best, [CAST(0 AS BIGINT), 0] AS previous FROM {tag}_sums_v
+UNION ALL
+SELECT {key}, e + 1, list_append(best, list_min(totals) + penalty), list_append(previous, CAST(list_position(totals, list_min(totals)) - 1 AS BIGINT))
+FROM (SELECT b.{key}, b.e, b.best, b.previous, s.penalty, list_transform(range(b.e), lambda t: b.best[t + 1]
+    + (s.c2[b.e + 2] - s.c2[t + 1] - pow(s.c1[b.e + 2] - s.c1[t + 1], 2) / (b.e + 1 - t))) AS totals
+  FROM {tag}_best_v b JOIN {tag}_sums_v s ON s.{key} = b.{key} WHERE b.e < s.n)
+""",
+        f"{tag}_cut_v": f"""
+SELECT b.{key}, s.n AS until, b.previous[s.n + 1] AS cut, b.previous FROM {tag}_best_v b JOIN {tag}_sums_v s ON s.{key} = b.{key} AND s.n = b.e
+UNION ALL SELECT {key}, cut, previous[cut + 1], previous FROM {tag}_cut_v WHERE cut > 0
+""",
+        f"{tag}_onset_v": f"""
+SELECT c.{key}, s.days[c.cut + 1] AS onset, CAST(c.cut AS INTEGER) AS position,
+  list_avg(s.v[c.cut + 1:c.until]) - list_avg(s.v[p.cut + 1:c.cut]) AS shift
+FROM {tag}_cut_v c JOIN {tag}_cut_v p ON p.{key} = c.{key} AND p.until = c.cut JOIN {tag}_sums_v s ON s.{key} = c.{key} WHERE c.cut > 0
+""",
+    }
+
+
+FINE_SCALE = 0.5  # a sixth of the usual price of a change
+VIEWS["store_month_cr_v"] = """
+SELECT store_id, CAST(date_trunc('month', txn_date) AS DATE) AS month, round(sum(net) / 1e7, 6) AS value FROM scope_v GROUP BY 1, 2
+"""
+VIEWS |= _partition_sql("pelt_store", "store_month_cr_v", "store_id", "month")
+VIEWS |= _partition_sql("pelt_fine", "store_month_cr_v", "store_id", "month", FINE_SCALE)
+VIEWS |= _partition_sql("pelt_cause", _WEEKLY_AVAIL_SQL, "region", "week")
+VIEWS |= _partition_sql("pelt_effect", _WEEKLY_SQL, "region", "week")
+
+
+def store_months(spark, folder) -> DataFrame:
+    """Monthly revenue per store, in crore."""
+    return conformed(spark, folder).groupBy(
         "store_id", F.date_trunc("month", "txn_date").cast("date").alias("month")
     ).agg(crore(F.sum("net_amount")).alias("value"))
-    return causal.onsets(monthly, ["store_id"], "store_id long", "month").select(
+
+
+@query("m1_onsets_all", "SELECT store_id, onset, position, round(shift, 6) AS shift FROM pelt_store_onset_v")
+def m1_all(spark, folder):
+    """All changepoints of each store's monthly revenue."""
+    return causal.onsets(store_months(spark, folder), ["store_id"], "store_id long", "month").select(
         "store_id", "onset", "position", r("shift")
     )
 
 
+@query("m1_onsets_fine", "SELECT store_id, onset, position, round(shift, 13) AS shift FROM pelt_fine_onset_v")
+def m1_fine(spark, folder):
+    """The same with small changes as well."""
+    return causal.onsets(store_months(spark, folder), ["store_id"], "store_id long", "month", FINE_SCALE).select(
+        "store_id", "onset", "position", r("shift", 13)
+    )
+
+
 @query("m2_precedence", f"""
-SELECT region, c.onset AS cause_onset, e.onset AS effect_onset, CAST(e.onset - c.onset AS INTEGER) AS lag_days,
-  e.onset - c.onset > 0 AS passed
-FROM {_onset_sql(_WEEKLY_AVAIL_SQL)} c JOIN {_onset_sql(_WEEKLY_SQL)} e USING (region)
+SELECT region, effect_onset, cause_onset, CAST(effect_onset - cause_onset AS INTEGER) AS lag_days,
+  coalesce(effect_onset - cause_onset BETWEEN 1 AND {config.PRECEDENCE_MAX_LAG_DAYS}, false) AS passed
+FROM (SELECT s.region, e.onset AS effect_onset, coalesce(max(c.onset) FILTER (WHERE c.onset <= e.onset), min(c.onset) FILTER (WHERE e.onset IS NOT NULL)) AS cause_onset
+  FROM (SELECT DISTINCT region FROM stores_v) s LEFT JOIN pelt_effect_onset_v e USING (region) LEFT JOIN pelt_cause_onset_v c USING (region) GROUP BY 1, 2)
 """)
 def m2(spark, folder):
-    cause = causal.onset(weekly_availability(spark, folder), REGION, "week")
-    effect = causal.onset(weekly_series(spark, folder), REGION, "week")
-    return causal.precedence(cause, effect, REGION)
+    """A region whose revenue never changed has one row without an onset."""
+    cause = causal.onsets(weekly_availability(spark, folder), REGION, "region string", "week")
+    effect = causal.onsets(weekly_series(spark, folder), REGION, "region string", "week")
+    found = causal.precedence(cause, effect, REGION)
+    return standins.stores(spark, folder).select("region").distinct().join(found, REGION, "left").withColumn(
+        "passed", F.coalesce("passed", F.lit(False)))
 
 
 _SLICE = len(config.HYPOTHESES)
