@@ -169,6 +169,8 @@ FESTIVAL_INTENSITY = {
 HANGOVER_DAYS = 7
 HANGOVER_DEPTH = 0.34
 PAYDAYS = [1, 2, 30, 31]
+PUBLIC_HOLIDAYS = [(1, 26), (8, 15), (10, 2)]  # month and day of the three national holidays
+BASELINE_FIT_MONTHS = 18  # the contract's 78 weeks of history, in whole months
 FISCAL_START_MONTH = 4
 
 # ---------------------------------------------------------------------------

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from kpisleuth import config
 from kpisleuth.functions.columns import count_true, crore, price, ratio, rounded, steady
 from kpisleuth.functions.stats import p_chi2_1
-from kpisleuth.operators import conform, evidence, gates, movement
+from kpisleuth.operators import baseline, conform, evidence, gates, movement
 from kpisleuth.plans.facts import (
-    FESTIVAL_WINDOW_ROWS, INTENSITY_ROWS, REGION_OF, conformed, customer_regions, festival_windows,
+    FESTIVAL_SPANS, FESTIVAL_WINDOW_ROWS, INTENSITY_ROWS, REGION_OF, conformed, customer_regions, festival_windows,
     region_cells, sales_days,
 )
 from kpisleuth.plans.registry import VIEWS, query
@@ -30,8 +30,17 @@ def r(col: str, digits: int = 6):
 
 
 # --- D: movement, baseline, residual ----------------------------------------
+VIEWS |= baseline.expected_sql("cells_v", "(SELECT * FROM scope_v JOIN stores_v USING (store_id))", "txn_date", "net", "region", FESTIVAL_SPANS)
+
+
 def expected_cells(spark, folder) -> DataFrame:
-    return movement.trailing_expected(region_cells(spark, folder), REGION)
+    """Region-months with the contract's expected value, from one aggregate of the facts."""
+    per_store = conformed(spark, folder).groupBy("store_id", F.date_trunc("month", "txn_date").cast("date").alias("period")).agg(
+        F.sum("net_amount").alias("net"), *baseline.moment_sums(F.col("net_amount"), F.col("txn_date"), FESTIVAL_SPANS))
+    sums = per_store.join(standins.stores(spark, folder).select("store_id", "region"), "store_id").groupBy("region", "period").agg(
+        F.sum("net").alias("net"), *baseline.moment_totals(FESTIVAL_SPANS))
+    cells = written(baseline.with_moments(sums, ["region", "period"], "net", FESTIVAL_SPANS), "region-moments")
+    return baseline.calendar_expected(cells, REGION, "region string", FESTIVAL_SPANS)
 
 
 def decomposed_cells(spark, folder) -> DataFrame:

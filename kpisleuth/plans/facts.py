@@ -31,6 +31,7 @@ def festival_windows() -> dict:
     return out
 
 
+FESTIVAL_SPANS = [span for spans in festival_windows().values() for span in spans]
 FESTIVAL_DAY_ROWS = ", ".join(
     f"('{name}', DATE '{start + timedelta(days=i)}')"
     for name, spans in festival_windows().items()

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from kpisleuth import config
 from kpisleuth.functions.columns import crore, previous_by_period, ratio, rounded
 from kpisleuth.functions.stats import p_student_t, welch_t
-from kpisleuth.operators import actions, causal, confidence, evidence, gates, matching, movement
+from kpisleuth.operators import actions, baseline, causal, confidence, evidence, gates, matching, movement
 from kpisleuth.plans.cases import decomposed_cells, gated_cells, r, region_price_mix
-from kpisleuth.plans.facts import conformed
+from kpisleuth.plans.facts import FESTIVAL_SPANS, conformed
 from kpisleuth.plans.registry import VIEWS, query
 from kpisleuth.session import written
 from kpisleuth.sources import standins, tables
@@ -299,7 +299,8 @@ def store_slices(spark, folder) -> DataFrame:
     per_store = conformed(spark, folder).groupBy(
         "store_id", F.date_trunc("month", "txn_date").cast("date").alias("period"),
         (F.col("sku_id") % _SLICE).cast("int").alias("hypothesis_no"),
-    ).agg(F.sum("net_amount").alias("net"), F.count(F.lit(1)).alias("n"), F.bit_or(gates.week_mask("txn_date")).alias("weeks"))
+    ).agg(F.sum("net_amount").alias("net"), F.count(F.lit(1)).alias("n"), F.bit_or(gates.week_mask("txn_date")).alias("weeks"),
+          *baseline.moment_sums(F.col("net_amount"), F.col("txn_date"), FESTIVAL_SPANS))
     return written(located(per_store, spark, folder), "store-slices")
 
 
@@ -319,7 +320,7 @@ def store_causes(spark, folder) -> DataFrame:
 def slice_months(slices: DataFrame) -> DataFrame:
     """The same by region; at most regions x months x templates rows."""
     return written(slices.groupBy(*CASE, "hypothesis_no").agg(
-        F.sum("net").alias("net"), F.sum("n").alias("n"), F.bit_or("weeks").alias("weeks")), "slice-months")
+        F.sum("net").alias("net"), F.sum("n").alias("n"), F.bit_or("weeks").alias("weeks"), *baseline.moment_totals(FESTIVAL_SPANS)), "slice-months")
 
 
 def cause_months(causes: DataFrame) -> DataFrame:
@@ -376,8 +377,9 @@ def hypothesis_board(spark, folder, slices: DataFrame | None = None, parts: Data
     sized = parts.withColumn("net", crore(F.col("net")))
     staged = sized.withColumn("_b", previous_by_period(F.struct("net", "n"), keys, "period"))
     named = staged.join(F.broadcast(config.hypothesis_table(spark).select("hypothesis_no", "hypothesis")), "hypothesis_no")
-    totals = written(parts.groupBy(*CASE).agg(crore(F.sum("net")).alias("value")), "slice-totals")
-    cells = movement.decompose(movement.trailing_expected(totals, REGION), REGION).where(
+    sums = parts.groupBy(*CASE).agg(F.sum("net").alias("net"), *baseline.moment_totals(FESTIVAL_SPANS))
+    totals = written(baseline.with_moments(sums, CASE, "net", FESTIVAL_SPANS), "slice-totals")
+    cells = movement.decompose(baseline.calendar_expected(totals, REGION, "region string", FESTIVAL_SPANS), REGION).where(
         "residual_pt IS NOT NULL"
     ).select(*CASE, "residual_pt", "headline_pt", F.col("previous").alias("cell_previous"), F.col("value").alias("cell_value"))
     causes = causal.onset(moves.select(*keys, "period", rounded(100.0 * F.col("level")).alias("value")), keys, "period")

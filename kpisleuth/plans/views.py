@@ -146,12 +146,6 @@ VIEWS["cells_v"] = """
 SELECT region, CAST(date_trunc('month', txn_date) AS DATE) AS period, round(sum(net) / 1e7, 6) AS value
 FROM scope_v JOIN stores_v USING (store_id) GROUP BY 1, 2
 """
-VIEWS["expected_v"] = """
-SELECT region, period, value,
-  CASE WHEN count(value) OVER w = 12
-       THEN avg(value / day(last_day(period))) OVER w * day(last_day(period)) END AS expected
-FROM cells_v WINDOW w AS (PARTITION BY region ORDER BY period ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)
-"""
 VIEWS["decomposed_v"] = """
 SELECT *, 100.0 * (value - previous) / nullif(previous, 0) AS headline_pt,
   100.0 * (expected / nullif(previous, 0) - 1.0) AS calendar_pt,
