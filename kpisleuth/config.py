@@ -222,6 +222,7 @@ RELIABILITY_FLOOR = 0.60
 CORROBORATION = {"min_notes": 20, "from": "store_note", "to": "corroborated_unstructured"}
 UNSTRUCTURED_KINDS = ["corroborated_unstructured", "ticket_aggregate", "store_note", "news_item", "social_mention"]
 MISSING_FEED_SHARE = 0.05
+CASE_VIEWER = ("regional_manager", "ASIA")  # who opens the gated cases: persona and own region
 GATES = {1: "DATA_INCIDENT", 2: "IMMATERIAL", 3: "INSUFFICIENT_HISTORY", 4: "NOT_AUTHORISED", 5: "NOT_PERSISTENT"}
 
 # Sources (held or not) and hypothesis templates

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpisleuth import config
-from kpisleuth.functions.columns import crore, spread_by
+from kpisleuth.functions.columns import rounded, spread_by
 
 Span = tuple[date, date]
 TREND_ORIGIN = date(1995, 1, 1)
@@ -51,11 +51,11 @@ def moment_totals(festivals: list[Span]) -> list[Column]:
     return [F.sum(f"y_{name}").alias(f"y_{name}") for name in names]
 
 
-def with_moments(sums: DataFrame, keys: list[str], net: str, festivals: list[Span]) -> DataFrame:
-    """Cells in crore with their moments in term order: keys, value, y."""
+def with_moments(sums: DataFrame, keys: list[str | Column], net: str, festivals: list[Span], unit: float = config.CRORE) -> DataFrame:
+    """Cells with their moments in term order, all in ``unit``: keys, value (rounded), y."""
     names = list(terms(F.current_date(), festivals))[1:]
-    return sums.select(*keys, crore(F.col(net)).alias("value"),
-                       F.array(*[F.col(c) / config.CRORE for c in (net, *[f"y_{name}" for name in names])]).alias("y"))
+    return sums.select(*keys, rounded(F.col(net) / unit).alias("value"),
+                       F.array(*[F.col(c) / unit for c in (net, *[f"y_{name}" for name in names])]).alias("y"))
 
 
 def calendar_moments(cells: DataFrame, festivals: list[Span]) -> DataFrame:
@@ -98,8 +98,8 @@ def calendar_expected(cells: DataFrame, keys: list[str], key_schema: str, festiv
     return held.groupBy(*keys).applyInPandas(predict, f"{key_schema}, period date, value double, expected double").where("value IS NOT NULL")
 
 
-def expected_sql(cells: str, lines: str, day: str, amount: str, key: str, festivals: list[Span]) -> dict[str, str]:
-    """The same in SQL: moments by plain joins, systems by elimination one term after another."""
+def expected_sql(prefix: str, cells: str, lines: str, day: str, amount: str, key: str, festivals: list[Span], unit: float = config.CRORE) -> dict[str, str]:
+    """The same in SQL, as views named by ``prefix``: moments by plain joins, systems by elimination one term after another."""
     windows = " OR ".join(f"{{d}} BETWEEN DATE '{a}' AND DATE '{b}'" for a, b in festivals) or "false"
     holidays = ", ".join(f"({m}, {d})" for m, d in config.PUBLIC_HOLIDAYS)
     flags = [f"isodow({{d}}) = {n}" for n in range(2, 7)] + [
@@ -109,38 +109,38 @@ def expected_sql(cells: str, lines: str, day: str, amount: str, key: str, festiv
     size = len(parts)
     x = [p.replace("{d}", day) for p in parts]
     return {
-        "base_day_v": f"""
+        f"{prefix}_day_v": f"""
 SELECT CAST(date_trunc('month', d) AS DATE) AS period, [{', '.join(p.replace('{d}', 'd') for p in parts)}]::DOUBLE[] AS x
 FROM (SELECT CAST(unnest(generate_series(min(period), last_day(max(period)), INTERVAL 1 DAY)) AS DATE) AS d FROM {cells})
 """,
-        "base_xx_v": f"""
-SELECT period, i, j, sum(x[i] * x[j]) AS s FROM base_day_v, range(1, {size + 1}) a(i), range(1, {size + 1}) b(j) GROUP BY 1, 2, 3
+        f"{prefix}_xx_v": f"""
+SELECT period, i, j, sum(x[i] * x[j]) AS s FROM {prefix}_day_v, range(1, {size + 1}) a(i), range(1, {size + 1}) b(j) GROUP BY 1, 2, 3
 """,
-        "base_y_v": f"""
+        f"{prefix}_y_v": f"""
 SELECT {key}, period, unnest(range(1, {size + 1})) AS i, unnest(ys) AS s FROM (
-  SELECT {key}, CAST(date_trunc('month', {day}) AS DATE) AS period, [{', '.join(f'sum({amount} * ({p})) / 1e7' for p in x)}] AS ys FROM {lines} GROUP BY 1, 2)
+  SELECT {key}, CAST(date_trunc('month', {day}) AS DATE) AS period, [{', '.join(f'sum({amount} * ({p})) / {unit!r}' for p in x)}] AS ys FROM {lines} GROUP BY 1, 2)
 """,
-        "base_fit_v": f"""
+        f"{prefix}_fit_v": f"""
 SELECT n.{key}, n.period, list(n.line || [coalesce(y.s, 0.0)] ORDER BY n.i) AS m, max(n.days) AS days FROM (
   SELECT {key}, period, i, list(s + CASE WHEN i = j AND i > 1 THEN {RIDGE} ELSE 0.0 END ORDER BY j) AS line, max(CASE WHEN i = 1 AND j = 1 THEN s END) AS days
   FROM (SELECT c.{key}, c.period, x.i, x.j, sum(x.s) AS s FROM {cells} c JOIN (SELECT {key}, min(period) AS lo FROM {cells} GROUP BY 1) f USING ({key})
-    JOIN base_xx_v x ON x.period < c.period AND x.period >= c.period - INTERVAL {config.BASELINE_FIT_MONTHS} MONTH AND x.period >= f.lo GROUP BY 1, 2, 3, 4)
+    JOIN {prefix}_xx_v x ON x.period < c.period AND x.period >= c.period - INTERVAL {config.BASELINE_FIT_MONTHS} MONTH AND x.period >= f.lo GROUP BY 1, 2, 3, 4)
   GROUP BY 1, 2, 3) n
-LEFT JOIN (SELECT c.{key}, c.period, y.i, sum(y.s) AS s FROM {cells} c JOIN base_y_v y ON y.{key} = c.{key} AND y.period < c.period
+LEFT JOIN (SELECT c.{key}, c.period, y.i, sum(y.s) AS s FROM {cells} c JOIN {prefix}_y_v y ON y.{key} = c.{key} AND y.period < c.period
     AND y.period >= c.period - INTERVAL {config.BASELINE_FIT_MONTHS} MONTH GROUP BY 1, 2, 3) y
   ON y.{key} = n.{key} AND y.period = n.period AND y.i = n.i
 GROUP BY 1, 2
 """,
-        "base_solved_v": f"""
-SELECT {key}, period, 1 AS k, m FROM base_fit_v WHERE days >= {7 * config.KPIS["net_revenue"]["min_history_weeks"]}
+        f"{prefix}_solved_v": f"""
+SELECT {key}, period, 1 AS k, m FROM {prefix}_fit_v WHERE days >= {7 * config.KPIS["net_revenue"]["min_history_weeks"]}
 UNION ALL
 SELECT {key}, period, k + 1, list_transform(range(1, {size + 1}), lambda i: CASE WHEN i = k THEN list_transform(m[k], lambda v: v / m[k][k])
   ELSE list_transform(range(1, {size + 2}), lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k]) END)
-FROM base_solved_v WHERE k <= {size}
+FROM {prefix}_solved_v WHERE k <= {size}
 """,
-        "expected_v": f"""
+        f"{prefix}_expected_v": f"""
 SELECT c.{key}, c.period, c.value, e.expected FROM {cells} c LEFT JOIN (
-  SELECT s.{key}, s.period, sum(s.m[x.j][{size + 1}] * x.s) AS expected FROM base_solved_v s
-  JOIN base_xx_v x ON x.period = s.period AND x.i = 1 WHERE s.k = {size + 1} GROUP BY 1, 2) e ON e.{key} = c.{key} AND e.period = c.period
+  SELECT s.{key}, s.period, sum(s.m[x.j][{size + 1}] * x.s) AS expected FROM {prefix}_solved_v s
+  JOIN {prefix}_xx_v x ON x.period = s.period AND x.i = 1 WHERE s.k = {size + 1} GROUP BY 1, 2) e ON e.{key} = c.{key} AND e.period = c.period
 """,
     }

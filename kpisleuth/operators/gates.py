@@ -73,11 +73,14 @@ def is_material(delta: Column, delta_pct: Column, spec_unit: Column, limit: Colu
 
 
 def materiality_gate(cells: DataFrame, kpis: DataFrame) -> DataFrame:
+    """Material by size and, where ``band_breach`` tells of a residual band, by leaving it."""
     joined = with_thresholds(cells, kpis)
+    if "band_breach" not in cells.columns:
+        joined = joined.withColumn("band_breach", F.lit(None).cast("boolean"))
     passed = is_material(
         F.col("delta"), F.col("delta_pct"), F.col("materiality_unit"), F.col("materiality"),
         F.col("min_relative_movement_pct"),
-    )
+    ) & F.coalesce("band_breach", F.lit(True))
     return joined.withColumn("material", passed).withColumn(
         "outcome",
         F.when(F.col("materiality").isNull(), "MONITORING_ONLY").when(~F.col("material"), config.GATES[2]),
@@ -131,6 +134,13 @@ def authorisation_gate(cells: DataFrame, kpi: str, user_region: str) -> DataFram
     )
 
 
+def may_see(kpi: Column, region: Column, persona: str, own_region: str) -> Column:
+    """Whether a persona's row scope of the KPI's policy covers a region; a KPI without such a scope is closed to it."""
+    scopes = {name: policy[persona]["rows"] for name, policy in config.ACCESS.items() if persona in policy}
+    rule = F.element_at(F.create_map(*[F.lit(x) for pair in scopes.items() for x in pair]), kpi)
+    return F.coalesce((rule == "all") | ((rule == "own_region") & (region == F.lit(own_region))), F.lit(False))
+
+
 def persistence_gate(cells: DataFrame, keys: list[str], needed: Column, period_no: Column) -> DataFrame:
     """Breach held for enough consecutive periods (gaps and islands).
 

@@ -30,7 +30,12 @@ def r(col: str, digits: int = 6):
 
 
 # --- D: movement, baseline, residual ----------------------------------------
-VIEWS |= baseline.expected_sql("cells_v", "(SELECT * FROM scope_v JOIN stores_v USING (store_id))", "txn_date", "net", "region", FESTIVAL_SPANS)
+VIEWS |= baseline.expected_sql("net", "cells_v", "(SELECT * FROM scope_v JOIN stores_v USING (store_id))", "txn_date", "net", "region", FESTIVAL_SPANS)
+VIEWS["bill_seen_v"] = "SELECT DISTINCT region, txn_id, txn_date FROM scope_v JOIN stores_v USING (store_id)"
+VIEWS["bill_cell_v"] = """
+SELECT region, CAST(date_trunc('month', txn_date) AS DATE) AS period, CAST(count(DISTINCT txn_id) AS DOUBLE) AS value FROM bill_seen_v GROUP BY 1, 2
+"""
+VIEWS |= baseline.expected_sql("bill", "bill_cell_v", "bill_seen_v", "txn_date", "1.0", "region", FESTIVAL_SPANS, 1.0)
 
 
 def expected_cells(spark, folder) -> DataFrame:
@@ -306,25 +311,29 @@ def store_months(spark, folder) -> DataFrame:
     """Additive parts per store and month."""
     return conformed(spark, folder).groupBy("store_id", month("txn_date")).agg(
         F.sum("net_amount").alias("net"), F.sum("units").alias("units"), F.bit_or(gates.week_mask("txn_date")).alias("weeks"),
+        *baseline.moment_sums(F.col("net_amount"), F.col("txn_date"), FESTIVAL_SPANS),
     )
 
 
 def region_bills(spark, folder) -> DataFrame:
-    """Bills of a region: one that several of its stores share counts once."""
+    """Bills of a region, with their moments: one that several of its stores share counts once."""
     stores = standins.stores(spark, folder).select("store_id", "region")
-    seen = conformed(spark, folder).select("store_id", month("txn_date"), "txn_id").distinct()
-    return seen.join(stores, "store_id").select("region", "period", "txn_id").distinct().groupBy("region", "period").agg(
-        F.count(F.lit(1)).alias("bills"))
+    bill = ["txn_id", "txn_date"]
+    seen = conformed(spark, folder).select("store_id", *bill).distinct()
+    return seen.join(stores, "store_id").select("region", *bill).distinct().groupBy("region", month("txn_date")).agg(
+        F.count(F.lit(1)).alias("bills"), *baseline.moment_sums(F.lit(1.0), F.col("txn_date"), FESTIVAL_SPANS))
 
 
-def kpi_cells(spark, folder, per_store: DataFrame | None = None) -> DataFrame:
+def kpi_cells(spark, folder, per_store: DataFrame | None = None, bills: DataFrame | None = None) -> DataFrame:
     """Four KPIs by region and month in long form."""
     stores = standins.stores(spark, folder).select("store_id", "region")
     if per_store is None:
         per_store = store_months(spark, folder)
+    if bills is None:
+        bills = region_bills(spark, folder)
     sums = per_store.join(stores, "store_id").groupBy("region", "period").agg(
         F.sum("net").alias("net"), F.sum("units").alias("units")
-    ).join(region_bills(spark, folder), ["region", "period"])
+    ).join(bills.select("region", "period", "bills"), ["region", "period"])
     long = sums.select("region", "period", F.inline(F.array(
         F.struct(F.lit("net_revenue").alias("kpi"), crore(F.col("net")).alias("value")),
         F.struct(F.lit("transactions").alias("kpi"), F.col("bills").cast("double").alias("value")),
@@ -345,33 +354,60 @@ def kpi_cells(spark, folder, per_store: DataFrame | None = None) -> DataFrame:
 # KPIs that add up over days; the others are rates or prices.
 ADDITIVE = ("net_revenue", "transactions")
 _KPI_EXPECTED_SQL = f"""
-(SELECT *, CASE WHEN count(value) OVER w = 12 THEN avg(value / days) OVER w * days END AS expected
- FROM (SELECT *, CASE WHEN kpi IN {ADDITIVE} THEN day(last_day(period)) ELSE 1 END AS days FROM {KPI_CELLS_SQL})
- WINDOW w AS (PARTITION BY kpi, region ORDER BY period ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))
+(SELECT t.* EXCLUDE (expected), CASE kpi WHEN 'net_revenue' THEN n.expected WHEN 'transactions' THEN b.expected ELSE t.expected END AS expected FROM (
+  SELECT *, CASE WHEN count(value) OVER w = 12 THEN avg(value) OVER w END AS expected FROM {KPI_CELLS_SQL}
+  WINDOW w AS (PARTITION BY kpi, region ORDER BY period ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)) t
+ LEFT JOIN net_expected_v n ON n.region = t.region AND n.period = t.period LEFT JOIN bill_expected_v b ON b.region = t.region AND b.period = t.period)
+"""
+_BREACH_SQL = f"""
+(SELECT 'net_revenue' AS kpi, region, CAST(date_trunc('month', period) AS DATE) AS period, bool_or(abs(residual) > band) AS band_breach
+ FROM (SELECT *, quantile_cont(abs(residual), 0.9) OVER w AS band FROM {_WEEK_RESIDUAL_SQL}
+  WINDOW w AS (PARTITION BY region ORDER BY CAST(period - DATE '1970-01-05' AS INTEGER) // 7 RANGE BETWEEN 8 PRECEDING AND 1 PRECEDING)) GROUP BY 2, 3)
 """
 _MATERIAL_SQL = f"""
 (SELECT m.*, k.materiality, k.materiality_unit, k.persistence_periods, k.min_history_weeks, k.baseline_method,
   CASE WHEN k.materiality IS NOT NULL THEN
     CASE WHEN materiality_unit = 'pct' THEN abs(residual_pt) ELSE abs(residual_value) END >= materiality
-    AND abs(residual_pt) >= min_relative_movement_pct END AS material
+    AND abs(residual_pt) >= min_relative_movement_pct END AND coalesce(band_breach, true) AS material
  FROM (
   SELECT *, residual_pt / 100.0 * previous AS residual_value FROM (
     SELECT c.*, p.value AS previous,
       100.0 * (c.value - p.value) / nullif(p.value, 0) - 100.0 * (c.expected / nullif(p.value, 0) - 1.0) AS residual_pt
     FROM {_KPI_EXPECTED_SQL} c LEFT JOIN {KPI_CELLS_SQL} p ON p.kpi = c.kpi AND p.region = c.region
       AND p.period = CAST(c.period - INTERVAL 1 MONTH AS DATE))
- ) m JOIN kpi_v k ON k.kpi = m.kpi)
+ ) m JOIN kpi_v k ON k.kpi = m.kpi LEFT JOIN {_BREACH_SQL} x ON x.kpi = m.kpi AND x.region = m.region AND x.period = m.period)
 """
 
 
-def material_cells(spark, folder, per_store: DataFrame | None = None) -> DataFrame:
-    """Cells whose residual, not their raw movement, is held against the limit."""
-    cells = written(kpi_cells(spark, folder, per_store), "kpi-cells")
+def expected_kpi_cells(spark, folder, per_store: DataFrame, bills: DataFrame, cells: DataFrame) -> DataFrame:
+    """Cells with the expected value: the contract's baseline for what adds up over days, the trailing mean for rates and prices."""
     keys = ["kpi", "region"]
-    expected = movement.trailing_expected(cells, keys, additive=F.col("kpi").isin(*ADDITIVE))
-    split = movement.decompose(expected, keys)
+    stores = standins.stores(spark, folder).select("store_id", "region")
+    sums = per_store.join(stores, "store_id").groupBy("region", "period").agg(F.sum("net").alias("net"), *baseline.moment_totals(FESTIVAL_SPANS))
+    named = lambda kpi: [F.lit(kpi).alias("kpi"), "region", "period"]
+    held = written(baseline.with_moments(sums, named("net_revenue"), "net", FESTIVAL_SPANS).unionByName(
+        baseline.with_moments(bills, named("transactions"), "bills", FESTIVAL_SPANS, 1.0)), "kpi-moments")
+    fitted = baseline.calendar_expected(held, keys, "kpi string, region string", FESTIVAL_SPANS).select(*keys, "period", F.col("expected").alias("_fitted"))
+    trailing = movement.trailing_expected(cells, keys, additive=F.lit(False))
+    return trailing.join(fitted, [*keys, "period"], "left").withColumn(
+        "expected", F.when(F.col("kpi").isin(*ADDITIVE), F.col("_fitted")).otherwise(F.col("expected"))).drop("_fitted")
+
+
+def breached_months(spark, folder) -> DataFrame:
+    """Months with a week outside the trailing residual band."""
+    return band_weeks(spark, folder).groupBy(F.lit("net_revenue").alias("kpi"), "region", month("period")).agg(F.bool_or("breach").alias("band_breach"))
+
+
+def material_cells(spark, folder, per_store: DataFrame | None = None) -> DataFrame:
+    """Cells whose residual, not their raw movement, is held against the limit and the band."""
+    if per_store is None:
+        per_store = written(store_months(spark, folder), "store-months")
+    bills = written(region_bills(spark, folder), "region-bills")
+    cells = written(kpi_cells(spark, folder, per_store, bills), "kpi-cells")
+    split = movement.decompose(expected_kpi_cells(spark, folder, per_store, bills, cells), ["kpi", "region"])
+    banded = split.join(breached_months(spark, folder), ["kpi", "region", "period"], "left")
     return gates.materiality_gate(
-        split.drop("delta", "delta_pct").withColumns({"delta": F.col("residual_value"), "delta_pct": F.col("residual_pt")}),
+        banded.drop("delta", "delta_pct").withColumns({"delta": F.col("residual_value"), "delta_pct": F.col("residual_pt")}),
         config.kpi_table(spark))
 
 
@@ -388,8 +424,13 @@ def g3(spark, folder):
 
 _HISTORY_SQL = """
 (SELECT h.*, min_history_weeks FROM (
-  SELECT 'net_revenue' AS kpi, region, count(DISTINCT date_trunc('week', txn_date)) AS weeks_held
-  FROM scope_v JOIN stores_v USING (store_id) GROUP BY 1, 2
+  SELECT kpi, region, count(DISTINCT date_trunc('week', txn_date)) AS weeks_held
+  FROM scope_v JOIN stores_v USING (store_id), (VALUES ('net_revenue'), ('transactions'), ('avg_selling_price')) AS s(kpi) GROUP BY 1, 2
+  UNION ALL
+  SELECT 'qcomm_fulfilment_rate', region, count(DISTINCT date_trunc('week', order_date)) FROM qcomm_v JOIN stores_v ON store_id = dark_store_id
+  WHERE txn_type <> 'TRANSFER' GROUP BY 1, 2
+  UNION ALL
+  SELECT 'on_shelf_availability', region, count(DISTINCT date_trunc('week', snapshot_date)) FROM inv_v JOIN stores_v USING (store_id) GROUP BY 1, 2
   UNION ALL
   SELECT 'conversion_rate', 'R' || (store_id % 5), count(DISTINCT date_trunc('week', feed_date)) FROM feeds_v GROUP BY 1, 2
 ) h JOIN kpi_v k ON k.kpi = h.kpi)
@@ -397,15 +438,24 @@ _HISTORY_SQL = """
 
 
 def history(spark, folder) -> DataFrame:
-    """Days with data per KPI and region, then weeks held."""
-    sold = conformed(spark, folder).select("store_id", "txn_date").distinct().join(
-        standins.stores(spark, folder).select("store_id", "region"), "store_id"
-    ).select(F.lit("net_revenue").alias("kpi"), "region", F.col("txn_date").alias("day"))
-    seen = standins.feed_events(spark, folder).select(
-        F.lit("conversion_rate").alias("kpi"),
-        F.concat(F.lit("R"), (F.col("store_id") % 5).cast("string")).alias("region"), F.col("feed_date").alias("day"),
+    """Weeks with data per KPI and region; every feed is reduced to its store-weeks before the stores attach."""
+    def weeks(facts: DataFrame, store: str, day: str) -> DataFrame:
+        return facts.select(F.col(store).alias("store_id"), F.date_trunc("week", day).cast("date").alias("day")).distinct()
+
+    def placed(kpis: list[str], held: DataFrame) -> DataFrame:
+        stores = standins.stores(spark, folder).select("store_id", "region")
+        return held.join(stores, "store_id").select(F.explode(F.array(*map(F.lit, kpis))).alias("kpi"), "region", "day")
+
+    orders = standins.qcomm_orders(spark, folder).where(F.col("txn_type") != config.EXCLUDED_TXN_TYPE)
+    seen = weeks(standins.feed_events(spark, folder), "store_id", "feed_date").select(
+        F.lit("conversion_rate").alias("kpi"), F.concat(F.lit("R"), (F.col("store_id") % 5).cast("string")).alias("region"), "day")
+    every = (
+        placed(["net_revenue", "transactions", "avg_selling_price"], weeks(conformed(spark, folder), "store_id", "txn_date"))
+        .unionByName(placed(["qcomm_fulfilment_rate"], weeks(orders, "dark_store_id", "order_date")))
+        .unionByName(placed(["on_shelf_availability"], weeks(standins.inventory(spark, folder), "store_id", "snapshot_date")))
+        .unionByName(seen)
     )
-    return gates.history_gate(sold.unionByName(seen), ["kpi", "region"], "day", config.kpi_table(spark))
+    return gates.history_gate(every, ["kpi", "region"], "day", config.kpi_table(spark))
 
 
 @query("g4_history", f"""
@@ -480,15 +530,17 @@ def g8(spark, folder):
     )
 
 
+_VIEWER = ", ".join(f"('{kpi}', '{policy[config.CASE_VIEWER[0]]['rows']}')" for kpi, policy in config.ACCESS.items() if config.CASE_VIEWER[0] in policy)
 VIEWS["gated_v"] = f"""
 SELECT spine.kpi, spine.region, spine.period, CAST(CASE WHEN 1.0 - coalesce(s.active, 0) / e.total > 0.05 THEN 1 WHEN NOT coalesce(material, false) THEN 2
-    WHEN coalesce(h.weeks_held, 0) < k.min_history_weeks THEN 3 WHEN NOT (spine.region IN ('ASIA', 'EUROPE', 'AMERICA')) THEN 4
+    WHEN coalesce(h.weeks_held, 0) < k.min_history_weeks THEN 3 WHEN NOT coalesce(g.row_scope = 'all' OR (g.row_scope = 'own_region' AND spine.region = '{config.CASE_VIEWER[1]}'), false) THEN 4
     WHEN coalesce(run_length, 0) < k.persistence_periods THEN 5 END AS INTEGER) AS gate_id
 FROM (
   SELECT kpi, region, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS period
   FROM (SELECT DISTINCT kpi FROM {KPI_CELLS_SQL}), (SELECT DISTINCT region FROM stores_v),
     (SELECT date_trunc('month', min(txn_date)) AS lo, date_trunc('month', max(txn_date)) AS hi FROM scope_v)) spine
 JOIN kpi_v k ON k.kpi = spine.kpi
+LEFT JOIN (VALUES {_VIEWER}) AS g(kpi, row_scope) ON g.kpi = spine.kpi
 JOIN (SELECT region, count(*) AS total FROM stores_v GROUP BY 1) e ON e.region = spine.region
 LEFT JOIN {_RUN_SQL} c ON c.kpi = spine.kpi AND c.region = spine.region AND c.period = spine.period
 LEFT JOIN (SELECT region, count(DISTINCT date_trunc('week', txn_date)) AS weeks_held FROM scope_v JOIN stores_v USING (store_id) GROUP BY 1) h
@@ -522,7 +574,7 @@ def gated_cells(spark, folder) -> DataFrame:
         .withColumn("missing_share", 1.0 - F.coalesce("active", F.lit(0)) / F.col("total"))
         .withColumn("weeks_held", F.coalesce("weeks_held", F.lit(0)))
         .withColumn("run_length", F.coalesce("run_length", F.lit(0)))
-        .withColumn("authorised", F.col("region").isin("ASIA", "EUROPE", "AMERICA"))
+        .withColumn("authorised", gates.may_see(F.col("kpi"), F.col("region"), *config.CASE_VIEWER))
     )
     return gates.gate_outcome(cells)
 

@@ -152,7 +152,7 @@ SELECT *, 100.0 * (value - previous) / nullif(previous, 0) AS headline_pt,
   100.0 * (value - previous) / nullif(previous, 0) - 100.0 * (expected / nullif(previous, 0) - 1.0) AS residual_pt
 FROM (
   SELECT e.*, p.value AS previous, p.expected AS expected_previous
-  FROM expected_v e LEFT JOIN expected_v p
+  FROM net_expected_v e LEFT JOIN net_expected_v p
     ON p.region = e.region AND p.period = CAST(e.period - INTERVAL 1 MONTH AS DATE)
 )
 """
