@@ -30,7 +30,14 @@ EQUIVALENT = [
     ("merchantibility", "merchantability"), ("modelled", "modeled"), ("utilisation", "utilization"),
     ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("whilst", "while"), ("per cent", "percent"),
 ]
-COPYRIGHT = r"^ ?(?:(?:copyright|copr|c) .*|copyright|.*\ball rights reserved ?)$"
+# A copyright line, in lower case and before punctuation goes: the word with a year, a sign or "by" behind it, or alone;
+# "(c)" with a year or the word; a copyright sign; or nothing but the reservation of all rights.  A clause that only
+# begins with a letter c in brackets, or with the word, stays.
+COPYRIGHT = (
+    r"^[^\pL\pN\n(\x{A9}]*(?:"
+    r"(?:copyright|copr)[^\pL\pN\n\x{A9}]*(?:$|\x{A9}[^\n]*$|(?:c[^\pL\pN\n]|by[^\pL\pN\n]|[0-9]{4})[^\n]*$)"
+    r"|\(c\)[^\pL\pN\n]*(?:[0-9]{4}|copyright)[^\n]*$|\x{A9}[^\n]*$|all rights reserved[^\pL\pN\n]*$)"
+)
 
 # Known texts, as published.
 _WARRANTY_MIT = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -62,11 +69,12 @@ KNOWN_TEXTS = [
 
 def canonical_lines(text: Column) -> Column:
     """Canonical form of each line that says something; copyright lines are left out."""
-    whole = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
+    without = F.regexp_replace(F.lower(text), "(?md)" + COPYRIGHT, "")
+    whole = F.regexp_replace(without, r"[^\p{L}\p{N}\n]+", " ")
     for other, kept in EQUIVALENT:
         whole = F.replace(whole, F.lit(other), F.lit(kept))
     return F.transform(
-        F.filter(F.split(whole, "\n"), lambda line: (F.trim(line) != "") & ~line.rlike(COPYRIGHT)), lambda line: F.trim(line))
+        F.filter(F.split(whole, "\n"), lambda line: F.trim(line) != ""), lambda line: F.trim(line))
 
 
 def digest(text: Column) -> Column:
@@ -106,11 +114,11 @@ def _sql_text(value: str) -> str:
 def scan_sql(texts: list[tuple[str, str]] = KNOWN_TEXTS) -> str:
     """The same scan of ``documents`` in DuckDB SQL."""
     def lines(text):
-        whole = f"regexp_replace(lower({text}), '[^\\pL\\pN\n]+', ' ', 'g')"
+        without = f"regexp_replace(lower({text}), {_sql_text('(?m)' + COPYRIGHT)}, '', 'g')"
+        whole = f"regexp_replace({without}, '[^\\pL\\pN\n]+', ' ', 'g')"
         for other, kept in EQUIVALENT:
             whole = f"replace({whole}, {_sql_text(other)}, {_sql_text(kept)})"
-        return (f"list_transform(list_filter(string_split({whole}, chr(10)), lambda x: trim(x) <> '' AND NOT "
-                f"regexp_matches(x, {_sql_text(COPYRIGHT)})), lambda x: trim(x))")
+        return f"list_transform(list_filter(string_split({whole}, chr(10)), lambda x: trim(x) <> ''), lambda x: trim(x))"
 
     values = ", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in texts)
     return f"""

@@ -225,3 +225,37 @@ def test_one_address_over_many_ranges(spark):
     rows = [capture(i, "http://hot.org/a", i, 200 if i % 97 == 0 else 304, f"p{i // 97}", etag=f"e{i // 97}") for i in range(3000)]
     found = {r["record_id"]: r["refers_to"] for r in revisits.resolve(spark.createDataFrame(rows, CAPTURE).repartition(8)).collect()}
     assert found == {i: i // 97 * 97 for i in range(3000) if i % 97}
+
+
+CLAUSES = ["(c) You may not use this software for any commercial purpose.", "(c) you must pay", "C compilers are required.",
+           "Copyright holders may revoke this at will.", "Copyright notices must stay, all rights reserved for others.", "c 2020 units are allowed",
+           "No copies without a fee. All rights reserved."]
+NOTICES = ["Copyright (c) 2020 Some One", "COPYRIGHT 2020-2024, Some One", "(c) 2020 Some One", "(C) Copyright Some One", "© Some One", "# Copyright © Some One",
+           "Copyright by Some One", "// copr. 1999 Some One", "All rights reserved.", "* Copyright", "Copyright (c) Some One. All rights reserved."]
+
+
+@pytest.mark.parametrize("place", [0, 1, 2])
+def test_added_clauses_are_not_taken_for_copyright_lines(spark, place):
+    """A text with a clause more is no known licence; one with a copyright line more still is."""
+    bsd = dict(licenses.KNOWN_TEXTS)["BSD-2-Clause"].split("\n")
+
+    def among(line):
+        return "\n".join([*bsd[:place], line, *bsd[place:]])
+
+    rows = [(i, among(line)) for i, line in enumerate(CLAUSES)] + [(100 + i, among(line)) for i, line in enumerate(NOTICES)] + [(200, "(c) you must pay"), (201, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.scan(docs, licenses.known_digests(spark)).collect()}
+    assert [found[i]["license_id"] for i in range(len(CLAUSES))] == [None] * len(CLAUSES)
+    assert [found[100 + i]["license_id"] for i in range(len(NOTICES))] == ["BSD-2-Clause"] * len(NOTICES)
+    assert found[200]["text_digest"] != found[201]["text_digest"]
+
+
+def test_copyright_lines_alike_in_sql(spark):
+    import duckdb
+
+    texts = [*CLAUSES, *NOTICES, "a\r\nCopyright 2020 b\r\nc", "x (c) 2020 y", "\n(c)\n2020", "copyright", None, "©", "((c) 2020)"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = {r[0]: r[1] for r in con.execute(licenses.scan_sql()).fetchall()}
+    assert {r["doc_id"]: r["text_digest"] for r in licenses.scan(docs, licenses.known_digests(spark)).collect()} == want
