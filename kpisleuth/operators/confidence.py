@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,29 +58,82 @@ def apply_caps(hypotheses: DataFrame) -> DataFrame:
     ]))
     return (
         hypotheses.withColumn("caps_fired", fired)
-        .withColumn("after_caps", F.least(F.col("raw"), ceiling))
+        .withColumn("ceiling", ceiling)
+        .withColumn("after_caps", F.least(F.col("raw"), F.col("ceiling")))
         .withColumn("forced_triggers", forced)
         .withColumn("eliminated", F.col("temporal_precedence_failed"))
     )
 
 
-def calibrate(ledger: DataFrame, score: str, outcome: str, digits: int | None = None) -> DataFrame:
-    """Isotonic calibration curve from closed cases, one row per score.
+class _Blocks:
+    """Pool-adjacent-violators over points that come in ascending order of score."""
 
-    Cases of equal score are pooled first, which does not change the fit.
-    ``digits`` pools scores that round alike as well; that is a coarser curve,
-    for the caller to choose.
-    """
-    from pyspark.ml.regression import IsotonicRegression
+    def __init__(self):
+        self.rows: list[list[float]] = []  # first score, last score, outcomes, cases
 
-    point = F.col(score) if digits is None else F.round(score, digits)
-    pooled = ledger.groupBy(point.alias("score")).agg(
-        F.avg(F.col(outcome).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
-    )
-    model = IsotonicRegression(
-        featuresCol="score", labelCol="label", weightCol="weight", predictionCol="calibrated"
-    ).fit(pooled)
-    return model.transform(pooled).select("score", "label", F.col("weight").alias("cases"), "calibrated")
+    def add(self, first: float, last: float, outcomes: float, cases: float) -> None:
+        row = [first, last, outcomes, cases]
+        while self.rows and self.rows[-1][2] * row[3] >= row[2] * self.rows[-1][3]:
+            before = self.rows.pop()
+            row = [before[0], row[1], before[2] + row[2], before[3] + row[3]]
+        self.rows.append(row)
+
+
+BLOCK = "score_from double, score_to double, outcomes double, cases double"
+
+
+def calibration_curve(ledger: DataFrame, keys: list[str], key_schema: str, score: str, outcome: str) -> DataFrame:
+    """Isotonic step function of each case type from its closed cases.
+
+    Cases of equal score are pooled first.  Pooling violators can be done in
+    parts: scores are dealt in order, every partition pools its own, and only the
+    blocks that are left, rising in outcome, meet per case type to be pooled once
+    more, which gives the fit over all.  Output: keys, ``score_from``,
+    ``score_to``, ``cases``, ``calibrated``.
+    """
+    points = ledger.where(F.col(score).isNotNull() & F.col(outcome).isNotNull()).groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
+        F.sum(F.col(outcome).cast("double")).alias("outcomes"), F.count(F.lit(1)).cast("double").alias("cases"))
+    dealt = points.repartitionByRange(*keys, "score").sortWithinPartitions(*keys, "score")
+
+    def frame(key, blocks: _Blocks) -> pd.DataFrame:
+        out = pd.DataFrame(blocks.rows, columns=["score_from", "score_to", "outcomes", "cases"])
+        for name, value in zip(reversed(keys), reversed(key), strict=True):
+            out.insert(0, name, value)
+        return out
+
+    def within(batches):
+        key, blocks = None, _Blocks()
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                here = tuple(row[: len(keys)])
+                if key is not None and here != key:
+                    yield frame(key, blocks)
+                    blocks = _Blocks()
+                key = here
+                blocks.add(row.score, row.score, row.outcomes, row.cases)
+        if key is not None:
+            yield frame(key, blocks)
+
+    def across(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        blocks = _Blocks()
+        for row in pdf.sort_values("score_from", kind="stable").itertuples(index=False):
+            blocks.add(row.score_from, row.score_to, row.outcomes, row.cases)
+        return frame(key, blocks)
+
+    parts = dealt.select(*keys, "score", "outcomes", "cases").mapInPandas(within, f"{key_schema}, {BLOCK}")
+    return parts.groupBy(*keys).applyInPandas(across, f"{key_schema}, {BLOCK}").select(
+        *keys, "score_from", "score_to", F.col("cases").cast("long").alias("cases"), (F.col("outcomes") / F.col("cases")).alias("calibrated"))
+
+
+def calibrated(cases: DataFrame, curve: DataFrame, keys: list[str], score: str, min_cases: int = config.CALIBRATION["min_cases"]) -> DataFrame:
+    """``cases`` with ``calibrated``, the curve's value at the score (its first below all scores), and
+    ``calibration_cases``; a case type with too few closed cases keeps its score."""
+    steps = curve.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("score_from", F.col("calibrated").alias("value")))).alias("_steps"), F.sum("cases").alias("calibration_cases"))
+    reached = F.filter("_steps", lambda s: s["score_from"] <= F.col(score))
+    value = F.coalesce(F.try_element_at(reached, F.lit(-1))["value"], F.try_element_at("_steps", F.lit(1))["value"])
+    return cases.join(steps, keys, "left").withColumn("calibration_cases", F.coalesce("calibration_cases", F.lit(0))).withColumn(
+        "calibrated", F.when(F.col("calibration_cases") >= min_cases, value).otherwise(F.col(score))).drop("_steps")
 
 
 def calibration_report(ledger: DataFrame, keys: list[str], score: str, outcome: str, bins: int = 10) -> DataFrame:

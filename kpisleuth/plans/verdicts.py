@@ -910,21 +910,31 @@ def f3(spark, folder):
 
 # The isotonic mean at a score is the largest, over starts at or below it, of the
 # smallest mean of cases from there to any end at or above it.
-@query("f4_calibrate", """
-WITH pooled AS (
-  SELECT score, avg(CAST(outcome AS DOUBLE)) AS label, CAST(count(*) AS DOUBLE) AS cases, sum(CAST(outcome AS DOUBLE)) AS ones,
-    row_number() OVER (ORDER BY score) AS i FROM ledger_v GROUP BY score),
-runs AS (
-  SELECT a.i AS first, b.i AS last, sum(b.ones) OVER w / sum(b.cases) OVER w AS mean
-  FROM pooled a JOIN pooled b ON b.i >= a.i WINDOW w AS (PARTITION BY a.i ORDER BY b.i)),
-least AS (
-  SELECT first, last AS i, min(mean) OVER (PARTITION BY first ORDER BY last DESC) AS low FROM runs),
-best AS (SELECT i, max(low) AS calibrated FROM least GROUP BY i)
-SELECT score, round(label, 6) AS label, cases, round(calibrated, 6) AS calibrated FROM pooled JOIN best USING (i)
-""")
+VIEWS["iso_v"] = """
+SELECT p.hypothesis, p.score, p.label, p.cases, b.calibrated FROM (
+  SELECT hypothesis, score, avg(CAST(outcome AS DOUBLE)) AS label, count(*) AS cases FROM ledger_v GROUP BY 1, 2) p
+JOIN (
+  SELECT hypothesis, score, max(low) AS calibrated FROM (
+    SELECT hypothesis, first, score, min(mean) OVER (PARTITION BY hypothesis, first ORDER BY score DESC) AS low FROM (
+      SELECT a.hypothesis, a.score AS first, b.score, sum(b.ones) OVER w / sum(b.cases) OVER w AS mean
+      FROM (SELECT DISTINCT hypothesis, score FROM ledger_v) a JOIN (
+        SELECT hypothesis, score, CAST(count(*) AS DOUBLE) AS cases, sum(CAST(outcome AS DOUBLE)) AS ones FROM ledger_v GROUP BY 1, 2) b
+        ON b.hypothesis = a.hypothesis AND b.score >= a.score WINDOW w AS (PARTITION BY a.hypothesis, a.score ORDER BY b.score)))
+  GROUP BY 1, 2) b USING (hypothesis, score)
+"""
+
+
+def closed_case_curve(spark, folder) -> DataFrame:
+    return confidence.calibration_curve(ledger(spark, folder), ["hypothesis"], "hypothesis string", "score", "outcome")
+
+
+@query("f4_calibrate", "SELECT hypothesis, score, round(label, 6) AS label, cases, round(calibrated, 6) AS calibrated FROM iso_v")
 def f4(spark, folder):
-    curve = confidence.calibrate(ledger(spark, folder), "score", "outcome")
-    return curve.select("score", r("label"), "cases", r("calibrated"))
+    """The curve of each case type, read off at the scores of its closed cases."""
+    closed = ledger(spark, folder).groupBy("hypothesis", "score").agg(
+        F.avg(F.col("outcome").cast("double")).alias("label"), F.count(F.lit(1)).alias("cases"))
+    read = confidence.calibrated(closed, closed_case_curve(spark, folder), ["hypothesis"], "score", 1)
+    return read.select("hypothesis", "score", r("label"), "cases", r("calibrated"))
 
 
 _REPORT_SQL = """
@@ -980,6 +990,14 @@ def f6(spark, folder):
     )
 
 
+VIEWS["published_v"] = f"""
+SELECT t.* EXCLUDE (confidence), t.confidence AS capped, round(CASE WHEN coalesce(n.calibration_cases, 0) < {config.CALIBRATION["min_cases"]} THEN t.confidence
+    ELSE least(coalesce((SELECT arg_max(i.calibrated, i.score) FROM iso_v i WHERE i.hypothesis = t.hypothesis AND i.score <= t.confidence), n.lowest),
+      CASE WHEN confounder_screen_failed THEN 0.85 ELSE 1.0 END, CASE WHEN NOT verifiable THEN 0.45 ELSE 1.0 END,
+      CASE WHEN NOT precedence_passed THEN 0.0 ELSE 1.0 END, CASE WHEN low_share > 0.5 THEN 0.65 ELSE 1.0 END) END, 6) AS confidence
+FROM trigger_v t LEFT JOIN (SELECT hypothesis, CAST(sum(cases) AS BIGINT) AS calibration_cases, arg_min(calibrated, score) AS lowest FROM iso_v GROUP BY 1) n
+  ON n.hypothesis = t.hypothesis
+"""
 VIEWS["verdict_v"] = """
 SELECT *, CASE WHEN triggers_fired <> '' THEN 'INSUFFICIENT_EVIDENCE'
     WHEN s6 >= 0.70 AND confidence >= 0.70 AND NOT blocked THEN 'EXPLAINED'
@@ -988,7 +1006,7 @@ SELECT *, CASE WHEN triggers_fired <> '' THEN 'INSUFFICIENT_EVIDENCE'
     WHEN s6 >= 0.30 AND confidence >= 0.60 AND blocked THEN 'live_unverifiable_above_materiality'
     WHEN s6 < 0.70 THEN 'coverage_below_threshold' ELSE 'confidence_below_threshold' END AS reason_code
 FROM (
-  SELECT t.*, coalesce(u.held, 0.0) > 0.5 AS blocked FROM trigger_v t LEFT JOIN (
+  SELECT t.*, coalesce(u.held, 0.0) > 0.5 AS blocked FROM published_v t LEFT JOIN (
     SELECT region, period, max(attributed_share * abs(residual_pt) / 100.0 * cell_previous) AS held
     FROM scored_v WHERE NOT verifiable GROUP BY 1, 2
   ) u ON u.region = t.region AND u.period = t.period
@@ -1005,7 +1023,10 @@ def verdict_cases(spark, folder) -> DataFrame:
     held = F.col("attributed_share") * F.abs("residual_pt") / 100.0 * F.col("cell_previous")
     rivals = scored.where(~F.col("verifiable")).groupBy(*CASE).agg(F.max(held).alias("held"))
     limit = config.KPIS["net_revenue"]["materiality"]
-    case = triggered_cases(scored).join(rivals, CASE, "left").withColumn(
+    # The published confidence is calibrated on closed cases of its kind; a cap holds for it as well.
+    published = confidence.calibrated(triggered_cases(scored).drop("calibrated"), closed_case_curve(spark, folder), ["hypothesis"], "confidence").withColumnRenamed(
+        "confidence", "capped").withColumn("confidence", rounded(F.least("calibrated", "ceiling")))
+    case = published.join(rivals, CASE, "left").withColumn(
         "unverifiable_above_materiality", F.coalesce("held", F.lit(0.0)) > limit
     ).withColumn("coverage", F.col("s6"))
     gate = gated_cells(spark, folder).where(F.col("kpi") == "net_revenue").select(*CASE, F.col("outcome").alias("gate"))
@@ -1014,7 +1035,7 @@ def verdict_cases(spark, folder) -> DataFrame:
 
 
 @query("f7_verdict", """
-SELECT v.region, v.period, hypothesis, round(s6, 6) AS coverage, confidence, verdict AS judged, reason_code,
+SELECT v.region, v.period, hypothesis, round(s6, 6) AS coverage, capped, confidence, verdict AS judged, reason_code,
   CASE gate_id WHEN 1 THEN 'DATA_INCIDENT' WHEN 2 THEN 'IMMATERIAL' WHEN 3 THEN 'INSUFFICIENT_HISTORY'
     WHEN 4 THEN 'NOT_AUTHORISED' WHEN 5 THEN 'NOT_PERSISTENT' END AS gate,
   CASE WHEN gate_id IS NULL THEN verdict END AS verdict
@@ -1022,7 +1043,7 @@ FROM verdict_v v JOIN gated_v g ON g.kpi = 'net_revenue' AND g.region = v.region
 """)
 def f7(spark, folder):
     return verdict_cases(spark, folder).select(
-        *HYP, r("coverage"), "confidence", "judged", "reason_code", "gate", "verdict")
+        *HYP, r("coverage"), "capped", "confidence", "judged", "reason_code", "gate", "verdict")
 
 
 @query("f8_leading", """

@@ -324,15 +324,6 @@ def test_abstaining_case_fires_its_triggers(spark):
     assert confidence.triggers(case).first()["triggers_fired"] == ["T3", "T4", "T7"]
 
 
-def test_isotonic_curve_is_monotone(spark):
-    rng = np.random.default_rng(2)
-    score = rng.random(500).round(3)
-    ledger = spark.createDataFrame(pd.DataFrame({"score": score, "outcome": (rng.random(500) < score).astype(int)}))
-    got = confidence.calibrate(ledger, "score", "outcome").orderBy("score").toPandas()
-    assert got["calibrated"].is_monotonic_increasing
-    assert (got["calibrated"] * got["cases"]).sum() == pytest.approx((got["label"] * got["cases"]).sum())
-
-
 def test_action_arithmetic(spark):
     case = spark.createDataFrame([("stock_out", 34, 26, 140, 0.04, 1e7, 3.24e7), ("staffing_shortfall", 34, 26, 10, 0.04, 1e7, 3.24e7),
                                   ("price_increase", 34, 26, 10, 0.04, 1e7, 3.24e7), ("competitor_action", 34, 26, 10, 0.04, 1e7, 3.24e7)],
