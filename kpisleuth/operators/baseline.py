@@ -10,7 +10,7 @@ the sum of the predictions of its days, days without sales counting as zero.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
@@ -29,10 +29,10 @@ def terms(day: Column, festivals: list[Span]) -> dict[str, Column]:
     """Value of each term on a day.  Monday is the level; the weekend flag carries Sunday."""
     one = lambda flag: F.when(flag, 1.0).otherwise(0.0)
     weekday = {name: one(F.weekday(day) == n) for n, name in enumerate(("tue", "wed", "thu", "fri", "sat"), 1)}
-    windows = F.lit(False)
-    for start, end in festivals:
-        windows = windows | day.between(F.lit(start), F.lit(end))
-    holidays = F.concat_ws("-", F.month(day), F.dayofmonth(day)).isin([f"{m}-{d}" for m, d in config.PUBLIC_HOLIDAYS])
+    # One look into a set of days, as this runs on every line.
+    feast = sorted({start + timedelta(days=i) for start, end in festivals for i in range((end - start).days + 1)})
+    windows = day.isin(feast) if feast else F.lit(False)
+    holidays = (F.month(day) * 100 + F.dayofmonth(day)).isin([100 * m + d for m, d in config.PUBLIC_HOLIDAYS])
     return {
         "level": F.lit(1.0), "trend": F.datediff(day, F.lit(TREND_ORIGIN)) / 365.25, **weekday,
         "weekend": one(F.weekday(day) >= 5), "month_end": one(day == F.last_day(day)),
@@ -62,9 +62,9 @@ def calendar_moments(cells: DataFrame, festivals: list[Span]) -> DataFrame:
     """Sums of products of terms over the days of every month the cells span."""
     days = cells.agg(F.min("period").alias("lo"), F.last_day(F.max("period")).alias("hi")).select(
         F.explode(F.sequence("lo", "hi")).alias("day"))
-    x = list(terms(F.col("day"), festivals).values())
-    return days.groupBy(F.date_trunc("month", "day").cast("date").alias("period")).agg(
-        F.array(*[F.sum(a * b) for a in x for b in x]).alias("xx"))
+    x = terms(F.col("day"), festivals)
+    flat = days.select(F.date_trunc("month", "day").cast("date").alias("period"), *[c.alias(n) for n, c in x.items()])
+    return flat.groupBy("period").agg(F.array(*[F.sum(F.col(a) * F.col(b)) for a in x for b in x]).alias("xx"))
 
 
 def calendar_expected(cells: DataFrame, keys: list[str], key_schema: str, festivals: list[Span],

@@ -297,37 +297,45 @@ def store_tests(panel: DataFrame, keys: list[str]) -> DataFrame:
     return _side_tests(_side_moments(panel, keys, {"1": F.col("exposed"), "2": ~F.col("exposed")}), keys)
 
 
-def _pooled(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, ...]:
-    """Mean, variance and count of two groups together."""
-    (m1, v1, n1), (m2, v2, n2) = a, b
-    none = F.lit(0.0)
-    n = n1 + n2
-    mean = ratio(F.coalesce(n1 * m1, none) + F.coalesce(n2 * m2, none), n.cast("double"))
-    apart = F.when((n1 > 0) & (n2 > 0), n1 * n2 / n * F.pow(m1 - m2, 2)).otherwise(0.0)
-    squares = F.coalesce((n1 - 1) * v1, none) + F.coalesce((n2 - 1) * v2, none) + apart
-    return mean, F.when(n > 1, squares / (n - 1)), n
-
-
 def directed_tests(panel: DataFrame, directions: DataFrame, keys: list[str]) -> DataFrame:
     """:func:`store_tests` where the cause is present in the stores it moved the way it moved in the whole scope.
 
     ``directions`` has a row per case with ``toward`` (1, -1, or 0 for no move,
-    which leaves nothing to test).  The direction meets finished moments of the
-    stores where the cause rose, fell or stood still, so the panel, with its few
-    and crowded cases, is not joined.
+    which leaves nothing to test).  The panel, with its few and crowded cases, is
+    reduced to moments of the stores where the cause rose, fell or stood still;
+    these three rows a case meet the direction and are pooled into two sides.
     """
-    driver = F.col("driver")
-    moments = _side_moments(panel, keys, {"r": driver > 0, "f": driver < 0, "s": driver == 0})
-    cases = moments.join(directions.where(F.col("toward") != 0).select(*keys, "toward"), keys)
-    up = F.col("toward") > 0
-    shown = [F.col(c) for c in (*keys, "stores", "dose_r", "_base")]
-    shown += [F.when(up, F.col(f"{total}r")).otherwise(F.col(f"{total}f")).alias(f"{total}1") for total in ("_pre", "_post")]
+    way = F.signum("driver").cast("int")
+    known = F.when(F.col("growth").isNotNull(), F.col("driver"))
+    parts = []
+    for name, value in _measures().items():
+        parts += [F.avg(value).alias(f"{name}_m"), F.var_samp(value).alias(f"{name}_v"), F.count(value).alias(f"{name}_n")]
+    ready = F.col("growth").isNotNull()
+    by_way = panel.groupBy(*keys, way.alias("way")).agg(
+        *parts, F.sum(F.when(ready, F.col("before"))).alias("pre"), F.sum(F.when(ready, F.col("now"))).alias("post"), F.sum("before").alias("base"),
+        F.avg(known).alias("x"), F.var_pop(known).alias("xx"), F.covar_pop(known, F.col("growth")).alias("xy"))
+    sided = by_way.join(directions.where(F.col("toward") != 0).select(*keys, "toward"), keys).withColumn(
+        "hit", F.col("way") == F.col("toward"))
+    pooled = []
     for name in _measures():
-        rose, fell, still = (tuple(F.col(f"{name}_{part}{side}") for part in "mvn") for side in "rfs")
-        hit = [F.when(up, a).otherwise(b) for a, b in zip(rose, fell, strict=True)]
-        missed = [F.when(up, a).otherwise(b) for a, b in zip(_pooled(fell, still), _pooled(rose, still), strict=True)]
-        shown += [c.alias(f"{name}_{part}{side}") for side, group in (("1", hit), ("2", missed)) for part, c in zip("mvn", group, strict=True)]
-    return _side_tests(cases.select(*shown), keys)
+        m, v, n = (F.col(f"{name}_{part}") for part in "mvn")
+        for side, flag in (("1", F.col("hit")), ("2", ~F.col("hit"))):
+            mine = lambda c, flag=flag: F.sum(F.when(flag, c))
+            count, total = mine(n), mine(n * m)
+            mean = ratio(total, count.cast("double"))
+            # Squares within the rows, and of their means around the mean of all.
+            squares = F.coalesce(mine((n - 1) * v), F.lit(0.0)) + mine(n * m * m) - count * mean * mean
+            pooled += [mean.alias(f"{name}_m{side}"), F.coalesce(count, F.lit(0)).alias(f"{name}_n{side}"),
+                       F.when(count > 1, F.greatest(squares, F.lit(0.0)) / (count - 1)).alias(f"{name}_v{side}")]
+    n, x, y = F.col("spec_n"), F.col("x"), F.col("spec_m")
+    size = F.sum(n)
+    about = lambda within, a, b: F.sum(n * within) + F.sum(n * a * b) - F.sum(n * a) * F.sum(n * b) / F.nullif(size, F.lit(0))
+    spread_y = F.sum(F.coalesce((n - 1) * F.col("spec_v"), F.lit(0.0))) + F.sum(n * y * y) - F.sum(n * y) * F.sum(n * y) / F.nullif(size, F.lit(0))
+    spread_x = about(F.col("xx"), x, x)
+    cases = sided.groupBy(*keys).agg(
+        size.alias("stores"), ratio(about(F.col("xy"), x, y), F.sqrt(F.when((spread_x > 1e-12) & (spread_y > 0), spread_x * spread_y))).alias("dose_r"),
+        F.sum("base").alias("_base"), F.sum(F.when(F.col("hit"), F.col("pre"))).alias("_pre1"), F.sum(F.when(F.col("hit"), F.col("post"))).alias("_post1"), *pooled)
+    return _side_tests(cases, keys)
 
 
 def confounder_screen(hypotheses: DataFrame, keys: list[str]) -> DataFrame:

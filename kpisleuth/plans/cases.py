@@ -379,15 +379,20 @@ _MATERIAL_SQL = f"""
 """
 
 
-def expected_kpi_cells(spark, folder, per_store: DataFrame, bills: DataFrame, cells: DataFrame) -> DataFrame:
-    """Cells with the expected value: the contract's baseline for what adds up over days, the trailing mean for rates and prices."""
+def expected_kpi_cells(spark, folder, per_store: DataFrame, bills: DataFrame | None, cells: DataFrame | None) -> DataFrame:
+    """Cells with the expected value: the contract's baseline for what adds up over days, the trailing mean for rates and prices.
+    Without ``cells`` there is net revenue alone."""
     keys = ["kpi", "region"]
     stores = standins.stores(spark, folder).select("store_id", "region")
     sums = per_store.join(stores, "store_id").groupBy("region", "period").agg(F.sum("net").alias("net"), *baseline.moment_totals(FESTIVAL_SPANS))
     named = lambda kpi: [F.lit(kpi).alias("kpi"), "region", "period"]
-    held = written(baseline.with_moments(sums, named("net_revenue"), "net", FESTIVAL_SPANS).unionByName(
-        baseline.with_moments(bills, named("transactions"), "bills", FESTIVAL_SPANS, 1.0)), "kpi-moments")
-    fitted = baseline.calendar_expected(held, keys, "kpi string, region string", FESTIVAL_SPANS).select(*keys, "period", F.col("expected").alias("_fitted"))
+    held = baseline.with_moments(sums, named("net_revenue"), "net", FESTIVAL_SPANS)
+    if bills is not None:
+        held = held.unionByName(baseline.with_moments(bills, named("transactions"), "bills", FESTIVAL_SPANS, 1.0))
+    whole = baseline.calendar_expected(written(held, "kpi-moments"), keys, "kpi string, region string", FESTIVAL_SPANS)
+    if cells is None:
+        return whole
+    fitted = whole.select(*keys, "period", F.col("expected").alias("_fitted"))
     trailing = movement.trailing_expected(cells, keys, additive=F.lit(False))
     return trailing.join(fitted, [*keys, "period"], "left").withColumn(
         "expected", F.when(F.col("kpi").isin(*ADDITIVE), F.col("_fitted")).otherwise(F.col("expected"))).drop("_fitted")
@@ -398,12 +403,12 @@ def breached_months(spark, folder) -> DataFrame:
     return band_weeks(spark, folder).groupBy(F.lit("net_revenue").alias("kpi"), "region", month("period")).agg(F.bool_or("breach").alias("band_breach"))
 
 
-def material_cells(spark, folder, per_store: DataFrame | None = None) -> DataFrame:
+def material_cells(spark, folder, per_store: DataFrame | None = None, revenue_only: bool = False) -> DataFrame:
     """Cells whose residual, not their raw movement, is held against the limit and the band."""
     if per_store is None:
         per_store = written(store_months(spark, folder), "store-months")
-    bills = written(region_bills(spark, folder), "region-bills")
-    cells = written(kpi_cells(spark, folder, per_store, bills), "kpi-cells")
+    bills = None if revenue_only else written(region_bills(spark, folder), "region-bills")
+    cells = None if revenue_only else written(kpi_cells(spark, folder, per_store, bills), "kpi-cells")
     split = movement.decompose(expected_kpi_cells(spark, folder, per_store, bills, cells), ["kpi", "region"])
     banded = split.join(breached_months(spark, folder), ["kpi", "region", "period"], "left")
     return gates.materiality_gate(
@@ -489,8 +494,8 @@ _RUN_SQL = f"""
 """
 
 
-def persistent_cells(spark, folder, per_store: DataFrame | None = None) -> DataFrame:
-    cells = material_cells(spark, folder, per_store).withColumn("breach", F.coalesce("material", F.lit(False))).drop("outcome")
+def persistent_cells(spark, folder, per_store: DataFrame | None = None, revenue_only: bool = False) -> DataFrame:
+    cells = material_cells(spark, folder, per_store, revenue_only).withColumn("breach", F.coalesce("material", F.lit(False))).drop("outcome")
     number = F.year("period") * 12 + F.month("period")
     return gates.persistence_gate(cells, ["kpi", "region"], F.col("persistence_periods"), number)
 
@@ -550,7 +555,7 @@ LEFT JOIN (SELECT region, CAST(date_trunc('month', txn_date) AS DATE) AS period,
 """
 
 
-def gated_cells(spark, folder) -> DataFrame:
+def gated_cells(spark, folder, revenue_only: bool = False) -> DataFrame:
     """All gates over every (KPI, region, month) cell, on a dense spine: a feed
     is missing when a store of the region sold nothing that month, and a month
     without any sale is an incident, not an absent row.  Store-months are
@@ -562,7 +567,7 @@ def gated_cells(spark, folder) -> DataFrame:
         per_store.join(stores, "store_id").groupBy("region", "period").agg(F.count(F.lit(1)).alias("active"))
     )
     held = gates.weeks_held(per_store.join(stores, "store_id"), REGION, "period", "weeks")
-    runs = written(persistent_cells(spark, folder, per_store), "gate-runs")
+    runs = written(persistent_cells(spark, folder, per_store, revenue_only), "gate-runs")
     bounds = per_store.agg(F.sequence(F.min("period"), F.max("period"), F.expr("INTERVAL 1 MONTH")).alias("months"))
     limits = config.kpi_table(spark).select("kpi", "min_history_weeks", "persistence_periods")
     spine = estate.join(F.broadcast(runs.select("kpi").distinct().join(F.broadcast(bounds)))).select(

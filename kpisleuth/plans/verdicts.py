@@ -1020,16 +1020,17 @@ def verdict_cases(spark, folder) -> DataFrame:
     unverifiable live rival holding more than the materiality limit blocks a
     full explanation."""
     scored = scored_hypotheses(spark, folder)
+    curve = written(closed_case_curve(spark, folder), "calibration-curve")
     held = F.col("attributed_share") * F.abs("residual_pt") / 100.0 * F.col("cell_previous")
     rivals = scored.where(~F.col("verifiable")).groupBy(*CASE).agg(F.max(held).alias("held"))
     limit = config.KPIS["net_revenue"]["materiality"]
     # The published confidence is calibrated on closed cases of its kind; a cap holds for it as well.
-    published = confidence.calibrated(triggered_cases(scored).drop("calibrated"), closed_case_curve(spark, folder), ["hypothesis"], "confidence").withColumnRenamed(
+    published = confidence.calibrated(triggered_cases(scored).drop("calibrated"), curve, ["hypothesis"], "confidence").withColumnRenamed(
         "confidence", "capped").withColumn("confidence", rounded(F.least("calibrated", "ceiling")))
     case = published.join(rivals, CASE, "left").withColumn(
         "unverifiable_above_materiality", F.coalesce("held", F.lit(0.0)) > limit
     ).withColumn("coverage", F.col("s6"))
-    gate = gated_cells(spark, folder).where(F.col("kpi") == "net_revenue").select(*CASE, F.col("outcome").alias("gate"))
+    gate = gated_cells(spark, folder, revenue_only=True).select(*CASE, F.col("outcome").alias("gate"))
     judged = confidence.verdict(case).withColumnRenamed("verdict", "judged").join(gate, CASE, "left")
     return judged.withColumn("verdict", F.when(F.col("gate").isNull(), F.col("judged")))
 
