@@ -14,12 +14,14 @@ the id and the text are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,16 +34,40 @@ NEARLY_FULL = 4  # free tokens up to which a bin is emitted at once
 FAN_IN = 8
 TASK_BINS = 20_000
 CACHED_WORDS = 600_000
+TEXT_BYTES = 4 << 20  # texts made distinct together
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+# The steps of a tokenizer whose ids are those of its words between
+# white space, with letters and a tail of stops or commas in runs of their own.
+BY_WORD_NORMALIZER = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+BY_WORD_SPLIT = {
+    "type": "Split", "behavior": "Removed", "invert": True,
+    "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+}
+PLAIN_WORD = "^(?P<core>[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)(?P<tail>[.,]*)$"
+
+
+def spread(flat: np.ndarray, ends: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``order`` of ``flat``, one after the other, and where each ends (from 0)."""
+    lengths = np.diff(ends)[order]
+    out = np.concatenate([[0], np.cumsum(lengths)])
+    return flat[np.arange(out[-1]) + np.repeat(ends[:-1][order] - out[:-1], lengths)], out
+
+
 class WordTokens:
-    """Token ids of texts, word by word.
+    """Token ids of texts, by distinct word where the tokenizer allows it.
 
-    The vocabulary drops white space and never joins across it, so the ids of a
-    text are those of its words between ASCII white space.  Words met before are
-    looked up; the memory starts anew when it would exceed ``CACHED_WORDS``.
+    Words are split and made distinct by Arrow.  Lower-cased letters with a tail
+    of commas or stops are two runs whatever the letters are, so the letters are
+    looked up alone.  The memory has two generations: when the recent one is half
+    of ``CACHED_WORDS`` it becomes the older one, and what is met again moves on.
+    A tokenizer with other steps encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -51,41 +77,57 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        for encoding, word in zip(found, words, strict=True):
-            self.known[word] = np.asarray(encoding.ids, dtype="<u4").tobytes()
-
-    def learn(self, distinct: set[bytes]) -> None:
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, list(distinct)
-        # Lower-cased letters with a tail of commas or stops are two tokens runs
-        # whatever the letters are, so the letters are looked up alone.
-        split = {}
-        for word in new:
-            core = word.rstrip(b".,").lower()
-            if core != word and core.isalpha():
-                split[word] = (core, word[len(core):])
-        known, simple = self.known, {w for w in new if w not in split}
-        for core, tail in split.values():
-            simple.add(core)
-            if tail:
-                simple.add(tail)
-        self.encode([w for w in simple if w not in known])
-        for word, (core, tail) in split.items():
-            known[word] = known[core] + known[tail] if tail else known[core]
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)
+        self.by_word = (
+            (steps["normalizer"] or {}).get("normalizers") == BY_WORD_NORMALIZER
+            and (steps["pre_tokenizer"] or {}).get("pretokenizers", [None])[0] == BY_WORD_SPLIT)
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.asarray(encoding.ids, dtype="<u4").tobytes() for encoding in found]
+
+    def codes(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and where each word's end."""
+        words = words.cast(pa.large_binary()).to_pylist()
+        recent, older, new = self.recent, self.older, []
+        for word in words:
+            if word not in recent:
+                kept = older.get(word)
+                if kept is None:
+                    new.append(word)
+                else:
+                    recent[word] = kept
+        recent.update(zip(new, self.encode(new), strict=True))
+        found = [recent[w] for w in words]
+        if 2 * len(recent) > CACHED_WORDS:
+            self.older, self.recent = recent, {}
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), np.concatenate([[0], np.cumsum(lengths)])
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text, the end id included."""
-        end = np.asarray([END_ID], dtype="<u4").tobytes()
-        lists = [text.split() for text in texts]
-        self.learn(set().union(*lists))
-        known = self.known
-        for words in lists:
-            yield b"".join([known[w] for w in words]) + end
+        end = np.asarray([END_ID], dtype="<u4")
+        if not self.by_word:
+            yield from (coded + end.tobytes() for coded in self.encode(texts))
+            return
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        words = lists.values.dictionary_encode()
+        plain = pc.extract_regex(words.dictionary, PLAIN_WORD)
+        cores = pc.coalesce(pc.utf8_lower(pc.struct_field(plain, "core")), words.dictionary).dictionary_encode()
+        tails = pc.fill_null(pc.struct_field(plain, "tail"), "").dictionary_encode()
+        # The parts of a word are its letters and its tail, the parts of a text its words and the end.
+        flat, ends = self.codes(pa.concat_arrays([cores.dictionary, tails.dictionary]))
+        pairs = np.stack([cores.indices.to_numpy(), tails.indices.to_numpy() + len(cores.dictionary)], axis=1)
+        flat, ends = spread(flat, ends, pairs.ravel())
+        flat, ends = np.concatenate([flat, end]), np.append(ends[::2], ends[-1] + 1)
+        offsets = lists.offsets.to_numpy()
+        flat, ends = spread(flat, ends, np.insert(words.indices.to_numpy(), offsets[1:], len(words.dictionary)))
+        bounds = ends[offsets + np.arange(len(offsets))]
+        for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+            yield flat[first:last].tobytes()
 
 
 def _pieces(path: str, capacity: int, id_column: str, text_column: str):
@@ -98,7 +140,7 @@ def _pieces(path: str, capacity: int, id_column: str, text_column: str):
             data, offsets = columns(batch.column(1))
             view = memoryview(data)
             out: list[tuple] = []
-            for first, last in chunks(offsets):
+            for first, last in chunks(offsets, TEXT_BYTES):
                 texts = [bytes(view[offsets[i]: offsets[i + 1]]) for i in range(first, last)]
                 for doc, coded in zip(ids[first:last], tokens.ids(texts), strict=True):
                     total = len(coded) // 4

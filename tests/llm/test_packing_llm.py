@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -71,6 +73,25 @@ def test_cache_starts_anew(monkeypatch):
     assert list(words.ids(texts)) == [next(fresh.ids([t])) for t in texts]
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    steps = json.loads(Path(PATH).read_text(encoding="utf-8"))
+    steps["normalizer"] = {"type": "Replace", "pattern": {"String": " "}, "content": "_"}  # joins words
+    path = tmp_path / "joins.json"
+    path.write_text(json.dumps(steps), encoding="utf-8")
+    words = packing.WordTokens(str(path))
+    texts = ["one two", "", "a  b."]
+    assert not words.by_word and packing.WordTokens(PATH).by_word
+    assert list(words.ids([t.encode() for t in texts])) == [
+        np.asarray([*words.tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+
+
+def test_words_of_any_shape():
+    words = packing.WordTokens(PATH)
+    texts = ["Éa. éA, ÀÖØö,.,. x÷y ×. ß", "an%%% 'll don't. l'été,", "İ. Σας, ΣΑΣ.", "a\u0301. e\u0301,\u0301 \u00a0b\u2003c", ".", ",.", " \t"]
+    assert list(words.ids([t.encode() for t in texts])) == [
+        np.asarray([*words.tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+
+
 @pytest.mark.parametrize("lengths", [[4096] * 5, [2049] * 7, [1] * 10_000, [3000, 1096] * 50, list(range(1, 4097, 13))])
 def test_tree_packs_all_and_well(spark, lengths):
     pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], packing.PIECES).repartition(8)
