@@ -98,27 +98,32 @@ def misses(requests: DataFrame, cache: DataFrame, key: str = "fingerprint") -> D
     return requests.groupBy(key).agg(F.count(F.lit(1)).alias("waiting")).join(cache, key, "left_anti")
 
 
-def telemetry(events: DataFrame, dims: list[str]) -> DataFrame:
-    """Events, total cost and exact P95 duration rolled up over the dimensions.
-
-    Events are first counted per (dimensions, duration), map-side; the rollup
-    levels expand those counts, and the percentile of a level goes through the
-    distributed order statistics instead of one task per group.
+def telemetry(events: DataFrame, dims: list[str], counters: list[str] | None = None) -> DataFrame:
+    """Events, total cost, counters (tokens) and exact P95 duration, rolled up over the dimensions.
+
+    Events are first summed per (dimensions, duration), map-side.  Such rows are
+    mergeable: every level of the roll-up is a sum of them, and the percentile of
+    a level goes through the distributed order statistics instead of one task per
+    group.  A missing dimension value is a group of its own, told apart from the
+    total by ``level``; a counter that no event of a group has stays null.
     """
+    counters = counters or []
     solid = [F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d) for d in dims]
     counted = written(
-        events.groupBy(*solid, "duration_ms").agg(F.count(F.lit(1)).alias("events"), F.sum("cost").alias("cost")),
+        events.groupBy(*solid, "duration_ms").agg(
+            F.count(F.lit(1)).alias("events"), F.sum("cost").alias("cost"), *[F.sum(c).alias(c) for c in counters]),
         "telemetry-counts",
     )
     levels = F.array(*[
         F.struct(F.lit(n).alias("level"), *[(F.col(d) if d in dims[:n] else F.lit("")).alias(f"_{d}") for d in dims])
         for n in range(len(dims), -1, -1)
     ])
-    spread = counted.select("duration_ms", "events", "cost", F.inline(levels))
+    spread = counted.select("duration_ms", "events", "cost", *counters, F.inline(levels))
     keys = ["level", *[f"_{d}" for d in dims]]
-    totals = spread.groupBy(*keys).agg(F.sum("events").alias("events"), F.round(F.sum("cost"), 4).alias("cost"))
-    p95 = exact_percentiles(spread, keys, "duration_ms", {"p95_ms": 0.95}, "events")
+    totals = spread.groupBy(*keys).agg(
+        F.sum("events").alias("events"), F.round(F.sum("cost"), 4).alias("cost"), *[F.sum(c).alias(c) for c in counters])
+    p95 = exact_percentiles(spread.where("duration_ms IS NOT NULL"), keys, "duration_ms", {"p95_ms": 0.95}, "events")
     return totals.join(p95, keys, "left").select(
-        "level", *[F.nullif(F.col(f"_{d}"), F.lit("")).alias(d) for d in dims], "events", "cost",
+        "level", *[F.nullif(F.col(f"_{d}"), F.lit("")).alias(d) for d in dims], "events", "cost", *counters,
         F.round("p95_ms", 6).alias("p95_ms"),
     )

@@ -12,9 +12,10 @@ from kpisleuth.plans.cases import KPI_CELLS_SQL, kpi_cells, r
 from kpisleuth.plans.facts import conformed, region_cells
 from kpisleuth.plans.registry import VIEWS, query
 from kpisleuth.plans.verdicts import DID_SQL, HYP, availability_days, hypothesis_board, located, matched_effect
+from kpisleuth.plans.views import text_list
 from kpisleuth.session import written
 from kpisleuth.sources import standins, tables
-from kpisleuth.streaming import streams
+from kpisleuth.streaming import silence, streams
 
 
 # --- T: requests, cache, telemetry --------------------------------------------
@@ -132,6 +133,37 @@ def t4(spark, folder):
     return requests.telemetry(feed, ["stage", "case_id"])
 
 
+TELEMETRY_MODELS = list(dict.fromkeys(config.TASK_MODEL.values()))
+_CALL_SQL = f"""
+SELECT event_type AS stage, ({text_list(TELEMETRY_MODELS)})[CAST(event_id % {len(TELEMETRY_MODELS)} + 1 AS INTEGER)] AS model,
+  CAST(user_id AS VARCHAR) AS case_id, value AS duration_ms, round(value * 0.01, 6) AS cost,
+  CAST(floor(value * 10) AS BIGINT) AS input_tokens, CAST(floor(value) AS BIGINT) AS output_tokens,
+  CASE WHEN event_id % 3 = 0 THEN CAST(floor(value * 4) AS BIGINT) END AS cache_read_tokens
+FROM events
+"""
+
+
+@query("t4_telemetry_by_model", f"""
+SELECT CAST(3 - (grouping(stage) + grouping(model) + grouping(case_id)) AS INTEGER) AS level, stage, model, case_id,
+  count(*) AS events, round(sum(cost), 4) AS cost, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+  CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens,
+  round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms
+FROM ({_CALL_SQL}) GROUP BY ROLLUP (stage, model, case_id)
+""")
+def t4_by_model(spark, folder):
+    """Calls, cost, tokens and exact P95 by stage, model and case, all levels from one aggregate."""
+    models = F.array(*map(F.lit, TELEMETRY_MODELS))
+    value = F.col("value")
+    calls = tables.read_table(spark, folder, "events").select(
+        F.col("event_type").alias("stage"),
+        F.element_at(models, (F.col("event_id") % len(TELEMETRY_MODELS) + 1).cast("int")).alias("model"),
+        F.col("user_id").alias("case_id"), value.alias("duration_ms"), F.round(value * 0.01, 6).alias("cost"),
+        F.floor(value * 10).alias("input_tokens"), F.floor(value).alias("output_tokens"),
+        F.when(F.col("event_id") % 3 == 0, F.floor(value * 4)).alias("cache_read_tokens"),
+    )
+    return requests.telemetry(calls, ["stage", "model", "case_id"], ["input_tokens", "output_tokens", "cache_read_tokens"])
+
+
 # --- W: what-if -----------------------------------------------------------------
 def availability_panel(spark, folder) -> DataFrame:
     """Store-month revenue with observed availability and treatment flags."""
@@ -355,3 +387,29 @@ def x2(spark, folder):
         F.count(F.lit(1)).alias("sessions"), F.sum("items").alias("items"), F.max(F.unix_micros("silent_since")).alias("last_silence_us")
     )
 
+
+@query("x2_feed_silence", """
+WITH points AS (
+  SELECT user_id, ts, 1 AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL
+  UNION ALL SELECT c_custkey, (SELECT date_trunc('day', min(ts)) FROM events), 0 FROM customer WHERE c_custkey IS NOT NULL
+), arrivals AS (
+  SELECT user_id, arrived, CAST(sum(n) OVER w AS BIGINT) AS items, lead(arrived) OVER w AS following
+  FROM (SELECT user_id, epoch_us(ts) AS arrived, sum(n) AS n FROM points GROUP BY 1, 2) WINDOW w AS (PARTITION BY user_id ORDER BY arrived)
+), silences AS (
+  SELECT user_id, arrived AS silent_since_us, items,
+    least((mark - arrived) // 21600000000, coalesce((following - arrived - 1) // 21600000000, 9223372036854775807)) AS alerts
+  FROM arrivals, (SELECT (epoch_us(max(ts)) - 3600000000) // 1000 * 1000 AS mark FROM events) WHERE arrived < mark
+)
+SELECT user_id, silent_since_us, items, CAST(alerts AS BIGINT) AS alerts, CAST(silent_since_us + alerts * 21600000000 AS BIGINT) AS last_alert_us
+FROM silences WHERE alerts > 0
+""")
+def x2_silence(spark, folder):
+    """Every silence of the registered feeds, one per customer account, and how often it was told."""
+    first = tables.read_table(spark, folder, "events").agg(F.date_trunc("day", F.min(F.col("ts").cast("timestamp"))).alias("expected_from"))
+    registry = tables.read_table(spark, folder, "customer").select(F.col("c_custkey").alias("feed")).join(F.broadcast(first))
+    alerts = silence.feed_silence(
+        event_stream(spark, folder), registry, "user_id", "ts", config.KPIS["net_revenue"]["sla_hours"])
+    with streams.lent_settings(spark, silence.STATE_STORE):
+        told = streams.run_available(spark, alerts, "feed-silence")
+    return told.groupBy("user_id", F.unix_micros("silent_since").alias("silent_since_us")).agg(
+        F.max("items").alias("items"), F.count(F.lit(1)).alias("alerts"), F.max(F.unix_micros("alert_at")).alias("last_alert_us"))

@@ -7,6 +7,8 @@ a table in the shared folder, so results never pass through the driver.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,22 @@ def stream_freshness(stream: DataFrame, feed: str, ts: str, sla_hours: int, late
     )
 
 
+@contextmanager
+def lent_settings(spark: SparkSession, settings: dict[str, str]):
+    """Settings that hold inside the block; the session's own come back after it."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def run_available(spark: SparkSession, streaming: DataFrame, name: str, close=None) -> DataFrame:
     """Process what is available, then return the written table.
 

@@ -490,3 +490,18 @@ def test_contribution_of_every_pair_of_years(spark):
     assert found == {
         (1995, "store_id", "a"): (2.0, 0.5), (1995, "store_id", "b"): (2.0, 0.5), (1995, "sku", "x"): (4.0, 1.0),
         (1996, "store_id", "a"): (-3.0, 0.75), (1996, "store_id", "b"): (-1.0, 0.25), (1996, "sku", "x"): (-5.0, 1.25), (1996, "sku", "y"): (1.0, -0.25)}
+
+
+def test_telemetry_levels_tokens_and_missing_values(spark):
+    calls = spark.createDataFrame([
+        ("VERDICT", "large", "c1", 100.0, 1.0, 10, 1), ("VERDICT", "large", "c1", 300.0, 2.0, 20, None),
+        ("VERDICT", "small", "c2", 50.0, 0.5, 5, None), ("GATHER", None, "c1", None, 0.0, None, None),
+    ], "stage string, model string, case_id string, duration_ms double, cost double, input_tokens long, output_tokens long")
+    rows = requests.telemetry(calls, ["stage", "model", "case_id"], ["input_tokens", "output_tokens"]).collect()
+    got = {tuple(r[:4]): tuple(r[4:]) for r in rows}
+    assert got[0, None, None, None] == (4, 3.5, 35, 1, 280.0)
+    assert got[1, "VERDICT", None, None] == (3, 3.5, 35, 1, 280.0)
+    assert got[2, "VERDICT", "large", None] == (2, 3.0, 30, 1, 290.0)
+    assert got[3, "VERDICT", "small", "c2"] == (1, 0.5, 5, None, 50.0)
+    assert got[1, "GATHER", None, None] == got[2, "GATHER", None, None] == (1, 0.0, None, None, None)
+    assert len(rows) == 1 + 2 + 3 + 3

@@ -6,8 +6,10 @@ import datetime as dt
 
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from kpisleuth.streaming import streams
+from kpisleuth.streaming import silence, streams
 
 SCHEMA = "feed string, ts timestamp, amount double"
 
@@ -64,3 +66,56 @@ def test_silence_is_alerted_once(spark, tmp_path):
     alerts = streams.stream_freshness(stream(spark, paths), "feed", "ts", 6)
     got = sorted((r["feed"], r["silent_since"], r["items"]) for r in streams.run_available(spark, alerts, "silent").collect())
     assert got == [("pos", T(1, 4), 2), ("pos", T(1, 20), 1), ("wms", T(1, 1), 1)]
+
+
+HOUR = silence.MICROS_AN_HOUR
+
+
+def brute_alerts(times, watermark, sla):
+    """(silent since, alert) of every time of which nothing came for whole multiples of the SLA."""
+    out, times = set(), sorted(times)
+    for i, t in enumerate(times):
+        following = times[i + 1] if i + 1 < len(times) else None
+        at = t + sla
+        while at <= watermark and (following is None or at < following):
+            out.add((t, at))
+            at += sla
+    return out
+
+
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=25), st.integers(1, 8), st.integers(1, 12), st.randoms())
+@settings(max_examples=300, deadline=None)
+def test_silence_does_not_depend_on_batches(times, sla, lateness, draw):
+    """Rows in any batches, late by no more than allowed, give the alerts of all rows at once."""
+    order = sorted(times, key=lambda t: (t + draw.randint(0, lateness - 1), t))
+    kept, told, got, top = [], 0, set(), 0
+    while order:
+        n = draw.randint(1, len(order))
+        batch, order = order[:n], order[n:]
+        kept = silence.joined(kept + [(t, t, 1) for t in batch], sla)
+        top = max(top, *batch)
+        alerts, kept, told, due = silence.settled(kept, told, top - lateness, sla)
+        assert due > top - lateness
+        assert not got & {a[:2] for a in alerts}
+        got |= {a[:2] for a in alerts}
+        assert all(a[3] == sum(t <= a[0] for t in times) for a in alerts)
+    assert got == brute_alerts(times, top - lateness, sla)
+
+
+def test_feeds_that_never_spoke_and_lasting_silence(spark, tmp_path):
+    schema = "feed long, ts timestamp, amount double"
+    for i, batch in enumerate([[(1, T(1, 0)), (1, T(1, 4)), (None, T(1, 5))], [(1, T(1, 12)), (3, T(1, 9)), (3, None)], [(1, T(2, 3))]]):
+        folder = tmp_path / f"b{i}"
+        spark.createDataFrame([(*r, 1.0) for r in batch], schema).coalesce(1).write.parquet(str(folder))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "b*"))
+    registry = spark.createDataFrame([(1, T(1, 0)), (2, T(1, 2)), (None, T(1, 0)), (4, None)], "feed long, expected_from timestamp")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    with streams.lent_settings(spark, silence.STATE_STORE):
+        told = streams.run_available(spark, silence.feed_silence(source, registry, "feed", "ts", 6), "silence")
+    assert spark.conf.get(key, None) == before
+    got = sorted((r["feed"], r["silent_since"], r["alert_at"], r["repeat"], r["items"]) for r in told.collect())
+    assert got == [
+        (1, T(1, 4), T(1, 10), 1, 2), (1, T(1, 12), T(1, 18), 1, 3), (1, T(1, 12), T(2, 0), 2, 3),
+        (2, T(1, 2), T(1, 8), 1, 0), (2, T(1, 2), T(1, 14), 2, 0), (2, T(1, 2), T(1, 20), 3, 0), (2, T(1, 2), T(2, 2), 4, 0),
+        (3, T(1, 9), T(1, 15), 1, 1), (3, T(1, 9), T(1, 21), 2, 1)]
