@@ -305,6 +305,8 @@ HYPOTHESES = {
         "tests": _ALL_TESTS, "confounders": ["mix_shift", "stock_out"], "prior": 0.07,
     },
 }
+SOURCES = sorted({source for h in HYPOTHESES.values() for source in h["required"]})
+HELD_SOURCES = [source for source in SOURCES if source not in SOURCES_NOT_HELD]
 
 # Playbooks and recovery curves
 PLAYBOOKS = {

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kpisleuth import config
 from kpisleuth.functions.columns import rounded
 from kpisleuth.functions.stats import sigmoid
+from kpisleuth.operators import gates
 
 
 def components(case: DataFrame) -> DataFrame:
@@ -232,7 +233,37 @@ def verdict(case: DataFrame) -> DataFrame:
     return case.withColumn("verdict", outcome).withColumn("reason_code", reason)
 
 
-def data_quality(sources: DataFrame, keys: list[str]) -> DataFrame:
-    """Worst required source: minimum of freshness credit x completeness."""
-    return sources.groupBy(*keys).agg(F.min(F.col("credit") * F.col("completeness")).alias("data_quality"))
+def source_states(loads: DataFrame, sources: DataFrame, cases: DataFrame) -> DataFrame:
+    """Each source's last load before the end of each case month: source, period, loaded_at, completeness.
 
+    ``loads`` has source, loaded_at and completeness; ``sources`` one row a known
+    source; ``cases`` one row a month, by its first day.  Loads are reduced to the
+    last one a month before the as-of lookup, which is a running last value over
+    one row per month of a source.  Of loads at the same moment the least complete
+    counts.  Sources without any load so far keep nulls.
+    """
+    last = loads.where("source IS NOT NULL AND loaded_at IS NOT NULL").groupBy(
+        "source", F.trunc("loaded_at", "month").alias("period")
+    ).agg(F.max(F.struct("loaded_at", (-F.col("completeness")).alias("short"))).alias("last"))
+    spine = sources.select("source").distinct().join(F.broadcast(cases.select("period").distinct()))
+    before = Window.partitionBy("source").orderBy("period").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        spine.withColumn("asked", F.lit(True)).join(last, ["source", "period"], "full")
+        .withColumn("last", F.last("last", ignorenulls=True).over(before)).where("asked")
+        .select("source", "period", F.col("last.loaded_at").alias("loaded_at"), (-F.col("last.short")).alias("completeness"))
+    )
+
+
+def required_quality(states: DataFrame, hypotheses: DataFrame, full_hours: float, zero_hours: float) -> DataFrame:
+    """Worst required source of every hypothesis and case month, at the month's end.
+
+    ``data_quality`` is the minimum of freshness credit x completeness over the
+    required sources, ``staleness_hours`` the age of the oldest one.  A required
+    source that has never loaded has no credit and is infinitely old.
+    """
+    end = F.add_months("period", 1).cast("timestamp")
+    age = F.coalesce((F.unix_micros(end) - F.unix_micros("loaded_at")) / 3.6e9, F.lit(float("inf")))
+    needed = hypotheses.select("hypothesis", F.explode("required_sources").alias("source"))
+    credit = gates.freshness_credit(F.col("age"), F.lit(full_hours), F.lit(zero_hours))
+    return needed.join(states.withColumn("age", rounded(age)), "source").groupBy("hypothesis", "period").agg(
+        F.min(credit * F.coalesce("completeness", F.lit(0.0))).alias("data_quality"), F.max("age").alias("staleness_hours"))

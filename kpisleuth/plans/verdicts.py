@@ -10,8 +10,9 @@ from kpisleuth.functions.columns import crore, previous_by_period, ratio, rounde
 from kpisleuth.functions.stats import p_student_t, welch_t
 from kpisleuth.operators import actions, baseline, causal, confidence, evidence, gates, matching, movement
 from kpisleuth.plans.cases import decomposed_cells, gated_cells, r, region_price_mix
-from kpisleuth.plans.facts import FESTIVAL_SPANS, conformed
+from kpisleuth.plans.facts import FESTIVAL_SPANS, conformed, region_cells
 from kpisleuth.plans.registry import VIEWS, query
+from kpisleuth.plans.views import text_list
 from kpisleuth.session import written
 from kpisleuth.sources import standins, tables
 
@@ -766,9 +767,20 @@ SELECT hypothesis, period, round((sp * up + sn * un) / nullif(CAST((sp + sn) * (
     count(*) FILTER (WHERE NOT s AND sign = 1) AS up, count(*) FILTER (WHERE NOT s AND sign = -1) AS un
   FROM (SELECT *, kind IN ('structured_query', 'derived_estimate') AS s FROM evid_v) GROUP BY 1, 2)
 """
+VIEWS["state_v"] = f"""
+SELECT source, period, max(loaded_at) AS loaded_at, arg_max(completeness, loaded_at) AS completeness FROM (
+  SELECT s.source, c.period, l.loaded_at, l.completeness
+  FROM (SELECT unnest({text_list(config.SOURCES)}) AS source) s CROSS JOIN (SELECT DISTINCT CAST(period AS DATE) AS period FROM cells_v) c
+  LEFT JOIN loads_v l ON l.source = s.source AND l.loaded_at < c.period + INTERVAL 1 MONTH
+) GROUP BY 1, 2
+"""
 VIEWS["quality_v"] = """
-SELECT hypothesis, min(greatest(0.0, least(1.0, (96.0 - age) / 72.0)) * completeness) AS data_quality, max(age) AS staleness_hours
-FROM (SELECT hypothesis, kind, min(freshness_hours) AS age, round(avg(completeness), 6) AS completeness FROM evid_v GROUP BY 1, 2) GROUP BY 1
+SELECT hypothesis, period, min(CASE WHEN loaded_at IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, (96.0 - age) / 72.0)) * completeness END) AS data_quality,
+  max(age) AS staleness_hours FROM (
+  SELECT h.hypothesis, st.period, st.loaded_at, st.completeness,
+    coalesce(round((epoch_us(st.period + INTERVAL 1 MONTH) - epoch_us(st.loaded_at)) / 3.6e9, 6), 'Infinity'::DOUBLE) AS age
+  FROM (SELECT hypothesis, unnest(required_sources) AS source FROM hyp_v) h JOIN state_v st USING (source)
+) GROUP BY 1, 2
 """
 VIEWS["weeks_v"] = """
 SELECT region, count(DISTINCT date_trunc('week', txn_date)) AS weeks_held FROM scope_v JOIN stores_v USING (store_id) GROUP BY 1
@@ -791,7 +803,7 @@ SELECT *, 0.28 * s1 + 0.20 * s2 + 0.16 * s3 + 0.14 * s4 + 0.10 * s5 + 0.12 * s6
     ON c.region = b.region AND c.period = b.period AND c.hypothesis = b.hypothesis
   JOIN weeks_v w ON w.region = b.region
   LEFT JOIN evid_hyp_v e ON e.hypothesis = b.hypothesis AND e.period = b.period
-  LEFT JOIN quality_v q ON q.hypothesis = b.hypothesis
+  LEFT JOIN quality_v q ON q.hypothesis = b.hypothesis AND q.period = b.period
   LEFT JOIN evid_case_v ec ON ec.hypothesis = b.hypothesis AND ec.period = b.period
   LEFT JOIN evid_contra_v ct ON ct.period = b.period
   LEFT JOIN calib_v k ON k.hypothesis = b.hypothesis
@@ -823,15 +835,25 @@ def ledger(spark, folder) -> DataFrame:
     )
 
 
-def evidence_quality(spark, folder) -> DataFrame:
-    """Worst source per hypothesis; a source is as fresh as its newest item."""
+def source_quality(spark, folder, cases: DataFrame) -> DataFrame:
+    """Worst required source of each hypothesis, by name, as the sources stood at the end of the case's month."""
     spec = config.KPIS["net_revenue"]
-    per_source = standins.evidence(spark, folder).groupBy("hypothesis", "kind").agg(
-        F.min("freshness_hours").alias("age"), rounded(F.avg("completeness")).alias("completeness")
-    ).withColumn("credit", gates.freshness_credit(
-        F.col("age"), F.lit(spec["freshness_full_hours"]), F.lit(spec["freshness_zero_hours"])))
-    worst = confidence.data_quality(per_source, ["hypothesis"])
-    return worst.join(per_source.groupBy("hypothesis").agg(F.max("age").alias("staleness_hours")), "hypothesis")
+    names = F.array(*map(F.lit, config.SOURCES))
+    known = spark.range(1).select(F.explode(names).alias("source"))
+    states = confidence.source_states(standins.source_loads(spark, folder), known, cases)
+    return confidence.required_quality(
+        states, config.hypothesis_table(spark), spec["freshness_full_hours"], spec["freshness_zero_hours"])
+
+
+@query("f1_source_quality", """
+SELECT hypothesis, period, round(data_quality, 6) AS data_quality,
+  CASE WHEN staleness_hours < 'Infinity'::DOUBLE THEN round(staleness_hours, 6) END AS staleness_hours FROM quality_v
+""")
+def f1_quality(spark, folder):
+    """Null staleness: a required source has never loaded."""
+    return source_quality(spark, folder, region_cells(spark, folder)).select(
+        "hypothesis", "period", r("data_quality"),
+        F.when(F.col("staleness_hours") < float("inf"), F.round("staleness_hours", 6)).alias("staleness_hours"))
 
 
 def scored_hypotheses(spark, folder) -> DataFrame:
@@ -851,7 +873,7 @@ def scored_hypotheses(spark, folder) -> DataFrame:
     weeks = gates.weeks_held(parts, REGION, "period", "weeks")
     case = (
         board.join(weeks, "region")
-        .join(agree, case_keys, "left").join(evidence_quality(spark, folder), "hypothesis", "left")
+        .join(agree, case_keys, "left").join(source_quality(spark, folder, parts), case_keys, "left")
         .join(signals, case_keys, "left").join(against, "period", "left").join(closed, "hypothesis", "left")
         .withColumn("t", F.when(F.col("pretest_passed"), F.col("did_t")))  # a failed pre-test leaves the estimate without weight
         .withColumn("regime_change", F.abs("headline_pt") >= 50.0)

@@ -99,6 +99,13 @@ SELECT doc_id AS evidence_id, {HYPOTHESIS_LIST}[CAST(doc_id % {len(config.HYPOTH
   CAST(DATE '1995-01-01' + to_months(CAST(doc_id % 80 AS INTEGER)) AS DATE) AS period
 FROM documents
 """
+VIEWS["loads_v"] = f"""
+SELECT source, max(loaded) AS loaded_at, round(1.0 - sum(pending) / count(*), 6) AS completeness FROM (
+  SELECT ({text_list(config.HELD_SOURCES)})[CAST(o_orderkey // 4 % {len(config.HELD_SOURCES)} + 1 AS INTEGER)] AS source,
+    CAST(o_orderdate AS DATE) AS load_day, CAST(o_orderdate AS DATE) + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS loaded,
+    CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS pending FROM orders
+) GROUP BY source, load_day
+"""
 VIEWS["tier_v"] = f"SELECT * FROM (VALUES {RELIABILITY_ROWS}) AS t(kind, reliability)"
 VIEWS["hyp_v"] = "SELECT * FROM (VALUES " + ", ".join(
     f"('{n}', {i}, {h['prior']}::DOUBLE, {text_list(h['required'])}, {text_list(h['available'])}, "

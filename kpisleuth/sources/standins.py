@@ -201,3 +201,21 @@ def evidence(spark: SparkSession, folder: str) -> DataFrame:
         (F.lit(1.0) - (F.col("n_chars") % 100) / 1000.0).alias("completeness"),
         F.add_months(F.lit(CASE_EPOCH).cast("date"), (key % CASE_MONTHS).cast("int")).alias("period"),
     )
+
+
+def source_loads(spark: SparkSession, folder: str) -> DataFrame:
+    """Loads of the held sources: one a source and order day, from the orders that fall to it.
+
+    An order still pending is a row the load did not bring, so it lowers completeness.
+    """
+    names = F.array(*map(F.lit, config.HELD_SOURCES))
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    rows = read_table(spark, folder, "orders").select(
+        F.element_at(names, (F.floor(key / 4) % len(config.HELD_SOURCES) + 1).cast("int")).alias("source"),
+        day.alias("day"), (day.cast("timestamp") + F.make_dt_interval(hours=(key % 24).cast("int"))).alias("at"),
+        (F.col("o_orderstatus") == "P").cast("int").alias("pending"),
+    )
+    return rows.groupBy("source", "day").agg(
+        F.max("at").alias("loaded_at"),
+        F.round(F.lit(1.0) - F.sum("pending") / F.count(F.lit(1)), 6).alias("completeness"),
+    ).drop("day")
